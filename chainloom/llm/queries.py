@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.llm import quality_rules, token_counts
+from chainloom.llm import quality_rules, token_counts, token_store
 from chainloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_token_store(spark, sf_dir):
+    return token_store.op5_token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.op9_token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -21,6 +25,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_token_store": op5_token_store,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
