@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.llm import quality_rules, token_counts, token_store
+from chainloom.llm import line_dedup, mixing, quality_rules, token_counts, token_store, warc
 from chainloom.llm.common import table
 
 
@@ -12,10 +12,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_mixture(spark, sf_dir):
+    return mixing.op2_mixture(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark, sf_dir):
     return token_store.op5_token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.op7_line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark, sf_dir):
+    return warc.op8_warc(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.op9_token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -25,11 +37,16 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_mixture": op2_mixture,
     "op5_token_store": op5_token_store,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
