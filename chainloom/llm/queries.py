@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.llm import line_dedup, mixing, quality_model, quality_rules, token_counts, token_store, warc
+from chainloom.llm import html_text, line_dedup, mixing, quality_model, quality_rules, token_counts, token_store, warc
 from chainloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_mixture(spark, sf_dir):
     return mixing.op2_mixture(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark, sf_dir):
+    return html_text.op3_html_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_model(spark, sf_dir):
     return quality_model.op4_quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op2_mixture": op2_mixture,
+    "op3_html_text": op3_html_text,
     "op4_quality_model": op4_quality_model,
     "op5_token_store": op5_token_store,
     "op7_line_dedup": op7_line_dedup,
