@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.llm import html_text, line_dedup, mixing, quality_model, quality_rules, token_counts, token_store, warc
+from chainloom.llm import html_text, line_dedup, mixing, ngram_join, quality_model, quality_rules, token_counts, token_store, warc
 from chainloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.op1_ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op2_mixture(spark, sf_dir):
     return mixing.op2_mixture(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mixture": op2_mixture,
     "op3_html_text": op3_html_text,
     "op4_quality_model": op4_quality_model,
