@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.llm import html_text, line_dedup, mixing, ngram_join, quality_model, quality_rules, token_counts, token_store, warc
+from chainloom.llm import decontaminate, html_text, line_dedup, mixing, ngram_join, quality_model, quality_rules, token_counts, token_store, warc
 from chainloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_token_store(spark, sf_dir):
     return token_store.op5_token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.op6_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.op7_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_quality_model": op4_quality_model,
     "op5_token_store": op5_token_store,
+    "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
