@@ -179,7 +179,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with the same columns."""
     bad = written(matches(docs, benchmark, id_col, text_col, **columns).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("bad_hash")), "left_anti")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(text) == bad["bad_hash"]), "left_anti")
 
 
 def op6_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

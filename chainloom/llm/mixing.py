@@ -18,13 +18,15 @@ Defined results: null texts have size 0 and are taken 0 times; null sources are
 source, last in order; equal keys are ordered by id and text hash; a source of
 size 0 has target 0; an empty table gives an empty table; repeated rows are rows
 of their own; columns other than id, source and text are ignored by ``mixed`` and
-repeated as they are by ``mixture``.
+go along by ``mixture``.
 """
 
 from __future__ import annotations
 
-import math
+import re
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ BINS = 2048
 LEAST_QUALITY = 0.05
 MAX_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
+WORD = re.compile("[^\x20\x09-\x0d]+").finditer
 SIZES_SCHEMA = "doc_id long, source string, text_hash long, size long, quality double"
 
 
@@ -115,5 +118,42 @@ def taken(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return made(others, whole).unionByName(made(at_border, part))
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each whole time that a document
+    is taken, and one with its first words where the mix takes a part of it. Rows that agree
+    in id, source and text stand for what was taken of all of them."""
+    found = mixed(docs, id_col, text_col, source_col, weights, share, seed)
+    found = written(found.groupBy("doc_id", "source", "text_hash", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n_rows")), "taken")
+    rows = docs
+    if not found.filter("n_rows > 1").isEmpty():
+        rows = docs.dropDuplicates([id_col, source_col, text_col])
+    found = found.filter("taken > 0")
+    same = (
+        rows[id_col].cast("long").eqNullSafe(found["doc_id"])
+        & rows[source_col].cast("string").eqNullSafe(found["source"])
+        & (F.xxhash64(F.coalesce(rows[text_col].cast("string"), F.lit(""))) == found["text_hash"])
+    )
+    picked = rows.join(found, same).select(*[rows[c] for c in rows.columns], found["size"], found["taken"])
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts, sizes, takes = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
+            order, made = [], []
+            for i, (text, size, taken) in enumerate(zip(texts, sizes, takes)):
+                order += [i] * -(-taken // size)
+                made += [text] * (taken // size) + ([first_words(text, taken % size)] if taken % size else [])
+            out = batch.select(range(batch.num_columns - 2)).take(pa.array(order, pa.int64()))
+            columns = [pa.array(made, out.column(at).type) if i == at else c for i, c in enumerate(out.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return picked.toDF(*[f"c{i}" for i in range(len(picked.columns))]).mapInArrow(run, docs.schema)
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its ``n``-th word."""
+    return text[: next(islice(WORD(text), n - 1, None)).end()]
+
+
 def op2_mixture(docs: DataFrame) -> DataFrame:
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "source")

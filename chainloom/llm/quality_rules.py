@@ -97,7 +97,7 @@ def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", m
     base = map_rows(docs.select(F.col(host_col).cast("string"), text_or_empty(text_col)), fails, "host string, base_failed boolean")
     rates = host_rates(base)
     good = _with_rates(rates.select("host").withColumn("base_failed", F.lit(False)), rates).filter(F.col("host_rate") <= max_host_rate).select(F.col("host").alias("good_host"))
-    from_good = docs.join(good, F.col(host_col).cast("string").eqNullSafe(F.col("good_host")), "left_semi")
+    from_good = docs.join(good, docs[host_col].cast("string").eqNullSafe(good["good_host"]), "left_semi")
     return _rows_passing_base(from_good, text_col)
 
 
