@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def contract(a: DataFrame, b: DataFrame, value: str = "v") -> DataFrame:
-    """Sums over the index columns that both tables have."""
+def contract(a: DataFrame, b: DataFrame, value: str = "v", batch: tuple = ()) -> DataFrame:
+    """Sums over the index columns that both tables have; shared columns of ``batch`` are kept."""
     left, right = [c for c in a.columns if c != value], [c for c in b.columns if c != value]
     shared = [c for c in left if c in right]
-    kept = [c for c in left + right if c not in shared]
+    kept = [c for c in left if c in batch or c not in shared] + [c for c in right if c not in shared]
     joined = a.withColumnRenamed(value, "__a").join(b.withColumnRenamed(value, "__b"), shared)
     return joined.groupBy(*kept).agg(F.sum(F.col("__a") * F.col("__b")).alias(value))
 

@@ -67,7 +67,7 @@ def mps_score_coo(spark, d):
     for t in range(4):
         site = w.select(F.col("l").alias(f"b{t}"), F.col("s").alias("s"), F.col("r").alias(f"b{t + 1}"), "v")
         joined = contraction.contract(state, site)  # shares the bond
-        state = contraction.contract(joined, local.filter(F.col("t") == t).select("series_id", "s", "v"))
+        state = contraction.contract(joined, local.filter(F.col("t") == t).select("series_id", "s", "v"), batch=("series_id",))
     return state.select("series_id", F.col("b4").alias("c"), six(F.col("v")).alias("amplitude"))
 
 

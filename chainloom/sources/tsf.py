@@ -11,7 +11,7 @@ def read_tsf(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
     frequency = lines.filter(F.col("line").startswith("@frequency")).select("file", F.element_at(F.split("line", r"\s+"), 2).alias("frequency"))
     data = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith("@"))
-    parts = F.split("line", ":", 3)
+    parts = [F.get(F.split("line", ":", 3), k) for k in range(3)]  # lines without colons give nulls
     values = F.transform(F.split(parts[2], ","), lambda v: F.when(F.trim(v) == "?", None).otherwise(F.trim(v)).cast("double"))
     start = F.to_timestamp_ntz(parts[1], F.lit("yyyy-MM-dd HH-mm-ss"))
     rows = data.select("file", parts[0].alias("series_name"), start.alias("start_ts"), values.alias("x"))
