@@ -102,6 +102,32 @@ def split(chain: Chain, j: int, bond: np.ndarray, to_left: bool, max_bond: int,
     return chain.with_sites(j, u.reshape(l, s, k), (w[:, None] * v).reshape(k, t, r, c), centre=j + 1)
 
 
+def sum_of_products(phi: np.ndarray, labels: list[int], n_classes: int) -> Chain:
+    """The sum of product states (series, sites, d), each in its class; a bond index for each series."""
+    n, length, d = phi.shape
+    tensors = []
+    for j in range(length):
+        rows, cols = (1 if j == 0 else n), (1 if j == length - 1 else n)
+        t = np.zeros((rows, d, cols, n_classes) if j == length - 1 else (rows, d, cols), complex)
+        for i in range(n):
+            at = (0 if j == 0 else i, slice(None), 0 if j == length - 1 else i)
+            if j == length - 1:
+                t[(*at, labels[i])] += phi[i, j]
+            else:
+                t[at] += phi[i, j]
+        tensors.append(t)
+    return left_orthogonal(tensors).normalised()
+
+
+def compressed(chain: Chain, max_bond: int, cutoff: float = 1e-10) -> Chain:
+    """The chain with bonds of at most ``max_bond``, class axis on the last site again."""
+    for j in range(chain.length - 2, -1, -1):
+        chain = split(chain, j, merged(chain, j), True, max_bond, cutoff)
+    for j in range(chain.length - 1):
+        chain = split(chain, j, merged(chain, j), False, max_bond, cutoff)
+    return chain.normalised()
+
+
 def entropy_profile(tensors: list[np.ndarray], base: float = np.e) -> list[float]:
     """Entanglement entropy at each cut of one class state; squared singular values up to 1e-12 are left out."""
     now, found = right_orthogonal(tensors), []

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.operators.mps import Chain, merged, random_chain, split
+from chainloom.operators.mps import Chain, compressed, left_orthogonal, merged, random_chain, split, sum_of_products
 from chainloom.operators.prediction import as_states, scores, states, summary
+from chainloom.operators.series import hashed, sampled_per_class
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,8 @@ class Options:
     rescale: bool = True
     cutoff: float = 1e-10
     stop_below: float | None = None
+    partition: bool = False  # adds log |B|^2: with one class, the likelihood of a state of any norm
+    norm_penalty: float = 0.0  # adds this times (|B|^2 - 1)^2 / 2
     seed: int = 456
 
     def changed(self, **values) -> Options:
@@ -112,7 +115,24 @@ def loss_and_gradient(data: DataFrame, chain: Chain, bond: np.ndarray, j: int, o
     values = np.zeros(bond.size + 1, complex)
     values[rows["k"]] = rows["re"] + 1j * rows["im"]
     sent.unpersist()
-    return float(values[0].real), values[1:].reshape(bond.shape)
+    loss, gradient, square = float(values[0].real), values[1:].reshape(bond.shape), float(np.vdot(bond, bond).real)
+    if options.partition:
+        loss, gradient = loss + np.log(square), gradient + bond / square
+    if options.norm_penalty:
+        loss, gradient = loss + options.norm_penalty * (square - 1) ** 2 / 2, gradient + 2 * options.norm_penalty * (square - 1) * bond
+    return loss, gradient
+
+
+def sum_state_start(train: DataFrame, options: Options, per_class: int = 8, noise: float = 0.0) -> Chain:
+    """A chain that superposes the states of ``per_class`` series of each class, compressed to the first bond."""
+    chosen = sampled_per_class(train, per_class, hashed(options.seed))
+    rows = states(chosen.select("series_id", F.col("label").cast("int").alias("label"), "x"), options.encoding, options.d, "series_id", "label").orderBy("series_id").collect()
+    phi = np.array([np.array(r.re) + 1j * np.array(r.im) for r in rows]).reshape(len(rows), -1, options.d)
+    chain = compressed(sum_of_products(phi, [r.label for r in rows], 1 + max(r.label for r in rows)), options.first_bond, options.cutoff)
+    if not noise:
+        return chain
+    rng = np.random.default_rng(options.seed)
+    return left_orthogonal([t + noise * rng.normal(size=t.shape) * np.abs(t).max() for t in chain.tensors]).normalised()
 
 
 def updated(bond: np.ndarray, evaluate, options: Options) -> np.ndarray:

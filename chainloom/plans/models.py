@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chainloom.functions.scaling import scaled
-from chainloom.operators import contraction, metrics, mps, overlap, prediction, sampling, search, series as S, training
+from chainloom.operators import analysis, contraction, metrics, mps, overlap, prediction, sampling, search, series as S, training
 from chainloom.plans.common import CELLS, embeddings, ranged, six, table
 
 #: A real chain of bond 2 for half-angle states: [l][s][r].
@@ -215,7 +215,44 @@ def class_state_overlaps(spark, d):
     return spark.createDataFrame(rows, "pair string, overlap double")
 
 
+def effective_overlap(spark, d):
+    return analysis.effective_overlaps(_short(spark, d), _class_state(spark, d), "stoudenmire", 2)
+
+
+def entropy_variation(spark, d):
+    """Class means of the variation, by site."""
+    s = _short(spark, d)
+    found = analysis.entropy_variations(s, _class_state(spark, d), "stoudenmire", 2).join(s.select("series_id", "label"), "series_id")
+    return found.groupBy("label", "t").agg(F.avg("variation").alias("variation"))
+
+
+def kernel_embedding(spark, d):
+    s = _queries(_unit(spark, d).withColumn("x", F.slice("x", 1, 16)))
+    return analysis.embedded(overlap.overlaps(s, s))
+
+
+def basis_projection(spark, d):
+    s = scaled(embeddings(spark, d).withColumn("x", F.slice("x", 1, 16)), to=(-1.0, 1.0))[0]
+    fourier = analysis.projected_basis(s, "fourier", 4).withColumn("kind", F.lit("fourier"))
+    return fourier.unionByName(analysis.projected_basis(s, "legendre", 4, terms=12).withColumn("kind", F.lit("legendre")))
+
+
+def mps_sum_state(spark, d):
+    """How far the superposition of 8 series of each class already tells the classes apart."""
+    s = _short(spark, d)
+    start = training.sum_state_start(s, training.Options(first_bond=6))
+    return prediction.summary(prediction.scores(s, start, "stoudenmire", 2))
+
+
+def mps_generative(spark, d):
+    """One class alone, trained on the likelihood with its partition function."""
+    s = _short(spark, d).filter("label = 0")
+    log = training.fit(s, None, training.Options(sweeps=1, max_bond=3, first_bond=2, partition=True, rescale=False))[1]
+    return spark.createDataFrame([(x["sweep"], x["train_kld"]) for x in log], "sweep int, nll double")
+
+
 NAMES = [
+    "effective_overlap", "entropy_variation", "kernel_embedding", "basis_projection", "mps_sum_state", "mps_generative",
     "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
     "mps_overlap_statistics", "label_metrics", "forecast_errors", "traj_mean_std", "hist_bin_rules", "hist_mode", "grid_minus_done", "mps_train", "mps_model_table",
     "mps_forecast", "mps_forecast_errors", "mps_interpolate", "mps_forecast_mode", "mps_marginals", "entropy_profile", "two_point_correlation", "class_state_overlaps",

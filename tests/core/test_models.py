@@ -170,3 +170,61 @@ def test_streams(spark, tmp_path, sines):
     assert len(days) == 4 and days[0, 1][:3] == [0.0, 2.0, 4.0]
     pairs = events.select("ts", "k", F.col("v").alias("actual"), (F.col("v") + 1).alias("forecast"))
     assert {r.mae for r in scoring.running_errors(pairs, "ts", "k").collect()} == {1.0}
+
+
+def test_sum_states_hold_their_series(spark, sines):
+    options = training.Options(first_bond=8)
+    start = training.sum_state_start(sines, options, per_class=3)
+    found = prediction.scores(sines, start, "stoudenmire", 2)
+    from chainloom.operators.series import hashed, sampled_per_class
+
+    own = sampled_per_class(sines, 3, hashed(options.seed)).select("series_id")
+    assert prediction.summary(found.join(own, "series_id")).first().accuracy == 1.0
+    phi = np.random.default_rng(3).normal(size=(3, 4, 2)) + 0j
+    whole = mps.sum_of_products(phi, [0, 1, 1], 2)
+    want = np.zeros((16, 2), complex)
+    for p, c in zip(phi, [0, 1, 1]):
+        want[:, c] += np.kron(np.kron(p[0], p[1]), np.kron(p[2], p[3]))
+    assert np.allclose(dense(whole), want / np.linalg.norm(want))
+    assert np.allclose(dense(mps.compressed(whole, 8)), dense(whole))
+
+
+@pytest.mark.parametrize("options", [training.Options(partition=True), training.Options(norm_penalty=0.2)])
+def test_gradients_of_the_norm(sines, options):
+    data = prediction.states(sines.withColumn("label", F.lit(0)), "stoudenmire", 2, "label")
+    c = mps.random_chain(5, 2, 2, 1, seed=5)
+    bond, rng, h = mps.merged(c, 3) * 1.3, np.random.default_rng(0), 1e-6
+    direction = rng.normal(size=bond.shape) + 1j * rng.normal(size=bond.shape)
+    at = lambda b, o: training.loss_and_gradient(data, c, b, 3, o, {0: 24})
+    extra = lambda b: at(b, options)[0] - at(b, training.Options())[0]
+    g = at(bond, options)[1] - at(bond, training.Options())[1]
+    slope = (extra(bond + h * direction) - extra(bond - h * direction)) / (2 * h)
+    assert slope == pytest.approx((2 if options.partition else 1) * np.vdot(g, direction).real, rel=1e-3)
+
+
+def test_one_site_overlaps_and_variations(spark):
+    from chainloom.operators import analysis
+
+    one = spark.createDataFrame([(1, 0, [0.2, 0.7])], "series_id long, label int, x array<double>")
+    state = [np.array([1.0, 0.0]).reshape(1, 2, 1), np.array([0.0, 1.0]).reshape(1, 2, 1)]
+    got = {r.t: r.overlap for r in analysis.site_overlaps(one, state, "half_angle", 2).collect()}
+    assert got == {0: pytest.approx(np.cos(0.1 * np.pi) ** 2), 1: pytest.approx(np.sin(0.35 * np.pi) ** 2)}
+    pair = [np.eye(2).reshape(1, 2, 2) / 2**0.5, np.eye(2).reshape(2, 2, 1)]
+    assert [r.variation for r in analysis.entropy_variations(one, pair, "half_angle", 2).collect()] == pytest.approx([-np.log(2)] * 2)
+
+
+def test_projection_finds_the_constant_term_of_a_flat_density(spark):
+    from chainloom.operators import analysis
+
+    s = spark.createDataFrame([(k, 0, [-1 + 2 * k / 99]) for k in range(100)], "series_id long, label int, x array<double>")
+    best = analysis.projected_basis(s, "fourier", 2, terms=6).orderBy("place").collect()
+    assert best[0].term == 0 and best[0].weight > 10 * best[1].weight
+    assert analysis.projected_basis(s, "legendre", 2, terms=6).filter("place = 0").first().term == 0
+
+
+def test_scaling_to_the_plane_keeps_distances(spark):
+    from chainloom.operators import analysis
+
+    rows = [(i, j, float(np.cos(i - j))) for i in range(3) for j in range(3)]
+    x = analysis.embedded(spark.createDataFrame(rows, "query_id long, series_id long, overlap double")).toPandas().pivot(index="series_id", columns="axis", values="x").to_numpy()
+    assert np.linalg.norm(x[0] - x[1]) == pytest.approx(np.sqrt(2 - 2 * np.cos(1)), rel=1e-6)
