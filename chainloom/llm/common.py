@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,23 @@ def map_rows(df: DataFrame, make: Callable[[list[list]], dict[str, list]], schem
     return df.mapInArrow(run, schema)
 
 
+def bit_map(hashes: DataFrame, n_bits: int) -> np.ndarray:
+    """``n_bits`` bits as uint32 words, set where a hash (the one bigint column) falls modulo
+    ``n_bits``. Its size doesn't depend on the table; at most ``n_bits / 32`` rows reach the driver."""
+    bit = F.pmod(F.col(hashes.columns[0]), F.lit(n_bits))
+    rows = hashes.select((bit / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("b"))
+    rows = rows.groupBy("word").agg(F.bit_or("b").alias("b")).filter("word IS NOT NULL").toPandas()
+    words = np.zeros(n_bits // 32, np.uint32)
+    words[rows["word"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
+    return words
+
+
+def in_bit_map(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the int64 hashes have their bit set."""
+    bit = hashes % (32 * len(words))
+    return (words[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

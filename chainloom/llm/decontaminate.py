@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import map_rows, text_or_empty, written
+from chainloom.llm.common import bit_map, in_bit_map, map_rows, text_or_empty, written
 
 WINDOW, LEAST_ITEM, LEAST_LITERAL, LEAST_COVER = 8, 5, 4, 0.5
 MAP_BITS = 1 << 24
@@ -128,20 +128,10 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(benchmark.select(F.col(id_col).cast("long"), text_or_empty(text_col)), make, "item_id long, size int, at int, n_windows int, hash long, item_slots array<string>")
 
 
-def bit_map(windows: DataFrame) -> np.ndarray:
-    """``MAP_BITS`` bits, set where a window hash falls."""
-    bit = F.pmod("hash", F.lit(MAP_BITS))
-    rows = windows.select((bit / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(hash, {MAP_BITS}) % 32 as int))").alias("b"))
-    rows = rows.groupBy("word").agg(F.bit_or("b").alias("b")).toPandas()  # at most MAP_BITS / 32 rows
-    words = np.zeros(MAP_BITS // 32, np.uint32)
-    words[rows["word"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
-    return words
-
-
 def document_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, doc_at, hash, doc_slots) of the windows that the bit map knows."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(bit_map(windows))  # MAP_BITS / 8 bytes
+    known = spark.sparkContext.broadcast(bit_map(windows.select("hash"), MAP_BITS))  # MAP_BITS / 8 bytes
     sizes = [r.size for r in windows.select("size").distinct().collect()]  # LEAST_ITEM to WINDOW
 
     def make(columns):
@@ -150,8 +140,7 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataF
             h, slots, words = canonical(text)
             for size in sizes:
                 starts, hashes = window_hashes(h, slots, size)
-                bit = (hashes.view(np.int64) % MAP_BITS).astype(np.int64)
-                hit = np.flatnonzero(known.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1)
+                hit = np.flatnonzero(in_bit_map(known.value, hashes.view(np.int64)))
                 for s, x in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
                     for k, v in zip(out, (doc, text_hash, s, x, slot_values(words, slots, s, size))):
                         out[k].append(v)

@@ -35,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import _arrow_schema, map_rows, text_or_empty, written
+from chainloom.llm.common import _arrow_schema, bit_map, in_bit_map, map_rows, text_or_empty, written
 from chainloom.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 32, 8
 NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8 as a fraction, compared in whole numbers
 BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+MAP_BITS = 1 << 24
 _STEP = 4096
 
 _rng = np.random.default_rng(20240229)
@@ -194,6 +195,25 @@ def verified(candidates: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, CELL_SCHEMA)
 
 
+def candidate_grams(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
+    """``found`` (one row for each candidate set) with the n-grams of its document of least id.
+
+    Texts stay where they are read: a bit map of fixed size of the wanted ids tells the
+    tasks which rows may be wanted, and only the n-grams of those are shuffled.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(found.select(F.xxhash64("least_id")), MAP_BITS))
+    rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(id_col).cast("long")), text_or_empty(text_col))
+
+    def make(columns):
+        hit = np.flatnonzero(in_bit_map(wanted.value, np.array(columns[1], np.int64)))
+        sets = [grams(columns[2][i]) for i in hit]
+        return {"doc_id": [columns[0][i] for i in hit], "key": [set_key(s) for s in sets], "grams": [s.tobytes() for s in sets]}
+
+    made = map_rows(rows, make, "doc_id long, key binary, grams binary", max_rows=500)
+    same = (F.col("key") == F.col("set_key")) & F.col("doc_id").eqNullSafe(F.col("least_id"))
+    return made.join(found, same).select("component", "n_blocks", "set_key", "node", "size", "grams")
+
+
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links) of every row: the least id of its class, and the number
     of other documents at similarity 0.8 or more, copies included."""
@@ -205,16 +225,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     extent = found.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total"))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int")
     found = written(found.join(extent.select("component", n_blocks.alias("n_blocks")), "component"), "candidates")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    withtext = texts.join(found, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("component", "n_blocks", "set_key", "node", "size", "text")
-
-    def make(columns):
-        sets_ = [grams(t) for t in columns[5]]
-        kept = [i for i, s in enumerate(sets_) if set_key(s) == columns[2][i]]  # ids may stand on several rows
-        named = dict(zip(("component", "n_blocks", "set_key", "node", "size"), ([c[i] for i in kept] for c in columns)))
-        return named | {"grams": [sets_[i].tobytes() for i in kept]}
-
-    candidates = map_rows(withtext, make, "component long, n_blocks int, set_key binary, node long, size long, grams binary", max_rows=500)
+    candidates = candidate_grams(docs, id_col, text_col, found)
     candidates = candidates.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
     cells = written(verified(candidates), "cells")
     whole = cells.filter("n_blocks = 1").select("set_key", F.col("root").alias("class_root"), "links")
@@ -226,7 +237,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes = written(classes.join(named, "class_root").select("set_key", "class_id", "links"), "classes")
     every = sets.select("set_key", "least_id", "size").join(classes, "set_key", "left")
     n_links = F.col("size") - 1 + F.coalesce("links", F.lit(0))
-    every = every.select("set_key", F.when(F.col("links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), n_links.alias("n_links"))
+    every = written(every.select("set_key", F.when(F.col("links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), n_links.alias("n_links")), "every")
     return rows.select("doc_id", "set_key").join(every, "set_key").select("doc_id", "class_id", "n_links")
 
 
