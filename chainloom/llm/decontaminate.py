@@ -53,7 +53,7 @@ _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x) & ~15) for x in (b"<nu
 class Words(dict):
     """Word to its hash with flags in the low four bits; 0 for words of signs alone. Bounded memory."""
 
-    MEMORY = 1_000_000
+    MEMORY = 300_000
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.MEMORY:

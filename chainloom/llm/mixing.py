@@ -137,15 +137,17 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            texts, sizes, takes = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
-            order, made = [], []
-            for i, (text, size, taken) in enumerate(zip(texts, sizes, takes)):
-                order += [i] * -(-taken // size)
-                made += [text] * (taken // size) + ([first_words(text, taken % size)] if taken % size else [])
-            out = batch.select(range(batch.num_columns - 2)).take(pa.array(order, pa.int64()))
-            columns = [pa.array(made, out.column(at).type) if i == at else c for i, c in enumerate(out.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                texts, sizes, takes = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
+                order, made = [], []
+                for i, (text, size, taken) in enumerate(zip(texts, sizes, takes)):
+                    order += [i] * -(-taken // size)
+                    made += [text] * (taken // size) + ([first_words(text, taken % size)] if taken % size else [])
+                out = batch.select(range(batch.num_columns - 2)).take(pa.array(order, pa.int64()))
+                columns = [pa.array(made, out.column(at).type) if i == at else c for i, c in enumerate(out.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return picked.toDF(*[f"c{i}" for i in range(len(picked.columns))]).mapInArrow(run, docs.schema)
 

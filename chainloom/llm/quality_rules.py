@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,8 +96,7 @@ def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", m
         return {"host": columns[0], "base_failed": [w < MIN_WORDS or 100 * r > MAX_REPEAT_PERCENT * w for w, _, _, _, r in map(measure, columns[1])]}
 
     base = map_rows(docs.select(F.col(host_col).cast("string"), text_or_empty(text_col)), fails, "host string, base_failed boolean")
-    rates = host_rates(base)
-    good = _with_rates(rates.select("host").withColumn("base_failed", F.lit(False)), rates).filter(F.col("host_rate") <= max_host_rate).select(F.col("host").alias("good_host"))
+    good = written(host_rates(base).filter(F.col("host_rate") <= max_host_rate).select(F.col("host").alias("good_host")), "good-hosts")
     from_good = docs.join(good, docs[host_col].cast("string").eqNullSafe(good["good_host"]), "left_semi")
     return _rows_passing_base(from_good, text_col)
 
@@ -105,22 +105,17 @@ def _rows_passing_base(docs: DataFrame, text_col: str) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                w, _, _, _, r = measure(text or "")
-                keep.append(not (w < MIN_WORDS or 100 * r > MAX_REPEAT_PERCENT * w))
-            yield batch.filter(np_mask(keep))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch, keep = whole.slice(start, 1000), []
+                for text in batch.column(at).to_pylist():
+                    w, _, _, _, r = measure(text or "")
+                    keep.append(not (w < MIN_WORDS or 100 * r > MAX_REPEAT_PERCENT * w))
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def np_mask(keep: list[bool]):
-    import pyarrow as pa
-
-    return pa.array(keep, pa.bool_())
-
-
 def op10_quality_rules(docs: DataFrame) -> DataFrame:
     return verdicts(docs).select("doc_id", *MEASURES, "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
 

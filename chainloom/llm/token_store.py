@@ -61,7 +61,7 @@ class ByteBpeEncoder:
     with added tokens in them go to the library whole.
     """
 
-    MEMORY = 1_000_000
+    UNITS, PIECES = 300_000, 150_000  # about 100 MB
     REMEMBERED_LENGTH = 48
 
     def __init__(self, tokenizer_file: str):
@@ -84,7 +84,7 @@ class ByteBpeEncoder:
             ids = [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
             known = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= self.REMEMBERED_LENGTH:
-                if len(self.pieces) > self.MEMORY:
+                if len(self.pieces) > self.PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = known
         return known
@@ -95,7 +95,7 @@ class ByteBpeEncoder:
     def _unit(self, unit: str) -> bytes:
         made = self._pieces(" " + unit)
         if len(unit) <= self.REMEMBERED_LENGTH:
-            if len(self.units) > self.MEMORY:
+            if len(self.units) > self.UNITS:
                 self.units.clear()
             self.units[unit] = made
         return made
