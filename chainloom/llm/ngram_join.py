@@ -245,7 +245,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` whose id names their class, one row for each class, with the same columns."""
     found = joined(docs, id_col, text_col)
     kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept")
-    rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    # about as many ids as documents: a join by shuffle at every size, whatever Spark would broadcast of a small input
+    rows = docs.join(kept.hint("merge"), docs[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
     if kept.filter("n_rows > 1").isEmpty():
         return rows
     return rows.dropDuplicates([id_col])  # ids that stand on several rows
