@@ -87,18 +87,22 @@ def _pieces(texts: list[str], most: int = 1 << 22):
 
 
 def add_contexts(texts: list[str], index: np.ndarray, sums: np.ndarray) -> None:
+    """``index`` and ``sums`` have a last row for the gaps between texts, of zeros in ``index``."""
     ids, sizes = token_bins(texts)
     if not len(ids):
         return
-    marks, doc = index[ids].astype(np.int16), np.repeat(np.arange(len(sizes)), sizes)
-    around = np.zeros(marks.shape, np.int16)
+    places = np.arange(len(ids)) + WINDOW * np.repeat(np.arange(len(sizes)), sizes)
+    spread = np.full(len(ids) + WINDOW * len(sizes), BINS, np.int32)
+    spread[places] = ids
+    marks = index[spread]
+    around = np.zeros(marks.shape, np.int8)  # at most 2 * WINDOW * MARKS
     for k in range(1, WINDOW + 1):
-        same = (doc[k:] == doc[:-k])[:, None]
-        around[k:] += marks[:-k] * same
-        around[:-k] += marks[k:] * same
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-    sums[ids[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+        around[k:] += marks[:-k]
+        around[:-k] += marks[k:]
+    order = np.argsort(spread.astype(np.uint16), kind="stable")  # a radix sort
+    sorted_ids = spread[order]
+    first = np.flatnonzero(np.r_[True, np.diff(sorted_ids) > 0])
+    sums[sorted_ids[first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
@@ -108,11 +112,11 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     out = _arrow_schema(texts.sparkSession, schema)
 
     def run(batches):
-        index, sums = index_vectors(), np.zeros((BINS, DIMS), np.int64)
+        index, sums = np.r_[index_vectors(), np.zeros((1, DIMS), np.int8)], np.zeros((BINS + 1, DIMS), np.int64)
         for batch in batches:
             for part in _pieces(batch.column(0).to_pylist()):
                 add_contexts(part, index, sums)
-        used = np.flatnonzero(sums.any(axis=1))
+        used = np.flatnonzero(sums[:BINS].any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32))] + [pa.array(sums[used, k]) for k in range(DIMS)], schema=out)
 
     rows = texts.mapInArrow(run, schema).groupBy("bin").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # at most BINS rows
@@ -133,7 +137,7 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
         pairs[:-1] = x[:-1] * x[1:]
         pairs[np.cumsum(sizes[full]) - 1] = 0  # the last of a text has no neighbour in it
         for k, values in enumerate((x, x * x, pairs)):
-            found[full, k * DIMS : (k + 1) * DIMS] = np.add.reduceat(values, starts, axis=0, dtype=np.float64) / n
+            found[full, k * DIMS : (k + 1) * DIMS] = np.add.reduceat(values, starts, axis=0) / n
         found[:, -1] = np.log1p(sizes) / 10
     return found
 
