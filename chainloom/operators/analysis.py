@@ -48,25 +48,56 @@ def effective_overlaps(series: DataFrame, tensors: list[np.ndarray], encoding: s
     return site_overlaps(series, tensors, encoding, d).groupBy("series_id").agg(F.avg("overlap").alias("overlap"))
 
 
+def measured_entropies(tensors: list[np.ndarray], p: np.ndarray, t: int, grams: tuple[list, list]) -> np.ndarray:
+    """(rows,): the mean cut entropy after site t is measured in each of the states ``p`` (rows, d).
+    Squared singular values of a cut are the eigenvalues of the product of its two sides' Gram matrices."""
+    left, right = grams
+    m = np.einsum("nu,lur->nlr", p.conj(), tensors[t])[:, :, None]
+    unit = lambda g: g / np.maximum(np.abs(np.trace(g, axis1=1, axis2=2)), 1e-300)[:, None, None]
+    total, n = np.zeros(len(p)), len(tensors)
+
+    def add(a, b):
+        w = np.maximum(np.linalg.eigvals(np.swapaxes(b, -1, -2) @ a).real, 0)
+        w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+        total[:] -= np.where(w > 1e-12, w * np.log(np.maximum(w, 1e-300)), 0).sum(axis=1)
+
+    g = unit(np.einsum("nlsr,lk,nksq->nrq", m.conj(), left[t], m, optimize=True))
+    for j in range(t, n - 1):
+        add(g, right[j][None])
+        g = unit(np.einsum("lsr,nlk,ksq->nrq", tensors[j + 1].conj(), g, tensors[j + 1], optimize=True))
+    g = unit(np.einsum("nlsr,rq,nksq->nlk", m.conj(), right[t], m, optimize=True))
+    for j in range(t - 1, -1, -1):
+        add(left[j + 1][None], g)
+        g = unit(np.einsum("lsr,nrq,ksq->nlk", tensors[j].conj(), g, tensors[j], optimize=True))
+    return total / max(n - 1, 1)
+
+
+def side_grams(tensors: list[np.ndarray]) -> tuple[list, list]:
+    """Gram matrices, of trace 1, of what is left and what is right of each site."""
+    left, right = [np.ones((1, 1), complex)], [np.ones((1, 1), complex)]
+    for a in tensors[:-1]:
+        g = np.einsum("lsr,lk,ksq->rq", a.conj(), left[-1], a)
+        left.append(g / abs(np.trace(g)))
+    for a in reversed(tensors[1:]):
+        g = np.einsum("lsr,rq,ksq->lk", a.conj(), right[-1], a)
+        right.append(g / abs(np.trace(g)))
+    return left, right[::-1]
+
+
 def entropy_variations(series: DataFrame, tensors: list[np.ndarray], encoding: str, d: int) -> DataFrame:
     """(series_id, t, variation): the mean change of the cut entropies after site t is measured in the
     state of the series' value."""
-    sent = series.sparkSession.sparkContext.broadcast((tensors, entropy_profile(tensors)))
+    sent = series.sparkSession.sparkContext.broadcast((tensors, float(np.mean(entropy_profile(tensors))), side_grams(tensors)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tensors, before = sent.value
+        tensors, before, grams = sent.value
         for b in batches:
-            phi = as_states(b.column(2), b.column(3), len(tensors), d)
-            found = []
-            for row, t in enumerate(b.column(1).to_pylist()):
-                p = phi[row, t]
-                measured = list(tensors)
-                measured[t] = np.einsum("s,u,lur->lsr", p, p.conj(), tensors[t])
-                found.append(float(np.mean(np.subtract(entropy_profile(measured), before))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], names=["series_id", "t", "variation"])
-
-    rows = states(series, encoding, d, "series_id").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(tensors) - 1))))
-    return rows.select("series_id", "t", "re", "im").mapInArrow(run, "series_id long, t int, variation double")
+            phi = as_states(b.column(1), b.column(2), len(tensors), d)
+            for t in range(len(tensors)):
+                found = measured_entropies(tensors, phi[:, t], t, grams) - before
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(phi), t, np.int32)), pa.array(found)], names=["series_id", "t", "variation"])
+
+    return states(series, encoding, d, "series_id").mapInArrow(run, "series_id long, t int, variation double")
 
 
 def embedded(similarities: DataFrame, dimensions: int = 2) -> DataFrame:

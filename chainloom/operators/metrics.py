@@ -47,14 +47,16 @@ def confusion(predictions: DataFrame, truth: str, predicted: str) -> DataFrame:
     return pairs.join(counts, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def binary_scores(predictions: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Accuracy, precision, recall, specificity, F1 and balanced accuracy; values other than 0 are positive."""
-    t, p = F.col(truth) != 0, F.col(predicted) != 0
-    n = predictions.agg(*[F.sum(c.cast("long")).cast("double").alias(k) for k, c in (("tp", t & p), ("fp", ~t & p), ("fn", t & ~p), ("tn", ~t & ~p))])
+def binary_scores(predictions: DataFrame, truth: str | Column, predicted: str | Column, by: tuple = (), times: str | None = None) -> DataFrame:
+    """Accuracy, precision, recall, specificity, F1 and balanced accuracy; values other than 0 are positive.
+    ``truth`` and ``predicted``: columns, or conditions; ``times``: how often a row counts."""
+    t, p = (F.col(c) != 0 if isinstance(c, str) else c for c in (truth, predicted))
+    each = F.col(times).cast("long") if times else F.lit(1).cast("long")
+    n = predictions.groupBy(*by).agg(*[F.sum(c.cast("long") * each).cast("double").alias(k) for k, c in (("tp", t & p), ("fp", ~t & p), ("fn", t & ~p), ("tn", ~t & ~p))])
     tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
     precision, recall, specificity = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)
     return n.select(
-        F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), specificity.alias("specificity"),
+        *by, F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), specificity.alias("specificity"),
         F.try_divide(2.0 * tp, 2.0 * tp + fp + fn).alias("f1"), ((recall + specificity) / 2.0).alias("balanced_accuracy"),
     )
 

@@ -163,9 +163,18 @@ def spin(name: str, d: int) -> np.ndarray:
 def two_point(tensors: list[np.ndarray], name: str = "Sz") -> np.ndarray:
     """Connected correlations of all pairs of sites."""
     d, n = tensors[0].shape[1], len(tensors)
-    o = spin(name, d)
-    one = [with_operators(tensors, {i: o}).real for i in range(n)]
-    return np.array([[with_operators(tensors, {i: o @ o} if i == j else {i: o, j: o}).real - one[i] * one[j] for j in range(n)] for i in range(n)])
+    o, now = spin(name, d), right_orthogonal(tensors)  # what is right of a site adds up to the identity
+    step = lambda e, t: np.einsum("ij,isk,jsl->kl", e, t.conj(), t, optimize=True)
+    put = lambda e, t, o: np.einsum("ij,isk,su,jul->kl", e, t.conj(), o, t, optimize=True)
+    left, one, found = np.ones((1, 1), complex), np.zeros(n), np.zeros((n, n))
+    for i in range(n):
+        one[i], found[i, i] = np.trace(put(left, now[i], o)).real, np.trace(put(left, now[i], o @ o)).real
+        e = put(left, now[i], o)
+        for j in range(i + 1, n):
+            found[i, j] = found[j, i] = np.trace(put(e, now[j], o)).real
+            e = step(e, now[j])
+        left = step(left, now[i])
+    return found - np.outer(one, one)
 
 
 def subtracted(a: list[np.ndarray], b: list[np.ndarray], factor: complex) -> list[np.ndarray]:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Window
@@ -23,7 +24,8 @@ def _unit(spark, d):
 
 
 def _short(spark, d):
-    """Two classes, eight time points, scaled to (0, 1)."""
+    """Two classes, eight time points, scaled to (0, 1): only for the queries that are compared with a
+    recursive SQL of the same size. Each has a query on all labels and values, named with ``_all``."""
     s = embeddings(spark, d).filter("label < 2").withColumn("x", F.slice("x", 1, SITES))
     return scaled(s)[0]
 
@@ -45,6 +47,13 @@ def rlf_kernel(spark, d):
     return found.select("query_id", "series_id", six(overlap.rescaled_fidelity(F.col("overlap"), 2.0)).alias("rlf"))
 
 
+def rlf_kernel_all(spark, d):
+    """By sums of logarithms: the products of 64 factors stay in range."""
+    s = _unit(spark, d)
+    found = overlap.overlaps(s, _queries(s), overlap.log_overlap)
+    return found.select("query_id", "series_id", F.exp(F.col("overlap") / math.log(10) * math.log(2.0)).alias("rlf"))
+
+
 def nearest_by_overlap(spark, d):
     s = _unit(spark, d)
     found = overlap.nearest(s, _queries(s), overlap.log_overlap)
@@ -71,6 +80,38 @@ def mps_score_coo(spark, d):
     return state.select("series_id", F.col("b4").alias("c"), six(F.col("v")).alias("amplitude"))
 
 
+def mps_score_hof_all(spark, d):
+    s = _unit(spark, d)
+    phi = F.transform("x", lambda v: F.array(F.cos(v * (math.pi / 2)), F.sin(v * (math.pi / 2))))
+    return s.select("series_id", F.posexplode(contraction.fold_chain(phi, TENSOR)).alias("c", "amplitude"))
+
+
+def mps_score_coo_all(spark, d):
+    """The same amplitudes by joins and sums: neighbouring sites are contracted in pairs, so a chain
+    of n sites takes log2(n) joins."""
+    s = _unit(spark, d)
+    long = s.select("series_id", F.posexplode("x").alias("t", "v"))
+    local = long.select("series_id", "t", F.posexplode(F.array(F.cos(F.col("v") * (math.pi / 2)), F.sin(F.col("v") * (math.pi / 2)))).alias("s", "v"))
+    w = spark.createDataFrame([(i, k, j, float(TENSOR[i][k][j])) for i in range(2) for k in range(2) for j in range(2)], "l int, s int, r int, v double")
+    state, n = contraction.contract(local, w).select("series_id", "t", "l", "r", "v"), _length(s)
+    while n > 1:
+        half = F.expr("t div 2").cast("int").alias("t")
+        left = state.filter(f"t % 2 = 0 AND t < {n - n % 2}").select("series_id", half, "l", F.col("r").alias("m"), "v")
+        right = state.filter(f"t % 2 = 1 AND t < {n - n % 2}").select("series_id", half, F.col("l").alias("m"), "r", "v")
+        paired = contraction.contract(left, right, batch=("series_id", "t")).select("series_id", "t", "l", "r", "v")
+        state = paired.unionByName(state.filter(f"t = {n - 1}").select("series_id", half, "l", "r", "v")) if n % 2 else paired
+        n = (n + 1) // 2
+    return state.filter("l = 0").select("series_id", F.col("r").alias("c"), F.col("v").alias("amplitude"))
+
+
+def _length(s) -> int:
+    return s.select(F.size("x").alias("n")).first().n
+
+
+def _n_classes(s) -> int:
+    return s.agg(F.max("label").cast("int").alias("c")).first().c + 1
+
+
 def _literal_chain():
     t = np.array(TENSOR)
     return mps.Chain((t[:1], *[t] * (SITES - 2), t[:, :, None, :]), SITES - 1)
@@ -80,6 +121,41 @@ def _scored(spark, d):
     return prediction.scores(_short(spark, d), _literal_chain(), "half_angle", 2)
 
 
+def _chain_of(length, n_classes):
+    """The literal chain of any length; its last bond is read along one direction of the half plane for each class."""
+    t = np.array(TENSOR)
+    turn = np.pi * np.arange(n_classes) / n_classes
+    return mps.Chain((t[:1], *[t] * (length - 2), np.einsum("lsr,rc->lsc", t, [np.cos(turn), np.sin(turn)])[:, :, None]), length - 1)
+
+
+def _scored_all(spark, d):
+    s = _unit(spark, d)
+    return prediction.scores(s, _chain_of(_length(s), _n_classes(s)), "half_angle", 2)
+
+
+def mps_predict_all(spark, d):
+    return prediction.predictions(_scored_all(spark, d)).select("series_id", "label", "predicted")
+
+
+def mps_confusion_all(spark, d):
+    return metrics.confusion(mps_predict_all(spark, d), "label", "predicted")
+
+
+def mps_metrics_all(spark, d):
+    """Each class against all others."""
+    counts = mps_confusion_all(spark, d)
+    each = counts.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(_n_classes(_unit(spark, d)) - 1))))
+    return metrics.binary_scores(each, F.col("truth") == F.col("class"), F.col("predicted") == F.col("class"), by=("class",), times="n")
+
+
+def mps_kld_all(spark, d):
+    return prediction.summary(_scored_all(spark, d)).select("kld", "mse", "n")
+
+
+def mps_overlap_statistics_all(spark, d):
+    return prediction.overlap_statistics(_scored_all(spark, d))
+
+
 def mps_predict(spark, d):
     return prediction.predictions(_scored(spark, d)).select("series_id", "label", "predicted")
 
@@ -154,7 +230,8 @@ def grid_minus_done(spark, d):
 
 @lru_cache(maxsize=4)
 def _trained(spark, d):
-    s = _short(spark, d).repartition(8, "series_id")
+    """A chain of all time points with a class axis of all labels, trained on all series."""
+    s = _unit(spark, d).repartition(8, "series_id")
     options = training.Options(sweeps=1, max_bond=4, first_bond=2, rate=0.1)
     return training.fit(s, None, options)
 
@@ -166,16 +243,23 @@ def mps_train(spark, d):
 
 
 def mps_model_table(spark, d):
-    return mps.model_table(spark, _trained(spark, d)[0], "two_classes")
+    return mps.model_table(spark, _trained(spark, d)[0], "all_classes")
+
+
+def _class_states(spark, d):
+    chain = _trained(spark, d)[0]
+    return [mps.right_orthogonal(chain.of_class(c)) for c in range(chain.n_classes)]
 
 
-def _class_state(spark, d, c=0):
-    return mps.right_orthogonal(_trained(spark, d)[0].of_class(c))
+def _by_class(spark, d, find, s=None):
+    """``find`` of the series of each class and its own class state, one table after another."""
+    found = [find(c, s.filter(F.col("label") == c) if s is not None else None, state) for c, state in enumerate(_class_states(spark, d))]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def mps_forecast(spark, d):
-    s = _short(spark, d).filter("label = 0")
-    shots = sampling.forecast(s, _class_state(spark, d), "stoudenmire", 2, horizon=3, shots=20)
+    s = _unit(spark, d)
+    shots = _by_class(spark, d, lambda c, own, state: sampling.forecast(own, state, "stoudenmire", 2, horizon=3, shots=20), s)
     truth = S.long_form(s).select("series_id", "t", F.col("v").alias("actual"))
     return sampling.trajectories(shots).join(truth, ["series_id", "t"])
 
@@ -185,70 +269,78 @@ def mps_forecast_errors(spark, d):
 
 
 def mps_interpolate(spark, d):
-    s = _short(spark, d).filter("label = 0")
-    return sampling.trajectories(sampling.imputed(s, _class_state(spark, d), "stoudenmire", 2, [2, 3, 5], 20))
+    return sampling.trajectories(_by_class(spark, d, lambda c, own, state: sampling.imputed(own, state, "stoudenmire", 2, [2, 3, 5], 20), _unit(spark, d)))
 
 
 def mps_forecast_mode(spark, d):
-    s = _queries(_short(spark, d)).filter("label = 0")
-    return sampling.bootstrapped_mode(sampling.forecast(s, _class_state(spark, d), "stoudenmire", 2, 2, 40), 100)
+    shots = _by_class(spark, d, lambda c, own, state: sampling.forecast(own, state, "stoudenmire", 2, 2, 40), _unit(spark, d))
+    return sampling.bootstrapped_mode(shots, 100)
 
 
 def mps_marginals(spark, d):
-    return sampling.marginals(spark, _class_state(spark, d), "stoudenmire", 2)
+    return _by_class(spark, d, lambda c, own, state: sampling.marginals(spark, state, "stoudenmire", 2).withColumn("class", F.lit(c)))
 
 
 def entropy_profile(spark, d):
-    rows = [(c, j, e) for c in (0, 1) for j, e in enumerate(mps.entropy_profile(_class_state(spark, d, c)))]
+    rows = [(c, j, e) for c, state in enumerate(_class_states(spark, d)) for j, e in enumerate(mps.entropy_profile(state))]
     return spark.createDataFrame(rows, "class int, cut int, entropy double")
 
 
 def two_point_correlation(spark, d):
-    m = mps.two_point(_class_state(spark, d))
-    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "i int, j int, correlation double")
+    rows = [(c, i, j, float(v)) for c, state in enumerate(_class_states(spark, d)) for (i, j), v in np.ndenumerate(mps.two_point(state))]
+    return spark.createDataFrame(rows, "class int, i int, j int, correlation double")
 
 
 def class_state_overlaps(spark, d):
-    a, b = _class_state(spark, d, 0), _class_state(spark, d, 1)
-    rest = mps.difference(a, b)
-    rows = [(n, abs(mps.inner(x, y))) for n, x, y in (("0,0", a, a), ("0,1", a, b), ("1,1", b, b), ("0,rest", a, rest))]
+    """Of all pairs of class states, and of each state with what is left of each other one beside it."""
+    states = _class_states(spark, d)
+    rows = [(f"{i},{j}", abs(mps.inner(states[i], states[j]))) for i in range(len(states)) for j in range(i, len(states))]
+    rows += [(f"{i},rest of {j}", abs(mps.inner(states[i], mps.difference(states[i], states[j])))) for i in range(len(states)) for j in range(len(states)) if i != j]
     return spark.createDataFrame(rows, "pair string, overlap double")
 
 
 def effective_overlap(spark, d):
-    return analysis.effective_overlaps(_short(spark, d), _class_state(spark, d), "stoudenmire", 2)
+    """Every series against every class state."""
+    s = _unit(spark, d)
+    return _by_class(spark, d, lambda c, own, state: analysis.effective_overlaps(s, state, "stoudenmire", 2).withColumn("class", F.lit(c)))
 
 
 def entropy_variation(spark, d):
-    """Class means of the variation, by site."""
-    s = _short(spark, d)
-    found = analysis.entropy_variations(s, _class_state(spark, d), "stoudenmire", 2).join(s.select("series_id", "label"), "series_id")
+    """Class means of the variation, by site; every series in the state of its own class."""
+    found = _by_class(spark, d, lambda c, own, state: analysis.entropy_variations(own, state, "stoudenmire", 2).withColumn("label", F.lit(c)), _unit(spark, d))
     return found.groupBy("label", "t").agg(F.avg("variation").alias("variation"))
 
 
 def kernel_embedding(spark, d):
-    s = _queries(_unit(spark, d).withColumn("x", F.slice("x", 1, 16)))
+    s = _queries(_unit(spark, d))
     return analysis.embedded(overlap.overlaps(s, s))
 
 
 def basis_projection(spark, d):
-    s = scaled(embeddings(spark, d).withColumn("x", F.slice("x", 1, 16)), to=(-1.0, 1.0))[0]
+    s = scaled(embeddings(spark, d), to=(-1.0, 1.0))[0]
     fourier = analysis.projected_basis(s, "fourier", 4).withColumn("kind", F.lit("fourier"))
     return fourier.unionByName(analysis.projected_basis(s, "legendre", 4, terms=12).withColumn("kind", F.lit("legendre")))
 
 
 def mps_sum_state(spark, d):
     """How far the superposition of 8 series of each class already tells the classes apart."""
-    s = _short(spark, d)
+    s = _unit(spark, d)
     start = training.sum_state_start(s, training.Options(first_bond=6))
     return prediction.summary(prediction.scores(s, start, "stoudenmire", 2))
 
 
 def mps_generative(spark, d):
-    """One class alone, trained on the likelihood with its partition function."""
-    s = _short(spark, d).filter("label = 0")
-    log = training.fit(s, None, training.Options(sweeps=1, max_bond=3, first_bond=2, partition=True, rescale=False))[1]
-    return spark.createDataFrame([(x["sweep"], x["train_kld"]) for x in log], "sweep int, nll double")
+    """Each class alone, trained on the likelihood with its partition function."""
+    s = _unit(spark, d)
+    options = training.Options(sweeps=1, max_bond=3, first_bond=2, partition=True, rescale=False)
+
+    def log_of(c):
+        return training.fit(s.filter(F.col("label") == c).withColumn("label", F.lit(0)), None, options)[1]
+
+    classes = range(_n_classes(s))
+    with ThreadPoolExecutor(4) as pool:  # the driver waits for small jobs most of the time
+        rows = [(c, x["sweep"], x["train_kld"]) for c, log in zip(classes, pool.map(log_of, classes)) for x in log]
+    return spark.createDataFrame(rows, "class int, sweep int, nll double")
 
 
 NAMES = [
@@ -256,6 +348,7 @@ NAMES = [
     "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
     "mps_overlap_statistics", "label_metrics", "forecast_errors", "traj_mean_std", "hist_bin_rules", "hist_mode", "grid_minus_done", "mps_train", "mps_model_table",
     "mps_forecast", "mps_forecast_errors", "mps_interpolate", "mps_forecast_mode", "mps_marginals", "entropy_profile", "two_point_correlation", "class_state_overlaps",
+    "rlf_kernel_all", "mps_score_hof_all", "mps_score_coo_all", "mps_predict_all", "mps_confusion_all", "mps_metrics_all", "mps_kld_all", "mps_overlap_statistics_all",
 ]
 QUERIES = {n: globals()[n] for n in NAMES} | {"fc_mase_1": _mase(1), "fc_mase_7": _mase(7)}
 
