@@ -4,10 +4,13 @@ Words lose case and outer signs; numbers, units after numbers and names (capital
 words inside a sentence) become typed placeholders, whose values are kept as slots.
 Windows of ``WINDOW`` canonical words (or of all words of a shorter item, ``LEAST_ITEM``
 at least) with at least ``LEAST_LITERAL`` literal words are hashed on both sides and
-hash-joined. Along one alignment of a document with an item, the slot values must map
+hash-joined. Every window is hashed a second time on its words alone (lower case, without
+signs, no placeholders), so a copy in other case or with other punctuation, where other
+words look like names, and a window with few literals still match word for word. Along one alignment of a document with an item, the slot values must map
 one to one; then the question has been copied or given other parameters, otherwise
 its template only looks alike. A document is contaminated by an item if consistent
-alignments cover at least ``LEAST_COVER`` of the item's windows.
+alignments or literal matches cover at least ``LEAST_COVER`` of all the item's windows, or
+of those with enough literal words.
 
 Documents are read once: a bit map of fixed size (``MAP_BITS``, whatever the size of the
 benchmark) of the benchmark's window hashes goes to the tasks, and only windows that it
@@ -35,6 +38,7 @@ from chainloom.llm.common import bit_map, in_bit_map, map_rows, text_or_empty, w
 WINDOW, LEAST_ITEM, LEAST_LITERAL, LEAST_COVER = 8, 5, 4, 0.5
 MAP_BITS = 1 << 24
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡«»¿–—‘’‚“”„…"
+_NO_SIGNS = str.maketrans("", "", SIGNS)
 # Common units and their short forms.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons tonne tonnes lb lbs pound pounds oz ounce ounces"
@@ -62,7 +66,7 @@ class Words(dict):
         found = 0
         if bare:
             low = bare.lower()
-            found = (xxhash.xxh64_intdigest(low.encode()) & ~15) or 16
+            found = (xxhash.xxh64_intdigest(low.translate(_NO_SIGNS).encode()) & ~15) or 16
             found |= 1 * (bare[0].isupper() and not (len(bare) > 1 and bare.isupper())) | 2 * bool(NUMBER(bare)) | 4 * (word[-1] in ".!?:") | 8 * (low in UNITS)
         self[word] = found
         return found
@@ -71,8 +75,9 @@ class Words(dict):
 _words = Words()
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes of the canonical words, which of them are placeholders, and the words as they stand."""
+def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Hashes of the canonical words, which of them are placeholders, the words as they stand,
+    and the hashes of all words without placeholders."""
     words = text.split()
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     real = h != 0
@@ -80,14 +85,15 @@ def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         words = [w for w, r in zip(words, real) if r]
         h = h[real]
     if not len(h):
-        return h, np.zeros(0, bool), words
+        return h, np.zeros(0, bool), words, h
     begins = np.r_[True, (h[:-1] & ENDS) > 0]
     number = (h & IS_NUMBER) > 0
     unit = ((h & UNIT) > 0) & np.r_[False, number[:-1]]
     name = ((h & CAPITAL) > 0) & ~begins & ~number & ~unit
-    h = h & LITERAL_MASK
+    bare = h & LITERAL_MASK
+    h = bare.copy()
     h[number], h[unit], h[name] = _NUM, _UNIT, _NAME
-    return h, number | unit | name, words
+    return h, number | unit | name, words, bare
 
 
 def window_hashes(h: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +101,23 @@ def window_hashes(h: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarr
     n = len(h) - size + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.full(n, size, np.uint64)
+    held = np.r_[0, np.cumsum(slots)]
+    starts = np.flatnonzero(size - (held[size:] - held[:-size]) >= min(LEAST_LITERAL, size))
+    return starts, _mixed(h, size)[starts]
+
+
+def literal_hashes(bare: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows, of their words without placeholders."""
+    return _mixed(bare, size, 64) if len(bare) >= size else np.zeros(0, np.uint64)
+
+
+def _mixed(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    n = len(h) - size + 1
+    total = np.full(n, size + salt, np.uint64)
     for k in range(size):
         total += h[k : k + n] * _MIX[k]
     total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    total ^= total >> np.uint64(29)
-    held = np.r_[0, np.cumsum(slots)]
-    starts = np.flatnonzero(size - (held[size:] - held[:-size]) >= min(LEAST_LITERAL, size))
-    return starts, total[starts]
+    return total ^ (total >> np.uint64(29))
 
 
 def slot_values(words: list[str], slots: np.ndarray, start: int, size: int) -> list[str]:
@@ -110,22 +125,27 @@ def slot_values(words: list[str], slots: np.ndarray, start: int, size: int) -> l
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, size, at, n_windows, hash, item_slots): one row for each window of each item."""
+    """(item_id, size, at, n_windows, n_filled, literal, filled, hash, item_slots): of each window of each item
+    a literal row, and a row of its template if it is ``filled`` with enough literal words."""
 
     def make(columns):
-        out = {k: [] for k in ("item_id", "size", "at", "n_windows", "hash", "item_slots")}
+        out = {k: [] for k in ("item_id", "size", "at", "n_windows", "n_filled", "literal", "filled", "hash", "item_slots")}
         for item, text in zip(*columns):
-            h, slots, words = canonical(text)
+            h, slots, words, bare = canonical(text)
             size = min(WINDOW, len(h))
             if size < LEAST_ITEM:
                 continue
             starts, hashes = window_hashes(h, slots, size)
-            for s, x in zip(starts.tolist(), hashes.view(np.int64).tolist()):
-                for k, v in zip(out, (item, size, s, len(starts), x, slot_values(words, slots, s, size))):
+            every, filled = literal_hashes(bare, size).view(np.int64).tolist(), set(starts.tolist())
+            found = [(s, False, True, x, slot_values(words, slots, s, size)) for s, x in zip(starts.tolist(), hashes.view(np.int64).tolist())]
+            found += [(s, True, s in filled, x, []) for s, x in enumerate(every)]
+            for s, literal, full, x, values in found:
+                for k, v in zip(out, (item, size, s, len(every), len(starts), literal, full, x, values)):
                     out[k].append(v)
         return out
 
-    return map_rows(benchmark.select(F.col(id_col).cast("long"), text_or_empty(text_col)), make, "item_id long, size int, at int, n_windows int, hash long, item_slots array<string>")
+    schema = "item_id long, size int, at int, n_windows int, n_filled int, literal boolean, filled boolean, hash long, item_slots array<string>"
+    return map_rows(benchmark.select(F.col(id_col).cast("long"), text_or_empty(text_col)), make, schema)
 
 
 def document_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> DataFrame:
@@ -137,12 +157,16 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataF
     def make(columns):
         out = {k: [] for k in ("doc_id", "text_hash", "doc_at", "hash", "doc_slots")}
         for doc, text_hash, text in zip(*columns):
-            h, slots, words = canonical(text)
+            h, slots, words, bare = canonical(text)
             for size in sizes:
                 starts, hashes = window_hashes(h, slots, size)
                 hit = np.flatnonzero(in_bit_map(known.value, hashes.view(np.int64)))
-                for s, x in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
-                    for k, v in zip(out, (doc, text_hash, s, x, slot_values(words, slots, s, size))):
+                found = [(s, x, slot_values(words, slots, s, size)) for s, x in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist())]
+                every = literal_hashes(bare, size).view(np.int64)
+                hit = np.flatnonzero(in_bit_map(known.value, every))
+                found += [(s, x, []) for s, x in zip(hit.tolist(), every[hit].tolist())]
+                for s, x, values in found:
+                    for k, v in zip(out, (doc, text_hash, s, x, values)):
                         out[k].append(v)
         return out
 
@@ -155,14 +179,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = written(item_windows(benchmark, item_col, item_text_col), "items")
     found = document_windows(docs, id_col, text_col, items).join(items, "hash")
     found = found.filter(F.size("doc_slots") == F.size("item_slots"))
-    aligned = found.groupBy("doc_id", "text_hash", "item_id", "n_windows", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))))).alias("pairs")
-    )  # at most the windows of one item
+    item = ("doc_id", "text_hash", "item_id", "n_windows", "n_filled")
+    aligned = found.groupBy(*item, "literal", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
+        F.collect_set(F.struct("at", "filled")).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))))).alias("pairs")
+    )  # at most the windows of one item; literal rows have no pairs
     one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
     good = aligned.filter(one_to_one).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    covered = good.select("doc_id", "text_hash", "item_id", "n_windows", "same", F.explode("at").alias("at"))
-    covered = covered.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(F.count_distinct("at").alias("n"), F.bool_or("same").alias("same_slots"))
-    return covered.withColumn("cover", F.col("n") / F.col("n_windows")).filter(F.col("cover") >= least_cover).select("doc_id", "text_hash", "item_id", "cover", "same_slots")
+    covered = good.select(*item, "same", F.inline("at"))
+    covered = covered.groupBy(*item).agg(F.count_distinct("at").alias("n"), F.count_distinct(F.when(F.col("filled"), F.col("at"))).alias("filled"), F.bool_or("same").alias("same_slots"))
+    cover = F.greatest(F.col("n") / F.col("n_windows"), F.try_divide("filled", "n_filled"))
+    return covered.withColumn("cover", cover).filter(F.col("cover") >= least_cover).select("doc_id", "text_hash", "item_id", "cover", "same_slots")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:

@@ -119,6 +119,21 @@ def test_leaks_are_found_also_with_other_parameters(leak_tables):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["21", "4", "5", "6", "7", "8"]
 
 
+def test_copies_in_other_case_or_punctuation_are_leaks(spark, docs_of, words):
+    item = "Where did Anna go? Then Peter, her brother, followed. He saw Maria: She was at home. Did Otto come too? Nobody knows, said Eva."
+    bare = "".join(c for c in item if c not in ".,!?:;")
+    numbers = "2 3 5 7 11 13 17 19 23 29 31 37"
+    title = " ".join(w.capitalize() for w in item.split())
+    filler = lambda k: " ".join(words(30, 300 + k))
+    texts = [item, bare, item.upper(), item.lower(), title, numbers, filler(9), "1 2 3 4 5 6 7 8 9 10 11 12"]
+    docs = docs_of([(k, f"{filler(k)} {t} {filler(50 + k)}") for k, t in enumerate(texts)])
+    bench = spark.createDataFrame([(1, item), (2, numbers)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.op6_decontaminate(docs, bench).collect()}
+    assert {i: r.item_ids for i, r in got.items()} == {0: [1], 1: [1], 2: [1], 3: [1], 4: [1], 5: [2]}
+    assert all(r.same_slots and r.cover == 1 for r in got.values())
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [6, 7]
+
+
 def test_decontamination_of_empty_tables(leak_tables):
     docs, bench = leak_tables
     assert decontaminate.op6_decontaminate(docs.limit(0), bench).count() == 0
