@@ -81,19 +81,24 @@ def band_hashes(sorted_grams: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(least).reshape(BANDS, ROWS) * _BAND_MIX).sum(axis=1, dtype=np.uint64) + _BAND_SALT).view(np.int64)
 
 
+def text_hashes(text) -> list:
+    """128 bits of a text, as two columns."""
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(7), text).alias("text_b")]
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, set_key, node, n_grams, bands) of every row; ``node`` is the first half of the key."""
+    """(doc_id, set_key, node, n_grams, bands, text_a, text_b) of every row; ``node`` is the first half of the key."""
 
     def make(columns):
         sets = [grams(t) for t in columns[1]]
         keys = [set_key(s) for s in sets]
         return {
             "doc_id": columns[0], "set_key": keys, "node": [int.from_bytes(k[:8], "little", signed=True) for k in keys],
-            "n_grams": [len(s) for s in sets], "bands": [band_hashes(s) if len(s) else [] for s in sets],
+            "n_grams": [len(s) for s in sets], "bands": [band_hashes(s) if len(s) else [] for s in sets], "text_a": columns[2], "text_b": columns[3],
         }
 
-    rows = docs.select(F.col(id_col).cast("long"), text_or_empty(text_col))
-    return map_rows(rows, make, "doc_id long, set_key binary, node long, n_grams long, bands array<long>", max_rows=500)
+    rows = docs.select(F.col(id_col).cast("long"), text_or_empty(text_col), *text_hashes(text_or_empty(text_col)))
+    return map_rows(rows, make, "doc_id long, set_key binary, node long, n_grams long, bands array<long>, text_a long, text_b long", max_rows=500)
 
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
@@ -217,6 +222,11 @@ def candidate_grams(docs: DataFrame, id_col: str, text_col: str, found: DataFram
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links) of every row: the least id of its class, and the number
     of other documents at similarity 0.8 or more, copies included."""
+    return classified(docs, id_col, text_col).select("doc_id", "class_id", "n_links")
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, class_id, n_links, class_key, text_a, text_b): ``class_key`` tells apart classes whose ids don't."""
     rows = written(signed(docs, id_col, text_col), "signed")
     sets = rows.groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("size"), F.first("node").alias("node"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     sets = written(sets, "sets")
@@ -234,22 +244,29 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     of_cut = cut.groupBy("set_key", "node").agg(F.sum("links").alias("links")).join(trees, "node").select("set_key", F.col("component").alias("class_root"), "links")
     classes = sets.select("set_key", "least_id", "size").join(whole.unionByName(of_cut), "set_key")
     named = classes.groupBy("class_root").agg(F.min("least_id").alias("class_id"))
-    classes = written(classes.join(named, "class_root").select("set_key", "class_id", "links"), "classes")
-    every = sets.select("set_key", "least_id", "size").join(classes, "set_key", "left")
+    classes = written(classes.join(named, "class_root").select("set_key", "class_id", "class_root", "links"), "classes")
+    every = sets.select("set_key", "node", "least_id", "size").join(classes, "set_key", "left")
     n_links = F.col("size") - 1 + F.coalesce("links", F.lit(0))
-    every = written(every.select("set_key", F.when(F.col("links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), n_links.alias("n_links")), "every")
-    return rows.select("doc_id", "set_key").join(every, "set_key").select("doc_id", "class_id", "n_links")
+    every = written(every.select("set_key", F.when(F.col("links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), n_links.alias("n_links"), F.coalesce("class_root", "node").alias("class_key")), "every")
+    return rows.select("doc_id", "set_key", "text_a", "text_b").join(every, "set_key").select("doc_id", "class_id", "n_links", "class_key", "text_a", "text_b")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their class, one row for each class, with the same columns."""
-    found = joined(docs, id_col, text_col)
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept")
+    """One row of ``docs`` for each class, of the id that names it, with the same columns. Rows are told
+    apart by id and text: an id, or no id, may name several classes."""
+    naming = classified(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    copies = naming.groupBy("class_key", "doc_id", "text_a", "text_b").agg(F.count("*").alias("n_rows"))
+    kept = copies.groupBy("class_key").agg(F.min(F.struct("text_a", "text_b", "doc_id", "n_rows")).alias("k"))
+    kept = written(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_a").alias("kept_a"), F.col("k.text_b").alias("kept_b"), "k.n_rows"), "kept")
+    a, b = text_hashes(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    same = docs[id_col].cast("long").eqNullSafe(kept["kept_id"]) & (a == kept["kept_a"]) & (b == kept["kept_b"])
     # about as many ids as documents: a join by shuffle at every size, whatever Spark would broadcast of a small input
-    rows = docs.join(kept.hint("merge"), docs[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    rows = docs.join(kept.hint("merge"), same, "left_semi")
     if kept.filter("n_rows > 1").isEmpty():
         return rows
-    return rows.dropDuplicates([id_col])  # ids that stand on several rows
+    text = text_or_empty(text_col)
+    marked = rows.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(7), text)})
+    return marked.dropDuplicates([id_col, "__a", "__b"]).drop("__a", "__b")  # equal rows of one id
 
 
 def op1_ngram_join(docs: DataFrame) -> DataFrame:

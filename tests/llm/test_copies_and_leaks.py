@@ -65,6 +65,13 @@ def test_one_document_of_each_class_stays(docs_of, near_rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({int(c) for _, c, _ in plain_join(near_rows)})
 
 
+def test_classes_of_one_id_or_none_each_keep_a_row(docs_of, words):
+    a, b, c, d = (" ".join(words(40, 500 + k)) for k in range(4))
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, d), (None, d), (0, b), (5, None), (5, "")]
+    kept = [(r.doc_id, r.text or "") for r in ngram_join.representatives(docs_of(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (0, b), (None, c), (None, d), (5, "")], key=str)
+
+
 def test_join_of_an_empty_table(docs_of):
     assert ngram_join.op1_ngram_join(docs_of([])).count() == 0
     assert ngram_join.representatives(docs_of([])).count() == 0
