@@ -60,26 +60,41 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I).findall
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I).search
 WORDS = re.compile(r"[a-z]+").findall
+# Elements that hold text of their own, whose ids are anchors and whose classes are styles.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th caption figure figcaption".split())
+READERS = frozenset("comment comments disqus respond reply replies".split())
+BY_WORDS, FOR_GOOD = 1, 2  # an article or main element lifts the first
 
 
-def is_excluded(name: str, attributes: str, within_main: bool) -> bool:
+def exclusion(name: str, attributes: str, within_main: bool) -> int:
+    """0, ``BY_WORDS`` of class or id, or ``FOR_GOOD``. A class or id counts if all its words name parts,
+    so no-sidebar and related-work don't; anchors of texts, and of sections within main, never do."""
     if name in NEVER_EXCLUDED:
-        return False
+        return 0
     if name in EXCLUDED or name == "header" and not within_main:
-        return True
+        return FOR_GOOD
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return 0
     if HIDDEN(attributes):
-        return True
-    words = {w for _, a, b, c in ATTRIBUTE(attributes) for w in WORDS((a or b or c).lower())}
-    return bool(words & PARTS) or "header" in words and not within_main
+        return FOR_GOOD
+    found = 0
+    for kind, a, b, c in ATTRIBUTE(attributes):
+        for token in (a or b or c).lower().split():
+            words = set(WORDS(token))
+            if not words or not words <= (PARTS if within_main else PARTS | {"header"}):
+                continue
+            if kind.lower() == "role" or words & READERS and name not in TEXTS:
+                return FOR_GOOD
+            if name not in TEXTS and not (kind.lower() == "id" and name == "section" and within_main):
+                found = BY_WORDS
+    return found
 
 
 def blocks(page: str) -> tuple[list[str], bool]:
     """The text blocks that markup leaves, and whether they come from an article or main element."""
     inside, outside, text = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # name, excluded, within main
-    excluded = main = False
+    stack: list[tuple[str, int, bool]] = []  # name, excluded, within main
+    excluded, main = 0, False
 
     def flush() -> None:
         block = " ".join("".join(text).split())
@@ -105,7 +120,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
             if any(s[0] == name for s in stack):
                 while stack.pop()[0] != name:
                     pass
-                _, excluded, main = stack[-1] if stack else ("", False, False)
+                _, excluded, main = stack[-1] if stack else ("", 0, False)
             continue
         if name in BLOCKS:
             flush()
@@ -117,16 +132,18 @@ def blocks(page: str) -> tuple[list[str], bool]:
             continue
         if name == "body":
             stack.clear()
-            excluded = main = False
+            excluded, main = 0, False
         if name in ENDS_PARAGRAPH and any(s[0] == "p" for s in stack):
             while stack.pop()[0] != "p":
                 pass
-            _, excluded, main = stack[-1] if stack else ("", False, False)
+            _, excluded, main = stack[-1] if stack else ("", 0, False)
         if name in ENDS_SAME and stack and stack[-1][0] in ENDS_SAME[name]:
             while stack and stack[-1][0] in ENDS_SAME[name]:
                 stack.pop()
-            _, excluded, main = stack[-1] if stack else ("", False, False)
-        excluded = excluded or is_excluded(name, attributes or "", main)
+            _, excluded, main = stack[-1] if stack else ("", 0, False)
+        if name in MAIN and excluded == BY_WORDS and not main:
+            excluded = 0
+        excluded = excluded or exclusion(name, attributes or "", main)
         main = main or (name in MAIN and not excluded)
         stack.append((name, excluded, main))
     flush()

@@ -38,6 +38,22 @@ def test_blocks(page, want):
     assert " ".join(html_text.blocks(page)[0]) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='no-sidebar'><article>a</article></div>", "a"),
+        ("<div class='content-sidebar-wrap has-menu'><main>a</main></div>", "a"),
+        ("<div class='widget'><article>a</article>w</div>", "a"),
+        ("<article><h2 id='search'>a</h2><h3 id='related-work'>b</h3><p class='alert'>c</p><section id='notice'>d</section></article>", "a b c d"),
+        ("<article>a<div class='related'>x</div><div id='comments'><article>y</article></div></article>", "a"),
+        ("<main>a</main><div id='comments'><article>y</article></div>", "a"),
+        ("<nav><article>x</article></nav><div hidden><main>y</main></div>z", "z"),
+    ],
+)
+def test_parts_are_named_by_whole_classes(page, want):
+    assert " ".join(html_text.blocks(page)[0]) == want
+
+
 def test_long_broken_markup_ends():
     assert html_text.blocks("<a '" * 2000 + "x" * 1000)[1] is False
 
