@@ -3,8 +3,11 @@
 Each document is measured over its whole text and fails the base rules or not.
 Failures are summed by host (a partial aggregate, so a hot host costs one row for
 each task), a beta prior is fitted to the hosts' rates by moments, each rate is
-shrunk towards the prior's mean, and hosts whose shrunken rate exceeds
-``max_host_rate`` are rejected with all their documents.
+shrunk towards the prior's mean, and hosts whose shrunken rate exceeds the limit are
+rejected with all their documents. The limit comes from the fitted prior: its mean
+and ``DEVIATIONS`` standard deviations, twice the mean at least, and always within
+``LIMITS`` (so that no host falls for a rate that is small, and none stays of whose
+documents half fail). It is compared at ``DIGITS`` digits, as are the rates.
 
 Defined results: a null text has no words; a null host is a host of its own;
 empty tables give empty tables; with one host, or hosts of equal rates, the prior
@@ -27,7 +30,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 SYMBOLS = re.compile(r"[#*$%&|<>]").findall
 SPACES = re.compile("[\x20\x09-\x0d]").findall
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MAX_HOST_RATE = 0.5
+DEVIATIONS, LIMITS, DIGITS = 2.0, (0.2, 0.5), 9
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 
 
@@ -66,29 +69,33 @@ def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def host_rates(base: DataFrame) -> DataFrame:
-    """(host, n_docs, n_failed, host_rate): rates shrunk towards the prior. ``base`` has host and base_failed."""
+def host_rates(base: DataFrame, deviations: float = DEVIATIONS, limits: tuple[float, float] = LIMITS) -> DataFrame:
+    """(host, n_docs, n_failed, host_rate, host_limit): rates shrunk towards the prior, and the limit that it
+    sets. ``base`` has host and base_failed."""
     hosts = written(base.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
     mean, spread = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # one row
     mean = mean or 0.0
     strength = mean * (1 - mean) / spread - 1 if spread else MOST_STRENGTH
     strength = min(max(strength, LEAST_STRENGTH), MOST_STRENGTH)
-    return hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength)))
+    deviation = (mean * (1 - mean) / (strength + 1)) ** 0.5
+    limit = min(max(2 * mean, mean + deviations * deviation, limits[0]), limits[1])
+    shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
+    return hosts.withColumns({"host_rate": F.round(shrunk, DIGITS), "host_limit": F.round(F.lit(limit), DIGITS)})
 
 
 def _with_rates(base: DataFrame, rates: DataFrame) -> DataFrame:
     """One row of ``rates`` for each host; Spark broadcasts it below its size limit and else splits hot hosts."""
-    return base.join(rates.select(F.col("host").alias("rated_host"), "host_rate"), F.col("host").eqNullSafe(F.col("rated_host")), "left").drop("rated_host")
+    return base.join(rates.select(F.col("host").alias("rated_host"), "host_rate", "host_limit"), F.col("host").eqNullSafe(F.col("rated_host")), "left").drop("rated_host")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(doc_id, host, measures, base_failed, host_rate, kept) of every row."""
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limit) -> DataFrame:
+    """(doc_id, host, measures, base_failed, host_rate, host_limit, kept) of every row; ``limit`` goes to ``host_rates``."""
     base = written(measured(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed()), "measures")
-    return _with_rates(base, host_rates(base)).withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
+    return _with_rates(base, host_rates(base, **limit)).withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= F.col("host_limit")))
 
 
-def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limit) -> DataFrame:
     """The rows of ``docs`` that are kept, with the same columns. Texts are measured
     twice, once for the hosts and once for the rows, so that no text is shuffled."""
 
@@ -96,7 +103,7 @@ def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", m
         return {"host": columns[0], "base_failed": [w < MIN_WORDS or 100 * r > MAX_REPEAT_PERCENT * w for w, _, _, _, r in map(measure, columns[1])]}
 
     base = map_rows(docs.select(F.col(host_col).cast("string"), text_or_empty(text_col)), fails, "host string, base_failed boolean")
-    good = written(host_rates(base).filter(F.col("host_rate") <= max_host_rate).select(F.col("host").alias("good_host")), "good-hosts")
+    good = written(host_rates(base, **limit).filter("host_rate <= host_limit").select(F.col("host").alias("good_host")), "good-hosts")
     from_good = docs.join(good, docs[host_col].cast("string").eqNullSafe(good["good_host"]), "left_semi")
     return _rows_passing_base(from_good, text_col)
 
@@ -117,7 +124,7 @@ def _rows_passing_base(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def op10_quality_rules(docs: DataFrame) -> DataFrame:
-    return verdicts(docs).select("doc_id", *MEASURES, "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
+    return verdicts(docs).select("doc_id", *MEASURES, "base_failed", "kept", "host_rate", "host_limit")
 
 
 ORACLE_SQL = r"""
@@ -150,9 +157,11 @@ WITH t AS (
          least(greatest(coalesce(avg(f / n) * (1 - avg(f / n)) / nullif(var_pop(f / n), 0) - 1, 1000), 2), 1000) AS s
   FROM hosts
 ), rates AS (
-  SELECT source, (f + m * s) / (n + s) AS host_rate FROM hosts, prior
+  SELECT source, round((f + m * s) / (n + s), 9) AS host_rate,
+         round(least(greatest(2 * m, m + 2 * sqrt(m * (1 - m) / (s + 1)), 0.2), 0.5), 9) AS host_limit
+  FROM hosts, prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND round(host_rate, 9) <= 0.5 AS kept, round(host_rate, 9) AS host_rate
+       NOT base_failed AND host_rate <= host_limit AS kept, host_rate, host_limit
 FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source
 """

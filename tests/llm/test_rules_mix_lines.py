@@ -45,6 +45,22 @@ def test_hosts_are_shrunk_and_rejected(docs_of, words):
     assert kept.columns == docs_of(rows).columns
 
 
+def test_the_limit_comes_from_the_prior(docs_of, words):
+    """Of alike hosts one falls that fails three times as often, though less than half of it fails; SQL agrees."""
+    import duckdb
+
+    fails = lambda h, k: k % 10 < (4 if h == "odd" else 1)
+    rows = [(100 * n + k, "short text" if fails(h, k) else good_text(words, 100 * n + k), h) for n, h in enumerate(["odd"] + [f"even{i}" for i in range(12)]) for k in range(50)]
+    docs = docs_of(rows)
+    got = quality_rules.op10_quality_rules(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got.host_limit.nunique() == 1 and 0.2 <= got.host_limit[0] < got.host_rate[0] < 0.5
+    assert (got.kept == (~got.base_failed & (got.doc_id >= 100))).all() and (~got.base_failed & ~got.kept).sum() == 30
+    with duckdb.connect() as db:
+        db.register("documents", docs.select("doc_id", "text", "source").toPandas())
+        want = db.execute(quality_rules.ORACLE_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    assert got.astype(str).equals(want[list(got.columns)].astype(str))
+
+
 def test_quality_rules_of_an_empty_table(docs_of):
     assert quality_rules.op10_quality_rules(docs_of([])).count() == 0
     assert quality_rules.passing(docs_of([])).count() == 0
