@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI without a final slash.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, local mode) a temporary folder is made and kept for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    session is local (tests) a temporary folder is made and kept for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='chainloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return (root if "://" in root else f"file://{root}").rstrip("/")
@@ -72,6 +74,12 @@ def bit_map(hashes: DataFrame, n_bits: int) -> np.ndarray:
     return words
 
 
+def sized_bit_map(hashes: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
+    """A bit map of 16 bits or more for each row of ``hashes``, within 2**18 and ``most_bits``."""
+    wanted = 16 * hashes.count()
+    return bit_map(hashes, min(max(1 << 18, 1 << max(wanted - 1, 1).bit_length()), most_bits))
+
+
 def in_bit_map(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the int64 hashes have their bit set."""
     bit = hashes % (32 * len(words))

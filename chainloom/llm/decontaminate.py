@@ -4,16 +4,24 @@ Words lose case and outer signs; numbers, units after numbers and names (capital
 words inside a sentence) become typed placeholders, whose values are kept as slots.
 Windows of ``WINDOW`` canonical words (or of all words of a shorter item, ``LEAST_ITEM``
 at least) with at least ``LEAST_LITERAL`` literal words are hashed on both sides and
-hash-joined. Every window is hashed a second time on its words alone (lower case, without
+hash-joined. An item without such a window takes the shortest longer ones that have
+enough literal words, up to ``LONGEST_WINDOW``. Every window is hashed a second time on its words alone (lower case, without
 signs, no placeholders), so a copy in other case or with other punctuation, where other
-words look like names, and a window with few literals still match word for word. Along one alignment of a document with an item, the slot values must map
-one to one; then the question has been copied or given other parameters, otherwise
-its template only looks alike. A document is contaminated by an item if consistent
-alignments or literal matches cover at least ``LEAST_COVER`` of all the item's windows, or
-of those with enough literal words.
-
-Documents are read once: a bit map of fixed size (``MAP_BITS``, whatever the size of the
-benchmark) of the benchmark's window hashes goes to the tasks, and only windows that it
+words look like names, and a window with few literals still match word for word. Along one
+alignment of a document with an item, each slot value of the item must stand for one
+value of the document (two values may get the same new one); then the question has been
+copied or given other parameters, otherwise its template only looks alike. A document
+is contaminated by an item if consistent alignments or literal matches cover at least
+``LEAST_COVER`` of all the item's windows, or of those with enough literal words, or if
+one alignment holds ``LEAST_RUN`` or more words of the item word for word.
+
+What isn't found, by intent: copies of less than half an item that are shorter than
+``LEAST_RUN`` words, items of fewer than ``LEAST_ITEM`` words (``short_items`` counts
+them), items reworded so that no window of ``WINDOW`` words is left, and other
+parameters of items without ``LEAST_LITERAL`` literal words in ``LONGEST_WINDOW`` words.
+
+Documents are read once: a bit map (``sized_bit_map``: 16 bits for a window, 8 MB at most)
+of the benchmark's window hashes goes to the tasks, and only windows that it
 knows leave them, so the shuffle holds a small share of the windows. The join after it
 is exact; a window of a hot passage is split by Spark's skew join.
 
@@ -33,10 +41,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import bit_map, in_bit_map, map_rows, text_or_empty, written
+from chainloom.llm.common import in_bit_map, map_rows, sized_bit_map, text_or_empty, written
 
-WINDOW, LEAST_ITEM, LEAST_LITERAL, LEAST_COVER = 8, 5, 4, 0.5
-MAP_BITS = 1 << 24
+WINDOW, LEAST_ITEM, LEAST_LITERAL, LEAST_COVER, LEAST_RUN = 8, 5, 4, 0.5, 13
+LONGEST_WINDOW = 24  # of the templates of items that are dense with placeholders
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡«»¿–—‘’‚“”„…"
 _NO_SIGNS = str.maketrans("", "", SIGNS)
 # Common units and their short forms.
@@ -50,7 +58,7 @@ NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:%|st|nd|rd|th)?").fullmatch
 LITERAL_MASK = np.uint64(~np.uint64(15))
 CAPITAL, IS_NUMBER, ENDS, UNIT = (np.uint64(1 << k) for k in range(4))
 _rng = np.random.default_rng(77)
-_MIX = _rng.integers(1, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _rng.integers(1, 1 << 63, LONGEST_WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x) & ~15) for x in (b"<number>", b"<name>", b"<unit>"))
 
 
@@ -135,12 +143,13 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             size = min(WINDOW, len(h))
             if size < LEAST_ITEM:
                 continue
-            starts, hashes = window_hashes(h, slots, size)
+            longer = next((n for n in range(size, min(len(h), LONGEST_WINDOW) + 1) if len(window_hashes(h, slots, n)[0])), size)
+            starts, hashes = window_hashes(h, slots, longer)
             every, filled = literal_hashes(bare, size).view(np.int64).tolist(), set(starts.tolist())
-            found = [(s, False, True, x, slot_values(words, slots, s, size)) for s, x in zip(starts.tolist(), hashes.view(np.int64).tolist())]
-            found += [(s, True, s in filled, x, []) for s, x in enumerate(every)]
-            for s, literal, full, x, values in found:
-                for k, v in zip(out, (item, size, s, len(every), len(starts), literal, full, x, values)):
+            found = [(longer, s, False, True, x, slot_values(words, slots, s, longer)) for s, x in zip(starts.tolist(), hashes.view(np.int64).tolist())]
+            found += [(size, s, True, s in filled, x, []) for s, x in enumerate(every)]
+            for n, s, literal, full, x, values in found:
+                for k, v in zip(out, (item, n, s, len(every), len(starts), literal, full, x, values)):
                     out[k].append(v)
         return out
 
@@ -151,8 +160,8 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def document_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, doc_at, hash, doc_slots) of the windows that the bit map knows."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(bit_map(windows.select("hash"), MAP_BITS))  # MAP_BITS / 8 bytes
-    sizes = [r.size for r in windows.select("size").distinct().collect()]  # LEAST_ITEM to WINDOW
+    known = spark.sparkContext.broadcast(sized_bit_map(windows.select("hash")))
+    sizes = [r.size for r in windows.select("size").distinct().collect()]  # within LEAST_ITEM and LONGEST_WINDOW
 
     def make(columns):
         out = {k: [] for k in ("doc_id", "text_hash", "doc_at", "hash", "doc_slots")}
@@ -174,7 +183,7 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataF
     return map_rows(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text), make, "doc_id long, text_hash long, doc_at int, hash long, doc_slots array<string>")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cover: float = LEAST_COVER) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cover: float = LEAST_COVER, least_run: int = LEAST_RUN) -> DataFrame:
     """(doc_id, text_hash, item_id, cover, same_slots): the items that contaminate each document."""
     items = written(item_windows(benchmark, item_col, item_text_col), "items")
     found = document_windows(docs, id_col, text_col, items).join(items, "hash")
@@ -183,12 +192,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     aligned = found.groupBy(*item, "literal", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
         F.collect_set(F.struct("at", "filled")).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))))).alias("pairs")
     )  # at most the windows of one item; literal rows have no pairs
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
-    good = aligned.filter(one_to_one).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    covered = good.select(*item, "same", F.inline("at"))
-    covered = covered.groupBy(*item).agg(F.count_distinct("at").alias("n"), F.count_distinct(F.when(F.col("filled"), F.col("at"))).alias("filled"), F.bool_or("same").alias("same_slots"))
+    one_value = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
+    good = aligned.filter(one_value).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
+    run = F.when(F.col("literal"), F.size("at"))  # so many windows of one alignment, word for word
+    covered = good.select(*item, "same", run.alias("run"), F.inline("at"))
+    covered = covered.groupBy(*item).agg(
+        F.count_distinct("at").alias("n"), F.count_distinct(F.when(F.col("filled"), F.col("at"))).alias("filled"), F.bool_or("same").alias("same_slots"), F.max("run").alias("run")
+    )
     cover = F.greatest(F.col("n") / F.col("n_windows"), F.try_divide("filled", "n_filled"))
-    return covered.withColumn("cover", cover).filter(F.col("cover") >= least_cover).select("doc_id", "text_hash", "item_id", "cover", "same_slots")
+    enough = (F.col("cover") >= least_cover) | (F.col("run") >= least_run - WINDOW + 1)
+    return covered.withColumn("cover", cover).filter(enough).select("doc_id", "text_hash", "item_id", "cover", "same_slots")
+
+
+def short_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id) of the items that are too short to match anything."""
+
+    def make(columns):
+        return {"item_id": [i for i, t in zip(*columns) if len(canonical(t)[0]) < LEAST_ITEM]}
+
+    return map_rows(benchmark.select(F.col(id_col).cast("long"), text_or_empty(text_col)), make, "item_id long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:

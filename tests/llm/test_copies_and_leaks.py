@@ -1,6 +1,7 @@
 """N-gram join, decontamination and the classifier."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -141,6 +142,89 @@ def test_copies_in_other_case_or_punctuation_are_leaks(spark, docs_of, words):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [6, 7]
 
 
+def plain_matches(docs, items):
+    """All windows of all items against all windows of all documents, by lists of words."""
+    found = {}
+
+    def shape(text):
+        h, slots, words, bare = decontaminate.canonical(text or "")
+        bare_words = [w.strip(decontaminate.SIGNS).lower().translate(decontaminate._NO_SIGNS) for w in words]
+        template = [f"<{int(x)}>" if s else w for x, s, w in zip(h, slots, bare_words)]
+        return template, bare_words, [w.strip(decontaminate.SIGNS).lower() for w in words], slots.tolist()
+
+    shapes = {i: shape(t) for i, t in docs}
+    for item, text in items:
+        template, bare, values, slots = shape(text)
+        size = min(8, len(bare))
+        if size < 5:
+            continue
+        windows = range(len(bare) - size + 1)
+        full = lambda n: {w for w in range(len(bare) - n + 1) if n - sum(slots[w : w + n]) >= 4}
+        longer = next((n for n in range(size, min(len(bare), 24) + 1) if full(n)), size)
+        filled = full(longer)
+        for doc, (d_template, d_bare, d_values, d_slots) in shapes.items():
+            good, run, same = set(), 0, False
+            for shift in range(-len(bare), len(d_bare)):
+                inside = [w for w in windows if 0 <= w + shift <= len(d_bare) - size]
+                literal = [w for w in inside if bare[w : w + size] == d_bare[w + shift : w + shift + size]]
+                alike = [w for w in filled if 0 <= w + shift <= len(d_bare) - longer and template[w : w + longer] == d_template[w + shift : w + shift + longer]]
+                pairs = {(values[k], d_values[k + shift]) for w in alike for k in range(w, w + longer) if slots[k]}
+                if len({a for a, _ in pairs}) < len(pairs):
+                    alike = []
+                good |= set(literal) | set(alike)
+                run, same = max(run, len(literal)), same or bool(literal) or bool(alike) and all(a == b for a, b in pairs)
+            cover = max(len(good) / len(windows), len(good & filled) / len(filled) if filled else 0)
+            if good and (cover >= 0.5 or run >= 6):
+                found.setdefault(doc, {})[item] = (round(cover, 6), same)
+    return found
+
+
+QUESTIONS = [
+    "Compute 12 km plus 7 km minus 3 kg over 5 m and 9 s.",
+    "A train leaves Berlin at 9 and reaches Hamburg after 3 hours with 210 passengers on board, how fast was it on average?",
+    "Mary has 3 apples and John has 5 pears, how many pieces of fruit do Mary and John have together?",
+    "What is 5 % of 80 euros if 5 % of 40 euros is 2 euros?",
+    "the quick brown fox jumps over the lazy dog while seven small birds sing in the green garden behind our house",
+    "Sum 1 2 3 4 5 6 7 8 9.",
+]
+
+
+def changed(question, r):
+    """Other numbers and names, each value the same way throughout."""
+    given = {}
+    def other(m):  # noqa: E306
+        return given.setdefault(m[0], str(r.randint(1, 99)) if m[0][0].isdigit() else r.choice(["Otto", "Eva", "Paris", "Rome"]))
+
+    return re.sub(r"(?<=\S )(?:\d+|[A-Z][a-z]+)", other, question)
+
+
+def test_decontamination_equals_brute_force(spark, docs_of, words):
+    r, rows = random.Random(4), []
+    filler = lambda n: " ".join(words(n, r.randrange(10**6)))
+    for q in QUESTIONS:
+        w = q.split()
+        half = [" ".join(w[a : a + n]) for n in (8, 10, 13, len(w) // 2 + 5) for a in (0, 3)]
+        mixed = re.sub(r"\d+", lambda m: str(r.randint(1, 99)), q)  # a value may become several
+        for t in [q, q.upper(), changed(q, r), changed(q, r), mixed, q.replace("12", "5").replace("7", "5"), q.replace(".", "").replace(",", ""), *half]:
+            rows.append((len(rows), f"{filler(12)} {t} {filler(9)}"))
+    rows += [(900 + k, filler(60)) for k in range(10)]
+    items = list(enumerate(QUESTIONS))
+    want = plain_matches(rows, items)
+    got = decontaminate.matches(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {}
+    for m in got:
+        found.setdefault(m.doc_id, {})[m.item_id] = (round(m.cover, 6), m.same_slots)
+    assert found == want
+    assert len(want) > 40 and not set(want) & set(range(900, 910))
+    first = 15  # documents of a question; each question is found verbatim, in capitals, changed, and with equal new values
+    assert all(q * first + k in want for q in range(len(QUESTIONS)) for k in ((0, 1, 2, 3, 5, 6) if q < 5 else (0, 1, 6)))
+
+
+def test_short_items_are_counted(spark):
+    bench = spark.createDataFrame([(1, "too short"), (2, None), (3, "a b c d e"), (4, "one two three four .")], "item_id long, text string")
+    assert sorted(x.item_id for x in decontaminate.short_items(bench).collect()) == [1, 2, 4]
+
+
 def test_decontamination_of_empty_tables(leak_tables):
     docs, bench = leak_tables
     assert decontaminate.op6_decontaminate(docs.limit(0), bench).count() == 0
