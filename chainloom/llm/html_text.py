@@ -1,23 +1,29 @@
 """HTML extraction: the main text of pages, by markup and by host-wide repeated runs.
 
-Markup settles most text: what stands in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments goes, and on pages with an
-``article`` or ``main`` element what stands in it stays.
+Markup cuts a page into blocks, each of them *named* (it stands in a menu, header,
+footer, sidebar, notice, advert, form or reader comments), *main* (in an ``article`` or
+``main`` element) or *other*. The blocks of a page, one after another, are its token stream.
 
-For pages without such an element the repeated runs of their host decide. In the
-suffix array of all token streams of a host, a substring of ``RUN`` or more tokens is
-repeated across pages exactly where suffixes of different pages share their first
-``RUN`` tokens; so the array is sorted to that depth alone, by a shuffle on (host,
-hash of ``RUN`` tokens) which splits a hot host by its suffixes and sums up before it
-shuffles. Runs found on ``LEAST_PAGES`` pages of different content are removed, the
-tokens outside them stay in order.
+Suffixes of all streams of a host are compared across pages: what two suffixes have in
+common at their beginning is a repeated run. Sorting them to the end would bring a hot
+host, or a hot run, together in one task. Only equality of beginnings matters, so
+suffixes are grouped by a hash of their first ``GRAM`` tokens instead, with counts of
+pages that are summed up before the shuffle. Nor is every suffix needed: of each
+``SPACING`` suffixes in a row the one of least hash is an anchor, which makes anchors the
+same wherever the text is, and each repeated run of ``RUN`` tokens holds one. Whole
+blocks are counted in the same way, for the edges of runs.
 
-Repeated runs aren't removed from ``article`` and ``main`` elements, since copies of
-an article on several pages would take each other's text away.
+A run is boilerplate if it stands on a share of the host's pages, and on pages of
+different content (told apart by six bits of a hash): the ``Rule`` is strict for main
+blocks and loose for other ones. A block goes if runs cover half of it, or if it is
+repeated as a whole next to a run. Copies of an article on many pages are repeated too;
+they cover most of the page, so main blocks stay if more than half of their words
+would go, and other blocks if all would. Named blocks always go, and other blocks go
+where main ones are (unless these are a teaser, ``TEASER`` of the words at most).
 
 Defined results: null pages are empty; empty or unparsable markup gives the text that
 is left (possibly none); unclosed elements end with their parents; pages of equal
-content count once among the pages of a run; a null URL is a host of its own;
+content count once among the pages of a run; pages without a URL are one host;
 repeated rows are extracted each; an empty table gives an empty table; other columns
 are ignored.
 """
@@ -26,18 +32,38 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import map_rows, text_or_empty, written
+from chainloom.llm.common import _arrow_schema, text_or_empty, written
 
-RUN, LEAST_PAGES = 12, 3
+GRAM, SPACING = 6, 11
+RUN = GRAM + SPACING - 1
+TEASER = 0.2
+HOST_BITS = 20
+MOST_KEYS = 1 << 21
+PAGES_AT_ONCE = 100
+
+
+class Rule(NamedTuple):
+    pages: int
+    share: float
+
+
+MAIN_RULE, OTHER_RULE = Rule(5, 0.5), Rule(2, 0.05)
+NAMED_BLOCK, OTHER_BLOCK, MAIN_BLOCK = range(3)
 
 # Element names of the HTML standard by their role.
-RAW = frozenset("script style noscript template iframe textarea title svg math object noembed noframes xmp".split())
+RAW = frozenset("script style template iframe textarea title noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-EXCLUDED = frozenset("head nav footer aside form menu button select dialog datalist".split())
+EXCLUDED = frozenset("head nav footer aside form menu button select dialog datalist annotation annotation-xml desc metadata".split())
+EXCLUDED_OUTSIDE = frozenset("header noscript".split())  # of an article they are its own
 MAIN = frozenset("article main".split())
 NEVER_EXCLUDED = frozenset("html body article main".split())
 BLOCKS = frozenset(
@@ -69,10 +95,10 @@ BY_WORDS, FOR_GOOD = 1, 2  # an article or main element lifts the first
 def exclusion(name: str, attributes: str, within_main: bool) -> int:
     """0, ``BY_WORDS`` of class or id, or ``FOR_GOOD``. A class or id counts if all its words name parts,
     so no-sidebar and related-work don't; anchors of texts, and of sections within main, never do."""
-    if name in NEVER_EXCLUDED:
-        return 0
-    if name in EXCLUDED or name == "header" and not within_main:
+    if name in EXCLUDED or name in EXCLUDED_OUTSIDE and not within_main:
         return FOR_GOOD
+    if name in NEVER_EXCLUDED and (name != "article" or not attributes):
+        return 0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return 0
     if HIDDEN(attributes):
@@ -81,6 +107,10 @@ def exclusion(name: str, attributes: str, within_main: bool) -> int:
     for kind, a, b, c in ATTRIBUTE(attributes):
         for token in (a or b or c).lower().split():
             words = set(WORDS(token))
+            if name == "article":
+                if kind.lower() == "class" and words and words <= PARTS and words & READERS:
+                    return FOR_GOOD
+                continue
             if not words or not words <= (PARTS if within_main else PARTS | {"header"}):
                 continue
             if kind.lower() == "role" or words & READERS and name not in TEXTS:
@@ -90,23 +120,23 @@ def exclusion(name: str, attributes: str, within_main: bool) -> int:
     return found
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """The text blocks that markup leaves, and whether they come from an article or main element."""
-    inside, outside, text = [], [], []
+def blocks(page: str) -> list[tuple[str, int]]:
+    """The text blocks of a page in order, and what each of them is."""
+    found, text, named = [], [], []
     stack: list[tuple[str, int, bool]] = []  # name, excluded, within main
     excluded, main = 0, False
 
     def flush() -> None:
-        block = " ".join("".join(text).split())
-        if block:
-            (inside if main else outside).append(block)
-        text.clear()
+        for pieces, kind in ((named, NAMED_BLOCK), (text, MAIN_BLOCK if main else OTHER_BLOCK)):
+            if block := " ".join("".join(pieces).split()):
+                found.append((block, kind))
+            pieces.clear()
 
     at, find = 0, MARKUP.search
     while True:
         m = find(page, at)
-        if not excluded and (between := page[at : m.start() if m else len(page)]):
-            text.append(html.unescape(between))
+        if between := page[at : m.start() if m else len(page)]:
+            (named if excluded else text).append(html.unescape(between))
         if not m:
             break
         at = m.end()
@@ -147,43 +177,159 @@ def blocks(page: str) -> tuple[list[str], bool]:
         main = main or (name in MAIN and not excluded)
         stack.append((name, excluded, main))
     flush()
-    return (inside, True) if inside else (outside, False)
+    words = [0, 0, 0]
+    for block, kind in found:
+        words[kind] += block.count(" ") + 1
+    if words[MAIN_BLOCK] <= TEASER * words[OTHER_BLOCK]:
+        found = [(block, min(kind, OTHER_BLOCK)) for block, kind in found]
+    return found
+
+
+_rng = np.random.default_rng(31)
+_MIX = _rng.integers(1, 1 << 63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TOP = np.uint64(np.iinfo(np.uint64).max)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+class Tokens(dict):
+    MEMORY = 200_000
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > self.MEMORY:
+            self.clear()
+        found = self[token] = xxhash.xxh64_intdigest(token)
+        return found
+
+
+_tokens = Tokens()
 
 
-def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least_pages: int = LEAST_PAGES) -> DataFrame:
+class Stream:
+    """Blocks of a page with their keys: of anchors by place, of blocks, and of the host."""
+
+    def __init__(self, host: int, page: str):
+        self.blocks = blocks(page)
+        tokens = [b.split(" ") for b, _ in self.blocks]
+        self.ends = np.cumsum([0, *map(len, tokens)])
+        h = np.fromiter((_tokens[t] for b in tokens for t in b), np.uint64, self.ends[-1])
+        n = len(h) - GRAM + 1
+        self.places = np.zeros(0, np.int64)
+        if n > 0:
+            grams = np.zeros(n, np.uint64)
+            for k in range(GRAM):
+                grams += h[k : k + n] * _MIX[k]
+            grams = _mixed(grams)
+            padded = np.r_[grams, np.full(SPACING - 1, _TOP)]
+            self.places = np.unique(np.lib.stride_tricks.sliding_window_view(padded, SPACING).argmin(axis=1) + np.arange(n))
+            anchors = grams[self.places]
+        else:
+            anchors = np.zeros(0, np.uint64)
+        whole = np.fromiter((xxhash.xxh64_intdigest(b, 1) for b, _ in self.blocks), np.uint64, len(self.blocks))
+        content = xxhash.xxh64_intdigest(h.tobytes())
+        self.bit = np.int64(1 << (content & 63)) if content & 63 < 63 else np.iinfo(np.int64).min
+        keys = np.r_[_mixed(np.r_[anchors, whole] ^ np.uint64(host & (1 << 64) - 1)) >> np.uint64(HOST_BITS), np.uint64(0)]
+        self.keys = (keys | np.uint64(host & (1 << HOST_BITS) - 1) << np.uint64(64 - HOST_BITS)).view(np.int64)
+
+    def text(self, weak: np.ndarray, strong: np.ndarray) -> str:
+        """``weak``, ``strong``: which of the keys are boilerplate among other and among main blocks."""
+        kinds = np.array([k for _, k in self.blocks], np.int64)
+        kind = MAIN_BLOCK if MAIN_BLOCK in kinds else OTHER_BLOCK
+        frequent, n = (strong if kind == MAIN_BLOCK else weak), len(self.places)
+        kept = kinds == kind
+        if frequent[:n].any():
+            covered = self._covered(self.places[frequent[:n]])
+            sizes, sums = np.diff(self.ends), np.r_[0, np.cumsum(covered)]
+            share = (sums[self.ends[1:]] - sums[self.ends[:-1]]) / sizes
+            edged = np.r_[False, covered, False]
+            beside = edged[self.ends[:-1]] | edged[self.ends[1:] + 1] | (share > 0)
+            gone = kept & ((share >= 0.5) | frequent[n : n + len(kinds)] & beside)
+            most = sizes[kept].sum() / 2 if kind == MAIN_BLOCK else sizes[kept].sum() - 1
+            if sizes[gone].sum() <= most:
+                kept &= ~gone
+        return " ".join(b for (b, _), k in zip(self.blocks, kept) if k)
+
+    def _covered(self, places: np.ndarray) -> np.ndarray:
+        """Tokens within a boilerplate anchor, or between two of them that are neighbours."""
+        change = np.zeros(self.ends[-1] + 1, np.int64)
+        far = np.r_[True, np.diff(places) > SPACING]
+        np.add.at(change, places[far], 1)
+        np.add.at(change, places[np.r_[far[1:], True]] + GRAM, -1)
+        return np.cumsum(change[:-1]) > 0
+
+
+def _streams(batches: Iterator[pa.RecordBatch], host: int, page: int) -> Iterator[tuple[pa.RecordBatch, list[Stream]]]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAGES_AT_ONCE):
+            batch = whole.slice(at, PAGES_AT_ONCE)
+            yield batch, [Stream(h, p) for h, p in zip(batch.column(host).to_pylist(), batch.column(page).to_pylist())]
+
+
+def counted_keys(pages: DataFrame, with_page: bool = False) -> DataFrame:
+    """(key, bit[, page]) of the different keys of every page. ``pages``: host, page (its hash), html."""
+    schema = "key long, bit long" + ", page long" * with_page
+    out = _arrow_schema(pages.sparkSession, schema)
+
+    def run(batches):
+        for batch, streams in _streams(batches, 0, 2):
+            keys = [np.unique(s.keys) for s in streams]
+            sizes = [len(k) for k in keys]
+            columns = [np.concatenate(keys), np.repeat([s.bit for s in streams], sizes)]
+            if with_page:
+                columns.append(np.repeat(batch.column(1).to_numpy(), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
+
+    return pages.select("host", "page", "html").mapInArrow(run, schema)
+
+
+def boilerplate(counted: DataFrame, main: Rule = MAIN_RULE, other: Rule = OTHER_RULE) -> DataFrame:
+    """(key, strong) of the keys that one of the rules names; ``strong`` is the rule of main blocks."""
+    sums = counted.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+    repeated = sums.filter("n > 1").select("key", "n", F.bit_count("bits").alias("contents"), F.shiftrightunsigned("key", 64 - HOST_BITS).alias("host"))
+    repeated = written(repeated, "repeated")
+    host_key = F.col("key") == F.call_function("shiftleft", F.col("host"), F.lit(64 - HOST_BITS))
+    hosts = repeated.filter(host_key).select("host", F.col("n").alias("host_pages"))  # 2**HOST_BITS rows at most
+    shared = repeated.filter(~host_key).join(hosts, "host")
+    holds = lambda r: (F.col("contents") >= r.pages) & (F.col("n") >= r.share * F.col("host_pages"))
+    return shared.filter(holds(other) | holds(main)).select("key", holds(main).alias("strong"), holds(other).alias("weak"))
+
+
+def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", main: Rule = MAIN_RULE, other: Rule = OTHER_RULE) -> DataFrame:
     """(page_id, url, text) of every row."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
-
-    def marked(columns):
-        found = [(i, u, b) for i, u, (b, main) in zip(columns[0], columns[1], map(blocks, columns[2])) if main or not b]
-        return {"page_id": [x[0] for x in found], "url": [x[1] for x in found], "text": [" ".join(x[2]) for x in found]}
-
-    def unmarked(columns):
-        found = [(i, u, b) for i, u, (b, main) in zip(columns[0], columns[1], map(blocks, columns[2])) if b and not main]
-        return {"page_id": [x[0] for x in found], "url": [x[1] for x in found], "tokens": [" ".join(x[2]).split(" ") for x in found]}
-
-    settled = map_rows(rows, marked, "page_id long, url string, text string", max_rows=200)
-    streams = map_rows(rows, unmarked, "page_id long, url string, tokens array<string>", max_rows=200)
-    host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
-    streams = written(streams.withColumn("host", host).withColumn("row", F.monotonically_increasing_id()), "streams")
-    return settled.unionByName(without_repeated_runs(streams, run, least_pages))
-
-
-def without_repeated_runs(streams: DataFrame, run: int = RUN, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``streams``: row, host, page_id, url, tokens. (page_id, url, text) without the host's repeated runs."""
-    starts = F.transform(F.sequence(F.lit(1), F.size("tokens") - run + 1), lambda i: F.xxhash64(F.slice("tokens", i, run)))
-    suffixes = streams.filter(F.size("tokens") >= run).select("row", "host", F.xxhash64("tokens").alias("content"), F.posexplode(starts).alias("at", "key"))
-    repeated = suffixes.groupBy("host", "key", "content").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= least_pages)
-    covered = suffixes.join(repeated.select("host", "key"), ["host", "key"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("starts"))
-
-    def cut(columns):
-        texts = []
-        for tokens, starts in zip(columns[2], columns[3]):
-            gone = {i for s in starts or () for i in range(s, s + run)}
-            texts.append(" ".join(t for i, t in enumerate(tokens) if i not in gone))
-        return {"page_id": columns[0], "url": columns[1], "text": texts}
-
-    return map_rows(streams.join(covered, "row", "left").select("page_id", "url", "tokens", "starts"), cut, "page_id long, url string, text string", max_rows=200)
+    spark = pages.sparkSession
+    host = F.regexp_extract(F.lower(F.coalesce(F.col(url_col).cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"), F.xxhash64(host).alias("host"))
+    rows = rows.withColumn("page", F.xxhash64("host", "html"))
+    found = written(boilerplate(counted_keys(rows), main, other), "boilerplate")
+    n_keys = found.count()
+    schema = "page_id long, url string, text string"
+    out = _arrow_schema(spark, schema)
+    if n_keys <= MOST_KEYS:
+        known = found.orderBy("key").toPandas()
+        known = spark.sparkContext.broadcast(tuple(known[c].to_numpy() for c in ("key", "weak", "strong")))
+    else:  # each page gets its own keys by a shuffle
+        own = counted_keys(rows, with_page=True).join(found.hint("merge"), "key").groupBy("page").agg(F.sort_array(F.collect_set(F.struct("key", "weak", "strong"))).alias("own"))
+        rows, known = rows.join(own, "page", "left"), None
+    rows = rows.select("page_id", "url", "html", "host", *([] if known else ["own"]))
+
+    def flags(stream: Stream, own) -> tuple[np.ndarray, np.ndarray]:
+        keys, weak, strong = known.value if known else (np.array([o[c] for o in own or ()], t) for c, t in (("key", np.int64), ("weak", bool), ("strong", bool)))
+        if not len(keys):
+            return (np.zeros(len(stream.keys), bool),) * 2
+        at = np.minimum(np.searchsorted(keys, stream.keys), len(keys) - 1)
+        hit = keys[at] == stream.keys
+        return hit & weak[at], hit & strong[at]
+
+    def run(batches):
+        for batch, streams in _streams(batches, 3, 2):
+            own = [None] * batch.num_rows if known else batch.column(4).to_pylist()
+            texts = [s.text(*flags(s, o)) for s, o in zip(streams, own)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=out)
+
+    return rows.mapInArrow(run, schema)
 
 
 def op3_html_text(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """HTML extraction and WARC archives."""
 
 import hashlib
+import random
 import struct
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -15,6 +17,13 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
  five<aside>side</aside><div id="comments"><p>reader</div><form><input value="a>b">f</form><p>six</article><footer>&copy; foot</footer></body></html>"""
 
 
+def main_text(page):
+    """By markup alone."""
+    stream = html_text.Stream(0, page)
+    none = np.zeros(len(stream.keys), bool)
+    return stream.text(none, none)
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
@@ -35,7 +44,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
     ],
 )
 def test_blocks(page, want):
-    assert " ".join(html_text.blocks(page)[0]) == want
+    assert main_text(page) == want
 
 
 @pytest.mark.parametrize(
@@ -48,14 +57,20 @@ def test_blocks(page, want):
         ("<article>a<div class='related'>x</div><div id='comments'><article>y</article></div></article>", "a"),
         ("<main>a</main><div id='comments'><article>y</article></div>", "a"),
         ("<nav><article>x</article></nav><div hidden><main>y</main></div>z", "z"),
+        ("<div class='layout has-sidebar'><article>a</article></div>", "a"),
+        ("<div id='post-search-engines'><article>a</article></div>", "a"),
+        ("<article>a</article><article class='comment'>x</article><article class='user comment'>y</article>", "a"),
+        ("<article class='comment-free post'>a</article>", "a"),
+        ("<article><math><mi>x</mi><mo>=</mo><annotation>x=</annotation></math> <svg><title>t</title><text>drawn</text></svg> <noscript>n</noscript></article><noscript>o</noscript>", "x= drawn n"),
+        ("<article>small teaser</article><div><p>the long text of the page stands outside of it and goes on</p></div>", "small teaser the long text of the page stands outside of it and goes on"),
     ],
 )
 def test_parts_are_named_by_whole_classes(page, want):
-    assert " ".join(html_text.blocks(page)[0]) == want
+    assert main_text(page) == want
 
 
 def test_long_broken_markup_ends():
-    assert html_text.blocks("<a '" * 2000 + "x" * 1000)[1] is False
+    assert all(kind == html_text.OTHER_BLOCK for _, kind in html_text.blocks("<a '" * 2000 + "x" * 1000))
 
 
 def test_extraction_of_a_table(spark):
@@ -72,35 +87,91 @@ def test_extraction_of_a_table(spark):
     assert html_text.op3_html_text(pages.limit(0)).count() == 0
 
 
-def plain_runs(pages, run, least):
-    """Covered tokens by comparing all windows of all pages."""
-    where = {}
-    for i, tokens in pages.items():
-        for s in range(len(tokens) - run + 1):
-            where.setdefault(tuple(tokens[s : s + run]), set()).add(tuple(tokens))
-    out = {}
-    for i, tokens in pages.items():
-        gone = {p for s in range(len(tokens) - run + 1) if len(where[tuple(tokens[s : s + run])]) >= least for p in range(s, s + run)}
-        out[i] = " ".join(t for p, t in enumerate(tokens) if p not in gone)
+def suffix_runs(streams, rule):
+    """Tokens that a suffix array of a host's concatenated streams finds in runs of RUN tokens: all suffixes sorted
+    whole, neighbours with RUN tokens in common are of one group, and a group counts pages and contents."""
+    suffixes = sorted((s[k:], i, k) for i, s in enumerate(streams) for k in range(len(s) - html_text.RUN + 1))
+    covered, group = [[False] * len(s) for s in streams], []
+
+    def close():
+        pages = {i for _, i, _ in group}
+        if len(pages) >= rule.share * len(streams) and len({tuple(streams[i]) for i in pages}) >= rule.pages:
+            for _, i, k in group:
+                covered[i][k : k + html_text.RUN] = [True] * html_text.RUN
+
+    for x in suffixes:
+        if group and x[0][: html_text.RUN] != group[-1][0][: html_text.RUN]:
+            close()
+            group = []
+        group.append(x)
+    close()
+    return covered
+
+
+def plain_pages(pages):
+    """By host: whole pages, covered tokens and the module's statement of which blocks go."""
+    out, hosts = {}, {}
+    for i, url, page in pages:
+        hosts.setdefault(url.split("/")[2], []).append((i, html_text.blocks(page or "")))
+    for rows in hosts.values():
+        streams = [" ".join(b for b, _ in blocks).split(" ") if blocks else [] for _, blocks in rows]
+        by_rule = {r: suffix_runs(streams, r) for r in (html_text.MAIN_RULE, html_text.OTHER_RULE)}
+        for n, (i, blocks) in enumerate(rows):
+            kind = html_text.MAIN_BLOCK if any(k == html_text.MAIN_BLOCK for _, k in blocks) else html_text.OTHER_BLOCK
+            covered, at, mine, gone = by_rule[html_text.MAIN_RULE if kind == html_text.MAIN_BLOCK else html_text.OTHER_RULE][n], 0, [], []
+            for b, k in blocks:
+                size = b.count(" ") + 1
+                if k == kind:
+                    mine.append((b, size))
+                    if 2 * sum(covered[at : at + size]) >= size:
+                        gone.append((b, size))
+                at += size
+            lost, total = sum(z for _, z in gone), sum(z for _, z in mine)
+            if lost > (total / 2 if kind == html_text.MAIN_BLOCK else total - 1):
+                gone = []
+            out[i] = " ".join(b for b, z in mine if (b, z) not in gone)
     return out
 
 
-def test_repeated_runs_against_brute_force(spark):
-    import random
-
-    r = random.Random(4)
-    shared = [[f"s{k}_{j}" for j in range(r.randint(3, 9))] for k in range(4)]
-    pages = {}
-    for i in range(30):
-        tokens = []
-        for _ in range(4):
-            tokens += r.choice(shared) if r.random() < 0.5 else [f"w{r.randint(0, 5)}" for _ in range(r.randint(1, 6))]
-        pages[i] = tokens
-    pages[30] = pages[0]
-    rows = [(i, "h", i, "u", t) for i, t in pages.items()]
-    streams = spark.createDataFrame(rows, "row long, host string, page_id long, url string, tokens array<string>")
-    got = {x.page_id: x.text for x in html_text.without_repeated_runs(streams, 4, 2).collect()}
-    assert got == plain_runs(pages, 4, 2)
+def site_pages(r):
+    """Hosts with notices in articles, boilerplate without a name, copies and near copies of articles, and shared passages."""
+    word = lambda: "".join(r.choice("bcdfglmn") + r.choice("aeiou") for _ in range(4))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for h in range(3):
+        notice, bar, foot, passage, copy = text(30), text(40), text(24), text(50), text(120)
+        for k in range(24):
+            body = f"<p>{text(60)}</p><p>{text(45)}</p>"
+            if k % 12 == 3:
+                body += f"<p>{passage}</p>"
+            if k in (5, 6, 7):  # one article, with a word changed
+                body = f"<p>{copy.replace(copy.split()[k], word())}</p>"
+            body += f"<p>{notice}</p>" if h else ""
+            page = f"<p>{bar}</p><article>{body}</article><div>{foot}</div>" if h < 2 else f"<p>{bar}</p>{body}<div>{foot}</div>"
+            rows.append((100 * h + k, f"http://host{h}.org/{k}", page))
+        rows.append((100 * h + 50, f"http://host{h}.org/copy", rows[-1][2]))
+    return rows + [(900, "http://alone.org/", f"<p>{text(40)}</p>"), (901, "http://host0.org/none", None)]
+
+
+@pytest.mark.parametrize("most_keys", [html_text.MOST_KEYS, 0])
+def test_pages_against_a_suffix_array(spark, monkeypatch, most_keys):
+    monkeypatch.setattr(html_text, "MOST_KEYS", most_keys)
+    rows = site_pages(random.Random(9))
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = plain_pages(rows)
+    assert got == want
+    words = {i: len(t.split()) for i, t in got.items()}
+    assert words[0] == 105 and words[3] == 155 and words[100] == 105 and words[103] == 155 and words[5] == 120  # passages and copies stay
+    assert words[200] == 105 and words[203] == 105 + 50 * (2 < 0.05 * 25)  # without an article the loose rule takes shared passages
+    assert words[900] == 40 and words[901] == 0
+
+
+def test_extra_columns_and_very_long_pages(spark):
+    long = "<article>" + "<p>" + " ".join(f"word{k}" for k in range(200_000)) + "</p></article>"
+    pages = spark.createDataFrame([(1, "http://h/1", long, "a", 5, "k"), (1, "http://h/1", long, "b", 6, "l"), (2, None, "<p>x</p>", None, None, None)], "page_id long, url string, html string, text string, host long, page string")
+    got = sorted((r.page_id, r.n_chars) for r in html_text.op3_html_text(pages).collect())
+    n = sum(len(f"word{k}") + 1 for k in range(200_000)) - 1
+    assert got == [(1, n), (1, n), (2, 1)]
 
 
 def test_archives_round_trip(spark):
