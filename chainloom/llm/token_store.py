@@ -17,21 +17,23 @@ at ``SHARD_BYTES``. A shard appears under its name by one rename, and the table
 shards is committed by Spark, so lost tasks and executors leave no partial result.
 
 Defined results: null texts are empty (one end id); a null id sorts first and comes
-back null; rows with the same id follow each other by text; an empty table gives
+back null; rows with the same id follow each other by a hash of the text, then by text; an empty table gives
 a store without documents; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,71 +45,122 @@ MAGIC = b"CLTOKEN1"
 ENTRY = np.dtype([("id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("length", "<u8"), ("n_ids", "<u8")])
 SHARD_BYTES = 64 << 20
 DICTIONARY_DOCS, WINDOWS, WINDOW_IDS, DICTIONARY_BYTES = 1024, 4, 1024, 64 << 10
-SHARDS_SCHEMA = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"
-
-# Characters of Latin texts for which the plain pattern below splits as the tokenizer's own does.
-LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-plain = re.compile(f"[\t\n\r -~\xa1-\xff]*").fullmatch
-loose_space = re.compile(r" (?=\s|\Z)").search
-plain_split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+").findall
+SHARDS_SCHEMA = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long, least_id long, greatest_id long"
+
+#: A text is odd if a space stands before other white space or at the end, or if it holds the mark.
+MARK = "\0"
+ODD = r"\x00| ([\s\v\x{1c}-\x{1f}\x{85}\p{Z}]|\z)"
+#: Marks go between a letter and a sign or digit after it, and round a line end between two signs.
+BORDERS = ((r"(\p{L})([^\p{L} ])", "\\1\0\\2"), (r"(\pP|\pS|\pN)\n(\pL|\pP|\pS|\pN)", "\\1\0\n\0\\2"))
+SLICE_BYTES, WORDS_AT_ONCE = 2 << 20, 4096
+
+
+class Generations:
+    """Ids by word, in two dictionaries of bounded size: when the young one is full it
+    becomes the old one, and a word that is met again moves back. Frequent words stay."""
+
+    SIZE = 200_000  # words in each, about 40 MB
+    LONGEST = 48
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def found(self, words: list[str], encode) -> list[bytes]:
+        """``encode`` gets the words that aren't known and returns the ids of each."""
+        out = list(map(self.young.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        asked = [words[k] for k in missing]
+        met = list(map(self.old.get, asked))
+        made = iter(encode([w for w, ids in zip(asked, met) if ids is None]))
+        met = [next(made) if ids is None else ids for ids in met]
+        for k, ids in zip(missing, met):
+            out[k] = ids
+        short = {w: ids for w, ids in zip(asked, met) if len(w) <= self.LONGEST}
+        if len(self.young) + len(short) > self.SIZE:
+            self.young, self.old = {}, self.young
+        self.young |= short if len(short) <= self.SIZE else dict(islice(short.items(), self.SIZE))
+        return out
 
 
 class ByteBpeEncoder:
-    """Ids of a byte-level BPE tokenizer file, as little-endian uint32 bytes.
-
-    A text in which each space stands before a sign is cut before its spaces,
-    where the tokenizer's own splitting always cuts; units met before come from a bounded memory. Texts
-    with added tokens in them go to the library whole.
+    """Ids of a byte-level BPE tokenizer file for whole columns of texts.
+
+    The tokenizer's own splitting always cuts before a space that no white space follows,
+    after a run of letters, and round a single line end between signs; its ids depend
+    on the parts alone. So where all spaces of a text are such ones, the text is cut there,
+    each different part goes to the library once for a slice of about ``SLICE_BYTES`` (or
+    comes from ``Generations``), and the ids of the texts are gathered with numpy. Other
+    texts, and those that hold an added token, go to the library whole.
     """
 
-    UNITS, PIECES = 300_000, 150_000  # about 100 MB
-    REMEMBERED_LENGTH = 48
-
     def __init__(self, tokenizer_file: str):
-        import public_tokenizers
-        import regex
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        rest = [b for b in range(256) if b not in printable]
-        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
-            ids = [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            known = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= self.REMEMBERED_LENGTH:
-                if len(self.pieces) > self.PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
-
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self._piece, (plain_split if plain(text) else self.split)(text)))
-
-    def _unit(self, unit: str) -> bytes:
-        made = self._pieces(" " + unit)
-        if len(unit) <= self.REMEMBERED_LENGTH:
-            if len(self.units) > self.UNITS:
-                self.units.clear()
-            self.units[unit] = made
-        return made
-
-    def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if loose_space(text):
-            return self._pieces(text)
-        first, *rest = text.split(" ")
-        known, unit = self.units.get, self._unit
-        return self._pieces(first) + b"".join([known(u) or unit(u) for u in rest])
+        space = self.library.encode(" ", add_special_tokens=False).tokens[0]
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t[0] == space]] = True
+        self.memory = Generations()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Of those that begin with a space, the one in them, many go as one text, whose ids part where a space begins."""
+        spaced = [k for k, p in enumerate(parts) if len(p) > 1 and p[0] == " "]
+        found = dict(zip(spaced, self._spaced([parts[k] for k in spaced])))
+        rest = iter(self._whole([p for k, p in enumerate(parts) if k not in found]))
+        return [found[k] if k in found else next(rest) for k in range(len(parts))]
+
+    def _spaced(self, parts: list[str]) -> list[bytes]:
+        found = []
+        for at in range(0, len(parts), WORDS_AT_ONCE):
+            some = parts[at : at + WORDS_AT_ONCE]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(some):
+                raise ValueError("the tokenizer doesn't cut before spaces")
+            data, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            found += [data[a:b] for a, b in zip(ends, ends[1:])]
+        return found
+
+    def encoded(self, texts: pa.Array, end: bytes) -> Iterator[bytes]:
+        """The ids of each text, ended by ``end``, as little-endian uint32 bytes. No text may be null."""
+        sizes, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < len(texts):
+            done = int(sizes[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES)))
+            yield from self._slice(texts.slice(at, to - at), end)
+            at = to
+
+    def _slice(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        if not pc.any(odd).as_py():
+            return self._cut(texts, end)
+        whole, cut = iter(self._whole(texts.filter(odd).to_pylist())), iter(self._cut(texts.filter(pc.invert(odd)), end))
+        return [next(whole) + end if o else next(cut) for o in odd.to_pylist()]
+
+    def _cut(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        if not len(texts):
+            return []
+        for pattern, marked in BORDERS:
+            texts = pc.replace_substring_regex(texts, pattern, marked)
+        lists = pc.split_pattern(pc.replace_substring(texts, " ", MARK + " "), MARK)
+        borders = lists.offsets.to_numpy()
+        parts = lists.values.slice(borders[0], borders[-1] - borders[0]).dictionary_encode()
+        known, numbers = self.memory.found(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), self._parts), parts.indices.to_numpy()
+        ids, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        shares = sizes[numbers]
+        made = np.r_[0, np.cumsum(shares)]
+        data = ids[np.repeat((np.cumsum(sizes) - sizes)[numbers] - made[:-1], shares) + np.arange(made[-1])].tobytes()
+        ends = (4 * made[borders - borders[0]]).tolist()
+        return [data[a:b] + end for a, b in zip(ends, ends[1:])]
 
 
 _encoders: dict[str, ByteBpeEncoder] = {}
@@ -126,14 +179,16 @@ def filesystem(uri: str):
 
 
 def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int, sample_docs: int = DICTIONARY_DOCS) -> bytes:
-    """Trained on windows of about ``sample_docs`` documents, chosen by a hash of the id; empty where they are too few."""
+    """Trained on windows of about ``sample_docs`` documents (twice as many at most), the first ones
+    by a hash of the id, then of the text; empty where they are too few."""
     share = sample_docs / max(docs.count(), 1)
-    chosen = docs.filter(F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(1 << 30)) <= int(min(share, 1) * (1 << 30))).limit(2 * sample_docs)
+    place = F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(1 << 30))
+    chosen = docs.filter(place <= int(min(share, 1) * (1 << 30))).orderBy(place, "id", F.xxhash64("text")).limit(2 * sample_docs)
 
     def windows(columns):
         found, end = [], struct.pack("<I", end_id)
-        for text in columns[0]:
-            ids, size = encoder(tokenizer_file).encode(text) + end, 4 * WINDOW_IDS
+        for ids in encoder(tokenizer_file).encoded(pa.array(columns[0], pa.string()), end):
+            size = 4 * WINDOW_IDS
             starts = sorted({min(len(ids) * k // WINDOWS // 4 * 4, max(0, len(ids) - size)) for k in range(WINDOWS)})
             found += [ids[s : s + size] for s in starts]
         return {"ids": found}
@@ -165,7 +220,8 @@ class ShardWriter:
         self.out.write(index + struct.pack("<QQ", len(self.entries), self.at) + MAGIC)
         self.out.close()
         self.fs.move(self.scratch, self.path)
-        return self.part, self.seq, self.path.rpartition("/")[2], len(self.entries), self.n_tokens, self.at + len(index) + 24
+        ids = [e[0] for e in self.entries if e[1]]
+        return self.part, self.seq, self.path.rpartition("/")[2], len(self.entries), self.n_tokens, self.at + len(index) + 24, min(ids, default=None), max(ids, default=None)
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -193,31 +249,24 @@ def write_store(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int =
         enc, pack = encoder(tokenizer_file), compressor(dictionary).compress
         done = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encoded(batch.column(1), end)):
                 shard = shard or ShardWriter(folder, part, seq, dictionary)
-                ids = enc.encode(text.as_py()) + end
                 shard.add(doc_id, pack(ids), len(ids) // 4)
                 if shard.at >= SHARD_BYTES:
                     done.append(shard.close())
                     seq, shard = seq + 1, None
         if shard:
             done.append(shard.close())
-        yield pa.RecordBatch.from_pandas(_frame(done, names), schema=shards_schema, preserve_index=False)
+        yield pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in done], schema=shards_schema)
 
     from chainloom.llm.common import _arrow_schema
 
     shards_schema = _arrow_schema(spark, SHARDS_SCHEMA)
-    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     ordered.mapInArrow(write, SHARDS_SCHEMA).write.mode("overwrite").parquet(f"{folder}/shards")
     return folder
 
 
-def _frame(rows: list[tuple], names: list[str]):
-    import pandas as pd
-
-    return pd.DataFrame(rows, columns=names)
-
-
 def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, frame_bytes[, ids]) of every document, from the files.
     ``start`` counts the ids of all documents before it."""
@@ -270,19 +319,33 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> Data
 
 
 def read_document(folder: str, path: str, number: int) -> np.ndarray:
-    """Ids of one document of a shard: reads the index and its frame alone."""
+    """Ids of the document at one place of a shard: reads the index and its frame alone."""
+    return _frames(folder, path, lambda index: [number])[0]
+
+
+def find_document(spark: SparkSession, folder: str, doc_id: int) -> list[np.ndarray]:
+    """Ids of every document of an id, in the order of the store. Of the files, only the
+    shards whose range holds the id are opened, and of these the index and the frames."""
+    shards = spark.read.parquet(f"{folder}/shards").filter(F.lit(doc_id).between(F.col("least_id"), F.col("greatest_id")))
+    places = shards.orderBy("part", "seq").select("path").collect()  # one, or more where an id was split
+    return [x for r in places for x in _frames(folder, r.path, lambda index: np.flatnonzero((index["id"] == doc_id) & (index["has_id"] > 0)))]
+
+
+def _frames(folder: str, path: str, choose) -> list[np.ndarray]:
     fs, root = filesystem(folder)
     with fs.open_input_stream(f"{root}/dictionary.zdict") as f:
-        dictionary = f.read()
+        unpack = decompressor(f.read()).decompress
     with fs.open_input_file(f"{root}/{path}") as f:
         f.seek(f.size() - 24)
         n, at, _ = struct.unpack("<QQ8s", f.read(24))
-        if not 0 <= number < n:
-            raise IndexError(number)
-        f.seek(at + number * ENTRY.itemsize)
-        entry = np.frombuffer(f.read(ENTRY.itemsize), ENTRY)[0]
-        f.seek(int(entry["offset"]))
-        return np.frombuffer(decompressor(dictionary).decompress(f.read(int(entry["length"]))), "<u4")
+        f.seek(at)
+        index, found = np.frombuffer(f.read(n * ENTRY.itemsize), ENTRY), []
+        for k in choose(index):
+            if not 0 <= k < n:
+                raise IndexError(k)
+            f.seek(int(index[k]["offset"]))
+            found.append(np.frombuffer(unpack(f.read(int(index[k]["length"]))), "<u4"))
+        return found
 
 
 def op5_token_store(docs: DataFrame, tokenizer_file: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chainloom.llm import token_counts, token_store
@@ -58,14 +59,26 @@ def test_budgets_are_answered_from_the_stored_counts(docs_of, piece_library):
 
 def test_ids_are_those_of_the_library():
     e = token_store.encoder(tokenizer_path("byte_bpe_50k.json"))
-    for text in random_texts(2000, 2):
-        assert e.encode(text) == np.array(e.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    texts = random_texts(2000, 2) + ["", " ", " a", "a ", "long " * 300_000, "w" * 60 + " " + "w" * 60] + [" ".join(t.split()) for t in random_texts(2000, 4)]
+    for e.memory.SIZE in (5, 200_000):
+        for text, ids in zip(texts, e.encoded(pa.array(texts), b"")):
+            assert ids == np.array(e.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:100])
+        assert len(e.memory.young) <= e.memory.SIZE
+
+
+def test_frequent_words_stay_in_a_full_memory():
+    g = token_store.Generations()
+    g.SIZE, asked = 10, []
+    encode = lambda words: asked.extend(words) or [w.encode() for w in words]
+    for k in range(100):
+        assert g.found(["the", f"rare{k}"], encode) == [b"the", f"rare{k}".encode()]
+    assert asked.count("the") == 1 and len(g.young) + len(g.old) <= 20
 
 
 def expected_store(rows):
     library = token_store.encoder(tokenizer_path("byte_bpe_50k.json")).library
     start, out = 0, []
-    for i, t in sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    for i, t in sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = library.encode(t, add_special_tokens=False).ids + [0]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -89,6 +102,8 @@ def test_single_documents_are_read_from_their_frames(spark, docs_of):
     shard = spark.read.parquet(f"{folder}/shards").orderBy("part", "seq").first()
     library = token_store.encoder(tokenizer_path("byte_bpe_50k.json")).library
     assert token_store.read_document(folder, shard.path, 2).tolist() == library.encode("text number 2").ids + [0]
+    assert [x.tolist() for x in token_store.find_document(spark, folder, 31)] == [library.encode("text number 31").ids + [0]]
+    assert token_store.find_document(spark, folder, 50) == []
     with pytest.raises(IndexError):
         token_store.read_document(folder, shard.path, shard.n_docs)
 
