@@ -9,9 +9,10 @@ probability 1 - (1 - 0.8**8)**32 > 0.997, and one of 0.3 with less than 0.003.
    exact copies never grows beyond one row.
 2. Sets that share a band hash are joined to the least set of that bucket, and
    connected components of these edges are the candidate groups. Pairs aren't listed.
-3. The n-grams of candidates are dealt by group; a group of more than ``BLOCK`` sets (or
-   ``BLOCK_GRAMS`` n-grams) is cut into blocks, and each pair of blocks is a cell of its
-   own, so that a cell fits in bounded memory. A cell counts the intersections of all
+3. The n-grams of candidates are dealt by group, once for each set and task; a group of
+   more than ``BLOCK`` sets (or ``BLOCK_GRAMS`` n-grams) is cut into blocks, and each pair
+   of blocks is a cell of its own, so that a cell fits in bounded memory. Groups of more
+   than ``SMALL_BLOCK`` sets are cut into up to ``SPREAD`` blocks for the sake of balance. A cell counts the intersections of all
    its pairs by products of 0/1 matrices and gives one row for each set: its number of
    links and a spanning tree of them. All pairs of a candidate group are verified,
    so within a group no link is lost. A group of m different texts sends each about
@@ -35,13 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import _arrow_schema, bit_map, in_bit_map, map_rows, text_or_empty, written
+from chainloom.llm.common import _arrow_schema, in_bit_map, map_rows, sized_bit_map, text_or_empty, written
 from chainloom.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 32, 8
 NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8 as a fraction, compared in whole numbers
 BLOCK, BLOCK_GRAMS = 1024, 1 << 20
-MAP_BITS = 1 << 24
+SMALL_BLOCK, SPREAD = 128, 16
+MOST_MAPPED = 1 << 22
 _STEP = 4096
 
 _rng = np.random.default_rng(20240229)
@@ -171,7 +173,6 @@ def verified(candidates: DataFrame) -> DataFrame:
     out = _arrow_schema(candidates.sparkSession, CELL_SCHEMA)
 
     def finish(cell: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({r[1]: r for r in rows}.values())  # repeated rows of one set
         sets, sizes = [np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[3] for r in rows], np.int64)
         left = sum(r[0] == cell[1] for r in rows) if cell[1] != cell[2] else 0
         if len(rows) < 2 or cell[1] != cell[2] and left in (0, len(rows)):
@@ -192,7 +193,8 @@ def verified(candidates: DataFrame) -> DataFrame:
                             yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
                             done = []
                     cell, rows = (component, p, q, n_blocks), []
-                rows.append((block, key, node, size, g))
+                if not rows or rows[-1][1] != key:  # sorted: the rows of one set from several tasks come one after another
+                    rows.append((block, key, node, size, g))
         if rows:
             done.append(finish(cell, rows))
         yield from pa.Table.from_batches(done, schema=out).combine_chunks().to_batches()
@@ -203,16 +205,32 @@ def verified(candidates: DataFrame) -> DataFrame:
 def candidate_grams(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
     """``found`` (one row for each candidate set) with the n-grams of its document of least id.
 
-    Texts stay where they are read: a bit map of fixed size of the wanted ids tells the
-    tasks which rows may be wanted, and only the n-grams of those are shuffled.
+    Texts stay where they are read: a bit map of the wanted ids tells the tasks which rows
+    may be wanted, and only the n-grams of those are shuffled, each set once for a task.
+    Beyond ``MOST_MAPPED`` sets the bit map would say too little; the texts then meet the
+    wanted ids by a shuffle.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(found.select(F.xxhash64("least_id")), MAP_BITS))
-    rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(id_col).cast("long")), text_or_empty(text_col))
+    text, doc_id = text_or_empty(text_col), F.col(id_col).cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("id_hash"), text.alias("text"))
+    if found.count() > MOST_MAPPED:
+        ids = found.select("least_id").distinct()
+        rows, wanted = rows.join(ids.hint("merge"), rows["doc_id"].eqNullSafe(ids["least_id"]), "left_semi"), None
+    else:
+        wanted = docs.sparkSession.sparkContext.broadcast(sized_bit_map(found.select(F.xxhash64("least_id"))))
+    seen: set[bytes] = set()  # of one task: each starts with its own copy
 
     def make(columns):
-        hit = np.flatnonzero(in_bit_map(wanted.value, np.array(columns[1], np.int64)))
-        sets = [grams(columns[2][i]) for i in hit]
-        return {"doc_id": [columns[0][i] for i in hit], "key": [set_key(s) for s in sets], "grams": [s.tobytes() for s in sets]}
+        out = {"doc_id": [], "key": [], "grams": []}
+        hit = range(len(columns[0])) if wanted is None else np.flatnonzero(in_bit_map(wanted.value, np.array(columns[1], np.int64)))
+        for i in hit:
+            doc, g = columns[0][i], grams(columns[2][i])
+            key = set_key(g)
+            name = key + repr(doc).encode()
+            if name not in seen:
+                seen.add(name)
+                for k, v in zip(out, (doc, key, g.tobytes())):
+                    out[k].append(v)
+        return out
 
     made = map_rows(rows, make, "doc_id long, key binary, grams binary", max_rows=500)
     same = (F.col("key") == F.col("set_key")) & F.col("doc_id").eqNullSafe(F.col("least_id"))
@@ -233,7 +251,8 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = candidate_groups(sets)
     found = sets.drop("bands").join(groups, "node")
     extent = found.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total"))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int")
+    spread = F.least(F.lit(SPREAD), F.ceil(F.col("m") / SMALL_BLOCK))
+    n_blocks = F.greatest(F.lit(1), spread, F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int")
     found = written(found.join(extent.select("component", n_blocks.alias("n_blocks")), "component"), "candidates")
     candidates = candidate_grams(docs, id_col, text_col, found)
     candidates = candidates.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))

@@ -59,6 +59,26 @@ def test_groups_cut_into_blocks_lose_no_link(docs_of, near_rows, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == plain_join(near_rows)
 
 
+def test_many_rows_without_an_id_are_one_row_for_each_text(docs_of, words, monkeypatch):
+    """No cell gets more than a row for each of two near texts and task, whatever their number of rows."""
+    a = words(80, 71)
+    b = a[:-1] + ["other"]
+    rows = [(None, " ".join(a if k % 2 else b)) for k in range(4000)] + [(3, " ".join(words(40, 72)))]
+    docs, most = docs_of(rows).repartition(5), []
+    real = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda c: most.append(c.count()) or real(c))
+    got = ngram_join.op1_ngram_join(docs).collect()
+    assert most[0] <= 2 * 5
+    assert [r.n_links for r in got if r.doc_id is None] == [3999] * 4000 and [(r.doc_id, r.n_links) for r in got if r.doc_id] == [(3, 0)]
+
+
+def test_candidates_beyond_the_bit_map_are_joined_by_a_shuffle(docs_of, near_rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_MAPPED", 3)
+    monkeypatch.setattr(ngram_join, "SMALL_BLOCK", 4)
+    got = ngram_join.op1_ngram_join(docs_of(near_rows)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == plain_join(near_rows)
+
+
 def test_one_document_of_each_class_stays(docs_of, near_rows):
     docs = docs_of(near_rows)
     kept = ngram_join.representatives(docs)
