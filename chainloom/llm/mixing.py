@@ -4,13 +4,14 @@ Each source gets a target from its weight (targets stop at ``max_repeats`` times
 the source's size; the excess goes to the others by weight until none is above).
 A target is met by complete epochs of the source first; the rest is a weighted
 sample without replacement: documents in the order of their exponential keys
-``-ln(u) / quality``, summed up to the rest of the budget. The document on the
-border gives only the words that are left, so each source meets its target to
-less than one word.
+``-ln(u) / quality``, summed up to the rest of the budget. Of the document on the
+border the budget takes only the words that are left, so each source meets its
+target to less than one word; ``mixture``, which gives whole texts alone, takes it
+or not, whichever is nearer.
 
 No source is gathered in one task. Keys fall into ``floor(BINS * ln(key))``, whose
 sums by (source, bin) find the bin that the border lies in; only that bin of each
-source is sorted. ``u`` comes from a hash of id, text and seed, so reruns agree.
+source is sorted, with one row for all rows of one id and text. ``u`` comes from a hash of id, text and seed, so reruns agree.
 
 Quality weights are the share of distinct words in a text, at least 0.05.
 
@@ -23,10 +24,6 @@ go along by ``mixture``.
 
 from __future__ import annotations
 
-import re
-from itertools import islice
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +33,7 @@ BINS = 2048
 LEAST_QUALITY = 0.05
 MAX_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
-WORD = re.compile("[^\x20\x09-\x0d]+").finditer
+COPIES_AT_ONCE = 10_000
 SIZES_SCHEMA = "doc_id long, source string, text_hash long, size long, quality double"
 
 
@@ -108,53 +105,37 @@ def taken(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     )
     cut = plan.join(border.withColumnRenamed("s", "b"), F.col("source").eqNullSafe(F.col("b")), "left").drop("b").withColumnRenamed("source", "s")
     rows = sizes.join(written(cut, "cuts"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    columns = ["doc_id", "source", "text_hash", "size", "source_size", "target"]
+    alike = rows.filter(F.col("bin") == F.col("border")).groupBy(*columns, "epochs", "left", "bin", "key").agg(F.count("*").alias("n"))
     within = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_border = rows.filter(F.col("bin") == F.col("border")).withColumn("before", F.sum("size").over(within) - F.col("size"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
+    at_border = alike.withColumn("before", F.sum(F.col("size") * F.col("n")).over(within) - F.col("size") * F.col("n"))
+    # back to one row for each row: in runs of copies, which are dealt anew, so that many copies aren't one task's
+    runs = at_border.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES_AT_ONCE)))).repartition("text_hash", "first")
+    copies = runs.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + COPIES_AT_ONCE, F.col("n")) - 1)))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before") - F.col("copy") * F.col("size")))
     others = rows.filter(F.col("border").isNull() | F.col("bin").isNull() | (F.col("bin") != F.col("border")))
     whole = F.when(F.col("bin") < F.col("border"), F.col("size")).otherwise(F.lit(0))
-    columns = ["doc_id", "source", "text_hash", "size", "source_size", "target"]
     made = lambda df, extra: df.select(*columns, (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
-    return made(others, whole).unionByName(made(at_border, part))
+    return made(others, whole).unionByName(made(copies, part))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.0, seed: int = 42) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each whole time that a document
-    is taken, and one with its first words where the mix takes a part of it. Rows that agree
-    in id, source and text stand for what was taken of all of them."""
+    """The mix itself, with the columns of ``docs``: a row with the whole text for each time that a
+    document is taken, where at least half of it counts as taken. Rows that agree in id,
+    source and text stand for what was taken of all of them."""
     found = mixed(docs, id_col, text_col, source_col, weights, share, seed)
     found = written(found.groupBy("doc_id", "source", "text_hash", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n_rows")), "taken")
     rows = docs
     if not found.filter("n_rows > 1").isEmpty():
         rows = docs.dropDuplicates([id_col, source_col, text_col])
-    found = found.filter("taken > 0")
+    found = found.withColumn("times", F.floor(F.try_divide("taken", "size") + 0.5).cast("int")).filter("times > 0")
     same = (
         rows[id_col].cast("long").eqNullSafe(found["doc_id"])
         & rows[source_col].cast("string").eqNullSafe(found["source"])
         & (F.xxhash64(F.coalesce(rows[text_col].cast("string"), F.lit(""))) == found["text_hash"])
     )
-    picked = rows.join(found, same).select(*[rows[c] for c in rows.columns], found["size"], found["taken"])
-    names, at = docs.columns, docs.columns.index(text_col)
-
-    def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                texts, sizes, takes = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
-                order, made = [], []
-                for i, (text, size, taken) in enumerate(zip(texts, sizes, takes)):
-                    order += [i] * -(-taken // size)
-                    made += [text] * (taken // size) + ([first_words(text, taken % size)] if taken % size else [])
-                out = batch.select(range(batch.num_columns - 2)).take(pa.array(order, pa.int64()))
-                columns = [pa.array(made, out.column(at).type) if i == at else c for i, c in enumerate(out.columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return picked.toDF(*[f"c{i}" for i in range(len(picked.columns))]).mapInArrow(run, docs.schema)
-
-
-def first_words(text: str, n: int) -> str:
-    """The text up to the end of its ``n``-th word."""
-    return text[: next(islice(WORD(text), n - 1, None)).end()]
+    times = F.explode(F.array_repeat(F.lit(1), found["times"]))
+    return rows.join(found, same).select(*[rows[c] for c in rows.columns], times.alias("__time")).drop("__time")
 
 
 def op2_mixture(docs: DataFrame) -> DataFrame:

@@ -206,12 +206,13 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit(rows: DataFrame, labels: DataFrame, label_col: str, train_rows: int = TRAIN_ROWS):
-    """``rows``: doc_id, x. Learns from about ``train_rows`` labelled rows that aren't held out."""
+    """``rows``: doc_id, x. Learns from about ``train_rows`` labelled ids that aren't held out, chosen by a
+    hash; of several rows of an id from the one whose vector comes first."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = min(1.0, train_rows / max(known.count(), 1))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    sample = sorted((r.doc_id, r.y, bytes(r.x)) for r in rows.join(chosen, "doc_id").limit(2 * train_rows).collect())
+    sample = sorted((r.doc_id, r.y, bytes(r.x)) for r in rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect())
     y = np.array([r[1] for r in sample])
     if len(set(y)) < 2:
         return Constant(float(y[0]) if len(y) else 0.5)

@@ -3,8 +3,8 @@
 Writing: of pages with equal payloads of at least ``LEAST_SHARED`` bytes the one
 with the smallest id becomes a response and the others revisits of it; all other
 pages are responses. Equal payloads are found by their SHA-256: one small row for
-each repeated digest goes through a shuffle, never the payloads, and the tasks that
-read the pages write the shards. A shard appears by one rename and the table of
+each digest goes through a shuffle, and the tasks that read the pages write the
+shards; only where very many digests are repeated, the copies' payloads are shuffled. A shard appears by one rename and the table of
 shards is committed by Spark, so repeated or lost tasks leave no partial result.
 
 Reading: each task reads shards (at most ``SHARD_BYTES`` and one record), loads
@@ -34,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import _arrow_schema, new_folder, text_or_empty, written
+from chainloom.llm.common import _arrow_schema, in_bit_map, new_folder, sized_bit_map, text_or_empty, written
 from chainloom.llm.token_store import filesystem
 
 DICTIONARY_MAGIC = 0x184D2A5D
 LEAST_SHARED = 100
+BROADCAST_DIGESTS = 100_000  # of about 80 bytes
 SHARD_BYTES = 32 << 20
 DICTIONARY_PAGES, DICTIONARY_BYTES, SAMPLE_BYTES = 512, 64 << 10, 16 << 10
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -125,22 +126,45 @@ def read_archive(data: bytes, where: str = "") -> Iterator[tuple]:
 def train_dictionary(pages: DataFrame) -> bytes:
     """Trained on the heads of about ``DICTIONARY_PAGES`` pages chosen by a hash; empty if they are too few."""
     share = min(1.0, DICTIONARY_PAGES / max(pages.count(), 1))
-    chosen = pages.filter(F.pmod(F.xxhash64(F.lit(7), "page_id", "url"), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(2 * DICTIONARY_PAGES)
-    samples = [bytes(r.head) for r in chosen.select(F.substring(F.col("payload"), 1, SAMPLE_BYTES).alias("head")).collect()]
+    chosen = pages.filter(F.pmod(F.xxhash64(F.lit(7), "page_id", "url"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    heads = chosen.select(F.substring(F.col("payload"), 1, SAMPLE_BYTES).alias("head"), F.xxhash64(F.lit(7), "page_id", "url").alias("h"))
+    samples = [bytes(r.head) for r in heads.orderBy("h", "head").limit(2 * DICTIONARY_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [s for s in samples if s]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
+def _placed(digest: DataFrame, shared: DataFrame) -> DataFrame:
+    """Every page with the record that it revisits. Payloads stay where they are: the digests of repeated
+    payloads go to the tasks, up to ``BROADCAST_DIGESTS``; beyond it a bit map of them does, and only the
+    pages that it knows, which are copies but for a few, are shuffled."""
+    same = F.col("digest") == F.col("shared_digest")
+    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    made = ["page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to")]
+    if shared.count() <= BROADCAST_DIGESTS:
+        return digest.join(F.broadcast(shared), same, "left").select(made)
+    known = digest.sparkSession.sparkContext.broadcast(sized_bit_map(shared.select(F.xxhash64("shared_digest"))))
+    hashed = digest.withColumn("digest_hash", F.xxhash64("digest"))
+
+    def only(met: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bit_map(known.value, batch.column(4).to_numpy()) == met))
+
+        return hashed.mapInArrow(run, hashed.schema)
+
+    copies = only(True).join(shared.hint("merge"), same, "left")
+    return copies.select(made).unionByName(only(False).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to")))
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
     """Writes a record for every page, and a table of shards; returns ``folder``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).cast("binary").alias("payload"))
     digest = rows.withColumn("digest", F.sha2("payload", 256))
     shared = digest.filter(F.octet_length("payload") >= LEAST_SHARED).groupBy(F.col("digest").alias("shared_digest")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     shared = written(shared.filter(F.col("n") > 1).drop("n"), "shared")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    placed = digest.join(shared, F.col("digest") == F.col("shared_digest"), "left").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"))
+    placed = _placed(digest, shared)
     dictionary = train_dictionary(rows)
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)

@@ -174,10 +174,12 @@ def test_extra_columns_and_very_long_pages(spark):
     assert got == [(1, n), (1, n), (2, 1)]
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [warc.BROADCAST_DIGESTS, -1])
+def test_archives_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", broadcast)
     long = "<p>" + "same é payload " * 20
     rows = [(5, "http://a/5", long), (2, "http://a/2\r\nX: y", long), (9, None, long), (3, "http://a/3", "short"), (4, "http://a/4", "short"), (6, "http://a/6", None), (7, "u", ""), (None, "n", long), (2, "again", long), (8, "u8", "x" * 300_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "page_id long, url string, html string, digest string, payload string, first_id long")
     folder = warc.write_archives(pages, new_folder(spark, "warc-test"))
     got = warc.read_archives(spark, folder, with_payload=True).collect()
     assert len(got) == len(rows)

@@ -1,5 +1,6 @@
 """Quality rules, mixing and line dedup against plain Python."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -97,10 +98,39 @@ def test_mixture_meets_its_targets(docs_of, words):
     assert sorted(map(str, got)) == sorted(map(str, again))
     made = mixing.mixture(docs)
     assert made.columns == docs.columns
-    words_of = Counter()
-    for r in made.collect():
-        words_of[r.source] += len(WORDS(r.text or ""))
-    assert words_of == Counter({s: sum(r.taken for r in rs) for s, rs in by.items()})
+    rows_of = Counter((r.doc_id, r.source, r.text) for r in made.collect())
+    assert set(rows_of) <= {(r.doc_id, r.source, r.text) for r in docs.collect()}
+    taken, size = Counter(), {}
+    for r in got:
+        taken[r.doc_id, r.source] += r.taken
+        size[r.doc_id, r.source] = r.size
+    assert Counter({(i, h): n for (i, h, _), n in rows_of.items()}) == Counter({k: int(t / size[k] + 0.5) for k, t in taken.items() if size[k]})
+
+
+@pytest.mark.parametrize("at_once", [mixing.COPIES_AT_ONCE, 7])
+def test_mixture_equals_a_plain_sort_of_keys(spark, docs_of, words, monkeypatch, at_once):
+    """Every source sorted whole by its keys in plain Python; only the hash that u comes from is Spark's."""
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", at_once)
+    rows = mix_rows(words) + [(600, " ".join(words(30, 600)), "s2")] * 60 + [(None, "a b c d", None)] * 25 + [(700, "long " * 60_000, "s0")]
+    docs = docs_of(rows)
+    u = {(r.doc_id, r.text): ((r.h % 2**64 >> 11) + 0.5) / 2**53 for r in docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(42, doc_id, xxhash64(coalesce(text, ''))) AS h").collect()}
+    hashes = {r.text: r.h for r in docs.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    by, want = defaultdict(list), []
+    for i, t, s in rows:
+        found = WORDS(t or "")
+        quality = max(0.05, len(set(found)) / len(found)) if found else 0.05
+        by[s].append((-math.log(u[i, t or ""]) / quality, i is not None, i or 0, hashes[t or ""], i, len(found)))
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(x[-1] for x in by[s]) for s in order]
+    for s, n, target in zip(order, sizes, mixing.targets(sizes, [[5.0, 2.0, 1.0][k % 3] for k in range(len(order))], sum(sizes))):
+        epochs = int(target // n)
+        left = round(target - epochs * n)
+        for *_, i, size in sorted(by[s]):
+            part = min(size, left)
+            left -= part
+            want.append((str(i), str(s), size, n, round(target, 6), epochs * size + part))
+    got = [(str(r.doc_id), str(r.source), r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.op2_mixture(docs.repartition(5)).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_mixture_of_an_empty_table(docs_of):
