@@ -198,10 +198,12 @@ def difference(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def model_table(spark: SparkSession, chain: Chain, model_id: str) -> DataFrame:
-    """The entries of a chain that aren't 0, as a table to write and read."""
+    """The entries of a chain that aren't 0, and the last entry of each tensor, which holds its shape."""
     rows = []
     for site, t in enumerate(chain.tensors):
-        for at in np.argwhere(t != 0).tolist():
+        held = t != 0
+        held[tuple(n - 1 for n in t.shape)] = True
+        for at in np.argwhere(held).tolist():
             l, s, r, c = (*at, None)[:4]
             z = complex(t[tuple(at)])
             rows.append((model_id, chain.centre, site, l, s, r, c, z.real, z.imag))
@@ -211,6 +213,8 @@ def model_table(spark: SparkSession, chain: Chain, model_id: str) -> DataFrame:
 def chain_of(table: DataFrame, model_id: str) -> Chain:
     """A model of a model table; models are bounded by their sites, bonds and classes."""
     rows = table.filter(table["model_id"] == model_id).collect()
+    if not rows:
+        raise ValueError(f"there is no model {model_id}")
     tensors = []
     for site in range(max(r.site for r in rows) + 1):
         own = [r for r in rows if r.site == site]

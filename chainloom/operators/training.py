@@ -1,24 +1,30 @@
 """Data-parallel training of a chain by two-site sweeps.
 
-The driver holds the chain. Each update of a merged pair of sites is one Spark job: tasks
-compute the loss and gradient sums of their own series, one small array each, and Spark
-adds them up. Nothing grows with the number of series but the tasks.
+The driver holds the chain. Each update of a merged pair of sites is one small Spark job
+over blocks of states (``blocks``), which keep the environments of the sweep: tasks sum
+the loss and gradient of their own series, and Spark adds the sums up. Nothing grows with
+the number of series but the tasks.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions.encodings import ENCODINGS
+from chainloom.functions.scaling import scaled
+from chainloom.operators.blocks import HalfSweep, block_summary, state_blocks
 from chainloom.operators.mps import Chain, compressed, left_orthogonal, merged, random_chain, split, sum_of_products
-from chainloom.operators.prediction import as_states, scores, states, summary
-from chainloom.operators.series import hashed, sampled_per_class
+from chainloom.operators.prediction import states
+from chainloom.operators.series import asserted, hashed, sampled_per_class
+
+
+PER_SWEEP = ("rate", "iterations", "solver", "loss", "max_bond", "cutoff")
 
 
 @dataclass(frozen=True)
@@ -40,6 +46,11 @@ class Options:
     norm_penalty: float = 0.0  # adds this times (|B|^2 - 1)^2 / 2
     seed: int = 456
 
+    def of_sweep(self, sweep: int) -> Options:
+        """Options given as lists hold a value for each sweep, the last one for all after it."""
+        lists = {k: v for k in PER_SWEEP if isinstance(v := getattr(self, k), (list, tuple))}
+        return replace(self, **{k: v[min(sweep, len(v)) - 1] for k, v in lists.items()})
+
     def changed(self, **values) -> Options:
         unknown = values.keys() - self.__dataclass_fields__.keys()
         if unknown:
@@ -77,44 +88,17 @@ def normalised(y, label):
 LOSSES = {"kld": kld, "mse": squared_error, "mixed": mixed, "normalised": normalised}
 
 
-def environments(chain: Chain, phi: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row: left of site j with its state, and the state of site j + 1 with what is right of it."""
-    left, right = np.ones((len(phi), 1), complex), np.ones((len(phi), 1), complex)
-    for k in range(j):
-        left = np.einsum("nl,ns,lsr->nr", left, phi[:, k].conj(), chain.tensors[k], optimize=True)
-    for k in range(chain.length - 1, j + 1, -1):
-        right = np.einsum("nr,ns,lsr->nl", right, phi[:, k].conj(), chain.tensors[k], optimize=True)
-    n = len(phi)
-    return np.einsum("nl,ns->nls", left, phi[:, j].conj()).reshape(n, -1), np.einsum("ns,nr->nsr", phi[:, j + 1].conj(), right).reshape(n, -1)
+def class_shares(counts: dict[int, int], separate: bool) -> np.ndarray:
+    """What one series of each class weighs: 1 / all, or 1 / its class."""
+    total = sum(counts.values())
+    return np.array([1 / counts[c] if separate else 1 / total for c in sorted(counts)])
 
 
-def loss_and_gradient(data: DataFrame, chain: Chain, bond: np.ndarray, j: int, options: Options, counts: dict[int, int]) -> tuple[float, np.ndarray]:
-    """``data``: label_index and states. The mean loss and the gradient with respect to the conjugate
-    of the merged tensor. With ``separate_classes`` each class is divided by its own count."""
-    spark, d = data.sparkSession, options.d
+def loss_and_gradient(half: HalfSweep, bond: np.ndarray, j: int, options: Options, counts: dict[int, int]) -> tuple[float, np.ndarray]:
+    """The mean loss and the gradient with respect to the conjugate of the merged tensor of
+    sites j and j + 1. With ``separate_classes`` each class is divided by its own count."""
     loss_of = LOSSES[options.loss] if isinstance(options.loss, str) else options.loss
-    sent = spark.sparkContext.broadcast((chain, bond))
-    total = sum(counts.values())
-    share = np.array([1 / counts[c] if options.separate_classes else 1 / total for c in sorted(counts)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, bond = sent.value
-        l, s, t, r, c = bond.shape
-        square, gradient, loss = bond.reshape(l * s, t * r, c), np.zeros((l * s, t * r, c), complex), 0.0
-        for b in batches:
-            label = b.column(0).to_numpy()
-            p, q = environments(chain, as_states(b.column(1), b.column(2), chain.length, d), j)
-            y = np.einsum("np,pqc,nq->nc", p, square, q, optimize=True)
-            each, weight = loss_of(y, label)
-            loss += float(each @ share[label])
-            gradient += np.einsum("np,nc,nq->pqc", p.conj(), weight * share[label][:, None], q.conj(), optimize=True)
-        values = np.r_[loss, gradient.ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values.real.copy()), pa.array(values.imag.copy())], names=["k", "re", "im"])
-
-    rows = data.mapInArrow(run, "k int, re double, im double").groupBy("k").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()  # entries of one merged tensor
-    values = np.zeros(bond.size + 1, complex)
-    values[rows["k"]] = rows["re"] + 1j * rows["im"]
-    sent.unpersist()
+    values = half.sums(bond, j, class_shares(counts, options.separate_classes), loss_of)
     loss, gradient, square = float(values[0].real), values[1:].reshape(bond.shape), float(np.vdot(bond, bond).real)
     if options.partition:
         loss, gradient = loss + np.log(square), gradient + bond / square
@@ -158,6 +142,8 @@ def updated(bond: np.ndarray, evaluate, options: Options) -> np.ndarray:
             size, slope = 1.0, np.vdot(g, direction).real
             while size > 1e-8 and not evaluate(bond + size * direction)[0] <= loss + 1e-4 * size * slope:
                 size /= 4
+            if size <= 1e-8:  # no step lowers the loss
+                break
             new, before = bond + size * direction, g
         else:
             raise ValueError(f"unknown solver {options.solver}")
@@ -170,45 +156,52 @@ def updated(bond: np.ndarray, evaluate, options: Options) -> np.ndarray:
     return bond / np.linalg.norm(bond) if options.rescale else bond
 
 
-def fit(train: DataFrame, test: DataFrame | None, options: Options, start: Chain | None = None, keep: DataFrame | None = None) -> tuple[Chain, list[dict]]:
+def fit(train: DataFrame, test: DataFrame | None, options: Options, start: Chain | None = None) -> tuple[Chain, list[dict]]:
     """Series with labels 0 to C - 1 and values in the encoding's range. Returns the chain and a log:
-    before training (sweep 0), after each sweep, and after the final normalisation."""
-    spark = train.sparkSession
-    length = train.select(F.size("x").alias("n")).first()
-    if length is None:
-        raise ValueError("there are no training series")
+    before training (sweep 0), after each sweep, and after the final normalisation. ``stop_below``
+    ends the sweeps when the KLD falls by less, on the test set if there is one."""
+    length = asserted(train)
     counts = {r["label"]: r["count"] for r in train.groupBy(F.col("label").cast("int").alias("label")).count().collect()}  # one row for each class
     if sorted(counts) != list(range(len(counts))):
         raise ValueError(f"labels must be 0 to C - 1, not {sorted(counts)}")
-    chain = start or random_chain(length.n, options.d, options.first_bond, len(counts), options.seed)
-    labelled = train.select(F.col("label").cast("int").alias("label"), "x")
-    data = states(labelled, options.encoding, options.d, "label").persist()  # read by every job of every sweep
+    chain = start or random_chain(length, options.d, options.first_bond, len(counts), options.seed)
+    sets = {name: state_blocks(rows, options.encoding, options.d) for name, rows in (("train", train), ("test", test)) if rows is not None}
+    judged = "test_kld" if test is not None else "train_kld"
     log: list[dict] = []
 
     def note(sweep: int, seconds: float) -> None:
         entry = {"sweep": sweep, "seconds": seconds}
-        for name, rows in (("train", train), ("test", test)):
-            if rows is not None:
-                found = summary(scores(rows, chain, options.encoding, options.d)).first()
-                entry |= {f"{name}_accuracy": found.accuracy, f"{name}_kld": found.kld, f"{name}_mse": found.mse}
+        for name, blocks in sets.items():
+            entry |= {f"{name}_{k}": v for k, v in block_summary(blocks, chain).items()}
         log.append(entry)
 
     try:
         note(0, 0.0)
         for sweep in range(1, options.sweeps + 1):
-            began = time.monotonic()
-            pairs = [(j, True) for j in range(chain.length - 2, -1, -1)] + [(j, False) for j in range(chain.length - 1)]
-            for j, to_left in pairs:
-                evaluate = lambda b, j=j, chain=chain: loss_and_gradient(data, chain, b, j, options, counts)
-                bond = updated(merged(chain, j), evaluate, options)
-                if not np.isfinite(bond).all():
-                    raise FloatingPointError(f"sweep {sweep}, sites {j} and {j + 1}: the tensor isn't finite")
-                chain = split(chain, j, bond, to_left, options.max_bond, options.cutoff)
+            now, began = options.of_sweep(sweep), time.monotonic()
+            for to_left in (True, False):
+                half = HalfSweep(sets["train"], chain, to_left)
+                for j in range(chain.length - 2, -1, -1) if to_left else range(chain.length - 1):
+                    bond = updated(merged(chain, j), lambda b, j=j, half=half: loss_and_gradient(half, b, j, now, counts), now)
+                    if not np.isfinite(bond).all():
+                        raise FloatingPointError(f"sweep {sweep}, sites {j} and {j + 1}: the tensor isn't finite")
+                    chain = split(chain, j, bond, to_left, now.max_bond, now.cutoff)
+                    site = j + 1 if to_left else j
+                    half.advance(site, chain.tensors[site])
+                half.close()
             note(sweep, time.monotonic() - began)
-            if options.stop_below is not None and 0 < log[-2]["train_kld"] - log[-1]["train_kld"] < options.stop_below:
+            if options.stop_below is not None and 0 < log[-2][judged] - log[-1][judged] < options.stop_below:
                 break
         chain = chain.normalised()
         note(len(log), log[-1]["seconds"])
     finally:
-        data.unpersist()
+        for blocks in sets.values():
+            blocks.unpersist()
     return chain, log
+
+
+def fit_scaled(train: DataFrame, test: DataFrame | None, options: Options, minmax_fit: str = "self") -> tuple[Chain, list[dict]]:
+    """``fit`` on raw series: a robust sigmoid fitted on ``train``, then the range of the encoding."""
+    e = ENCODINGS[options.encoding]
+    sets = scaled(train, *([test] if test is not None else []), to=(e.low, e.high), minmax_fit=minmax_fit)
+    return fit(sets[0], sets[1] if test is not None else None, options)

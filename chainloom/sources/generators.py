@@ -58,13 +58,18 @@ def sine_or_noise(spark: SparkSession, n: int, length: int, noise: float = 0.2,
     return _placed(rows, length, value).withColumn("split", F.when(u < 0.7, "train").when(u < 0.85, "validation").otherwise("test"))
 
 
-def trended(spark: SparkSession, n: int, length: int = 100, parameters=((1.0, 2.0, 0.01, 0.1), (1.0, 4.0, -0.01, 0.1)), seed: int = 0) -> DataFrame:
-    """Amplitude times a sine, plus a slope, plus uniform noise; one parameter set for each class."""
+#: Amplitude, turns, slope and noise of the two classes.
+TRENDS = ((1.0, 2.0, 0.01, 0.1), (1.0, 4.0, -0.01, 0.1))
+
+
+def trended(spark: SparkSession, n: int, length: int = 100, parameters=TRENDS, seed: int = 0) -> DataFrame:
+    """Amplitude times a sine, plus a slope, plus uniform noise; one parameter set (amplitude, turns,
+    slope, noise) for each class. The turns end at the last point, the slope counts from 1."""
     rows = _series(spark, n).withColumn("label", (F.col("series_id") % len(parameters)).cast("int"))
     sets = F.array(*[F.array(*[F.lit(float(p)) for p in ps]) for ps in parameters])
     a, f, slope, sigma = (sets[F.col("label")][i] for i in range(4))
     phase = uniform_of(seed, F.col("series_id")) * 2 * math.pi
-    value = a * F.sin(F.col("t") * (2 * math.pi / length) * f + phase) + slope * F.col("t") + sigma * uniform_of(seed + 1, F.col("series_id"), F.col("t"))
+    value = a * F.sin(F.col("t") * (2 * math.pi / max(length - 1, 1)) * f + phase) + slope * (F.col("t") + 1) + sigma * uniform_of(seed + 1, F.col("series_id"), F.col("t"))
     return _placed(rows, length, value)
 
 
@@ -78,10 +83,12 @@ def box_labels(values: DataFrame, n_bins: int = 20, domain: tuple[float, float]
 
 
 def truncated_pairs(spark: SparkSession, per_class: int, seed: int = 0, tries: int = 64) -> DataFrame:
-    """Two classes of Gaussian points, each the first of ``tries`` draws inside the unit square."""
+    """Two classes of Gaussian points, each the first of ``tries`` draws inside the unit square; a row
+    without one (less than one in 10**80) has its first draw moved to the square's edge."""
     rows = _series(spark, 2 * per_class).withColumn("label", (F.col("series_id") % 2).cast("int"))
     centre = F.when(F.col("label") == 0, 0.3).otherwise(0.7)
-    draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
-    draws = draws.withColumn("a", centre + 0.15 * normal_of(seed, F.col("series_id"), F.col("try"))).withColumn("b", centre + 0.15 * normal_of(seed + 7, F.col("series_id"), F.col("try")))
-    inside = draws.filter("a BETWEEN 0 AND 1 AND b BETWEEN 0 AND 1")
-    return inside.groupBy("series_id", "label").agg(F.min_by(F.array("a", "b"), "try").alias("x"))
+    draw = lambda k, j: centre + 0.15 * normal_of(seed + k, F.col("series_id"), j)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda j: F.array(draw(0, j), draw(7, j)))
+    inside = F.filter(draws, lambda p: F.forall(p, lambda v: v.between(0.0, 1.0)))
+    edge = F.transform(draws[0], lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+    return rows.withColumn("x", F.coalesce(F.get(inside, F.lit(0)), edge))

@@ -23,7 +23,3 @@ def write_labelled(series: DataFrame, path: str) -> None:
     """One line for each series: the label and the values, separated by spaces."""
     cells = F.concat(F.array(F.col("label").cast("double")), F.col("x"))
     series.select(F.concat_ws(" ", F.transform(cells, lambda v: v.cast("string"))).alias("value")).write.text(path)
-
-
-def read_model_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

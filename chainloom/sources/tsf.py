@@ -18,8 +18,21 @@ def read_tsf(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(frequency, "file", "left").drop("file")
 
 
+#: Steps of the frequencies that end in a fixed length of time or a calendar unit.
+STEPS = {
+    "secondly": "1 second", "4_seconds": "4 second", "minutely": "1 minute", "10_minutes": "10 minute", "15_minutes": "15 minute", "half_hourly": "30 minute",
+    "hourly": "1 hour", "daily": "1 day", "weekly": "7 day", "monthly": "1 month", "quarterly": "3 month", "yearly": "1 year",
+}
+
+
 def exploded(series: DataFrame) -> DataFrame:
-    """(series_name, ts, v): one row for each value, by the frequency's step."""
-    step = F.when(F.col("frequency") == "hourly", F.expr("interval 1 hour")).when(F.col("frequency") == "weekly", F.expr("interval 7 day")).otherwise(F.expr("interval 1 day"))
-    long = series.select("series_name", "start_ts", step.alias("step"), F.posexplode("x").alias("i", "v"))
-    return long.select("series_name", (F.col("start_ts") + F.col("step") * F.col("i")).alias("ts"), "v")
+    """(series_name, ts, v): one row for each value, by the frequency's step (days if the file names none).
+    A frequency that isn't known fails the query."""
+    long = series.select("series_name", "start_ts", "frequency", F.posexplode("x").alias("i", "v"))
+    known = F.col("frequency").isNull() | (F.col("frequency") == "daily")
+    ts = F.when(known, F.timestamp_add("DAY", F.col("i"), F.col("start_ts")))
+    for name, step in STEPS.items():
+        n, unit = step.split()
+        ts = ts.when(F.col("frequency") == name, F.timestamp_add(unit.upper(), F.col("i") * int(n), F.col("start_ts")))
+    failed = F.raise_error(F.concat(F.lit("the frequency isn't known: "), F.col("frequency"))).cast("timestamp_ntz")
+    return long.select("series_name", ts.otherwise(failed).alias("ts"), "v")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainloom.functions.scaling import scaled
-from chainloom.operators import mps, prediction, sampling, search, training
+from chainloom.operators import blocks, mps, prediction, sampling, search, training
 from chainloom.operators.overlap import half_angle_overlap, rescaled_fidelity
 from chainloom.sources import generators
 
@@ -40,6 +40,16 @@ def test_split_gives_the_tensor_back(j, to_left):
     assert back.centre == j + 1 and np.allclose(dense(back), dense(c))
 
 
+def test_model_table_keeps_shapes(spark):
+    """Slices of zeros at the ends of a bond, of d and of the classes come back."""
+    a, b = np.zeros((1, 2, 2), complex), np.zeros((2, 2, 1, 3), complex)
+    a[0, 0, 0] = b[0, 0, 0, 0] = 1
+    again = mps.chain_of(mps.model_table(spark, mps.Chain((a, b), 1), "z"), "z")
+    assert [t.shape for t in again.tensors] == [(1, 2, 2), (2, 2, 1, 3)] and np.array_equal(again.tensors[1], b)
+    with pytest.raises(ValueError):
+        mps.chain_of(mps.model_table(spark, again, "z"), "other")
+
+
 def test_model_table_round_trip(spark):
     c = mps.random_chain(3, 2, 2, 2, seed=3)
     again = mps.chain_of(mps.model_table(spark, c, "a").unionByName(mps.model_table(spark, mps.random_chain(2, 2, 2, 2, 1), "b")), "a")
@@ -60,10 +70,10 @@ def test_scores_equal_the_dense_contraction(spark, sines):
 @pytest.mark.parametrize("separate", [False, True])
 def test_gradients_equal_differences(sines, loss, separate):
     options = training.Options(loss=loss, separate_classes=separate)
-    data, counts = prediction.states(sines, "stoudenmire", 2, "label"), {0: 12, 1: 12}
-    c = mps.random_chain(5, 2, 2, 2, seed=5)
+    c, counts = mps.random_chain(5, 2, 2, 2, seed=5), {0: 12, 1: 12}
+    half = blocks.HalfSweep(blocks.state_blocks(sines, "stoudenmire", 2), c, True)
     bond = mps.merged(c, 3)
-    at = lambda b: training.loss_and_gradient(data, c, b, 3, options, counts)
+    at = lambda b: training.loss_and_gradient(half, b, 3, options, counts)
     _, g = at(bond)
     rng, h = np.random.default_rng(0), 1e-6
     direction = rng.normal(size=bond.shape) + 1j * rng.normal(size=bond.shape)
@@ -73,6 +83,40 @@ def test_gradients_equal_differences(sines, loss, separate):
         assert slope == pytest.approx(factor * np.vdot(g, direction).real, rel=1e-4)
 
 
+@pytest.mark.parametrize("kept", [1, 2, 100])
+def test_kept_environments_are_those_of_the_chain(sines, monkeypatch, kept):
+    """In both directions every update has the amplitudes that the whole chain gives, and blocks may be small."""
+    monkeypatch.setattr(blocks, "KEPT", kept)
+    monkeypatch.setattr(blocks, "ROWS", 5)
+    base, chain = blocks.state_blocks(sines, "stoudenmire", 2), mps.random_chain(5, 2, 3, 2, seed=8)
+    want = blocks.block_summary(base, chain)
+    found = prediction.summary(prediction.scores(sines, chain, "stoudenmire", 2)).first()
+    assert [want[k] for k in ("accuracy", "kld", "mse")] == pytest.approx([found.accuracy, found.kld, found.mse])
+    for to_left in (True, False):
+        half = blocks.HalfSweep(base, chain, to_left)
+        for j in range(3, -1, -1) if to_left else range(4):
+            loss, g = training.loss_and_gradient(half, mps.merged(chain, j), j, training.Options(), {0: 12, 1: 12})
+            assert loss == pytest.approx(want["kld"]) and np.vdot(mps.merged(chain, j), g) == pytest.approx(-1)
+            chain = mps.split(chain, j, mps.merged(chain, j), to_left, 10)
+            half.advance(j + 1 if to_left else j, chain.tensors[j + 1 if to_left else j])
+        half.close()
+
+
+def test_options_by_sweep_and_stopping_on_the_test_set(sines):
+    options = training.Options(sweeps=6, max_bond=[2, 3], first_bond=2, rate=(0.3, 0.0), solver=["tsgo", "descent"], stop_below=1e-9)
+    assert options.of_sweep(1).rate == 0.3 and options.of_sweep(5).solver == "descent" and options.of_sweep(2).max_bond == 3
+    chain, log = training.fit_scaled(sines, sines, options)
+    assert len(log) == 8 and log[2]["test_kld"] == pytest.approx(log[6]["test_kld"], rel=1e-2)  # little moves after the first sweep
+    stopped = training.fit(sines, sines, training.Options(sweeps=9, max_bond=3, first_bond=2, rate=0.2, stop_below=1e6))[1]
+    assert len(stopped) < 11
+
+
+def test_a_failed_line_search_keeps_the_tensor():
+    rising = lambda b: (float("inf") if np.any(b) else 0.0, np.ones(2, complex))
+    options = training.Options(solver="conjugate", iterations=3, rescale=False)
+    assert not training.updated(np.zeros(2, complex), rising, options).any()
+
+
 def test_training_separates_two_classes(sines):
     chain, log = training.fit(sines, sines, training.Options(sweeps=2, max_bond=4, first_bond=2, rate=0.3))
     assert log[-1]["train_accuracy"] >= 0.95 and log[-1]["train_kld"] < log[0]["train_kld"]
@@ -191,11 +235,11 @@ def test_sum_states_hold_their_series(spark, sines):
 
 @pytest.mark.parametrize("options", [training.Options(partition=True), training.Options(norm_penalty=0.2)])
 def test_gradients_of_the_norm(sines, options):
-    data = prediction.states(sines.withColumn("label", F.lit(0)), "stoudenmire", 2, "label")
     c = mps.random_chain(5, 2, 2, 1, seed=5)
+    half = blocks.HalfSweep(blocks.state_blocks(sines.withColumn("label", F.lit(0)), "stoudenmire", 2), c, True)
     bond, rng, h = mps.merged(c, 3) * 1.3, np.random.default_rng(0), 1e-6
     direction = rng.normal(size=bond.shape) + 1j * rng.normal(size=bond.shape)
-    at = lambda b, o: training.loss_and_gradient(data, c, b, 3, o, {0: 24})
+    at = lambda b, o: training.loss_and_gradient(half, b, 3, o, {0: 24})
     extra = lambda b: at(b, options)[0] - at(b, training.Options())[0]
     g = at(bond, options)[1] - at(bond, training.Options())[1]
     slope = (extra(bond + h * direction) - extra(bond - h * direction)) / (2 * h)

@@ -33,6 +33,18 @@ def test_tsf(spark, tmp_path):
     assert [str(r.ts.date()) for r in long] == ["1850-01-01", "1850-01-02", "1850-01-03"]
 
 
+@pytest.mark.parametrize("frequency, second", [("hourly", "2020-01-31 01:00:00"), ("monthly", "2020-02-29 00:00:00"), ("weekly", "2020-02-07 00:00:00"), ("yearly", "2021-01-31 00:00:00"), ("10_minutes", "2020-01-31 00:10:00")])
+def test_tsf_steps(spark, tmp_path, frequency, second):
+    (tmp_path / "a.tsf").write_text(f"@frequency {frequency}\n@data\nT1:2020-01-31 00-00-00:1,2\n")
+    assert str(tsf.exploded(tsf.read_tsf(spark, str(tmp_path / "a.tsf"))).orderBy("ts").collect()[1].ts) == second
+
+
+def test_tsf_of_an_unknown_frequency_fails(spark, tmp_path):
+    (tmp_path / "a.tsf").write_text("@frequency fortnightly\n@data\nT1:2020-01-31 00-00-00:1,2\n")
+    with pytest.raises(Exception, match="fortnightly"):
+        tsf.exploded(tsf.read_tsf(spark, str(tmp_path / "a.tsf"))).collect()
+
+
 @pytest.mark.parametrize("values", [[1.0], [5.0] * 9, [3.0, 1.0, 2.0], list(np.random.default_rng(0).normal(size=20_000)), [0.0] * 9000 + [1.0, -1e9, 1e300]])
 def test_exact_quantiles(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
@@ -113,10 +125,14 @@ def test_generators_are_the_same_in_any_partitioning(spark):
     assert a == generators.sinusoids(spark, 10, 20, noise=0.1, seed=4).repartition(3).orderBy("series_id").collect()
     assert len(a[0].x) == 20 and {r.label for r in a} == {0, 1}
     assert sorted(r.x for r in generators.constant_classes(spark, 2, 3).collect()) == [[0.0] * 3] * 2 + [[1.0] * 3] * 2
-    assert all(0 <= v <= 1 for r in generators.truncated_pairs(spark, 20).collect() for v in r.x)
+    for tries in (64, 1):
+        pairs = generators.truncated_pairs(spark, 200, tries=tries).collect()
+        assert len(pairs) == 400 and all(0 <= v <= 1 for r in pairs for v in r.x)
+        assert all(abs(sum(r.x[0] for r in pairs if r.label == c) / 200 - m) < 0.05 for c, m in ((0, 0.3), (1, 0.7)))
     noise = generators.sine_or_noise(spark, 200, 50, seed=1).filter("label = 1").select(F.explode("x").alias("v")).agg(F.avg("v"), F.stddev("v")).first()
     assert abs(noise[0]) < 0.05 and abs(noise[1] - 1) < 0.05
-    assert generators.trended(spark, 4, 30).count() == 4
+    still = generators.trended(spark, 4, 30, parameters=((1.0, 2.0, 0.5, 0.0),)).collect()
+    assert len(still) == 4 and all(r.x[29] - r.x[0] == pytest.approx(0.5 * 29) for r in still)  # two whole turns
     assert 0 < generators.box_labels(spark.range(100).select((F.col("id") / 100).alias("v")), 20).agg(F.avg("label")).first()[0] < 1
 
 
