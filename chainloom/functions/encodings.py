@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions.quantiles import grouped_order_statistics
+
 PI = math.pi
 
 
@@ -128,25 +130,18 @@ def histogram_edges(series: DataFrame, n_bins: int, low: float, high: float) ->
     """(t, edges): for each time point edges of bins of equal counts, halfway between the
     neighbouring values at each multiple of the step; edges that aren't reached are ``high``.
 
-    Ranks come from a window by time point over counts of equal values, so repeated values
-    and many series don't widen a window beyond the distinct values of one time point.
+    The neighbours are order statistics, found by counts in bins: no time point is gathered.
     """
-    from pyspark.sql import Window
-
     long = series.select(F.posexplode("x").alias("t", "v"))
-    counts = long.groupBy("t", "v").agg(F.count("*").alias("n"))
-    by_value = Window.partitionBy("t").orderBy("v")
-    ranked = counts.select(
-        "t", "v", F.sum("n").over(by_value.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "n",
-        F.lead("v").over(by_value).alias("next"), F.sum("n").over(Window.partitionBy("t")).alias("total"),
-    )
-    step = F.greatest(F.bround(F.col("total") / n_bins).cast("long"), F.lit(1).cast("long"))
-    ks = F.filter(F.sequence(F.lit(1), F.lit(max(n_bins - 1, 1))), lambda k: (k * F.col("step") <= F.col("upto")) & (k * F.col("step") > F.col("upto") - F.col("n")) & (k < n_bins) & (k * F.col("step") < F.col("total")))
-    cuts = ranked.withColumn("step", step).select("t", "v", "next", "upto", "step", F.explode(ks).alias("k"))
-    value = F.when(F.col("k") * F.col("step") == F.col("upto"), (F.col("v") + F.col("next")) / 2).otherwise(F.col("v"))
-    found = cuts.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("k", value.alias("e")))).alias("inner"))
-    times = counts.select("t").distinct()
-    inner = F.transform(F.coalesce("inner", F.array().cast("array<struct<k:int,e:double>>")), lambda s: s["e"])
+    step = lambda n: F.greatest(F.bround(n / n_bins).cast("long"), F.lit(1).cast("long"))
+    ks = F.transform(F.sequence(F.lit(1), F.lit(max(n_bins - 1, 1))), lambda k: k.cast("long"))
+    inner_ks = lambda n: F.filter(ks, lambda k: (k < n_bins) & (k * step(n) < n))
+    ranks = lambda n: F.flatten(F.transform(inner_ks(n), lambda k: F.array(k * step(n) - 1, k * step(n))))
+    found = grouped_order_statistics(long, ["t"], "v", ranks)
+    times = long.select("t").distinct()
+    pairs = F.transform(F.sequence(F.lit(1), F.size("x"), F.lit(2)), lambda i: (F.element_at("x", i) + F.element_at("x", i + 1)) / 2)
+    found = found.select("t", F.when(F.size("x") > 0, pairs).alias("inner"))
+    inner = F.coalesce("inner", F.array().cast("array<double>"))
     padded = F.concat(F.array(F.lit(float(low))), inner, F.array_repeat(F.lit(float(high)), F.lit(n_bins) - F.size(inner)))
     return times.join(found, "t", "left").select("t", padded.alias("edges"))
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS, FEW = 2048, 4096
@@ -62,3 +63,43 @@ def exact_quantiles(df: DataFrame, column, probabilities: list[float]) -> list[f
         a, b = at[math.floor(k)], at[math.ceil(k)]
         found.append(a + (b - a) * (k - math.floor(k)))
     return found
+
+
+GROUP_BINS, GROUP_FEW = 1024, 1024
+
+
+def grouped_order_statistics(df: DataFrame, by: list[str], column: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """(by, n, x): the values of ``column`` at the ranks (from 0, an array made of the group's count) of every group.
+
+    Like ``order_statistics``, with the ranges of all groups as a table: each pass counts values in bins of
+    the ranges that are still wide, and at most ``GROUP_FEW`` values of a range are gathered at the end. Nulls
+    are left out; a null key is a group.
+    """
+    rows = df.select(F.struct(*by).alias("g"), F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    extent = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = extent.select("g", "n", F.explode(F.array_distinct(ranks(F.col("n")))).alias("rank"), "lo", "hi", F.col("n").alias("held"), F.lit(0).cast("long").alias("below")).persist()
+    wide = (F.col("lo") < F.col("hi")) & (F.col("held") > GROUP_FEW)
+    while not wanted.filter(wide).isEmpty():
+        spans = wanted.filter(wide).select("g", "lo", "hi").distinct()
+        place = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), (F.col("hi") - F.col("lo")) / GROUP_BINS), F.lit(0.0)))
+        inside = rows.join(spans, "g").filter("v BETWEEN lo AND hi").withColumn("b", F.least(F.greatest(place, F.lit(0)), F.lit(GROUP_BINS - 1)))
+        bins = inside.groupBy("g", "lo", "hi", "b").agg(F.count("*").alias("n_bin"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
+        bins = bins.withColumn("upto", F.sum("n_bin").over(Window.partitionBy("g", "lo", "hi").orderBy("b")))  # GROUP_BINS rows at most
+        at = F.col("rank") - F.col("below")
+        found = wanted.filter(wide).join(bins, ["g", "lo", "hi"]).filter((at < F.col("upto")) & (at >= F.col("upto") - F.col("n_bin")))
+        found = found.select("g", "n", "rank", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), F.col("n_bin").alias("held"), (F.col("below") + F.col("upto") - F.col("n_bin")).alias("below"))
+        wanted = wanted.filter(~wide).unionByName(found).persist()
+    few = rows.join(wanted.filter("lo < hi").select("g", "lo", "hi").distinct(), "g").filter("v BETWEEN lo AND hi")
+    few = few.groupBy("g", "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    value = F.coalesce(F.try_element_at("vs", (F.col("rank") - F.col("below") + 1).cast("int")), F.col("lo"))
+    values = wanted.join(few, ["g", "lo", "hi"], "left").groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", value.alias("x")))).alias("x"))
+    return values.select("g.*", "n", F.transform(ranks(F.col("n")), lambda r: F.element_at("x", r)).alias("x"))
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], column: str, probabilities: list[float]) -> DataFrame:
+    """(by, n, quantiles): linearly interpolated quantiles of the values of every group that aren't null."""
+    at = lambda p, n: F.lit(float(p)) * (n - 1)
+    ranks = lambda n: F.array(*[f(at(p, n)).cast("long") for p in probabilities for f in (F.floor, F.ceil)])
+    found, x = grouped_order_statistics(df, by, column, ranks), F.col("x")
+    parts = [x[2 * k] + (x[2 * k + 1] - x[2 * k]) * (at(p, F.col("n")) - F.floor(at(p, F.col("n")))) for k, p in enumerate(probabilities)]
+    return found.select(*by, "n", F.array(*parts).alias("quantiles"))

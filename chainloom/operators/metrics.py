@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainloom.functions.quantiles import grouped_quantiles
+
 
 def mape(a: Column, f: Column) -> Column:
     return F.avg(F.try_divide(F.abs(a - f), F.abs(a)))
@@ -63,8 +65,10 @@ def binary_scores(predictions: DataFrame, truth: str | Column, predicted: str |
 
 def bin_rules(values: DataFrame, by: list[str], v: str) -> DataFrame:
     """Numbers of histogram bins by the rules of Sturges, Scott, Freedman-Diaconis and square root.
-    The quartiles are those of ``percentile``; groups are expected to be shots at a time, not whole tables."""
-    found = values.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_samp(v).alias("s"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"))
+    A group may be a whole table."""
+    found = values.groupBy(F.struct(*by).alias("g")).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_samp(v).alias("s"))
+    quartiles = grouped_quantiles(values, by, v, [0.25, 0.75]).select(F.struct(*by).alias("g"), F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("q3"))
+    found = found.join(quartiles, "g", "left").select("g.*", "n", "lo", "hi", "s", "q1", "q3")
     n, spread = F.col("n").cast("double"), F.col("hi") - F.col("lo")
     return found.select(
         *by, F.ceil(F.log2(n) + 1).cast("long").alias("sturges"),

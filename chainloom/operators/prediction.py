@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.encodings import ENCODINGS, checked, complex_of
+from chainloom.functions.quantiles import grouped_quantiles
 from chainloom.operators.mps import Chain
 
 
@@ -74,4 +75,6 @@ def summary(scored: DataFrame) -> DataFrame:
 def overlap_statistics(scored: DataFrame) -> DataFrame:
     """(label, model, median, least, greatest) of the class overlaps by true class."""
     long = scored.select("label", F.posexplode("weight").alias("model", "w")).withColumn("o", F.sqrt("w"))
-    return long.groupBy("label", "model").agg(F.percentile("o", 0.5).alias("median"), F.min("o").alias("least"), F.max("o").alias("greatest"))
+    medians = grouped_quantiles(long, ["label", "model"], "o", [0.5]).select(F.struct("label", "model").alias("g"), F.col("quantiles")[0].alias("median"))
+    extent = long.groupBy(F.struct("label", "model").alias("g")).agg(F.min("o").alias("least"), F.max("o").alias("greatest"))
+    return extent.join(medians, "g", "left").select("g.*", "median", "least", "greatest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainloom.functions import scaling as P
-from chainloom.functions.quantiles import exact_quantiles
+from chainloom.functions.quantiles import exact_quantiles, grouped_quantiles
 from chainloom.operators import series as S
 from chainloom.plans.common import CELLS, SIGMOID, embeddings, ranged, six, table
 
@@ -57,7 +57,7 @@ def sax_normal(spark, d):
 
 def sax_quantile(spark, d):
     long = S.long_form(embeddings(spark, d))
-    cuts = long.groupBy("t").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
+    cuts = grouped_quantiles(long, ["t"], "v", [0.25, 0.5, 0.75]).select("t", F.col("quantiles").alias("cuts"))
     return long.join(cuts, "t").select("series_id", "t", P.letter(P.cut_bin(F.col("v"), F.col("cuts"))).alias("symbol"))
 
 

@@ -142,3 +142,21 @@ def test_errors_guard_zero(spark):
     assert (r.mape, r.mse, r.mae, r.rmse) == (0.5, 1.0, 1.0, 1.0) and r.smape == pytest.approx((2 + 2 / 3) / 2)
     assert metrics.binary_scores(spark.createDataFrame([(1, 1)], "t int, p int"), "t", "p").first().specificity is None
     assert math.isclose(metrics.histogram_mode(df, ["k"], "actual", 2).first().mode, 0.5)
+
+
+@pytest.mark.parametrize("few, bins", [(1024, 1024), (5, 16)])
+def test_grouped_quantiles(spark, monkeypatch, few, bins):
+    """Of long, short, tied and null groups; with small limits in several passes."""
+    import numpy as np
+
+    from chainloom.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "GROUP_FEW", few)
+    monkeypatch.setattr(quantiles, "GROUP_BINS", bins)
+    r = np.random.default_rng(5)
+    groups = {"a": r.normal(size=700), "b": np.r_[r.normal(size=50), [0.25] * 400, [1e9]], None: r.integers(0, 4, 300).astype(float), "c": np.array([3.5]), "d": np.array([7.0] * 60)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    found = quantiles.grouped_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]).collect()
+    assert {x.g for x in found} == set(groups) and {x.g: x.n for x in found} == {g: len(v) for g, v in groups.items()}
+    for x in found:
+        assert x.quantiles == pytest.approx(np.quantile(groups[x.g], [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]).tolist(), rel=1e-12)
