@@ -35,6 +35,7 @@ by ``clean``.
 from __future__ import annotations
 
 import re
+from itertools import chain, compress
 
 import numpy as np
 import xxhash
@@ -70,12 +71,15 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > self.MEMORY:
             self.clear()
-        bare = word.strip(SIGNS)
-        found = 0
+        bare, found = word.strip(SIGNS), 0
         if bare:
-            low = bare.lower()
-            found = (xxhash.xxh64_intdigest(low.translate(_NO_SIGNS).encode()) & ~15) or 16
-            found |= 1 * (bare[0].isupper() and not (len(bare) > 1 and bare.isupper())) | 2 * bool(NUMBER(bare)) | 4 * (word[-1] in ".!?:") | 8 * (low in UNITS)
+            low, first = bare.lower(), bare[0]
+            found = (xxhash.xxh64_intdigest(low if low.isalnum() else low.translate(_NO_SIGNS)) & ~15) or 16
+            if first.isupper():
+                found |= len(bare) == 1 or not bare.isupper()
+            elif first.isdecimal() and NUMBER(bare):
+                found |= 2
+            found |= 4 * (word[-1] in ".!?:") | 8 * (low in UNITS)
         self[word] = found
         return found
 
@@ -86,22 +90,28 @@ _words = Words()
 def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Hashes of the canonical words, which of them are placeholders, the words as they stand,
     and the hashes of all words without placeholders."""
-    words = text.split()
+    return canonical_all([text])[:4]
+
+
+def canonical_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """``canonical`` of all texts one after another, and the number of the text that each word is of."""
+    lists = [t.split() for t in texts]
+    words, text = list(chain.from_iterable(lists)), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     real = h != 0
     if not real.all():
-        words = [w for w, r in zip(words, real) if r]
-        h = h[real]
+        words, text, h = list(compress(words, real)), text[real], h[real]
     if not len(h):
-        return h, np.zeros(0, bool), words, h
-    begins = np.r_[True, (h[:-1] & ENDS) > 0]
+        return h, np.zeros(0, bool), words, h, text
+    first = np.r_[True, text[1:] != text[:-1]]
+    begins = first | np.r_[True, (h[:-1] & ENDS) > 0]
     number = (h & IS_NUMBER) > 0
-    unit = ((h & UNIT) > 0) & np.r_[False, number[:-1]]
+    unit = ((h & UNIT) > 0) & np.r_[False, number[:-1]] & ~first
     name = ((h & CAPITAL) > 0) & ~begins & ~number & ~unit
     bare = h & LITERAL_MASK
     h = bare.copy()
     h[number], h[unit], h[name] = _NUM, _UNIT, _NAME
-    return h, number | unit | name, words, bare
+    return h, number | unit | name, words, bare, text
 
 
 def window_hashes(h: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,26 +171,28 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataF
     """(doc_id, text_hash, doc_at, hash, doc_slots) of the windows that the bit map knows."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(sized_bit_map(windows.select("hash")))
-    sizes = [r.size for r in windows.select("size").distinct().collect()]  # within LEAST_ITEM and LONGEST_WINDOW
+    sizes = [(r.size, r.literal) for r in windows.select("size", "literal").distinct().collect()]  # within LEAST_ITEM and LONGEST_WINDOW
 
     def make(columns):
         out = {k: [] for k in ("doc_id", "text_hash", "doc_at", "hash", "doc_slots")}
-        for doc, text_hash, text in zip(*columns):
-            h, slots, words, bare = canonical(text)
-            for size in sizes:
+        h, slots, words, bare, of = canonical_all(columns[2])
+        begin = np.searchsorted(of, np.arange(len(columns[2])))
+        for size, literal in sizes:
+            if literal:
+                hashes = literal_hashes(bare, size)
+                starts = np.arange(len(hashes))
+            else:
                 starts, hashes = window_hashes(h, slots, size)
-                hit = np.flatnonzero(in_bit_map(known.value, hashes.view(np.int64)))
-                found = [(s, x, slot_values(words, slots, s, size)) for s, x in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist())]
-                every = literal_hashes(bare, size).view(np.int64)
-                hit = np.flatnonzero(in_bit_map(known.value, every))
-                found += [(s, x, []) for s, x in zip(hit.tolist(), every[hit].tolist())]
-                for s, x, values in found:
-                    for k, v in zip(out, (doc, text_hash, s, x, values)):
-                        out[k].append(v)
+            hit = np.flatnonzero(in_bit_map(known.value, hashes.view(np.int64)))
+            hit = hit[of[starts[hit]] == of[starts[hit] + size - 1]]  # not across two texts
+            for s, x, row in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist(), of[starts[hit]].tolist()):
+                values = [] if literal else slot_values(words, slots, s, size)
+                for k, v in zip(out, (columns[0][row], columns[1][row], s - int(begin[row]), x, values)):
+                    out[k].append(v)
         return out
 
     text = text_or_empty(text_col)
-    return map_rows(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text), make, "doc_id long, text_hash long, doc_at int, hash long, doc_slots array<string>")
+    return map_rows(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text), make, "doc_id long, text_hash long, doc_at int, hash long, doc_slots array<string>", max_rows=300)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cover: float = LEAST_COVER, least_run: int = LEAST_RUN) -> DataFrame:
