@@ -102,6 +102,39 @@ def legendre(v: Column, d: int, degrees: list[int] | None = None, norm: bool = T
     return [legendre_polynomial(v, n) * (math.sqrt((2 * n + 1) / 2) / by) for n in ls]
 
 
+def fourier_by_list(v: Column, ks: Column) -> Column:
+    """Array of exp(i pi k v) / sqrt(d) for the frequencies of a column, which may differ by time point."""
+    size = F.sqrt(F.size(ks).cast("double"))
+    return F.transform(ks, lambda k: complex_of(F.cos(v * (PI * k)) / size, F.sin(v * (PI * k)) / size))
+
+
+def legendre_by_list(v: Column, ls: Column, most: int, norm: bool = True) -> Column:
+    """Array of the normalised Legendre functions of the degrees of a column, up to ``most``."""
+    values = F.array(*[legendre_polynomial(v, n) * math.sqrt((2 * n + 1) / 2) for n in range(most + 1)])
+    by = F.sqrt(F.sqrt((2 * F.array_max(ls) + 1) / 2) * F.size(ls)) if norm else F.lit(1.0)
+    return F.transform(ls, lambda l: complex_of(values[l] / by, F.lit(0.0)))
+
+
+def by_time(series: DataFrame, lists: DataFrame, make: Callable[[Column, Column], Column]) -> DataFrame:
+    """(series_id, t, k, re, im): ``make`` of each value and the list of its time point. ``lists``: t, ks (one row for a time point)."""
+    long = series.select("series_id", F.posexplode("x").alias("t", "v")).join(lists, "t")
+    z = long.select("series_id", "t", F.posexplode(make(F.col("v"), F.col("ks"))).alias("k", "z"))
+    return z.select("series_id", "t", "k", F.col("z.re").alias("re"), F.col("z.im").alias("im"))
+
+
+def number_states(symbols: DataFrame, number: Column, d: int) -> DataFrame:
+    """(series_id, t, k, re, im): the basis state of each symbol's number (0 to d - 1), as letters (a is 0) and
+    bits are encoded. A symbol outside fails the query. ``symbols``: series_id, t."""
+    fits = F.when(number.between(0, d - 1), number).otherwise(F.raise_error(F.lit(f"a symbol has no state among {d}")).cast("int"))
+    states = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda k: F.when(k == F.col("number"), 1.0).otherwise(0.0))
+    long = symbols.withColumn("number", fits).select("series_id", "t", F.posexplode(states).alias("k", "re"))
+    return long.withColumn("im", F.lit(0.0))
+
+
+def letter_number(symbol: Column) -> Column:
+    return F.ascii(symbol) - 97
+
+
 def uniform(v: Column, d: int) -> list[Column]:
     return [F.lit(1.0 / d) for _ in range(d)]
 

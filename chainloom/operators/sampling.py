@@ -9,6 +9,7 @@ the same trajectories.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.functions.encodings import ENCODINGS
+from chainloom.operators.metrics import forecast_errors
 from chainloom.operators.prediction import as_states, states
+from chainloom.operators.series import long_form
 from chainloom.sources.generators import uniform_of
 
 
@@ -29,8 +32,9 @@ def grid_states(spark: SparkSession, encoding: str, d: int, points: int = 200) -
     return np.array(row.x), (np.array(row.re) + 1j * np.array(row.im)).reshape(points, d)
 
 
-def drawn(tensors: list[np.ndarray], phi: np.ndarray, known: np.ndarray, u: np.ndarray, grid: np.ndarray, grid_phi: np.ndarray) -> np.ndarray:
-    """(rows, sites) values; those of known sites are NaN. ``known`` may differ from row to row."""
+def drawn(tensors: list[np.ndarray], phi: np.ndarray, known: np.ndarray, u: np.ndarray, grid: np.ndarray, grid_phi: np.ndarray, ordered: bool = False) -> np.ndarray:
+    """(rows, sites) values; those of known sites are NaN. ``known`` may differ from row to row. ``ordered``:
+    a site knows of what is to its left alone."""
     n, length = known.shape
     right = [np.ones((n, 1, 1), complex)]
     for j in range(length - 1, 0, -1):  # environments of what is to the right of each site
@@ -38,7 +42,7 @@ def drawn(tensors: list[np.ndarray], phi: np.ndarray, known: np.ndarray, u: np.n
         one = np.einsum("ns,lsr->nlr", phi[:, j].conj(), a, optimize=True)
         fixed = np.einsum("nlr,nrq,nkq->nlk", one, r, one.conj(), optimize=True)
         free = np.einsum("lsr,nrq,ksq->nlk", a, r, a.conj(), optimize=True)
-        env = np.where(known[:, j, None, None], fixed, free)
+        env = np.where(known[:, j, None, None] & (not ordered), fixed, free)
         right.append(env / np.maximum(np.abs(np.trace(env, axis1=1, axis2=2)), 1e-300)[:, None, None])
     right.reverse()
     left, out = np.ones((n, 1), complex), np.full((n, length), np.nan)
@@ -62,9 +66,10 @@ def drawn(tensors: list[np.ndarray], phi: np.ndarray, known: np.ndarray, u: np.n
     return out
 
 
-def imputed(series: DataFrame, tensors: list[np.ndarray], encoding: str, d: int, missing: list[int], shots: int, seed: int = 0, points: int = 200) -> DataFrame:
+def imputed(series: DataFrame, tensors: list[np.ndarray], encoding: str, d: int, missing: list[int], shots: int, seed: int = 0, points: int = 200, ordered: bool = False) -> DataFrame:
     """(series_id, shot, t, x) of the sites in ``missing`` for every series and shot. The others condition
-    them, also those that come later. The last sites as ``missing`` make it a forecast."""
+    them, also those that come later, unless ``ordered``: then sites are met in the order of time and only
+    earlier ones count. The last sites as ``missing`` make it a forecast."""
     spark, length = series.sparkSession, len(tensors)
     grid, grid_phi = grid_states(spark, encoding, d, points)
     model = spark.sparkContext.broadcast((tensors, grid, grid_phi, sorted(missing)))
@@ -83,7 +88,7 @@ def imputed(series: DataFrame, tensors: list[np.ndarray], encoding: str, d: int,
                 b = whole.slice(at, 512)
                 known = np.ones((b.num_rows, length), bool)
                 known[:, missing] = False
-                x = drawn(tensors, as_states(b.column(2), b.column(3), length, d), known, b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, length), grid, grid_phi)
+                x = drawn(tensors, as_states(b.column(2), b.column(3), length, d), known, b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, length), grid, grid_phi, ordered)
                 k = len(missing)
                 ids, shot = (np.repeat(b.column(i).to_numpy(), k) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shot), pa.array(np.tile(np.array(missing, np.int32), b.num_rows)), pa.array(x[:, missing].ravel())], names=["series_id", "shot", "t", "x"])
@@ -95,6 +100,34 @@ def forecast(series: DataFrame, tensors: list[np.ndarray], encoding: str, d: int
     return imputed(series, tensors, encoding, d, list(range(len(tensors) - horizon, len(tensors))), shots, seed)
 
 
+def by_class(series: DataFrame, class_states: list[list[np.ndarray]], find) -> DataFrame:
+    """``find(own series, own state)`` of each class, one table after another, with the class as ``label``."""
+    found = [find(series.filter(F.col("label") == c), state).withColumn("label", F.lit(c)) for c, state in enumerate(class_states)]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def class_forecast_scores(series: DataFrame, class_states: list[list[np.ndarray]], encoding: str, d: int, horizon: int, shots: int, seed: int = 0) -> DataFrame:
+    """(label, n_series, mape, smape, mse, mae, rmse): every series forecast by the state of its class,
+    errors of the mean trajectory over all series and steps of a class."""
+    found = by_class(series, class_states, lambda own, state: forecast(own, state, encoding, d, horizon, shots, seed))
+    pairs = trajectories(found).join(long_form(series).select("series_id", "label", "t", F.col("v").alias("actual")), ["series_id", "t"])
+    errors = forecast_errors(pairs, ["label"], "actual", "mean")
+    return series.groupBy("label").agg(F.count("*").alias("n_series")).join(errors, "label")
+
+
+def forecast_sweep(series: DataFrame, tensors: list[np.ndarray], encoding: str, d: int, horizons: list[int], shots: list[int], seed: int = 0) -> DataFrame:
+    """(horizon, shots, smape, ...): errors of the mean trajectory for each horizon and number of shots. The
+    shots of a horizon are drawn once; a smaller number takes the first of them."""
+    truth = long_form(series).select("series_id", "t", F.col("v").alias("actual"))
+    found = []
+    for horizon in horizons:
+        drawn_once = forecast(series, tensors, encoding, d, horizon, max(shots), seed)
+        counts = F.explode(F.filter(F.array(*[F.lit(n) for n in sorted(shots)]), lambda n: n > F.col("shot")))
+        means = drawn_once.withColumn("shots", counts).groupBy("series_id", "t", "shots").agg(F.avg("x").alias("mean"))
+        found.append(forecast_errors(means.join(truth, ["series_id", "t"]), ["shots"], "actual", "mean").withColumn("horizon", F.lit(horizon)))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def trajectories(shots: DataFrame) -> DataFrame:
     """(series_id, t, mean, deviation, n) over the shots."""
     return shots.groupBy("series_id", "t").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation"), F.count("*").alias("n"))

@@ -6,19 +6,20 @@ appended to the result table, and a restart leaves out the cells that are in it.
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainloom.functions.scaling import scaled
 from chainloom.functions.encodings import ENCODINGS
 from chainloom.operators.series import hashed, stratified_folds
-from chainloom.operators.training import Options, fit
+from chainloom.operators.training import Options, fit_scaled
 
 CELL = ["fold", "rate", "d", "max_bond", "encoding"]
 GRID_SCHEMA = "fold int, rate double, d int, max_bond int, encoding string"
-RESULT_SCHEMA = GRID_SCHEMA + ", sweep int, train_accuracy double, train_kld double, test_accuracy double, test_kld double, seconds double, error string"
+RESULT_SCHEMA = GRID_SCHEMA + ", sweep int, train_accuracy double, train_kld double, test_accuracy double, test_kld double, seconds double, error string, run string"
 
 
 def grid(spark: SparkSession, n_folds: int, rates: list[float], ds: list[int], bonds: list[int], encodings: list[str], most: int | None = None) -> DataFrame:
@@ -34,29 +35,51 @@ def remaining(cells: DataFrame, done: DataFrame) -> DataFrame:
     return cells.join(done.select(*CELL).distinct(), CELL, "left_anti")
 
 
-def run_grid(series: DataFrame, cells: DataFrame, path: str, n_folds: int, options: Options, seed: int = 1) -> DataFrame:
-    """Trains every cell that ``path`` doesn't hold yet, in the order of their cost, and returns the table."""
-    spark = series.sparkSession
+def run_of(n_folds: int, options: Options, seed: int) -> str:
+    """What results must have in common to stand in one table: everything but the grid itself."""
+    rest = {k: str(v) for k, v in sorted(vars(options).items()) if k not in CELL}
+    return json.dumps({"n_folds": n_folds, "seed": seed} | rest)
+
+
+def run_grid(series: DataFrame, cells: DataFrame, path: str, n_folds: int, options: Options, seed: int = 1, parallel: int = 1) -> DataFrame:
+    """Trains every cell that ``path`` doesn't hold yet, in the order of their cost, ``parallel`` cells at a
+    time, and returns the table. Results of a run with other parameters are refused."""
+    spark, run = series.sparkSession, run_of(n_folds, options, seed)
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        cells = remaining(cells, spark.read.parquet(path))
+        done = spark.read.parquet(path)
+        if other := done.filter(F.col("run") != run).select("run").first():
+            raise ValueError(f"{path} holds results of another run: {other.run}, not {run}")
+        cells = remaining(cells, done)
     folds = stratified_folds(series, n_folds, hashed(seed)).select("series_id", "fold")
     dealt = series.join(folds, "series_id")
-    for cell in cells.orderBy(F.col("max_bond") * F.col("d"), *CELL).collect():  # one row for each cell
+
+    def trained(cell) -> list[tuple]:
         train, test = dealt.filter(F.col("fold") != cell.fold).drop("fold"), dealt.filter(F.col("fold") == cell.fold).drop("fold")
-        e = ENCODINGS[cell.encoding]
-        train, test = scaled(train, test, to=(e.low, e.high))
         chosen = options.changed(rate=cell.rate, d=cell.d, max_bond=cell.max_bond, encoding=cell.encoding)
         key = tuple(cell[c] for c in CELL)
         try:
-            log = fit(train, test, chosen)[1]
-            rows = [(*key, x["sweep"], x["train_accuracy"], x["train_kld"], x["test_accuracy"], x["test_kld"], x["seconds"], None) for x in log]
+            log = fit_scaled(train, test, chosen)[1]
+            return [(*key, x["sweep"], x["train_accuracy"], x["train_kld"], x["test_accuracy"], x["test_kld"], x["seconds"], None, run) for x in log]
         except FloatingPointError as error:
-            rows = [(*key, None, None, None, None, None, None, str(error))]
-        spark.createDataFrame(rows, RESULT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+            return [(*key, None, None, None, None, None, None, str(error), run)]
+
+    todo = cells.orderBy(F.col("max_bond") * F.col("d"), *CELL).collect()  # one row for each cell
+    with ThreadPoolExecutor(parallel) as pool:  # the driver starts jobs, the cluster shares its cores among them
+        for done in as_completed([pool.submit(trained, cell) for cell in todo]):  # written one after another
+            spark.createDataFrame(done.result(), RESULT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
+def write_report(spark: SparkSession, path: str, options: Options, log: list[dict], confusion: DataFrame | None = None) -> None:
+    """A text report: the options, a line for each sweep, and the confusion table."""
+    lines = [f"{k} = {v}" for k, v in vars(options).items()]
+    lines += ["; ".join(f"{k} {v:.6g}" for k, v in entry.items() if v is not None) for entry in log]
+    if confusion is not None:
+        lines += [f"true {r.truth}, predicted {r.predicted}: {r.n}" for r in confusion.orderBy("truth", "predicted").collect()]  # classes squared
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def fold_means(results: DataFrame, n_folds: int) -> DataFrame:
     """Means over the folds; null where a fold is missing."""
     keys = ["sweep", *CELL[1:]]

@@ -58,11 +58,12 @@ def array_form(long: DataFrame) -> DataFrame:
     return long.groupBy("series_id", "label").agg(F.transform(ordered, lambda s: s["v"]).alias("x"))
 
 
-def daily_windows(events: DataFrame, ts: str, value: str) -> DataFrame:
-    """(day, label, x): hourly means of a day as 24 values, label 1 at the weekend. Hours
-    without events take the last hour before them that day (the first one after, at its start)."""
-    hours = events.groupBy(F.to_date(ts).alias("day"), F.hour(ts).alias("hour")).agg(F.avg(value).alias("v"))
-    known = hours.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("hour", "v"))).alias("at"))  # at most 24
+def daily_windows(events: DataFrame, ts: str, value: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, day, label, x): hourly means of a day of each key (a household, say) as 24 values, label 1 at
+    the weekend. Hours without events take the last hour before them that day (the first one after, at its start)."""
+    by = [*(keys or []), "day"]
+    hours = events.groupBy(*(keys or []), F.to_date(ts).alias("day"), F.hour(ts).alias("hour")).agg(F.avg(value).alias("v"))
+    known = hours.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("hour", "v"))).alias("at"))  # at most 24
 
     def filled(h: Column) -> Column:
         before = F.filter(F.reverse(F.array_sort(F.map_keys("at"))), lambda k: k <= h)
@@ -70,7 +71,11 @@ def daily_windows(events: DataFrame, ts: str, value: str) -> DataFrame:
         return F.try_element_at("at", F.when(F.size(before) > 0, before[0]).otherwise(after[0]))
 
     x = F.transform(F.sequence(F.lit(0), F.lit(23)), filled)
-    return known.select("day", F.dayofweek("day").isin(1, 7).cast("int").alias("label"), x.alias("x"))
+    return known.select(*by, F.dayofweek("day").isin(1, 7).cast("int").alias("label"), x.alias("x"))
+
+
+def sorted_by_class(series: DataFrame) -> DataFrame:
+    return series.orderBy("label", "series_id")
 
 
 def shuffled(series: DataFrame, seed: int) -> DataFrame:

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from chainloom.functions import encodings as E
-from chainloom.functions.scaling import scaled
-from chainloom.plans.common import embeddings, ranged, six
+from chainloom.functions.scaling import binarised, letter, scaled, uniform_bin
+from chainloom.operators import series as S
+from chainloom.plans.common import CELLS, embeddings, ranged, six
 
 
 def _scaled(spark, d, name):
@@ -57,12 +58,47 @@ def basis_grid(spark, d):
     return z.select("t", "k", six(F.col("re")).alias("re"), six(F.col("im")).alias("im"))
 
 
+def _rows(z):
+    return z.select("series_id", "t", "k", six(F.col("re")).alias("re"), six(F.col("im")).alias("im"))
+
+
+def _lists(spark, make):
+    """(t, ks) of the 64 time points."""
+    return spark.range(64).select(F.col("id").cast("int").alias("t")).withColumn("ks", make(F.col("t")))
+
+
+def enc_fourier_by_time(spark, d):
+    """Every third time point has frequencies of its own."""
+    lists = _lists(spark, lambda t: F.array(F.lit(0), 1 + t % 3, -(1 + t % 3)))
+    return _rows(E.by_time(_scaled(spark, d, "fourier"), lists, E.fourier_by_list))
+
+
+def enc_legendre_by_time(spark, d):
+    lists = _lists(spark, lambda t: F.array(t % 2, 2 + t % 2))
+    return _rows(E.by_time(_scaled(spark, d, "legendre"), lists, lambda v, ks: E.legendre_by_list(v, ks, 3)))
+
+
+def enc_letter_states(spark, d):
+    """SAX letters of equal width, each as the basis state of its place in the alphabet."""
+    long = S.long_form(embeddings(spark, d))
+    extent = long.groupBy("t").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    symbols = long.join(extent, "t").select("series_id", "t", letter(uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), 4)).alias("symbol"))
+    return _rows(E.number_states(symbols, E.letter_number(F.col("symbol")), 4))
+
+
+def enc_bit_states(spark, d):
+    """Bits by the median of each series: 0 is the first basis state, 1 the second."""
+    bits = embeddings(spark, d).select("series_id", F.posexplode(binarised(F.col("x"), "median")).alias("t", "b"))
+    return _rows(E.number_states(bits, F.col("b"), 2))
+
+
 KINDS = {
     "enc_stoudenmire": ("stoudenmire", 2), "enc_half_angle": ("half_angle", 2), "enc_qudit": ("qudit", 3), "enc_linear": ("linear", 2), "enc_fourier": ("fourier", 5),
     "enc_sahand": ("sahand", 4), "enc_legendre": ("legendre", 4), "enc_legendre_nonorm": ("legendre_no_norm", 4), "enc_uniform": ("uniform", 3),
 }
 QUERIES = {n: _encoded(*k) for n, k in KINDS.items()} | {
     "split_uniform_edges": split_uniform_edges, "split_hist_edges": split_hist_edges, "enc_uniform_split": enc_uniform_split, "enc_hist_split": enc_hist_split, "basis_grid": basis_grid,
+    "enc_fourier_by_time": enc_fourier_by_time, "enc_legendre_by_time": enc_legendre_by_time, "enc_letter_states": enc_letter_states, "enc_bit_states": enc_bit_states,
 }
 
 
@@ -128,4 +164,14 @@ ORACLE_SQL = {
         f"SELECT CAST(i AS INTEGER) AS t, {k} AS k, round({re}, 6) + 0.0 AS re, round({im}, 6) + 0.0 AS im FROM range(41) AS r(i)"
         for k, (re, im) in enumerate(_fourier_sql("(-1.0::DOUBLE + i * 0.05::DOUBLE)", 5))
     ),
+    "enc_fourier_by_time": f"""WITH {ranged(-1.0, 1.0)}, f AS (SELECT *, unnest([0, 1 + t % 3, -(1 + t % 3)]) AS n, CAST(unnest([0, 1, 2]) AS INTEGER) AS k FROM z)
+SELECT series_id, t, k, round(cos(pi() * n * v) / sqrt(3.0::DOUBLE), 6) + 0.0 AS re, round(sin(pi() * n * v) / sqrt(3.0::DOUBLE), 6) + 0.0 AS im FROM f""",
+    "enc_legendre_by_time": f"""WITH {ranged(-1.0, 1.0)}, f AS (SELECT *, unnest([t % 2, 2 + t % 2]) AS n, CAST(unnest([0, 1]) AS INTEGER) AS k FROM z),
+p AS (SELECT *, CASE n WHEN 0 THEN 1 WHEN 1 THEN v WHEN 2 THEN (3 * v * v - 1) / 2 ELSE (5 * v * v * v - 3 * v) / 2 END AS p FROM f)
+SELECT series_id, t, k, round(p * sqrt((2 * n + 1) / 2.0::DOUBLE) / sqrt(sqrt((2 * (2 + t % 2) + 1) / 2.0::DOUBLE) * 2), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM p""",
+    "enc_letter_states": f"""WITH {CELLS}, p AS (SELECT t, min(v) AS lo, max(v) AS hi FROM cells GROUP BY t),
+n AS (SELECT series_id, t, least(floor((v - lo) / ((hi - lo) / 4)), 3)::INT AS n FROM cells JOIN p USING (t))
+SELECT series_id, t, CAST(k AS INTEGER) AS k, CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS re, 0.0::DOUBLE AS im FROM n, range(4) AS r(k)""",
+    "enc_bit_states": f"""WITH {CELLS}, m AS (SELECT series_id, median(v) AS m FROM cells GROUP BY series_id)
+SELECT series_id, t, CAST(k AS INTEGER) AS k, CASE WHEN (k = 1) = (v >= m) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS re, 0.0::DOUBLE AS im FROM cells JOIN m USING (series_id), range(2) AS r(k)""",
 }

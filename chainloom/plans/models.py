@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache, reduce
+from functools import reduce
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Window
@@ -228,16 +229,26 @@ def grid_minus_done(spark, d):
     return search.remaining(cells, done)
 
 
-@lru_cache(maxsize=4)
+_chains: WeakKeyDictionary = WeakKeyDictionary()  # by session, then by folder: what several queries start from
+
+
 def _trained(spark, d):
-    """A chain of all time points with a class axis of all labels, trained on all series."""
+    """A chain of all time points with a class axis of all labels, trained on all series; once for a session."""
+    known = _chains.setdefault(spark, {})
+    if d not in known:
+        known[d] = _train(spark, d)
+    return known[d]
+
+
+def _train(spark, d):
     s = _unit(spark, d).repartition(8, "series_id")
     options = training.Options(sweeps=1, max_bond=4, first_bond=2, rate=0.1)
     return training.fit(s, None, options)
 
 
 def mps_train(spark, d):
-    log = _trained(spark, d)[1]
+    known, found = _chains.setdefault(spark, {}), _train(spark, d)
+    log = known.setdefault(d, found)[1]
     rows = [(x["sweep"], x["train_accuracy"], x["train_kld"], x["train_mse"]) for x in log]
     return spark.createDataFrame(rows, "sweep int, accuracy double, kld double, mse double")
 

@@ -76,6 +76,12 @@ def window_daily_series(spark, d):
     return w.select("day", "label", F.posexplode("x").alias("hour", "v")).select(F.col("day").cast("string").alias("day"), "label", "hour", six(F.col("v")).alias("v"))
 
 
+def window_daily_by_type(spark, d):
+    """Windows by day of each type of event, as of each household of a meter table."""
+    w = S.daily_windows(table(spark, d, "events"), "ts", "value", ["event_type"])
+    return w.select("event_type", "day", "label", F.posexplode("x").alias("hour", "v")).select("event_type", F.col("day").cast("string").alias("day"), "label", "hour", six(F.col("v")).alias("v"))
+
+
 def class_counts(spark, d):
     return S.class_counts(embeddings(spark, d))
 
@@ -136,7 +142,7 @@ def index_complement(spark, d):
 
 NAMES = [
     "scale_quantiles", "scale_robust_sigmoid", "scale_signed_sigmoid", "scale_sigmoid", "scale_minmax_range", "scale_standard", "sax_normal", "sax_quantile",
-    "sax_uniform", "one_hot_labels", "window_daily_series", "class_counts", "class_index", "class_balance", "structural_checks", "stratified_kfold", "plain_kfold",
+    "sax_uniform", "one_hot_labels", "window_daily_series", "window_daily_by_type", "class_counts", "class_index", "class_balance", "structural_checks", "stratified_kfold", "plain_kfold",
     "class_balanced_sample", "sample_per_class", "validation_split", "horizon_split", "relabel_two_classes", "transpose_time", "index_complement",
 ]
 QUERIES = {n: globals()[n] for n in NAMES} | {f"binarise_{m}": _binarised(m) for m in ("median", "mean", "minimum")}
@@ -165,6 +171,15 @@ f AS (
   FROM g LEFT JOIN h ON g.day = h.day AND g.hour = h.hour
 )
 SELECT CAST(day AS VARCHAR) AS day, CASE WHEN isodow(day) IN (6, 7) THEN 1 ELSE 0 END AS label, hour, round(coalesce(b, a), 6) + 0.0 AS v FROM f""",
+    "window_daily_by_type": """
+WITH h AS (SELECT event_type, CAST(ts AS DATE) AS day, hour(ts) AS hour, avg(value) AS v FROM events GROUP BY ALL),
+g AS (SELECT event_type, day, CAST(hour AS INTEGER) AS hour FROM (SELECT DISTINCT event_type, day FROM h), range(24) AS r(hour)),
+f AS (
+  SELECT g.event_type, g.day, g.hour, last_value(v IGNORE NULLS) OVER (PARTITION BY g.event_type, g.day ORDER BY g.hour) AS b,
+         first_value(v IGNORE NULLS) OVER (PARTITION BY g.event_type, g.day ORDER BY g.hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a
+  FROM g LEFT JOIN h ON g.event_type = h.event_type AND g.day = h.day AND g.hour = h.hour
+)
+SELECT event_type, CAST(day AS VARCHAR) AS day, CASE WHEN isodow(day) IN (6, 7) THEN 1 ELSE 0 END AS label, hour, round(coalesce(b, a), 6) + 0.0 AS v FROM f""",
     "class_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "class_index": "SELECT label, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS label_index FROM (SELECT DISTINCT label FROM embeddings)",
     "class_balance": "SELECT min(n) = max(n) AS balanced, count(*) AS n_classes FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)",

@@ -174,6 +174,43 @@ def test_samples_follow_the_density(spark):
     assert abs(mode["mode"] - grid[p.argmax()]) < 0.25
 
 
+def test_time_ordered_interpolation_ignores_later_sites(spark, sines):
+    """The draws of a site depend on what is before it: with other values after it they are the same."""
+    state = mps.right_orthogonal(mps.random_chain(5, 2, 3, 2, seed=7).of_class(0))
+    other = sines.withColumn("x", F.concat(F.slice("x", 1, 3), F.array(F.lit(0.9), F.lit(0.1))))
+    draws = lambda s, ordered: [r.x for r in sampling.imputed(s, state, "stoudenmire", 2, [2], 3, ordered=ordered).orderBy("series_id", "shot").collect()]
+    assert draws(sines, True) == pytest.approx(draws(other, True)) and draws(sines, False) != pytest.approx(draws(other, False))
+    last = lambda ordered: [r.x for r in sampling.imputed(sines, state, "stoudenmire", 2, [3, 4], 3, ordered=ordered).orderBy("series_id", "shot", "t").collect()]
+    assert last(True) == pytest.approx(last(False))  # a forecast has nothing after it
+
+
+def test_class_forecast_scores_and_sweeps(spark, sines):
+    chain = mps.random_chain(5, 2, 3, 2, seed=7)
+    class_states = [mps.right_orthogonal(chain.of_class(c)) for c in range(2)]
+    got = {r.label: r for r in sampling.class_forecast_scores(sines, class_states, "stoudenmire", 2, 2, 6).collect()}
+    assert {c: r.n_series for c, r in got.items()} == {0: 12, 1: 12}
+    values = {(r.series_id, r.label): r.x for r in sines.collect()}
+    for c in (0, 1):
+        own = sines.filter(F.col("label") == c)
+        means = {(r.series_id, r.t): r["mean"] for r in sampling.trajectories(sampling.forecast(own, class_states[c], "stoudenmire", 2, 2, 6)).collect()}
+        errors = [abs(m - values[i, c][t]) for (i, t), m in means.items()]
+        assert len(errors) == 24 and got[c].mae == pytest.approx(sum(errors) / 24)
+    swept = {(r.horizon, r.shots): r for r in sampling.forecast_sweep(sines.filter("label = 0"), class_states[0], "stoudenmire", 2, [1, 2], [2, 6]).collect()}
+    assert set(swept) == {(1, 2), (1, 6), (2, 2), (2, 6)} and swept[2, 6].mae == pytest.approx(got[0].mae)
+
+
+def test_grids_of_other_parameters_are_refused_and_cells_run_together(spark, sines, tmp_path):
+    options, path = training.Options(sweeps=1, first_bond=2), str(tmp_path / "results")
+    cells = search.grid(spark, 2, [0.1], [2], [2, 3], ["half_angle"])
+    found = search.run_grid(sines, cells, path, 2, options, parallel=3)
+    assert found.select(*search.CELL).distinct().count() == 4
+    with pytest.raises(ValueError, match="another run"):
+        search.run_grid(sines, cells, path, 2, options.changed(sweeps=2))
+    search.write_report(spark, str(tmp_path / "report"), options, [{"sweep": 1, "train_kld": 0.5, "test_kld": None}], spark.createDataFrame([(0, 1, 7)], "truth int, predicted int, n long"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert "sweep 1; train_kld 0.5" in lines and "true 0, predicted 1: 7" in lines and "sweeps = 1" in lines
+
+
 def test_grids_resume(spark, sines, tmp_path):
     options = training.Options(sweeps=1, first_bond=2)
     cells = search.grid(spark, 2, [0.1], [2], [2, 3], ["half_angle", "fourier"])

@@ -160,3 +160,17 @@ def test_grouped_quantiles(spark, monkeypatch, few, bins):
     assert {x.g for x in found} == set(groups) and {x.g: x.n for x in found} == {g: len(v) for g, v in groups.items()}
     for x in found:
         assert x.quantiles == pytest.approx(np.quantile(groups[x.g], [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]).tolist(), rel=1e-12)
+
+
+def test_symbols_without_a_state_fail(spark):
+    from chainloom.functions import encodings
+
+    symbols = spark.createDataFrame([(1, 0, "a"), (1, 1, "c")], "series_id long, t int, symbol string")
+    assert [r.re for r in encodings.number_states(symbols, encodings.letter_number(F.col("symbol")), 3).orderBy("t", "k").collect()] == [1, 0, 0, 0, 0, 1]
+    with pytest.raises(Exception, match="no state"):
+        encodings.number_states(symbols, encodings.letter_number(F.col("symbol")), 2).collect()
+
+
+def test_series_are_sorted_by_class(spark):
+    rows = spark.createDataFrame([(3, 0, [1.0]), (1, 1, [1.0]), (2, 0, [1.0])], "series_id long, label int, x array<double>")
+    assert [r.series_id for r in S.sorted_by_class(rows).collect()] == [2, 3, 1]
