@@ -17,20 +17,12 @@ from chainloom.plans.common import CELLS, embeddings, ranged, six, table
 
 #: A real chain of bond 2 for half-angle states: [l][s][r].
 TENSOR = (((0.9, 0.1), (0.4, -0.3)), ((-0.2, 0.8), (0.3, 0.7)))
-SITES = 8
 
 
 def _unit(spark, d):
     return scaled(embeddings(spark, d))[0]
 
 
-def _short(spark, d):
-    """Two classes, eight time points, scaled to (0, 1): only for the queries that are compared with a
-    recursive SQL of the same size. Each has a query on all labels and values, named with ``_all``."""
-    s = embeddings(spark, d).filter("label < 2").withColumn("x", F.slice("x", 1, SITES))
-    return scaled(s)[0]
-
-
 def _queries(s):
     """The stated query set: every series whose id is divisible by 20."""
     return s.filter(F.col("series_id") % 20 == 0)
@@ -43,16 +35,10 @@ def overlap_matrix(spark, d):
 
 
 def rlf_kernel(spark, d):
-    s = _unit(spark, d).withColumn("x", F.slice("x", 1, 16))
-    found = overlap.overlaps(s, _queries(s))
-    return found.select("query_id", "series_id", six(overlap.rescaled_fidelity(F.col("overlap"), 2.0)).alias("rlf"))
-
-
-def rlf_kernel_all(spark, d):
     """By sums of logarithms: the products of 64 factors stay in range."""
     s = _unit(spark, d)
     found = overlap.overlaps(s, _queries(s), overlap.log_overlap)
-    return found.select("query_id", "series_id", F.exp(F.col("overlap") / math.log(10) * math.log(2.0)).alias("rlf"))
+    return found.select("query_id", "series_id", F.exp(F.col("overlap") / math.log(10) * math.log(2.0)).alias("rlf")).withColumn("rlf", F.round("rlf", 8))
 
 
 def nearest_by_overlap(spark, d):
@@ -62,32 +48,12 @@ def nearest_by_overlap(spark, d):
 
 
 def mps_score_hof(spark, d):
-    s = _short(spark, d)
-    phi = F.transform("x", lambda v: F.array(F.cos(v * (math.pi / 2)), F.sin(v * (math.pi / 2))))
-    return s.select("series_id", F.posexplode(contraction.fold_chain(phi, TENSOR)).alias("c", "amplitude")).select("series_id", "c", six(F.col("amplitude")).alias("amplitude"))
-
-
-def mps_score_coo(spark, d):
-    """The same amplitudes by joins and sums, over the first four sites."""
-    s = _short(spark, d).withColumn("x", F.slice("x", 1, 4))
-    long = s.select("series_id", F.posexplode("x").alias("t", "v"))
-    local = long.select("series_id", "t", F.posexplode(F.array(F.cos(F.col("v") * (math.pi / 2)), F.sin(F.col("v") * (math.pi / 2)))).alias("s", "v"))
-    w = spark.createDataFrame([(i, k, j, float(TENSOR[i][k][j])) for i in range(2) for k in range(2) for j in range(2)], "l int, s int, r int, v double")
-    state = s.select("series_id", F.lit(0).alias("b0"), F.lit(1.0).alias("v"))
-    for t in range(4):
-        site = w.select(F.col("l").alias(f"b{t}"), F.col("s").alias("s"), F.col("r").alias(f"b{t + 1}"), "v")
-        joined = contraction.contract(state, site)  # shares the bond
-        state = contraction.contract(joined, local.filter(F.col("t") == t).select("series_id", "s", "v"), batch=("series_id",))
-    return state.select("series_id", F.col("b4").alias("c"), six(F.col("v")).alias("amplitude"))
-
-
-def mps_score_hof_all(spark, d):
     s = _unit(spark, d)
     phi = F.transform("x", lambda v: F.array(F.cos(v * (math.pi / 2)), F.sin(v * (math.pi / 2))))
-    return s.select("series_id", F.posexplode(contraction.fold_chain(phi, TENSOR)).alias("c", "amplitude"))
+    return s.select("series_id", F.posexplode(contraction.fold_chain(phi, TENSOR)).alias("c", "amplitude")).withColumn("amplitude", F.round("amplitude", 9) + 0.0)
 
 
-def mps_score_coo_all(spark, d):
+def mps_score_coo(spark, d):
     """The same amplitudes by joins and sums: neighbouring sites are contracted in pairs, so a chain
     of n sites takes log2(n) joins."""
     s = _unit(spark, d)
@@ -102,7 +68,7 @@ def mps_score_coo_all(spark, d):
         paired = contraction.contract(left, right, batch=("series_id", "t")).select("series_id", "t", "l", "r", "v")
         state = paired.unionByName(state.filter(f"t = {n - 1}").select("series_id", half, "l", "r", "v")) if n % 2 else paired
         n = (n + 1) // 2
-    return state.filter("l = 0").select("series_id", F.col("r").alias("c"), F.col("v").alias("amplitude"))
+    return state.filter("l = 0").select("series_id", F.col("r").alias("c"), (F.round("v", 9) + 0.0).alias("amplitude"))
 
 
 def _length(s) -> int:
@@ -113,15 +79,6 @@ def _n_classes(s) -> int:
     return s.agg(F.max("label").cast("int").alias("c")).first().c + 1
 
 
-def _literal_chain():
-    t = np.array(TENSOR)
-    return mps.Chain((t[:1], *[t] * (SITES - 2), t[:, :, None, :]), SITES - 1)
-
-
-def _scored(spark, d):
-    return prediction.scores(_short(spark, d), _literal_chain(), "half_angle", 2)
-
-
 def _chain_of(length, n_classes):
     """The literal chain of any length; its last bond is read along one direction of the half plane for each class."""
     t = np.array(TENSOR)
@@ -129,45 +86,24 @@ def _chain_of(length, n_classes):
     return mps.Chain((t[:1], *[t] * (length - 2), np.einsum("lsr,rc->lsc", t, [np.cos(turn), np.sin(turn)])[:, :, None]), length - 1)
 
 
-def _scored_all(spark, d):
+def _scored(spark, d):
     s = _unit(spark, d)
     return prediction.scores(s, _chain_of(_length(s), _n_classes(s)), "half_angle", 2)
 
 
-def mps_predict_all(spark, d):
-    return prediction.predictions(_scored_all(spark, d)).select("series_id", "label", "predicted")
-
-
-def mps_confusion_all(spark, d):
-    return metrics.confusion(mps_predict_all(spark, d), "label", "predicted")
-
-
-def mps_metrics_all(spark, d):
-    """Each class against all others."""
-    counts = mps_confusion_all(spark, d)
-    each = counts.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(_n_classes(_unit(spark, d)) - 1))))
-    return metrics.binary_scores(each, F.col("truth") == F.col("class"), F.col("predicted") == F.col("class"), by=("class",), times="n")
-
-
-def mps_kld_all(spark, d):
-    return prediction.summary(_scored_all(spark, d)).select("kld", "mse", "n")
-
-
-def mps_overlap_statistics_all(spark, d):
-    return prediction.overlap_statistics(_scored_all(spark, d))
-
-
 def mps_predict(spark, d):
     return prediction.predictions(_scored(spark, d)).select("series_id", "label", "predicted")
 
 
 def mps_confusion(spark, d):
-    return metrics.confusion(prediction.predictions(_scored(spark, d)), "label", "predicted")
+    return metrics.confusion(mps_predict(spark, d), "label", "predicted")
 
 
 def mps_metrics(spark, d):
-    found = metrics.binary_scores(prediction.predictions(_scored(spark, d)), "label", "predicted")
-    return found.select(*[six(F.col(c)).alias(c) for c in found.columns])
+    """Each class against all others."""
+    counts = mps_confusion(spark, d)
+    each = counts.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(_n_classes(_unit(spark, d)) - 1))))
+    return metrics.binary_scores(each, F.col("truth") == F.col("class"), F.col("predicted") == F.col("class"), by=("class",), times="n").select("class", *[six(F.col(m)).alias(m) for m in ("accuracy", "precision", "recall", "specificity", "f1", "balanced_accuracy")])
 
 
 def mps_kld(spark, d):
@@ -359,25 +295,28 @@ NAMES = [
     "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
     "mps_overlap_statistics", "label_metrics", "forecast_errors", "traj_mean_std", "hist_bin_rules", "hist_mode", "grid_minus_done", "mps_train", "mps_model_table",
     "mps_forecast", "mps_forecast_errors", "mps_interpolate", "mps_forecast_mode", "mps_marginals", "entropy_profile", "two_point_correlation", "class_state_overlaps",
-    "rlf_kernel_all", "mps_score_hof_all", "mps_score_coo_all", "mps_predict_all", "mps_confusion_all", "mps_metrics_all", "mps_kld_all", "mps_overlap_statistics_all",
 ]
 QUERIES = {n: globals()[n] for n in NAMES} | {"fc_mase_1": _mase(1), "fc_mase_7": _mase(7)}
 
-_SHORT = ranged(0.0, 1.0).replace("FROM embeddings", f"FROM (SELECT vec_id, label, embedding[1:{SITES}] AS embedding FROM embeddings WHERE label < 2)")
 
 
-def _chain_sql(sites: int) -> str:
-    """WITH chain: amplitudes (a0, a1) after each site."""
+def _chain_sql() -> str:
+    """WITH ``last``: amplitudes (a0, a1) of each series after all sites; ``weights``: the squared ones of each class; ``predicted``."""
     w = TENSOR
     step = [" + ".join(f"{a} * (CAST({w[i][0][r]} AS DOUBLE) * cos(pi() / 2 * v) + CAST({w[i][1][r]} AS DOUBLE) * sin(pi() / 2 * v))" for i, a in ((0, "a0"), (1, "a1"))) for r in range(2)]
-    return f"""WITH RECURSIVE {_SHORT}, chain AS (
-  SELECT DISTINCT series_id, label, 0 AS t, CAST(1 AS DOUBLE) AS a0, CAST(0 AS DOUBLE) AS a1 FROM z
+    return f"""WITH RECURSIVE {ranged(0.0, 1.0)}, held AS MATERIALIZED (SELECT * FROM z), chain AS (
+  SELECT DISTINCT series_id, label, 0 AS t, CAST(1 AS DOUBLE) AS a0, CAST(0 AS DOUBLE) AS a1 FROM held
   UNION ALL
-  SELECT c.series_id, c.label, c.t + 1, {step[0]}, {step[1]} FROM chain c JOIN z ON z.series_id = c.series_id AND z.t = c.t WHERE c.t < {sites}
-), last AS (SELECT series_id, label, a0, a1, CASE WHEN a0 * a0 >= a1 * a1 THEN 0 ELSE 1 END AS predicted FROM chain WHERE t = {sites})"""
+  SELECT c.series_id, c.label, c.t + 1, {step[0]}, {step[1]} FROM chain c JOIN held ON held.series_id = c.series_id AND held.t = c.t
+), last AS MATERIALIZED (SELECT series_id, label, a0, a1 FROM chain WHERE t = (SELECT max(t) + 1 FROM held)),
+classes AS (SELECT CAST(unnest(range(max(label) + 1)) AS INTEGER) AS c, max(label) + 1 AS n FROM last),
+weights AS MATERIALIZED (SELECT series_id, label, c, pow(a0 * cos(pi() * c / n) + a1 * sin(pi() * c / n), 2) AS w FROM last, classes),
+predicted AS (SELECT series_id, label, c AS predicted FROM weights QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY w DESC, c) = 1)"""
 
 
-_AMPLITUDES = " SELECT series_id, 0 AS c, round(a0, 6) + 0.0 AS amplitude FROM last UNION ALL SELECT series_id, 1, round(a1, 6) + 0.0 FROM last"
+_AMPLITUDES = " SELECT series_id, 0 AS c, round(a0, 9) + 0.0 AS amplitude FROM last UNION ALL SELECT series_id, 1, round(a1, 9) + 0.0 FROM last"
+_RATES = """round((tp + tn) / (tp + tn + fp + fn), 6) + 0.0 AS accuracy, round(tp / nullif(tp + fp, 0), 6) + 0.0 AS precision, round(tp / nullif(tp + fn, 0), 6) + 0.0 AS recall,
+  round(tn / nullif(tn + fp, 0), 6) + 0.0 AS specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) + 0.0 AS f1, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) + 0.0 AS balanced_accuracy"""
 _SCORES = """SELECT round((tp + tn) / (tp + tn + fp + fn), 6) + 0.0 AS accuracy, round(tp / (tp + fp), 6) + 0.0 AS precision, round(tp / (tp + fn), 6) + 0.0 AS recall,
   round(tn / (tn + fp), 6) + 0.0 AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) + 0.0 AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) + 0.0 AS balanced_accuracy
   FROM (SELECT CAST(count(*) FILTER ({t} <> 0 AND {p} <> 0) AS DOUBLE) AS tp, CAST(count(*) FILTER ({t} = 0 AND {p} <> 0) AS DOUBLE) AS fp,
@@ -394,18 +333,22 @@ SELECT o_orderpriority, round(avg(abs(actual - forecast)) / any_value(scale), 6)
 _PAIRS = """SELECT a.series_id AS query_id, b.series_id AS series_id, a.t, a.v AS qv, b.v AS v FROM z a JOIN z b ON a.t = b.t WHERE a.series_id % 20 = 0"""
 ORACLE_SQL = {
     "overlap_matrix": f"WITH {ranged(0.0, 1.0)} SELECT query_id, series_id, round(sum(ln(abs(cos(pi() / 2 * (qv - v))))), 5) AS log_overlap FROM ({_PAIRS}) GROUP BY query_id, series_id",
-    "rlf_kernel": f"WITH {ranged(0.0, 1.0)} SELECT query_id, series_id, round(pow(2.0::DOUBLE, log10(abs(product(cos(pi() / 2 * (qv - v)))))), 6) + 0.0 AS rlf FROM ({_PAIRS}) WHERE t < 16 GROUP BY query_id, series_id",
+    "rlf_kernel": f"WITH {ranged(0.0, 1.0)} SELECT query_id, series_id, round(pow(2.0::DOUBLE, sum(ln(abs(cos(pi() / 2 * (qv - v))))) / ln(10)), 8) + 0.0 AS rlf FROM ({_PAIRS}) GROUP BY query_id, series_id",
     "nearest_by_overlap": f"""WITH {ranged(0.0, 1.0)}, o AS (SELECT query_id, series_id, sum(ln(abs(cos(pi() / 2 * (qv - v))))) AS o FROM ({_PAIRS}) WHERE query_id <> series_id GROUP BY query_id, series_id)
 SELECT query_id, series_id AS nearest_id, round(o, 5) AS log_overlap FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC, series_id) = 1""",
-    "mps_score_hof": _chain_sql(SITES) + _AMPLITUDES,
-    "mps_score_coo": _chain_sql(4).replace(f"embedding[1:{SITES}]", f"embedding[1:{SITES}]") + _AMPLITUDES,
-    "mps_predict": _chain_sql(SITES) + " SELECT series_id, label, predicted FROM last",
-    "mps_confusion": _chain_sql(SITES) + ", cs AS (SELECT label AS c FROM last UNION SELECT predicted FROM last) SELECT a.c AS truth, b.c AS predicted, count(last.series_id) AS n FROM cs a CROSS JOIN cs b LEFT JOIN last ON last.label = a.c AND last.predicted = b.c GROUP BY a.c, b.c",
-    "mps_metrics": _chain_sql(SITES) + " " + _SCORES.format(t="label", p="predicted", f="last"),
-    "mps_kld": _chain_sql(SITES) + """ SELECT round(avg(-ln(CASE WHEN label = 0 THEN a0 * a0 ELSE a1 * a1 END)), 6) + 0.0 AS kld,
-      round(avg((pow(abs(a0) - (label = 0)::INT, 2) + pow(abs(a1) - (label = 1)::INT, 2)) / 2), 6) + 0.0 AS mse, count(*) AS n FROM last""",
-    "mps_overlap_statistics": _chain_sql(SITES) + """, o AS (SELECT label, 0 AS model, abs(a0) AS o FROM last UNION ALL SELECT label, 1, abs(a1) FROM last)
-      SELECT label, model, round(median(o), 6) + 0.0 AS median, round(min(o), 6) + 0.0 AS least, round(max(o), 6) + 0.0 AS greatest FROM o GROUP BY label, model""",
+    "mps_score_hof": _chain_sql() + _AMPLITUDES,
+    "mps_score_coo": _chain_sql() + _AMPLITUDES,
+    "mps_predict": _chain_sql() + " SELECT series_id, label, predicted FROM predicted",
+    "mps_confusion": _chain_sql() + """, cs AS (SELECT label AS c FROM predicted UNION SELECT predicted FROM predicted)
+      SELECT a.c AS truth, b.c AS predicted, count(p.series_id) AS n FROM cs a CROSS JOIN cs b LEFT JOIN predicted p ON p.label = a.c AND p.predicted = b.c GROUP BY a.c, b.c""",
+    "mps_metrics": _chain_sql() + f""", counts AS (
+        SELECT c AS class, CAST(count(*) FILTER (label = c AND predicted = c) AS DOUBLE) AS tp, CAST(count(*) FILTER (label <> c AND predicted = c) AS DOUBLE) AS fp,
+          CAST(count(*) FILTER (label = c AND predicted <> c) AS DOUBLE) AS fn, CAST(count(*) FILTER (label <> c AND predicted <> c) AS DOUBLE) AS tn
+        FROM predicted, classes GROUP BY c) SELECT class, {_RATES} FROM counts""",
+    "mps_kld": _chain_sql() + """, errors AS (SELECT series_id, sum(pow(sqrt(w) - (c = label)::INT, 2)) / 2 AS e, sum(CASE WHEN c = label THEN -ln(w) END) AS k FROM weights GROUP BY series_id)
+      SELECT round(avg(k), 6) + 0.0 AS kld, round(avg(e), 6) + 0.0 AS mse, count(*) AS n FROM errors""",
+    "mps_overlap_statistics": _chain_sql() + """
+      SELECT label, c AS model, round(median(sqrt(w)), 6) + 0.0 AS median, round(min(sqrt(w)), 6) + 0.0 AS least, round(max(sqrt(w)), 6) + 0.0 AS greatest FROM weights GROUP BY label, c""",
     "label_metrics": _SCORES.format(t="quality", p="toxic", f="labels"),
     "forecast_errors": _DAILY + """ SELECT o_orderpriority, round(avg(abs(actual - forecast) / abs(actual)), 4) AS mape, round(avg(abs(actual - forecast) / ((abs(actual) + abs(forecast)) / 2)), 4) AS smape,
       round(avg((actual - forecast) * (actual - forecast)), 4) AS mse, round(avg(abs(actual - forecast)), 4) AS mae, round(sqrt(avg((actual - forecast) * (actual - forecast))), 4) AS rmse FROM d WHERE forecast IS NOT NULL GROUP BY o_orderpriority""",

@@ -32,34 +32,34 @@ def amplitudes(spark, folder):
 
 def test_scores_of_all_series_and_sites_equal_brute_force(spark, folder, amplitudes):
     want = {(i, c): a[c] for i, (_, a) in amplitudes.items() for c in (0, 1)}
-    for name in ("mps_score_hof_all", "mps_score_coo_all"):
+    for name in ("mps_score_hof", "mps_score_coo"):
         got = {(r.series_id, r.c): r.amplitude for r in models.QUERIES[name](spark, folder).collect()}
-        assert got == pytest.approx(want), name
+        assert got == pytest.approx(want, abs=1e-9), name
 
 
 def test_classes_of_all_series_equal_brute_force(spark, folder, amplitudes):
     turn = np.pi * np.arange(CLASSES) / CLASSES
     weight = {i: (label, (a[0] * np.cos(turn) + a[1] * np.sin(turn)) ** 2) for i, (label, a) in amplitudes.items()}
     want = {i: int(w.argmax()) for i, (_, w) in weight.items()}
-    assert {r.series_id: r.predicted for r in models.QUERIES["mps_predict_all"](spark, folder).collect()} == want
+    assert {r.series_id: r.predicted for r in models.QUERIES["mps_predict"](spark, folder).collect()} == want
     table = np.zeros((CLASSES, CLASSES), int)
     for i, (label, _) in weight.items():
         table[label, want[i]] += 1
     seen = {c for i, (label, _) in weight.items() for c in (label, want[i])}
-    got = {(r.truth, r.predicted): r.n for r in models.QUERIES["mps_confusion_all"](spark, folder).collect()}
+    got = {(r.truth, r.predicted): r.n for r in models.QUERIES["mps_confusion"](spark, folder).collect()}
     assert got == {(a, b): table[a, b] for a in seen for b in seen}
-    recall = {r["class"]: r.recall for r in models.QUERIES["mps_metrics_all"](spark, folder).collect()}
-    assert recall == pytest.approx({c: table[c, c] / table[c].sum() for c in range(CLASSES)})
-    row = models.QUERIES["mps_kld_all"](spark, folder).first()
-    assert row.n == 45 and row.kld == pytest.approx(np.mean([-np.log(w[label]) for label, w in weight.values()]))
-    stats = {(r.label, r.model): r.median for r in models.QUERIES["mps_overlap_statistics_all"](spark, folder).collect()}
-    assert stats == pytest.approx({(k, c): np.median([np.sqrt(w[c]) for label, w in weight.values() if label == k]) for k in range(CLASSES) for c in range(CLASSES)})
+    recall = {r["class"]: r.recall for r in models.QUERIES["mps_metrics"](spark, folder).collect()}
+    assert recall == pytest.approx({c: table[c, c] / table[c].sum() for c in range(CLASSES)}, abs=1e-6)
+    row = models.QUERIES["mps_kld"](spark, folder).first()
+    assert row.n == 45 and row.kld == pytest.approx(np.mean([-np.log(w[label]) for label, w in weight.values()]), abs=1e-6)
+    stats = {(r.label, r.model): r.median for r in models.QUERIES["mps_overlap_statistics"](spark, folder).collect()}
+    assert stats == pytest.approx({(k, c): np.median([np.sqrt(w[c]) for label, w in weight.values() if label == k]) for k in range(CLASSES) for c in range(CLASSES)}, abs=1e-6)
 
 
 def test_kernels_and_bases_use_all_values(spark, folder):
     x = {r.series_id: np.array(r.x) for r in models._unit(spark, folder).collect()}
-    got = {(r.query_id, r.series_id): r.rlf for r in models.QUERIES["rlf_kernel_all"](spark, folder).collect()}
-    assert got == pytest.approx({(q, i): 2 ** np.log10(abs(np.cos(np.pi / 2 * (x[q] - x[i])).prod())) for q in (0, 20, 40) for i in x})
+    got = {(r.query_id, r.series_id): r.rlf for r in models.QUERIES["rlf_kernel"](spark, folder).collect()}
+    assert got == pytest.approx({(q, i): 2 ** np.log10(abs(np.cos(np.pi / 2 * (x[q] - x[i])).prod())) for q in (0, 20, 40) for i in x}, abs=1e-8)
     assert models.QUERIES["basis_projection"](spark, folder).select("t").distinct().count() == LENGTH
 
 
