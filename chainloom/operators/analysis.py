@@ -14,6 +14,9 @@ from chainloom.operators.mps import entropy_profile
 from chainloom.operators.prediction import as_states, states
 
 
+MOST_LANDMARKS = 512
+
+
 def site_densities(tensors: list[np.ndarray]) -> list[np.ndarray]:
     """The reduced density of each site, of trace 1."""
     right = [np.ones((1, 1), complex)]
@@ -101,21 +104,28 @@ def entropy_variations(series: DataFrame, tensors: list[np.ndarray], encoding: s
 
 
 def embedded(similarities: DataFrame, dimensions: int = 2) -> DataFrame:
-    """Classical scaling of the similarities (query_id, series_id, overlap) of a stated, bounded set
-    with itself: (series_id, axis, x). Distances are sqrt(2 - 2 |overlap|)."""
-    rows = similarities.collect()
-    ids = sorted({r.query_id for r in rows})
+    """(series_id, axis, x) of every series, from its similarities to landmarks (query_id, series_id, overlap).
+
+    Classical scaling of the landmarks, at most ``MOST_LANDMARKS``, with distances sqrt(2 - 2 |overlap|); every
+    series is then placed by its distances to them, which for a landmark is its own place again.
+    """
+    spark = similarities.sparkSession
+    ids = sorted(r.query_id for r in similarities.select("query_id").distinct().limit(MOST_LANDMARKS + 1).collect())
+    if len(ids) > MOST_LANDMARKS:
+        raise ValueError(f"more than {MOST_LANDMARKS} landmarks")
     at = {i: k for k, i in enumerate(ids)}
     d2 = np.zeros((len(ids), len(ids)))
-    for r in rows:
-        if r.series_id in at:
-            d2[at[r.query_id], at[r.series_id]] = 2 - 2 * min(1.0, abs(r.overlap))
+    for r in similarities.filter(F.col("series_id").isin(ids)).collect():  # landmarks squared
+        d2[at[r.query_id], at[r.series_id]] = 2 - 2 * min(1.0, abs(r.overlap))
     centre = np.eye(len(ids)) - 1 / max(len(ids), 1)
     values, vectors = np.linalg.eigh(-centre @ d2 @ centre / 2)
     top = np.argsort(values)[::-1][:dimensions]
-    x = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
-    x *= np.sign(x[np.abs(x).argmax(axis=0), range(x.shape[1])] + 1e-300)
-    return similarities.sparkSession.createDataFrame([(i, k, float(x[at[i], k])) for i in ids for k in range(x.shape[1])], "series_id long, axis int, x double")
+    u = vectors[:, top] * np.sign(vectors[np.abs(vectors[:, top]).argmax(axis=0), top] + 1e-300)
+    scale = np.where(values[top] > 1e-12, values[top], np.inf) ** -0.5
+    weights = [(i, a, float(-u[at[i], a] * scale[a] / 2), float(d2[at[i]].mean())) for i in ids for a in range(len(top))]
+    sent = F.broadcast(spark.createDataFrame(weights, "query_id long, axis int, w double, mean double"))
+    far = 2.0 - 2.0 * F.least(F.lit(1.0), F.abs("overlap"))
+    return similarities.join(sent, "query_id").groupBy("series_id", "axis").agg(F.sum(F.col("w") * (far - F.col("mean"))).alias("x"))
 
 
 def projected_basis(series: DataFrame, kind: str, d: int, terms: int | None = None, bandwidth: float = 0.8, points: int = 200, bins: int = 512) -> DataFrame:

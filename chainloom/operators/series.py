@@ -82,19 +82,18 @@ def shuffled(series: DataFrame, seed: int) -> DataFrame:
     return series.orderBy(F.xxhash64(F.lit(seed), "series_id"), "series_id")
 
 
-def class_ranks(series: DataFrame, order: Column, slices: int = 256) -> DataFrame:
+def class_ranks(series: DataFrame, order: Column, slices: int = 128) -> DataFrame:
     """(series_id, label, rank): the place (from 0) within the class by ``order``, ties by id.
 
-    A class isn't gathered in one task: the range of ``order`` (a bigint column) is cut
-    into slices, rows are ranked within (class, slice), and the sums of the slices before
-    are added to that.
+    A class isn't gathered in one task: ``order`` (a bigint column) is cut into slices of about
+    equal counts at its quantiles, so ids in clusters are spread too; rows are ranked within
+    (class, slice), and the sums of the slices before are added to that. Rows of one value
+    of ``order`` share a slice.
     """
     keyed = series.select("series_id", "label", order.cast("long").alias("key"))
-    low, high = keyed.agg(F.min("key"), F.max("key")).first()
-    if low is None:
-        return keyed.select("series_id", "label", F.lit(0).cast("long").alias("rank"))
-    width = max(1.0, (high - low) / slices)
-    keyed = keyed.withColumn("slice", F.floor((F.col("key").cast("double") - float(low)) / width).cast("int"))
+    cuts = sorted(set(keyed.approxQuantile("key", [k / slices for k in range(1, slices)], 0.25 / slices)))  # ``slices`` numbers
+    cut = F.array(*[F.lit(min(int(c), (1 << 63) - 1)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    keyed = keyed.withColumn("slice", F.size(F.filter(cut, lambda c: c < F.col("key"))))
     sizes = keyed.groupBy("label", "slice").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("label").orderBy("slice")) - F.col("n")).drop("n")
     within = F.row_number().over(Window.partitionBy("label", "slice").orderBy("key", "series_id"))

@@ -309,3 +309,9 @@ def test_scaling_to_the_plane_keeps_distances(spark):
     rows = [(i, j, float(np.cos(i - j))) for i in range(3) for j in range(3)]
     x = analysis.embedded(spark.createDataFrame(rows, "query_id long, series_id long, overlap double")).toPandas().pivot(index="series_id", columns="axis", values="x").to_numpy()
     assert np.linalg.norm(x[0] - x[1]) == pytest.approx(np.sqrt(2 - 2 * np.cos(1)), rel=1e-6)
+    rows += [(i, 7, float(np.cos(i - 1))) for i in range(3)]  # no landmark, where series 1 is
+    y = analysis.embedded(spark.createDataFrame(rows, "query_id long, series_id long, overlap double")).toPandas().pivot(index="series_id", columns="axis", values="x")
+    assert np.allclose(y.loc[[0, 1, 2]], x) and np.allclose(y.loc[7], y.loc[1])
+    many = spark.range(600).selectExpr("id AS query_id", "id AS series_id", "1.0D AS overlap")
+    with pytest.raises(ValueError, match="landmarks"):
+        analysis.embedded(many)
