@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _folders[found] = path
+    return found
+
+
+_folders: WeakKeyDictionary = WeakKeyDictionary()  # of tables that ``written`` has made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``written`` has made and that nothing reads any more."""
+    for df in tables:
+        if path := _folders.pop(df, None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_or_empty(col: str):

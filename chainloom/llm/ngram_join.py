@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import _arrow_schema, in_bit_map, map_rows, sized_bit_map, text_or_empty, written
+from chainloom.llm.common import _arrow_schema, forget, in_bit_map, map_rows, sized_bit_map, text_or_empty, written
 from chainloom.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 32, 8
@@ -267,6 +267,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     every = sets.select("set_key", "node", "least_id", "size").join(classes, "set_key", "left")
     n_links = F.col("size") - 1 + F.coalesce("links", F.lit(0))
     every = written(every.select("set_key", F.when(F.col("links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"), n_links.alias("n_links"), F.coalesce("class_root", "node").alias("class_key")), "every")
+    forget(sets, found, cells, classes)
     return rows.select("doc_id", "set_key", "text_a", "text_b").join(every, "set_key").select("doc_id", "class_id", "n_links", "class_key", "text_a", "text_b")
 
 
