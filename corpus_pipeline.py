@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainloom.llm import decontaminate, mixing, ngram_join, quality_rules, token_store
-from chainloom.llm.common import table, written
+from chainloom.llm.common import forget, table, written
 from chainloom.llm.queries import tokenizer_path
 
 #: SQL can't express the verified MinHash join in reasonable time, the hash-ordered mix or the token store.
@@ -33,8 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights: a document comes once for each time the mix takes it,
-    and the one on a source's border with the words that its budget still holds."""
+    """Sources in their target weights: a document comes whole once for each time the mix takes it."""
     return mixing.mixture(docs)
 
 
@@ -55,5 +54,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before)  # a table of this run alone, never the input
     return docs
