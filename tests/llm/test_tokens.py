@@ -114,3 +114,17 @@ def test_a_store_with_another_dictionary_is_refused(spark, docs_of):
         f.write(b"other")
     with pytest.raises(Exception, match="dictionary"):
         token_store.read_store(spark, folder).collect()
+
+
+def test_columns_named_like_results_don_t_matter(spark):
+    from chainloom.llm import quality_model
+
+    rows = [(k, f"text number {k}" * (k + 1), 1, 2, 3.0, "x", "y", b"z") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, n_tokens long, score double, id string, label string, bands binary")
+    plain, labels = docs.select("doc_id", "text"), spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    for query in (
+        lambda d: token_store.op5_token_store(d, tokenizer_path("byte_bpe_50k.json")).drop("frame_bytes"),
+        lambda d: token_counts.op9_token_counts(d, tokenizer_path("piece_bpe_32k.model")),
+        lambda d: quality_model.op4_quality_model(d, labels),
+    ):
+        assert sorted(map(str, query(docs).collect())) == sorted(map(str, query(plain).collect()))
