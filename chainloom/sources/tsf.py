@@ -18,7 +18,7 @@ def read_tsf(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(frequency, "file", "left").drop("file")
 
 
-#: Steps of the frequencies that end in a fixed length of time or a calendar unit.
+# Frequency names of the TSF format and their steps.
 STEPS = {
     "secondly": "1 second", "4_seconds": "4 second", "minutely": "1 minute", "10_minutes": "10 minute", "15_minutes": "15 minute", "half_hourly": "30 minute",
     "hourly": "1 hour", "daily": "1 day", "weekly": "7 day", "monthly": "1 month", "quarterly": "3 month", "yearly": "1 year",
