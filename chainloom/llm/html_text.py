@@ -195,17 +195,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Tokens(dict):
-    MEMORY = 200_000
+_BASE = int(_rng.integers(1, 1 << 62)) * 2 + 1
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse, as long as the longest page so far
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > self.MEMORY:
-            self.clear()
-        found = self[token] = xxhash.xxh64_intdigest(token)
-        return found
 
-
-_tokens = Tokens()
+def token_hashes(words: str) -> np.ndarray:
+    """Hashes of the tokens of a text with one space between two of them: polynomials of their bytes."""
+    data = np.frombuffer(words.encode(), np.uint8)
+    if len(_powers[0]) <= len(data):
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * len(data), b)])) for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(data)], out=sums[1:])
+    spaces = np.flatnonzero(data == 32)
+    starts, ends = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(data)]])
+    return _mixed((sums[ends] - sums[starts]) * _powers[1][starts])
 
 
 class Stream:
@@ -213,9 +216,8 @@ class Stream:
 
     def __init__(self, host: int, page: str):
         self.blocks = blocks(page)
-        tokens = [b.split(" ") for b, _ in self.blocks]
-        self.ends = np.cumsum([0, *map(len, tokens)])
-        h = np.fromiter((_tokens[t] for b in tokens for t in b), np.uint64, self.ends[-1])
+        self.ends = np.cumsum([0, *(b.count(" ") + 1 for b, _ in self.blocks)])
+        h = token_hashes(" ".join(b for b, _ in self.blocks)) if self.blocks else np.zeros(0, np.uint64)
         n = len(h) - GRAM + 1
         self.places = np.zeros(0, np.int64)
         if n > 0:
@@ -223,7 +225,7 @@ class Stream:
             for k in range(GRAM):
                 grams += h[k : k + n] * _MIX[k]
             grams = _mixed(grams)
-            padded = np.r_[grams, np.full(SPACING - 1, _TOP)]
+            padded = np.concatenate([grams, np.full(SPACING - 1, _TOP)])
             self.places = np.unique(np.lib.stride_tricks.sliding_window_view(padded, SPACING).argmin(axis=1) + np.arange(n))
             anchors = grams[self.places]
         else:
@@ -231,7 +233,8 @@ class Stream:
         whole = np.fromiter((xxhash.xxh64_intdigest(b, 1) for b, _ in self.blocks), np.uint64, len(self.blocks))
         content = xxhash.xxh64_intdigest(h.tobytes())
         self.bit = np.int64(1 << (content & 63)) if content & 63 < 63 else np.iinfo(np.int64).min
-        keys = np.r_[_mixed(np.r_[anchors, whole] ^ np.uint64(host & (1 << 64) - 1)) >> np.uint64(HOST_BITS), np.uint64(0)]
+        keys = np.zeros(len(anchors) + len(whole) + 1, np.uint64)  # the last is the host's
+        keys[:-1] = _mixed(np.concatenate([anchors, whole]) ^ np.uint64(host & (1 << 64) - 1)) >> np.uint64(HOST_BITS)
         self.keys = (keys | np.uint64(host & (1 << HOST_BITS) - 1) << np.uint64(64 - HOST_BITS)).view(np.int64)
 
     def text(self, weak: np.ndarray, strong: np.ndarray) -> str:
@@ -292,7 +295,7 @@ def boilerplate(counted: DataFrame, main: Rule = MAIN_RULE, other: Rule = OTHER_
     repeated = written(repeated, "repeated")
     host_key = F.col("key") == F.call_function("shiftleft", F.col("host"), F.lit(64 - HOST_BITS))
     hosts = repeated.filter(host_key).select("host", F.col("n").alias("host_pages"))  # 2**HOST_BITS rows at most
-    shared = repeated.filter(~host_key).join(hosts, "host")
+    shared = repeated.filter(~host_key).join(F.broadcast(hosts), "host")
     holds = lambda r: (F.col("contents") >= r.pages) & (F.col("n") >= r.share * F.col("host_pages"))
     return shared.filter(holds(other) | holds(main)).select("key", holds(main).alias("strong"), holds(other).alias("weak"))
 
