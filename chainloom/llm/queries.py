@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainloom.llm import decontaminate, html_text, line_dedup, mixing, ngram_join, quality_model, quality_rules, token_counts, token_store, warc
+from chainloom.llm import centroids, decontaminate, fill_in_middle, html_text, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, token_counts, token_store, warc
 from chainloom.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.op10_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark, sf_dir):
+    return packing.op11_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_centroid_clusters(spark, sf_dir):
+    return centroids.op12_centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.op13_fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixture": op2_mixture,
@@ -63,10 +75,15 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_packing": op11_packing,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op7_line_dedup": line_dedup.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_centroid_clusters": centroids.ORACLE_SQL,
+    "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
