@@ -63,9 +63,14 @@ def binary_scores(predictions: DataFrame, truth: str | Column, predicted: str |
     )
 
 
+def finite(values: DataFrame, v: str) -> DataFrame:
+    return values.filter(F.abs(F.col(v).cast("double")) < float("inf"))  # NaN is above all numbers
+
+
 def bin_rules(values: DataFrame, by: list[str], v: str) -> DataFrame:
     """Numbers of histogram bins by the rules of Sturges, Scott, Freedman-Diaconis and square root.
-    A group may be a whole table."""
+    A group may be a whole table. Nulls, NaN and infinities are left out."""
+    values = finite(values, v)
     found = values.groupBy(F.struct(*by).alias("g")).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_samp(v).alias("s"))
     quartiles = grouped_quantiles(values, by, v, [0.25, 0.75]).select(F.struct(*by).alias("g"), F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("q3"))
     found = found.join(quartiles, "g", "left").select("g.*", "n", "lo", "hi", "s", "q1", "q3")
@@ -79,7 +84,9 @@ def bin_rules(values: DataFrame, by: list[str], v: str) -> DataFrame:
 
 
 def histogram_mode(values: DataFrame, by: list[str], v: str, n_bins: int) -> DataFrame:
-    """The middle of the fullest of equal bins for each group; the lowest of equally full ones."""
+    """The middle of the fullest of equal bins for each group; the lowest of equally full ones. Nulls,
+    NaN and infinities are left out."""
+    values = finite(values, v)
     extent = values.groupBy(*by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     placed = values.join(extent, by).withColumn("b", F.least(F.floor(F.coalesce(F.try_divide((F.col(v) - F.col("lo")) * n_bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(n_bins - 1)))
     counts = placed.groupBy(*by, "lo", "hi", "b").agg(F.count("*").alias("n"))

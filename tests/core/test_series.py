@@ -174,3 +174,59 @@ def test_symbols_without_a_state_fail(spark):
 def test_series_are_sorted_by_class(spark):
     rows = spark.createDataFrame([(3, 0, [1.0]), (1, 1, [1.0]), (2, 0, [1.0])], "series_id long, label int, x array<double>")
     assert [r.series_id for r in S.sorted_by_class(rows).collect()] == [2, 3, 1]
+
+
+HARD = {
+    "infinite": [float("-inf")] * 3 + [float("inf")] + list(np.random.default_rng(1).normal(size=9000)),
+    "mostly infinite": [float("-inf")] * 6000 + [1.0] * 3000 + [float("inf")] * 6000,
+    "overflowing": [1.7e308 * (k / 4500 - 1) for k in range(9001)],
+    "all magnitudes": [s * 10.0**k for s in (-1, 1) for k in range(-320, 308) for _ in range(8)],
+    "neighbours": [1e300 * (1 + k * 2.0**-52) for k in range(9000)] + [1.0],
+    "denormal": [k * 5e-324 for k in range(9000)],
+    "zeros": [0.0] * 5000 + [-0.0] * 5000 + [5e-324],
+}
+
+
+def plain_quantile(values, p):
+    x = sorted(values)
+    k = p * (len(x) - 1)
+    a, b = x[math.floor(k)], x[math.ceil(k)]
+    part = k - math.floor(k)
+    if part == 0 or a == b:
+        return a
+    return a + (b - a) * part if math.isfinite(b - a) else a * (1 - part) + b * part
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_quantiles_of_hard_values(spark, name):
+    """Both versions end, within their bound on passes; NaN and nulls are left out."""
+    from chainloom.functions.quantiles import grouped_quantiles
+
+    values, ps = HARD[name], [0, 0.1, 0.25, 0.5, 0.77, 1]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),)] * 5 + [(None,)], "v double").repartition(3)
+    want = [plain_quantile(values, p) for p in ps]
+    assert exact_quantiles(df, F.col("v"), ps) == pytest.approx(want, rel=1e-12, abs=0, nan_ok=True)
+    both = df.select("v", F.lit("a").alias("k")).unionByName(df.select((-F.col("v")).alias("v"), F.lit(None).cast("string").alias("k")))
+    got = {r.k: (r.n, r.quantiles) for r in grouped_quantiles(both, ["k"], "v", ps).collect()}
+    assert got["a"][0] == len(values) and got["a"][1] == pytest.approx(want, rel=1e-12, abs=0, nan_ok=True)
+    assert got[None][1] == pytest.approx([plain_quantile([-v for v in values], p) for p in ps], rel=1e-12, abs=0, nan_ok=True)
+
+
+def test_weighted_order_statistics(spark):
+    from chainloom.functions.quantiles import grouped_order_statistics
+
+    r = np.random.default_rng(3)
+    rows = [(int(g), float(v), int(w)) for g, v, w in zip(r.integers(0, 3, 6000), r.normal(size=6000).round(2), r.integers(0, 9, 6000))]
+    df = spark.createDataFrame([*rows, (0, 1.0, None)], "g int, v double, w long")
+    ranks = lambda n: F.array(*[F.floor((n - 1) * p).cast("long") for p in (0.0, 0.3, 0.5, 1.0)])
+    for row in grouped_order_statistics(df, ["g"], "v", ranks, "w").collect():
+        copies = sorted(v for g, v, w in rows if g == row.g for _ in range(w))
+        assert row.n == len(copies) and row.x == [copies[int((len(copies) - 1) * p)] for p in (0.0, 0.3, 0.5, 1.0)]
+
+
+def test_histogram_rules_leave_out_what_is_not_finite(spark):
+    values = [float(k % 7) for k in range(100)]
+    clean = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    more = spark.createDataFrame([("a", v) for v in (float("inf"), float("-inf"), float("nan"), None)], "k string, v double")
+    for find in (metrics.bin_rules, lambda df, by, v: metrics.histogram_mode(df, by, v, 7)):
+        assert find(clean.unionByName(more), ["k"], "v").collect() == find(clean, ["k"], "v").collect()
