@@ -40,7 +40,7 @@ from chainloom.llm.common import text_or_empty
 from chainloom.llm.token_store import encoder
 
 SENTENCE, TOKEN, SEQUENCE = 8.0, 64.0, 1.0  # penalties, in tokens of padding
-GAP, TAIL_STEP, LEAST_POWER = 256, 64, 64
+GAP, TAIL_STEP, LEAST_POWER = 256, 64, 256
 BLOCK, MOST = 1 << 19, 8
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -88,32 +88,39 @@ def padding(length: int, size: int) -> int:
 def cut_points(doc_ends: np.ndarray, sentences: np.ndarray, size: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """(places, penalties) of a stream from 0 to ``doc_ends[-1]``, in ascending order, with 0 as the first."""
     total = int(doc_ends[-1])
-    soft = np.union1d(np.r_[0, doc_ends], sentences)
-    gap, widths = min(GAP, size), np.diff(soft)
-    wide = np.flatnonzero(widths > gap)
-    more = [np.arange(soft[k] + gap, soft[k + 1], gap) for k in wide.tolist()]
+    penalty = np.full(total + 1, np.inf)  # of no cut point
+    penalty[sentences] = SENTENCE
+    penalty[doc_ends] = penalty[0] = 0.0
+    soft, gap = np.flatnonzero(penalty < np.inf), min(GAP, size)
+    more = [np.arange(soft[k] + gap, soft[k + 1], gap) for k in np.flatnonzero(np.diff(soft) > gap).tolist()]
     if last:
-        step = min(TAIL_STEP, size)
-        more.append(np.arange(total - step, max(total - size, 0), -step)[::-1])
-    places = np.union1d(soft, np.concatenate(more)) if more else soft
-    penalties = np.full(len(places), TOKEN)
-    penalties[np.isin(places, sentences)] = SENTENCE
-    penalties[np.isin(places, doc_ends)] = 0.0
-    return places, penalties
+        more.append(np.arange(total - min(TAIL_STEP, size), max(total - size, 0), -min(TAIL_STEP, size)))
+    for hard in more:
+        penalty[hard] = np.minimum(penalty[hard], TOKEN)
+    places = np.flatnonzero(penalty < np.inf)
+    return places, penalty[places]
+
+
+def power_jumps(places: np.ndarray, size: int) -> list[list[int] | None]:
+    """For each cut point those that lie a power of two of at least ``LEAST_POWER`` before it; the
+    size itself has no padding anyway."""
+    number = np.full(int(places[-1]) + 1, -1)
+    number[places] = np.arange(len(places))
+    jumps: list[list[int] | None] = [None] * len(places)
+    b = LEAST_POWER
+    while b < size:
+        first = int(np.searchsorted(places, b))
+        at = number[places[first:] - b]
+        for i in np.flatnonzero(at >= 0).tolist():
+            jumps[first + i] = [*(jumps[first + i] or ()), int(at[i])]
+        b *= 2
+    return jumps
 
 
 def shortest_paths(places: np.ndarray, penalties: np.ndarray, size: int) -> tuple[list[float], list[int]]:
     """(f, parent) of every cut point; the first has no parent (0)."""
-    n = len(places)
-    jumps: dict[int, list[int]] = {}  # cut points a power of two before one
-    b = size // 2 if size & (size - 1) == 0 else 1 << (size.bit_length() - 1)  # the size itself has no padding anyway
-    while b >= min(LEAST_POWER, size // 2) and b > 0:
-        at = np.minimum(np.searchsorted(places, places - b), n - 1)
-        for i in np.flatnonzero(places[at] == places - b).tolist():
-            jumps.setdefault(i, []).append(int(at[i]))
-        b //= 2
-    place, penalty = places.tolist(), penalties.tolist()
-    f, parent, jump = [0.0] * n, [0] * n, jumps.get
+    n, place, penalty, jumps = len(places), places.tolist(), (penalties + SEQUENCE).tolist(), power_jumps(places, size)
+    f, parent = [0.0] * n, [0] * n
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # f(q) + q, q, number; ascending in the first
     for i in range(1, n):
         p = place[i]
@@ -121,15 +128,16 @@ def shortest_paths(places: np.ndarray, penalties: np.ndarray, size: int) -> tupl
             queue.popleft()
         best, _, at = queue[0]
         best += size - p
-        for j in jump(i, ()):
-            if f[j] < best:
-                best, at = f[j], j
-        best += penalty[i] + SEQUENCE
-        f[i], parent[i] = best, at
-        key = best + p
-        while queue and queue[-1][0] >= key:
+        if jumps[i]:
+            for j in jumps[i]:
+                if f[j] < best:
+                    best, at = f[j], j
+        f[i] = best = best + penalty[i]
+        parent[i] = at
+        best += p
+        while queue and queue[-1][0] >= best:
             queue.pop()
-        queue.append((key, p, i))
+        queue.append((best, p, i))
     return f, parent
 
 
@@ -184,7 +192,9 @@ class Packer:
 
     def _pieces(self, windows: np.ndarray, doc_ends: np.ndarray, data: bytes) -> pa.RecordBatch:
         cut = int(windows[-1])
-        borders = np.union1d(windows, doc_ends[doc_ends < cut])
+        held = np.zeros(cut + 1, bool)
+        held[windows] = held[doc_ends[doc_ends < cut]] = True
+        borders = np.flatnonzero(held)
         a, b = borders[:-1], borders[1:]
         doc, window = np.searchsorted(doc_ends, a, "right"), np.searchsorted(windows, a, "right") - 1
         begins = np.r_[0, doc_ends[:-1]][doc]
