@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from chainloom.functions.quantiles import grouped_order_statistics
 
 PI = math.pi
+UNROLLED = 6
 
 
 def complex_of(re: Column, im: Column) -> Column:
@@ -88,6 +89,10 @@ def legendre_polynomial(v: Column, degree: int) -> Column:
     before, now = F.lit(1.0), v
     if degree == 0:
         return before
+    if degree > UNROLLED:  # written out, the expression would grow with a power of the degree
+        first = F.struct(before.alias("before"), v.cast("double").alias("now"))
+        step = lambda a, n: F.struct(a["now"].alias("before"), ((v * a["now"] * (2.0 * n + 1.0) - a["before"] * n.cast("double")) / (n + 1.0)).alias("now"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(degree - 1)), first, step, lambda a: a["now"])
     for n in range(1, degree):
         before, now = now, (v * now * float(2 * n + 1) - before * float(n)) / float(n + 1)
     return now
@@ -159,24 +164,24 @@ def uniform_edges(n_bins: int, low: float, high: float) -> Column:
     return F.array(*[F.lit(low + (high - low) * k / n_bins) for k in range(n_bins + 1)])
 
 
-def histogram_edges(series: DataFrame, n_bins: int, low: float, high: float) -> DataFrame:
-    """(t, edges): for each time point edges of bins of equal counts, halfway between the
+def histogram_edges(series: DataFrame, n_bins: int, low: float, high: float, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """(by, t, edges): for each time point (of each group) edges of bins of equal counts, halfway between the
     neighbouring values at each multiple of the step; edges that aren't reached are ``high``.
 
-    The neighbours are order statistics, found by counts in bins: no time point is gathered.
+    ``weight``: a column of whole numbers; a series counts that often. The neighbours are order
+    statistics, found by counts in bins: no time point is gathered.
     """
-    long = series.select(F.posexplode("x").alias("t", "v"))
+    keys = [*by, "t"]
+    long = series.select(*by, *([weight] if weight else []), F.posexplode("x").alias("t", "v"))
     step = lambda n: F.greatest(F.bround(n / n_bins).cast("long"), F.lit(1).cast("long"))
     ks = F.transform(F.sequence(F.lit(1), F.lit(max(n_bins - 1, 1))), lambda k: k.cast("long"))
     inner_ks = lambda n: F.filter(ks, lambda k: (k < n_bins) & (k * step(n) < n))
     ranks = lambda n: F.flatten(F.transform(inner_ks(n), lambda k: F.array(k * step(n) - 1, k * step(n))))
-    found = grouped_order_statistics(long, ["t"], "v", ranks)
-    times = long.select("t").distinct()
+    found = grouped_order_statistics(long, keys, "v", ranks, weight)
     pairs = F.transform(F.sequence(F.lit(1), F.size("x"), F.lit(2)), lambda i: (F.element_at("x", i) + F.element_at("x", i + 1)) / 2)
-    found = found.select("t", F.when(F.size("x") > 0, pairs).alias("inner"))
-    inner = F.coalesce("inner", F.array().cast("array<double>"))
+    inner = F.when(F.size("x") > 0, pairs).otherwise(F.array().cast("array<double>"))
     padded = F.concat(F.array(F.lit(float(low))), inner, F.array_repeat(F.lit(float(high)), F.lit(n_bins) - F.size(inner)))
-    return times.join(found, "t", "left").select("t", padded.alias("edges"))
+    return found.select(*keys, padded.alias("edges"))
 
 
 @dataclass(frozen=True)
@@ -206,7 +211,7 @@ ENCODINGS = {
 COMPLEX = frozenset(e.make for e in ENCODINGS.values() if e.is_complex)
 
 
-def checked(series: DataFrame, encoding: Encoding) -> DataFrame:
+def checked(series: DataFrame, encoding) -> DataFrame:
     """Fails the query when a value is outside the encoding's range."""
     fits = F.forall("x", lambda v: (v >= encoding.low) & (v <= encoding.high))
     said = F.lit(f"a value is outside [{encoding.low}, {encoding.high}], the range of {encoding.name}")

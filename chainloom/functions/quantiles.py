@@ -146,11 +146,14 @@ def grouped_order_statistics(df: DataFrame, by: list[str], column: str, ranks: C
         before, wanted = wanted, written(wanted.filter(~wide).unionByName(found), "ranks")
         forget(before)
     few = rows.join(wanted.filter("lo < hi").select("g", "lo", "hi").distinct(), "g").filter("v BETWEEN lo AND hi")
-    few = few.groupBy("g", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("vs"))
-    # the first value whose weights, with those before it, pass the rank
-    ends = F.expr("aggregate(vs, cast(array() AS array<bigint>), (a, x) -> concat(a, array(coalesce(element_at(a, -1), 0L) + x.w)))") if weight else F.expr("sequence(1L, cast(size(vs) AS bigint))")
-    few = few.select("g", "lo", "hi", F.transform("vs", lambda x: x["v"]).alias("vs"), ends.alias("ends"))
-    value = F.coalesce(F.expr("vs[size(filter(ends, e -> e <= rank - below))]"), F.col("lo"))
+    if weight:  # where the copies of each value end
+        few = few.withColumn("upto", F.sum("w").over(Window.partitionBy("g", "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+        few = few.groupBy("g", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("upto", "v"))).alias("vs"))
+        found = F.expr("vs[size(filter(vs, x -> x.upto <= rank - below))].v")
+    else:
+        few = few.groupBy("g", "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+        found = F.try_element_at("vs", (F.col("rank") - F.col("below") + 1).cast("int"))
+    value = F.coalesce(found, F.col("lo"))
     values = wanted.join(few, ["g", "lo", "hi"], "left").groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", value.alias("x")))).alias("x"))
     return values.select("g.*", "n", F.transform(ranks(F.col("n")), lambda r: F.element_at("x", r)).alias("x"))
 

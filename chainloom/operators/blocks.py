@@ -21,6 +21,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions.fitted import FittedEncoding, resolved
 from chainloom.operators.mps import Chain
 from chainloom.operators.prediction import amplitudes, states
 
@@ -37,9 +38,10 @@ def from_right(env: np.ndarray, phi: np.ndarray, t: np.ndarray) -> np.ndarray:
     return (phi[:, :, None] * env[:, None, :]).reshape(len(env), d * r) @ t.reshape(l, d * r).T
 
 
-def state_blocks(series: DataFrame, encoding: str, d: int) -> RDD:
+def state_blocks(series: DataFrame, encoding: str | FittedEncoding, d: int | None) -> RDD:
     """Cached (labels, conjugate states) of ``series`` (label, x), about ``ROWS`` rows each."""
-    rows = states(series.select(F.col("label").cast("int").alias("label"), "x"), encoding, d, "label")
+    encoding = resolved(encoding, d)
+    d, rows = encoding.d, states(series.select(F.col("label").cast("int").alias("label"), "x"), encoding, None, "label")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

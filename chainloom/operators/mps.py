@@ -12,13 +12,17 @@ from dataclasses import dataclass, replace
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-MODEL_SCHEMA = "model_id string, centre int, site int, l int, s int, r int, c int, re double, im double"
+from chainloom.functions.fitted import FittedEncoding, parsed
+
+#: Rows of tensor entries, and rows of the encoding (its name, dimensions and the list of a site, of class c or all).
+MODEL_SCHEMA = "model_id string, centre int, site int, l int, s int, r int, c int, re double, im double, encoding string, d int, inner_d int, numbers array<double>"
 
 
 @dataclass(frozen=True)
 class Chain:
     tensors: tuple
     centre: int
+    encoding: FittedEncoding | None = None  # what it was trained on
 
     @property
     def length(self) -> int:
@@ -198,7 +202,7 @@ def difference(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def model_table(spark: SparkSession, chain: Chain, model_id: str) -> DataFrame:
-    """The entries of a chain that aren't 0, and the last entry of each tensor, which holds its shape."""
+    """The entries of a chain that aren't 0, the last entry of each tensor, which holds its shape, and its encoding."""
     rows = []
     for site, t in enumerate(chain.tensors):
         held = t != 0
@@ -206,7 +210,9 @@ def model_table(spark: SparkSession, chain: Chain, model_id: str) -> DataFrame:
         for at in np.argwhere(held).tolist():
             l, s, r, c = (*at, None)[:4]
             z = complex(t[tuple(at)])
-            rows.append((model_id, chain.centre, site, l, s, r, c, z.real, z.imag))
+            rows.append((model_id, chain.centre, site, l, s, r, c, z.real, z.imag, None, None, None, None))
+    if e := chain.encoding:
+        rows += [(model_id, None, t, None, None, None, c, None, None, e.name, e.d, e.inner_d, numbers) for c, t, numbers in e.rows() or [(None, None, [])]]
     return spark.createDataFrame(rows, MODEL_SCHEMA)
 
 
@@ -215,9 +221,10 @@ def chain_of(table: DataFrame, model_id: str) -> Chain:
     rows = table.filter(table["model_id"] == model_id).collect()
     if not rows:
         raise ValueError(f"there is no model {model_id}")
+    entries, lists = [r for r in rows if r.encoding is None], [r for r in rows if r.encoding is not None]
     tensors = []
-    for site in range(max(r.site for r in rows) + 1):
-        own = [r for r in rows if r.site == site]
+    for site in range(max(r.site for r in entries) + 1):
+        own = [r for r in entries if r.site == site]
         shape = [1 + max(getattr(r, k) for r in own) for k in "lsr"]
         if own[0].c is not None:
             shape.append(1 + max(r.c for r in own))
@@ -225,4 +232,16 @@ def chain_of(table: DataFrame, model_id: str) -> Chain:
         for r in own:
             t[(r.l, r.s, r.r) if r.c is None else (r.l, r.s, r.r, r.c)] = complex(r.re, r.im)
         tensors.append(t)
-    return Chain(tuple(tensors), rows[0].centre)
+    return Chain(tuple(tensors), entries[0].centre, _encoding_of(lists))
+
+
+def _encoding_of(rows: list) -> FittedEncoding | None:
+    if not rows:
+        return None
+    first, by_class, found = rows[0], rows[0].c is not None, {(r.c or 0, r.site or 0): tuple(r.numbers) for r in rows}
+    if first.site is None:
+        lists = ((),)
+    else:
+        n_classes, length = (1 + max(k[i] for k in found) for i in (0, 1))
+        lists = tuple(tuple(found[c, t] for t in range(length)) for c in range(n_classes))
+    return FittedEncoding(parsed(first.encoding), first.d, first.inner_d, lists, by_class)

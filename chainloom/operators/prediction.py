@@ -6,24 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.encodings import ENCODINGS, checked, complex_of
+from chainloom.functions.encodings import checked
+from chainloom.functions.fitted import FittedEncoding, resolved
 from chainloom.functions.quantiles import grouped_quantiles
 from chainloom.operators.mps import Chain
 
 
-def states(series: DataFrame, encoding: str, d: int, *kept: str) -> DataFrame:
-    """``kept`` columns and ``re``, ``im``: the d components of every value, one after another."""
-    e = ENCODINGS[encoding]
-    if not e.dimensions(d):
-        raise ValueError(f"{encoding} takes no dimension {d}")
-
-    def of(v: Column) -> Column:
-        return F.array(*[p if e.is_complex else complex_of(p, F.lit(0.0)) for p in e.make(v, d)])
-
-    z = checked(series, e).withColumn("z", F.flatten(F.transform("x", of)))
+def states(series: DataFrame, encoding: str | FittedEncoding, d: int | None, *kept: str) -> DataFrame:
+    """``kept`` columns and ``re``, ``im``: the d components of every value, one after another. An encoding
+    by class takes the lists of each series' own ``label``."""
+    e = resolved(encoding, d)
+    z = checked(series, e).withColumn("z", e.column(F.col("label") if e.by_class else None))
     return z.select(*kept, F.col("z.re").alias("re"), F.col("z.im").alias("im"))
 
 
@@ -42,18 +38,31 @@ def amplitudes(chain: Chain, phi: np.ndarray) -> np.ndarray:
     return env[:, :, 0]
 
 
-def scores(series: DataFrame, chain: Chain, encoding: str, d: int) -> DataFrame:
-    """(series_id, label, weight ARRAY<DOUBLE>): squared amplitudes of each class."""
-    model = series.sparkSession.sparkContext.broadcast(chain)
+def scores(series: DataFrame, chain: Chain, encoding: str | FittedEncoding | None = None, d: int | None = None) -> DataFrame:
+    """(series_id, label, weight ARRAY<DOUBLE>): squared amplitudes of each class. Without ``encoding`` that
+    of the chain is taken; one by class encodes a series once for each class, whose amplitude then counts."""
+    e = resolved(encoding or chain.encoding, d)
+    model, n = series.sparkSession.sparkContext.broadcast(chain), chain.n_classes
     kept = series.select("series_id", F.col("label").cast("int").alias("label"), "x")
+    if e.by_class:
+        z = checked(kept, e).withColumn("z", F.flatten(F.array(*[e.column(F.lit(c)) for c in range(n)])))
+        rows = z.select("series_id", "label", F.col("z.re").alias("re"), F.col("z.im").alias("im"))
+    else:
+        rows = states(kept, e, None, "series_id", "label")
+
+    def amplitude_of(phi: np.ndarray) -> np.ndarray:
+        if not e.by_class:
+            return amplitudes(model.value, phi)
+        each = phi.reshape(-1, n, model.value.length, e.d)
+        return np.stack([amplitudes(model.value, each[:, c])[:, c] for c in range(n)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = np.abs(amplitudes(model.value, as_states(b.column(2), b.column(3), model.value.length, d))) ** 2
+            w = np.abs(amplitude_of(as_states(b.column(2), b.column(3), model.value.length, e.d))) ** 2
             weights = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32)), pa.array(w.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), weights], names=["series_id", "label", "weight"])
 
-    return states(kept, encoding, d, "series_id", "label").mapInArrow(run, "series_id long, label int, weight array<double>")
+    return rows.mapInArrow(run, "series_id long, label int, weight array<double>")
 
 
 def predictions(scored: DataFrame) -> DataFrame:

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.encodings import ENCODINGS
+from chainloom.functions.fitted import FittedEncoding, fitted, parsed
 from chainloom.functions.scaling import scaled
 from chainloom.operators.blocks import HalfSweep, block_summary, state_blocks
 from chainloom.operators.mps import Chain, compressed, left_orthogonal, merged, random_chain, split, sum_of_products
-from chainloom.operators.prediction import states
+from chainloom.operators.prediction import scores, states, summary
 from chainloom.operators.series import asserted, hashed, sampled_per_class
 
 
@@ -29,8 +30,10 @@ PER_SWEEP = ("rate", "iterations", "solver", "loss", "max_bond", "cutoff")
 
 @dataclass(frozen=True)
 class Options:
-    encoding: str = "stoudenmire"
+    encoding: str | FittedEncoding = "stoudenmire"  # composite names are fitted on the training set
     d: int = 2
+    inner_d: int = 2  # components within a bin of a split encoding
+    encode_by_class: bool = False  # lists of a fitted encoding by class
     max_bond: int = 10
     first_bond: int = 4
     sweeps: int = 5
@@ -107,11 +110,17 @@ def loss_and_gradient(half: HalfSweep, bond: np.ndarray, j: int, options: Option
     return loss, gradient
 
 
+def encoding_of(train: DataFrame, options: Options) -> FittedEncoding:
+    if isinstance(options.encoding, FittedEncoding):
+        return options.encoding
+    return fitted(train, options.encoding, options.d, options.inner_d, options.encode_by_class)
+
+
 def sum_state_start(train: DataFrame, options: Options, per_class: int = 8, noise: float = 0.0) -> Chain:
     """A chain that superposes the states of ``per_class`` series of each class, compressed to the first bond."""
-    chosen = sampled_per_class(train, per_class, hashed(options.seed))
-    rows = states(chosen.select("series_id", F.col("label").cast("int").alias("label"), "x"), options.encoding, options.d, "series_id", "label").orderBy("series_id").collect()
-    phi = np.array([np.array(r.re) + 1j * np.array(r.im) for r in rows]).reshape(len(rows), -1, options.d)
+    chosen, e = sampled_per_class(train, per_class, hashed(options.seed)), encoding_of(train, options)
+    rows = states(chosen.select("series_id", F.col("label").cast("int").alias("label"), "x"), e, None, "series_id", "label").orderBy("series_id").collect()
+    phi = np.array([np.array(r.re) + 1j * np.array(r.im) for r in rows]).reshape(len(rows), -1, e.d)
     chain = compressed(sum_of_products(phi, [r.label for r in rows], 1 + max(r.label for r in rows)), options.first_bond, options.cutoff)
     if not noise:
         return chain
@@ -159,20 +168,25 @@ def updated(bond: np.ndarray, evaluate, options: Options) -> np.ndarray:
 def fit(train: DataFrame, test: DataFrame | None, options: Options, start: Chain | None = None) -> tuple[Chain, list[dict]]:
     """Series with labels 0 to C - 1 and values in the encoding's range. Returns the chain and a log:
     before training (sweep 0), after each sweep, and after the final normalisation. ``stop_below``
-    ends the sweeps when the KLD falls by less, on the test set if there is one."""
+    ends the sweeps when the KLD falls by less, on the test set if there is one. The chain holds the encoding,
+    which is fitted on ``train`` where the options name a composite one."""
     length = asserted(train)
     counts = {r["label"]: r["count"] for r in train.groupBy(F.col("label").cast("int").alias("label")).count().collect()}  # one row for each class
     if sorted(counts) != list(range(len(counts))):
         raise ValueError(f"labels must be 0 to C - 1, not {sorted(counts)}")
-    chain = start or random_chain(length, options.d, options.first_bond, len(counts), options.seed)
-    sets = {name: state_blocks(rows, options.encoding, options.d) for name, rows in (("train", train), ("test", test)) if rows is not None}
+    encoding = encoding_of(train, options)
+    chain = replace(start or random_chain(length, encoding.d, options.first_bond, len(counts), options.seed), encoding=encoding)
+    rows_of = {name: rows for name, rows in (("train", train), ("test", test)) if rows is not None}
+    sets = {name: state_blocks(rows, encoding, None) for name, rows in rows_of.items() if name == "train" or not encoding.by_class}
     judged = "test_kld" if test is not None else "train_kld"
     log: list[dict] = []
 
     def note(sweep: int, seconds: float) -> None:
         entry = {"sweep": sweep, "seconds": seconds}
-        for name, blocks in sets.items():
-            entry |= {f"{name}_{k}": v for k, v in block_summary(blocks, chain).items()}
+        for name, rows in rows_of.items():
+            # blocks hold each series in the encoding of its own class alone
+            found = summary(scores(rows, chain)).first().asDict() if encoding.by_class else block_summary(sets[name], chain)
+            entry |= {f"{name}_{k}": found[k] for k in ("accuracy", "kld", "mse")}
         log.append(entry)
 
     try:
@@ -202,6 +216,6 @@ def fit(train: DataFrame, test: DataFrame | None, options: Options, start: Chain
 
 def fit_scaled(train: DataFrame, test: DataFrame | None, options: Options, minmax_fit: str = "self") -> tuple[Chain, list[dict]]:
     """``fit`` on raw series: a robust sigmoid fitted on ``train``, then the range of the encoding."""
-    e = ENCODINGS[options.encoding]
+    e = options.encoding if isinstance(options.encoding, FittedEncoding) else ENCODINGS[parsed(options.encoding).inner]
     sets = scaled(train, *([test] if test is not None else []), to=(e.low, e.high), minmax_fit=minmax_fit)
     return fit(sets[0], sets[1] if test is not None else None, options)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from chainloom.functions import encodings as E
+from chainloom.functions import encodings as E, fitted
 from chainloom.functions.scaling import binarised, letter, scaled, uniform_bin
 from chainloom.operators import series as S
 from chainloom.plans.common import CELLS, embeddings, ranged, six
@@ -92,6 +92,19 @@ def enc_bit_states(spark, d):
     return _rows(E.number_states(bits, F.col("b"), 2))
 
 
+def _edge_rows(edges, *by):
+    return edges.select(*by, "t", F.posexplode("edges").alias("k", "edge")).withColumn("edge", six(F.col("edge")))
+
+
+def split_hist_balanced(spark, d):
+    """Four bins in which all classes together weigh the same, each class as much as any other."""
+    return _edge_rows(fitted.edges_of(_scaled(spark, d, "half_angle"), fitted.parsed("hist split balanced half_angle"), 4, False))
+
+
+def split_hist_by_class(spark, d):
+    return _edge_rows(fitted.edges_of(_scaled(spark, d, "half_angle"), fitted.parsed("hist split half_angle"), 4, True), "label")
+
+
 KINDS = {
     "enc_stoudenmire": ("stoudenmire", 2), "enc_half_angle": ("half_angle", 2), "enc_qudit": ("qudit", 3), "enc_linear": ("linear", 2), "enc_fourier": ("fourier", 5),
     "enc_sahand": ("sahand", 4), "enc_legendre": ("legendre", 4), "enc_legendre_nonorm": ("legendre_no_norm", 4), "enc_uniform": ("uniform", 3),
@@ -99,6 +112,7 @@ KINDS = {
 QUERIES = {n: _encoded(*k) for n, k in KINDS.items()} | {
     "split_uniform_edges": split_uniform_edges, "split_hist_edges": split_hist_edges, "enc_uniform_split": enc_uniform_split, "enc_hist_split": enc_hist_split, "basis_grid": basis_grid,
     "enc_fourier_by_time": enc_fourier_by_time, "enc_legendre_by_time": enc_legendre_by_time, "enc_letter_states": enc_letter_states, "enc_bit_states": enc_bit_states,
+    "split_hist_balanced": split_hist_balanced, "split_hist_by_class": split_hist_by_class,
 }
 
 
@@ -146,6 +160,25 @@ _SPLIT = """, b AS (
   UNION ALL SELECT t, bin * 2 + 1, CASE WHEN rect = 0 THEN 0 ELSE rect * sin(pi() / 2 * u) END FROM w
 )
 SELECT t, CAST(k AS INTEGER) AS k, count(*) AS n, round(sum(re)::DOUBLE, 4) AS total, CAST(count(*) FILTER (re <> 0) AS BIGINT) AS n_used FROM parts GROUP BY t, k"""
+
+
+def balanced_edges(n_bins: int) -> str:
+    """SQL of ``edges`` (t, k, edge) of ``z``: bins of equal weight, a class weighs 2**40 in all."""
+    return f""", weights AS (SELECT label, 1099511627776 // count(*) AS w FROM (SELECT DISTINCT series_id, label FROM z) GROUP BY label
+), heavy AS MATERIALIZED (
+  SELECT t, v, w, (sum(w) OVER (PARTITION BY t ORDER BY v, series_id))::BIGINT AS upto, (sum(w) OVER (PARTITION BY t))::BIGINT AS c FROM z JOIN weights USING (label)
+), steps AS (
+  SELECT DISTINCT t, c, k, greatest(round_even(c / {n_bins}, 0), 1)::BIGINT * k AS r FROM heavy, range(1, {n_bins}) AS g(k)
+), cuts AS (
+  SELECT s.t, k, (any_value(v) FILTER (upto > r - 1 AND upto - w <= r - 1) + any_value(v) FILTER (upto > r AND upto - w <= r)) / 2 AS e
+  FROM steps s JOIN heavy h ON s.t = h.t AND r < s.c GROUP BY s.t, k
+), edges AS MATERIALIZED (
+  SELECT t, CAST(k AS INTEGER) AS k, CASE WHEN k = 0 THEN 0.0::DOUBLE WHEN k = {n_bins} THEN 1.0::DOUBLE ELSE coalesce(e, 1.0::DOUBLE) END AS edge
+  FROM (SELECT DISTINCT t FROM z) CROSS JOIN range({n_bins} + 1) AS g(k) LEFT JOIN cuts USING (t, k)
+)"""
+
+
+_CLASS_EDGES = _EDGES.replace("PARTITION BY t", "PARTITION BY label, t").replace("SELECT t,", "SELECT label, t,").replace("DISTINCT t FROM", "DISTINCT label, t FROM").replace("grid.t,", "grid.label, grid.t,").replace("ON grid.t = cuts.t", "ON grid.label = cuts.label AND grid.t = cuts.t")
 ORACLE_SQL = {
     "enc_stoudenmire": _sql(0.0, 1.0, _ANGLE),
     "enc_half_angle": _sql(0.0, 1.0, [("cos(pi() / 2 * v)", "0.0::DOUBLE"), ("sin(pi() / 2 * v)", "0.0::DOUBLE")]),
@@ -158,6 +191,8 @@ ORACLE_SQL = {
     "enc_uniform": _sql(0.0, 1.0, [("1.0::DOUBLE / 3", "0.0::DOUBLE")] * 3),
     "split_uniform_edges": "SELECT CAST(k AS INTEGER) AS k, round(-1.0::DOUBLE + 2.0::DOUBLE * k / 4, 6) + 0.0 AS edge FROM range(5) AS r(k)",
     "split_hist_edges": f"WITH {ranged(0.0, 1.0)}{_EDGES} SELECT t, k, round(edge, 6) + 0.0 AS edge FROM edges",
+    "split_hist_balanced": f"WITH {ranged(0.0, 1.0)}{balanced_edges(4)} SELECT t, k, round(edge, 6) + 0.0 AS edge FROM edges",
+    "split_hist_by_class": f"WITH {ranged(0.0, 1.0)}{_CLASS_EDGES} SELECT label, t, k, round(edge, 6) + 0.0 AS edge FROM edges",
     "enc_uniform_split": f"WITH {ranged(0.0, 1.0)}, edges AS (SELECT k, k / 4.0::DOUBLE AS edge FROM range(5) AS r(k))" + _SPLIT.format("", ""),
     "enc_hist_split": f"WITH {ranged(0.0, 1.0)}{_EDGES}" + _SPLIT.format("a.t = z.t AND", "h.t = z.t AND"),
     "basis_grid": " UNION ALL ".join(

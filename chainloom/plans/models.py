@@ -11,9 +11,11 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chainloom.functions import fitted
 from chainloom.functions.scaling import scaled
 from chainloom.operators import analysis, contraction, metrics, mps, overlap, prediction, sampling, search, series as S, training
 from chainloom.plans.common import CELLS, embeddings, ranged, six, table
+from chainloom.plans.encoding import balanced_edges
 
 #: A real chain of bond 2 for half-angle states: [l][s][r].
 TENSOR = (((0.9, 0.1), (0.4, -0.3)), ((-0.2, 0.8), (0.3, 0.7)))
@@ -91,6 +93,19 @@ def _scored(spark, d):
     return prediction.scores(s, _chain_of(_length(s), _n_classes(s)), "half_angle", 2)
 
 
+#: A real chain of bond 2 for two bins of half-angle states: [l][s][r].
+SPLIT_TENSOR = (((0.9, 0.1), (0.4, -0.3), (0.7, 0.2), (-0.5, 0.6)), ((-0.2, 0.8), (0.3, 0.7), (0.6, -0.4), (0.1, 0.9)))
+
+
+def mps_split_score(spark, d):
+    """Logarithms of the amplitudes of a chain that carries its fitted encoding, ``hist split balanced half_angle``."""
+    s = _unit(spark, d)
+    found, length = fitted.fitted(s, "hist split balanced half_angle", 4), _length(s)
+    t = np.array(SPLIT_TENSOR)
+    chain = mps.Chain((t[:1], *[t] * (length - 2), t[:, :, :1, None]), length - 1, found)
+    return prediction.scores(s, chain).select("series_id", F.round(F.log(F.col("weight")[0]) / 2, 6).alias("log_amplitude"))
+
+
 def mps_predict(spark, d):
     return prediction.predictions(_scored(spark, d)).select("series_id", "label", "predicted")
 
@@ -294,7 +309,7 @@ def mps_generative(spark, d):
 
 NAMES = [
     "effective_overlap", "entropy_variation", "kernel_embedding", "basis_projection", "mps_sum_state", "mps_generative",
-    "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
+    "mps_split_score", "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
     "mps_overlap_statistics", "label_metrics", "forecast_errors", "traj_mean_std", "hist_bin_rules", "hist_mode", "grid_minus_done", "mps_train", "mps_model_table",
     "mps_forecast", "mps_forecast_errors", "mps_interpolate", "mps_forecast_mode", "mps_marginals", "entropy_profile", "two_point_correlation", "class_state_overlaps",
 ]
@@ -316,6 +331,22 @@ weights AS MATERIALIZED (SELECT series_id, label, c, pow(a0 * cos(pi() * c / n)
 predicted AS (SELECT series_id, label, c AS predicted FROM weights QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY w DESC, c) = 1)"""
 
 
+def _split_sql() -> str:
+    """The amplitude of each series under ``SPLIT_TENSOR``: states of two bins by balanced edges, then the chain site by site."""
+    w = SPLIT_TENSOR
+    half = [f"{f}(pi() / 2 * u{b}) * w{b}" for b in (0, 1) for f in ("cos", "sin")]
+    step = [" + ".join(f"{a} * CAST({w[i][k][r]} AS DOUBLE) * p{k}" for i, a in ((0, "a0"), (1, "a1")) for k in range(4)) for r in range(2)]
+    rect = "CASE WHEN u{0} IS NULL THEN 0 WHEN abs(u{0} - 0.5) = 0.5 THEN 0.5 WHEN abs(u{0} - 0.5) < 0.5 THEN 1 ELSE 0 END AS w{0}"
+    return f"""WITH RECURSIVE {ranged(0.0, 1.0)}{balanced_edges(2)}, u AS (
+  SELECT series_id, z.t, CASE WHEN m.edge > 0 THEN v / m.edge END AS u0, CASE WHEN m.edge < 1 THEN (v - m.edge) / (1 - m.edge) END AS u1 FROM z JOIN edges m ON m.t = z.t AND m.k = 1
+), r AS (SELECT *, {rect.format(0)}, {rect.format(1)} FROM u),
+p AS MATERIALIZED (SELECT series_id, t, {", ".join(f"CASE WHEN w{k // 2} = 0 THEN 0 ELSE {h} END AS p{k}" for k, h in enumerate(half))} FROM r),
+chain AS (
+  SELECT DISTINCT series_id, 0 AS t, CAST(1 AS DOUBLE) AS a0, CAST(0 AS DOUBLE) AS a1 FROM p
+  UNION ALL SELECT c.series_id, c.t + 1, {step[0]}, {step[1]} FROM chain c JOIN p ON p.series_id = c.series_id AND p.t = c.t
+) SELECT series_id, round(ln(abs(a0)), 6) AS log_amplitude FROM chain WHERE t = (SELECT max(t) + 1 FROM p)"""
+
+
 _AMPLITUDES = " SELECT series_id, 0 AS c, round(a0, 9) + 0.0 AS amplitude FROM last UNION ALL SELECT series_id, 1, round(a1, 9) + 0.0 FROM last"
 _RATES = """round((tp + tn) / (tp + tn + fp + fn), 6) + 0.0 AS accuracy, round(tp / nullif(tp + fp, 0), 6) + 0.0 AS precision, round(tp / nullif(tp + fn, 0), 6) + 0.0 AS recall,
   round(tn / nullif(tn + fp, 0), 6) + 0.0 AS specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) + 0.0 AS f1, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) + 0.0 AS balanced_accuracy"""
@@ -338,6 +369,7 @@ ORACLE_SQL = {
     "rlf_kernel": f"WITH {ranged(0.0, 1.0)} SELECT query_id, series_id, round(pow(2.0::DOUBLE, sum(ln(abs(cos(pi() / 2 * (qv - v))))) / ln(10)), 8) + 0.0 AS rlf FROM ({_PAIRS}) GROUP BY query_id, series_id",
     "nearest_by_overlap": f"""WITH {ranged(0.0, 1.0)}, o AS (SELECT query_id, series_id, sum(ln(abs(cos(pi() / 2 * (qv - v))))) AS o FROM ({_PAIRS}) WHERE query_id <> series_id GROUP BY query_id, series_id)
 SELECT query_id, series_id AS nearest_id, round(o, 5) AS log_overlap FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC, series_id) = 1""",
+    "mps_split_score": _split_sql(),
     "mps_score_hof": _chain_sql() + _AMPLITUDES,
     "mps_score_coo": _chain_sql() + _AMPLITUDES,
     "mps_predict": _chain_sql() + " SELECT series_id, label, predicted FROM predicted",

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions.fitted import FittedEncoding
 from chainloom.operators.mps import Chain
 from chainloom.operators.prediction import predictions, scores
 
 
-def scored_stream(series: DataFrame, chain: Chain, encoding: str, d: int) -> DataFrame:
+def scored_stream(series: DataFrame, chain: Chain, encoding: str | FittedEncoding | None = None, d: int | None = None) -> DataFrame:
     """A stream of (series_id, label, weight, predicted); stateless."""
     return predictions(scores(series, chain, encoding, d))
 

@@ -230,3 +230,12 @@ def test_histogram_rules_leave_out_what_is_not_finite(spark):
     more = spark.createDataFrame([("a", v) for v in (float("inf"), float("-inf"), float("nan"), None)], "k string, v double")
     for find in (metrics.bin_rules, lambda df, by, v: metrics.histogram_mode(df, by, v, 7)):
         assert find(clean.unionByName(more), ["k"], "v").collect() == find(clean, ["k"], "v").collect()
+
+
+def test_legendre_polynomials_of_high_degree(spark):
+    v = np.linspace(-1, 1, 9)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    for degree in (0, 1, 5, 7, 25):
+        want = np.polynomial.legendre.Legendre.basis(degree)(v)
+        got = df.select(encodings.legendre_polynomial(F.col("v"), degree).alias("p")).toPandas()["p"]
+        assert np.allclose(got, want, atol=1e-12)
