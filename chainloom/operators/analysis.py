@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.encodings import ENCODINGS, c_abs2, complex_of
+from chainloom.functions.fitted import resolved
 from chainloom.operators.mps import entropy_profile
 from chainloom.operators.prediction import as_states, states
 
@@ -46,9 +47,21 @@ def site_overlaps(series: DataFrame, tensors: list[np.ndarray], encoding: str, d
     return states(series, encoding, d, "series_id").mapInArrow(run, "series_id long, t int, overlap double")
 
 
-def effective_overlaps(series: DataFrame, tensors: list[np.ndarray], encoding: str, d: int) -> DataFrame:
-    """(series_id, overlap): the mean of a series' one-site overlaps."""
-    return site_overlaps(series, tensors, encoding, d).groupBy("series_id").agg(F.avg("overlap").alias("overlap"))
+def effective_overlaps(series: DataFrame, class_states: list, encoding: str, d: int) -> DataFrame:
+    """(series_id, class, overlap): the mean of a series' one-site overlaps with the state of every class, in one pass."""
+    e = resolved(encoding, d)
+    sent = series.sparkSession.sparkContext.broadcast(np.array([site_densities(t) for t in class_states]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rho = sent.value
+        n, length = rho.shape[:2]
+        for b in batches:
+            phi = as_states(b.column(1), b.column(2), length, e.d)
+            o = np.stack([np.einsum("njs,jsu,nju->n", phi.conj(), own, phi, optimize=True).real / length for own in rho], axis=1)
+            ids = pa.array(np.repeat(np.arange(len(phi)), n))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(ids), pa.array(np.tile(np.arange(n, dtype=np.int32), len(phi))), pa.array(o.ravel())], names=["series_id", "class", "overlap"])
+
+    return states(series, e, None, "series_id").mapInArrow(run, "series_id long, class int, overlap double")
 
 
 def measured_entropies(tensors: list[np.ndarray], p: np.ndarray, t: int, grams: tuple[list, list]) -> np.ndarray:
@@ -87,20 +100,27 @@ def side_grams(tensors: list[np.ndarray]) -> tuple[list, list]:
     return left, right[::-1]
 
 
-def entropy_variations(series: DataFrame, tensors: list[np.ndarray], encoding: str, d: int) -> DataFrame:
-    """(series_id, t, variation): the mean change of the cut entropies after site t is measured in the
-    state of the series' value."""
-    sent = series.sparkSession.sparkContext.broadcast((tensors, float(np.mean(entropy_profile(tensors))), side_grams(tensors)))
+def entropy_variations(series: DataFrame, class_states: list, encoding: str, d: int) -> DataFrame:
+    """(series_id, label, t, variation): the mean change of the cut entropies after site t of the state of the
+    series' class (or of the one state given) is measured in the state of the series' value."""
+    alone, e = isinstance(class_states[0], np.ndarray), resolved(encoding, d)
+    each = [class_states] if alone else class_states
+    sent = series.sparkSession.sparkContext.broadcast([(t, float(np.mean(entropy_profile(t))), side_grams(t)) for t in each])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tensors, before, grams = sent.value
         for b in batches:
-            phi = as_states(b.column(1), b.column(2), len(tensors), d)
-            for t in range(len(tensors)):
-                found = measured_entropies(tensors, phi[:, t], t, grams) - before
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(phi), t, np.int32)), pa.array(found)], names=["series_id", "t", "variation"])
-
-    return states(series, encoding, d, "series_id").mapInArrow(run, "series_id long, t int, variation double")
+            label = np.zeros(b.num_rows, int) if alone else b.column(1).to_numpy(zero_copy_only=False)
+            for c in np.unique(label):
+                tensors, before, grams = sent.value[int(c)]
+                rows = pa.array(np.flatnonzero(label == c))
+                part = b.take(rows)
+                phi = as_states(part.column(2), part.column(3), len(tensors), e.d)
+                for t in range(len(tensors)):
+                    found = measured_entropies(tensors, phi[:, t], t, grams) - before
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(phi), t, np.int32)), pa.array(found)], names=["series_id", "label", "t", "variation"])
+
+    rows = states(series.withColumn("label", F.col("label").cast("int")), e, None, "series_id", "label")
+    return rows.mapInArrow(run, "series_id long, label int, t int, variation double")
 
 
 def embedded(similarities: DataFrame, dimensions: int = 2) -> DataFrame:

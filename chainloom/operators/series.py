@@ -10,6 +10,13 @@ def from_arrays(df: DataFrame, id_col: str, array_col: str, label_col: str) -> D
     return df.select(F.col(id_col).alias("series_id"), F.col(label_col).alias("label"), F.transform(array_col, lambda v: v.cast("double")).alias("x"))
 
 
+def spread(series: DataFrame) -> DataFrame:
+    """For heavy work on each row: a table of fewer partitions than there are cores is dealt out to all of them
+    (by a hash of the id); a larger one stays where it is read."""
+    cores = series.sparkSession.sparkContext.defaultParallelism
+    return series if series.rdd.getNumPartitions() >= cores else series.repartition(cores, F.xxhash64("series_id"))
+
+
 def of_class(series: DataFrame, label: int) -> DataFrame:
     return series.filter(F.col("label") == label)
 

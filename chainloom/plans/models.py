@@ -180,26 +180,37 @@ def grid_minus_done(spark, d):
     return search.remaining(cells, done)
 
 
-_chains: WeakKeyDictionary = WeakKeyDictionary()  # by session, then by folder: what several queries start from
+_chains: WeakKeyDictionary = WeakKeyDictionary()  # by session, then by the input's files: what several queries start from
+
+
+def _files(spark, d) -> tuple:
+    """Names, sizes and times of the files of the series table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/embeddings.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def _trained(spark, d):
-    """A chain of all time points with a class axis of all labels, trained on all series; once for a session."""
-    known = _chains.setdefault(spark, {})
-    if d not in known:
-        known[d] = _train(spark, d)
-    return known[d]
+    """A chain of all time points with a class axis of all labels, trained on all series; once for a session and state of the table."""
+    known, key = _chains.setdefault(spark, {}), _files(spark, d)
+    if key not in known:
+        known[key] = _train(spark, d)
+    return known[key]
 
 
 def _train(spark, d):
-    s = _unit(spark, d).repartition(8, "series_id")
+    s = S.spread(_unit(spark, d))
     options = training.Options(sweeps=1, max_bond=4, first_bond=2, rate=0.1)
     return training.fit(s, None, options)
 
 
 def mps_train(spark, d):
     known, found = _chains.setdefault(spark, {}), _train(spark, d)
-    log = known.setdefault(d, found)[1]
+    log = known.setdefault(_files(spark, d), found)[1]
     rows = [(x["sweep"], x["train_accuracy"], x["train_kld"], x["train_mse"]) for x in log]
     return spark.createDataFrame(rows, "sweep int, accuracy double, kld double, mse double")
 
@@ -213,17 +224,17 @@ def _class_states(spark, d):
     return [mps.right_orthogonal(chain.of_class(c)) for c in range(chain.n_classes)]
 
 
-def _by_class(spark, d, find, s=None):
-    """``find`` of the series of each class and its own class state, one table after another."""
-    found = [find(c, s.filter(F.col("label") == c) if s is not None else None, state) for c, state in enumerate(_class_states(spark, d))]
-    return reduce(lambda a, b: a.unionByName(b), found)
+def _drawn(spark, d, sites, shots, method="grid"):
+    """Draws for every series from the state of its own class, in one pass; sites below 0 count from the end."""
+    s, found = S.spread(_unit(spark, d)), _class_states(spark, d)
+    length = len(found[0])
+    return s, sampling.draws(s, found, "stoudenmire", 2, [t % length for t in sites], shots, method=method)
 
 
 def mps_forecast(spark, d):
-    s = _unit(spark, d)
-    shots = _by_class(spark, d, lambda c, own, state: sampling.forecast(own, state, "stoudenmire", 2, horizon=3, shots=20), s)
-    truth = S.long_form(s).select("series_id", "t", F.col("v").alias("actual"))
-    return sampling.trajectories(shots).join(truth, ["series_id", "t"])
+    s, found = _drawn(spark, d, [-3, -2, -1], 20)
+    n = len(_class_states(spark, d)[0])
+    return sampling.trajectory(found).drop("label").join(sampling.truth_of(s, [n - 3, n - 2, n - 1]), ["series_id", "t"])
 
 
 def mps_forecast_errors(spark, d):
@@ -231,16 +242,27 @@ def mps_forecast_errors(spark, d):
 
 
 def mps_interpolate(spark, d):
-    return sampling.trajectories(_by_class(spark, d, lambda c, own, state: sampling.imputed(own, state, "stoudenmire", 2, [2, 3, 5], 20), _unit(spark, d)))
+    return sampling.trajectory(_drawn(spark, d, [2, 3, 5], 20)[1]).drop("label")
+
+
+def mps_forecast_exact(spark, d):
+    """Draws by the exact inverse of the distribution function."""
+    return sampling.trajectory(_drawn(spark, d, [-3, -2, -1], 20, "exact")[1]).drop("label")
 
 
 def mps_forecast_mode(spark, d):
-    shots = _by_class(spark, d, lambda c, own, state: sampling.forecast(own, state, "stoudenmire", 2, 2, 40), _unit(spark, d))
-    return sampling.bootstrapped_mode(shots, 100)
+    return sampling.bootstrapped_mode(_drawn(spark, d, [-2, -1], 40)[1], 100)
+
+
+def encoding_bias(spark, d):
+    """How far the mean of the density that a half-angle state implies is from the value itself, in ten bins of the range."""
+    found = sampling.bias_by_bin(sampling.encoding_bias(_unit(spark, d), "half_angle", 2), 0.0, 1.0, 10)
+    return found.select("bin", "n", six(F.col("bias")).alias("bias"), six(F.col("size")).alias("size"))
 
 
 def mps_marginals(spark, d):
-    return _by_class(spark, d, lambda c, own, state: sampling.marginals(spark, state, "stoudenmire", 2).withColumn("class", F.lit(c)))
+    found = [sampling.marginals(spark, state, "stoudenmire", 2).withColumn("class", F.lit(c)) for c, state in enumerate(_class_states(spark, d))]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def entropy_profile(spark, d):
@@ -263,13 +285,12 @@ def class_state_overlaps(spark, d):
 
 def effective_overlap(spark, d):
     """Every series against every class state."""
-    s = _unit(spark, d)
-    return _by_class(spark, d, lambda c, own, state: analysis.effective_overlaps(s, state, "stoudenmire", 2).withColumn("class", F.lit(c)))
+    return analysis.effective_overlaps(_unit(spark, d), _class_states(spark, d), "stoudenmire", 2)
 
 
 def entropy_variation(spark, d):
     """Class means of the variation, by site; every series in the state of its own class."""
-    found = _by_class(spark, d, lambda c, own, state: analysis.entropy_variations(own, state, "stoudenmire", 2).withColumn("label", F.lit(c)), _unit(spark, d))
+    found = analysis.entropy_variations(S.spread(_unit(spark, d)), _class_states(spark, d), "stoudenmire", 2)
     return found.groupBy("label", "t").agg(F.avg("variation").alias("variation"))
 
 
@@ -309,7 +330,7 @@ def mps_generative(spark, d):
 
 NAMES = [
     "effective_overlap", "entropy_variation", "kernel_embedding", "basis_projection", "mps_sum_state", "mps_generative",
-    "mps_split_score", "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
+    "encoding_bias", "mps_forecast_exact", "mps_split_score", "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
     "mps_overlap_statistics", "label_metrics", "forecast_errors", "traj_mean_std", "hist_bin_rules", "hist_mode", "grid_minus_done", "mps_train", "mps_model_table",
     "mps_forecast", "mps_forecast_errors", "mps_interpolate", "mps_forecast_mode", "mps_marginals", "entropy_profile", "two_point_correlation", "class_state_overlaps",
 ]
@@ -369,6 +390,8 @@ ORACLE_SQL = {
     "rlf_kernel": f"WITH {ranged(0.0, 1.0)} SELECT query_id, series_id, round(pow(2.0::DOUBLE, sum(ln(abs(cos(pi() / 2 * (qv - v))))) / ln(10)), 8) + 0.0 AS rlf FROM ({_PAIRS}) GROUP BY query_id, series_id",
     "nearest_by_overlap": f"""WITH {ranged(0.0, 1.0)}, o AS (SELECT query_id, series_id, sum(ln(abs(cos(pi() / 2 * (qv - v))))) AS o FROM ({_PAIRS}) WHERE query_id <> series_id GROUP BY query_id, series_id)
 SELECT query_id, series_id AS nearest_id, round(o, 5) AS log_overlap FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC, series_id) = 1""",
+    "encoding_bias": f"""WITH {ranged(0.0, 1.0)}, m AS (SELECT v, (0.25 + (sin(pi() * v) / pi() - 2 * cos(pi() * v) / (pi() * pi())) / 2) / (0.5 + sin(pi() * v) / pi()) - v AS gap FROM z)
+SELECT least(floor(v * 10), 9)::INT AS bin, count(*) AS n, round(avg(gap), 6) + 0.0 AS bias, round(avg(abs(gap)), 6) + 0.0 AS size FROM m GROUP BY ALL""",
     "mps_split_score": _split_sql(),
     "mps_score_hof": _chain_sql() + _AMPLITUDES,
     "mps_score_coo": _chain_sql() + _AMPLITUDES,

@@ -126,7 +126,8 @@ def horizon_split(spark, d):
 
 
 def relabel_two_classes(spark, d):
-    s = S.relabelled(embeddings(spark, d).filter("label < 2"), {0: -1, 1: 1})
+    """Even labels become -1, odd ones 1."""
+    s = S.relabelled(embeddings(spark, d), {c: 1 if c % 2 else -1 for c in range(10)})
     return s.select("series_id", F.col("label").cast("int").alias("label"))
 
 
@@ -193,7 +194,7 @@ SELECT event_type, CAST(day AS VARCHAR) AS day, CASE WHEN isodow(day) IN (6, 7)
     "validation_split": f"SELECT series_id, label, CASE WHEN r < round(n * CAST(0.1 AS DOUBLE)) THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM ({_RANK}))",
     "horizon_split": """SELECT vec_id AS series_id, 'known' AS part, len(embedding) - 16 AS n, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, round(embedding[len(embedding) - 16]::DOUBLE, 6) + 0.0 AS last FROM embeddings
       UNION ALL SELECT vec_id, 'horizon', 16, round(embedding[len(embedding) - 15]::DOUBLE, 6) + 0.0, round(embedding[len(embedding)]::DOUBLE, 6) + 0.0 FROM embeddings""",
-    "relabel_two_classes": "SELECT vec_id AS series_id, CAST(CASE label WHEN 0 THEN -1 ELSE 1 END AS INTEGER) AS label FROM embeddings WHERE label < 2",
+    "relabel_two_classes": "SELECT vec_id AS series_id, CAST(CASE label % 2 WHEN 0 THEN -1 ELSE 1 END AS INTEGER) AS label FROM embeddings",
     "transpose_time": f"WITH {CELLS} SELECT t, count(*) AS n, round(sum(v), 6) + 0.0 AS total, round(min(v), 6) + 0.0 AS least, round(max(v), 6) + 0.0 AS greatest FROM cells GROUP BY t",
     "index_complement": f"SELECT series_id, label FROM ({_RANK}) WHERE r >= 20",
     "binarise_median": f"WITH {CELLS}, m AS (SELECT series_id, median(v) AS m FROM cells GROUP BY series_id) SELECT series_id, t, CASE WHEN v >= m THEN 1 ELSE 0 END AS b FROM cells JOIN m USING (series_id)",

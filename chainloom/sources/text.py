@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """(series_id, label, x) of every line that isn't blank; ids are hashes of file and line place, so
-    no global order is needed."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("series_id"))
-    cells = F.transform(F.split("line", r"\s+"), lambda c: c.cast("double"))
-    rows = lines.filter("line <> ''").withColumn("cells", cells)
+def read_labelled(spark: SparkSession, path: str, stable: bool = True) -> DataFrame:
+    """(series_id, label, x) of every line that isn't blank. Ids are hashes of the file's name, the line and its count
+    among equal lines of the file, so they don't depend on how files are split; with ``stable=False`` they
+    are only unique, and nothing is shuffled."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file")).filter("line <> ''")
+    if stable:
+        same = F.row_number().over(Window.partitionBy("file", "line").orderBy("line"))
+        lines = lines.withColumn("series_id", F.xxhash64("file", "line", same))
+    else:
+        lines = lines.withColumn("series_id", F.monotonically_increasing_id())
+    rows = lines.withColumn("cells", F.transform(F.split("line", r"\s+"), lambda c: c.cast("double")))
     return rows.select("series_id", F.element_at("cells", 1).cast("int").alias("label"), F.slice("cells", 2, F.size("cells") - 1).alias("x"))
 
 

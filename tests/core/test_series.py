@@ -239,3 +239,16 @@ def test_legendre_polynomials_of_high_degree(spark):
         want = np.polynomial.legendre.Legendre.basis(degree)(v)
         got = df.select(encodings.legendre_polynomial(F.col("v"), degree).alias("p")).toPandas()["p"]
         assert np.allclose(got, want, atol=1e-12)
+
+
+def test_ids_of_lines_don_t_depend_on_splits(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("".join(f"{k % 2} {k % 7} 0.5\n" for k in range(200)))
+    whole = text.read_labelled(spark, str(tmp_path / "in.txt"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        split = text.read_labelled(spark, str(tmp_path / "in.txt"))
+        assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+        assert whole.select("series_id").distinct().count() == 200
+        assert text.read_labelled(spark, str(tmp_path / "in.txt"), stable=False).select("series_id").distinct().count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
