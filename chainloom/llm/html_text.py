@@ -41,13 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import _arrow_schema, text_or_empty, written
+from chainloom.llm.common import _arrow_schema, forget, text_or_empty, written
 
 GRAM, SPACING = 6, 11
 RUN = GRAM + SPACING - 1
 TEASER = 0.2
-HOST_BITS = 20
-MOST_KEYS = 1 << 21
+MOST_KEYS, MOST_HOSTS = 1 << 21, 1 << 20
 PAGES_AT_ONCE = 100
 
 
@@ -77,7 +76,7 @@ ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("
 PARTS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar nav navbar"
     " navigation menu breadcrumb breadcrumbs comment comments disqus respond reply replies newsletter subscribe signup login popup modal overlay"
-    " share sharing social related recommended widget footer masthead topbar toolbar pagination pager complementary contentinfo search alert dialog".split()
+    " share sharing social related recommended links widget footer masthead topbar toolbar pagination pager complementary contentinfo search alert dialog".split()
 )
 
 MARKUP = re.compile(
@@ -86,15 +85,42 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I).findall
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I).search
 WORDS = re.compile(r"[a-z]+").findall
+SPLIT_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])").sub  # commentList is comment-list
 # Elements that hold text of their own, whose ids are anchors and whose classes are styles.
 TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th caption figure figcaption".split())
 READERS = frozenset("comment comments disqus respond reply replies".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement adsense sponsored".split())
+# Words that say where or what kind a part is, not what it holds.
+PLACES = frozenset(
+    "list lists section area slot container box bar wrap wrapper block unit item items body inner outer panel holder zone region row column col grid"
+    " group thread form field button buttons link icon icons top bottom left right site page global primary secondary main mobile desktop sticky"
+    " fixed user users reader readers google dfp gpt leaderboard rectangle skyscraper inline wp id js".split()
+)
+FLAGS = frozenset("no not non has have with without is are hide hides hidden show free less".split())  # of a page, not names of a part
+LAYOUT, CONTENT = frozenset("wrap wrapper container layout grid row column col".split()), frozenset("content article post entry story".split())
 BY_WORDS, FOR_GOOD = 1, 2  # an article or main element lifts the first
 
 
+def named_part(token: str, within_main: bool) -> str:
+    """The word of ``PARTS`` that a class or id names a part by, or an empty string.
+
+    It is the head: the last word that isn't one of ``PLACES``, so comment-list, ad-slot and site-footer name
+    a part, while comment-free, search-engines and content-sidebar-wrap (a layout) don't, nor do
+    no-sidebar and has-menu. Within main, words before the head must be parts or places as well.
+    """
+    words = WORDS(token)
+    if not words or FLAGS.intersection(words) or (words[-1] in LAYOUT and CONTENT.intersection(words)):
+        return ""
+    parts = PARTS if within_main else PARTS | {"header"}
+    head = next((w for w in reversed(words) if w not in PLACES or w in parts), "")
+    if head not in parts or within_main and not all(w in parts or w in PLACES for w in words):
+        return ""
+    return head
+
+
 def exclusion(name: str, attributes: str, within_main: bool) -> int:
-    """0, ``BY_WORDS`` of class or id, or ``FOR_GOOD``. A class or id counts if all its words name parts,
-    so no-sidebar and related-work don't; anchors of texts, and of sections within main, never do."""
+    """0, ``BY_WORDS`` of class, id or role, or ``FOR_GOOD``. Elements that hold text of their own go if a class names
+    reader comments or adverts; their ids, and those of sections within main, are anchors and never count."""
     if name in EXCLUDED or name in EXCLUDED_OUTSIDE and not within_main:
         return FOR_GOOD
     if name in NEVER_EXCLUDED and (name != "article" or not attributes):
@@ -105,18 +131,24 @@ def exclusion(name: str, attributes: str, within_main: bool) -> int:
         return FOR_GOOD
     found = 0
     for kind, a, b, c in ATTRIBUTE(attributes):
-        for token in (a or b or c).lower().split():
-            words = set(WORDS(token))
+        kind = kind.lower()
+        for token in (a or b or c).split():
+            head = named_part(SPLIT_CASE("-", token).lower(), within_main or name == "article")
+            if not head:
+                continue
             if name == "article":
-                if kind.lower() == "class" and words and words <= PARTS and words & READERS:
+                if kind == "class" and head in READERS:
+                    return FOR_GOOD
+                continue
+            if name in TEXTS:
+                if kind == "class" and head in READERS | ADVERTS:
                     return FOR_GOOD
                 continue
-            if not words or not words <= (PARTS if within_main else PARTS | {"header"}):
+            if kind == "id" and name == "section" and within_main:
                 continue
-            if kind.lower() == "role" or words & READERS and name not in TEXTS:
+            if kind == "role" or head in READERS:
                 return FOR_GOOD
-            if name not in TEXTS and not (kind.lower() == "id" and name == "section" and within_main):
-                found = BY_WORDS
+            found = BY_WORDS
     return found
 
 
@@ -212,7 +244,7 @@ def token_hashes(words: str) -> np.ndarray:
 
 
 class Stream:
-    """Blocks of a page with their keys: of anchors by place, of blocks, and of the host."""
+    """Blocks of a page with their keys, of anchors by place and of blocks; a key holds the host's whole hash."""
 
     def __init__(self, host: int, page: str):
         self.blocks = blocks(page)
@@ -233,9 +265,8 @@ class Stream:
         whole = np.fromiter((xxhash.xxh64_intdigest(b, 1) for b, _ in self.blocks), np.uint64, len(self.blocks))
         content = xxhash.xxh64_intdigest(h.tobytes())
         self.bit = np.int64(1 << (content & 63)) if content & 63 < 63 else np.iinfo(np.int64).min
-        keys = np.zeros(len(anchors) + len(whole) + 1, np.uint64)  # the last is the host's
-        keys[:-1] = _mixed(np.concatenate([anchors, whole]) ^ np.uint64(host & (1 << 64) - 1)) >> np.uint64(HOST_BITS)
-        self.keys = (keys | np.uint64(host & (1 << HOST_BITS) - 1) << np.uint64(64 - HOST_BITS)).view(np.int64)
+        self.host = host
+        self.keys = _mixed(np.concatenate([anchors, whole]) ^ np.uint64(host & (1 << 64) - 1)).view(np.int64)
 
     def text(self, weak: np.ndarray, strong: np.ndarray) -> str:
         """``weak``, ``strong``: which of the keys are boilerplate among other and among main blocks."""
@@ -272,15 +303,15 @@ def _streams(batches: Iterator[pa.RecordBatch], host: int, page: int) -> Iterato
 
 
 def counted_keys(pages: DataFrame, with_page: bool = False) -> DataFrame:
-    """(key, bit[, page]) of the different keys of every page. ``pages``: host, page (its hash), html."""
-    schema = "key long, bit long" + ", page long" * with_page
+    """(key, host, bit[, page]) of the different keys of every page. ``pages``: host, page (its hash), html."""
+    schema = "key long, host long, bit long" + ", page long" * with_page
     out = _arrow_schema(pages.sparkSession, schema)
 
     def run(batches):
         for batch, streams in _streams(batches, 0, 2):
             keys = [np.unique(s.keys) for s in streams]
             sizes = [len(k) for k in keys]
-            columns = [np.concatenate(keys), np.repeat([s.bit for s in streams], sizes)]
+            columns = [np.concatenate(keys), np.repeat(np.array([s.host for s in streams], np.int64), sizes), np.repeat([s.bit for s in streams], sizes)]
             if with_page:
                 columns.append(np.repeat(batch.column(1).to_numpy(), sizes))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
@@ -288,16 +319,17 @@ def counted_keys(pages: DataFrame, with_page: bool = False) -> DataFrame:
     return pages.select("host", "page", "html").mapInArrow(run, schema)
 
 
-def boilerplate(counted: DataFrame, main: Rule = MAIN_RULE, other: Rule = OTHER_RULE) -> DataFrame:
-    """(key, strong) of the keys that one of the rules names; ``strong`` is the rule of main blocks."""
-    sums = counted.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
-    repeated = sums.filter("n > 1").select("key", "n", F.bit_count("bits").alias("contents"), F.shiftrightunsigned("key", 64 - HOST_BITS).alias("host"))
-    repeated = written(repeated, "repeated")
-    host_key = F.col("key") == F.call_function("shiftleft", F.col("host"), F.lit(64 - HOST_BITS))
-    hosts = repeated.filter(host_key).select("host", F.col("n").alias("host_pages"))  # 2**HOST_BITS rows at most
-    shared = repeated.filter(~host_key).join(F.broadcast(hosts), "host")
+def boilerplate(counted: DataFrame, hosts: DataFrame, main: Rule = MAIN_RULE, other: Rule = OTHER_RULE) -> DataFrame:
+    """(key, strong, weak) of the keys that one of the rules names; ``strong`` is the rule of main blocks.
+    ``hosts``: host, host_pages. They are broadcast up to ``MOST_HOSTS``, and joined by a shuffle beyond."""
+    sums = counted.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"), F.min("host").alias("host"))
+    repeated = written(sums.filter("n > 1").select("key", "host", "n", F.bit_count("bits").alias("contents")), "repeated")
+    hosts = written(hosts, "hosts")
+    shared = repeated.join(F.broadcast(hosts) if hosts.count() <= MOST_HOSTS else hosts.hint("merge"), "host")
     holds = lambda r: (F.col("contents") >= r.pages) & (F.col("n") >= r.share * F.col("host_pages"))
-    return shared.filter(holds(other) | holds(main)).select("key", holds(main).alias("strong"), holds(other).alias("weak"))
+    found = written(shared.filter(holds(other) | holds(main)).select("key", holds(main).alias("strong"), holds(other).alias("weak")), "boilerplate")
+    forget(repeated, hosts)
+    return found
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", main: Rule = MAIN_RULE, other: Rule = OTHER_RULE) -> DataFrame:
@@ -306,7 +338,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.regexp_extract(F.lower(F.coalesce(F.col(url_col).cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"), F.xxhash64(host).alias("host"))
     rows = rows.withColumn("page", F.xxhash64("host", "html"))
-    found = written(boilerplate(counted_keys(rows), main, other), "boilerplate")
+    found = boilerplate(counted_keys(rows), rows.groupBy("host").agg(F.count("*").alias("host_pages")), main, other)
     n_keys = found.count()
     schema = "page_id long, url string, text string"
     out = _arrow_schema(spark, schema)

@@ -47,6 +47,44 @@ def test_blocks(page, want):
     assert main_text(page) == want
 
 
+IN_ARTICLE = ["<ol class='comment-list'><li>x</ol>", "<section class='comments-area'>x</section>", "<div id='comment-section'>x</div>", "<div class='user-comments'>x</div>", "<div class='ad-slot'>x</div>", "<div class='ad-container'>x</div>",
+    "<div class='google-ad'>x</div>", "<div class='cookie-bar'>x</div>", "<div class='newsletter-box'>x</div>", "<ul><li class='comment'>x</ul>", "<p class='comment'>x</p>", "<p class='ad'>x</p>", "<div class='commentList'>x</div>", "<div class='share-buttons'>x</div>"]
+
+
+@pytest.mark.parametrize("part", IN_ARTICLE)
+def test_parts_of_compound_names_go(part):
+    assert main_text(f"<article><p>a</p>{part}<p>b</p></article>") == "a b"
+    assert main_text(f"<p>a</p>{part}<p>b</p>") == "a b"
+
+
+@pytest.mark.parametrize("name", ["site-header", "site-footer", "main-menu", "page-header", "top-nav", "global-navigation", "left-sidebar"])
+def test_parts_around_an_article_go(name):
+    assert main_text(f"<div class='{name}'>x</div><p>a</p>") == "a"
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-menu", "comment-free", "content-sidebar-wrap", "with-comments", "search-engines", "related-work", "main-content", "post-body", "entry-content", "advice", "header-note"])
+def test_names_that_are_no_parts_stay(name):
+    assert main_text(f"<article><div class='{name}'>a</div></article>") == "a"
+    assert main_text(f"<div class='{name}'>a</div>") == "a"
+
+
+def test_hosts_are_told_apart(spark):
+    """Forty hosts with one bar each: the bar goes on all of them, whatever their hashes share."""
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("bcdfglmn") + r.choice("aeiou") for _ in range(4)) for _ in range(n))
+    rows = []
+    for h in range(40):
+        bar = text(20)
+        rows += [(100 * h + k, f"http://host{h}.org/{k}", f"<p>{bar}</p><p>{text(60)}</p>") for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (html_text.MOST_HOSTS, 0):
+        html_text.MOST_HOSTS, kept = most, html_text.MOST_HOSTS
+        try:
+            assert sum(len(t.text.split()) for t in html_text.extracted(pages).collect()) == 40 * 8 * 60
+        finally:
+            html_text.MOST_HOSTS = kept
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
