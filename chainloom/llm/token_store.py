@@ -13,8 +13,8 @@ Shard file, little-endian:
 
 Documents are dealt by ranges of (id, text), so a hot id is split by its texts,
 sorted within the range, encoded and written in the same task; shards roll over
-at ``SHARD_BYTES``. A shard appears under its name by one rename, and the table of
-shards is committed by Spark, so lost tasks and executors leave no partial result.
+at ``SHARD_BYTES``. A shard has a name of its own for each attempt and appears by one rename, and
+the table of shards is committed by Spark, so lost, late and repeated tasks leave no partial result.
 
 Defined results: null texts are empty (one end id); a null id sorts first and comes
 back null; rows with the same id follow each other by a hash of the text, then by text; an empty table gives
@@ -203,8 +203,9 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int, sample_d
 class ShardWriter:
     def __init__(self, folder: str, part: int, seq: int, dictionary: bytes):
         self.fs, root = filesystem(folder)
-        self.part, self.seq, self.path = part, seq, f"{root}/shard-{part:06d}-{seq:04d}.bin"
-        self.scratch = f"{self.path}.{uuid.uuid4().hex}"
+        # a second attempt at a task writes files of its own; the table of shards names those of the one that counts
+        self.part, self.seq, self.path = part, seq, f"{root}/shard-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.bin"
+        self.scratch = f"{self.path}.part"
         self.out = self.fs.open_output_stream(self.scratch)
         self.out.write(head := MAGIC + hashlib.sha256(dictionary).digest())
         self.at, self.entries, self.n_tokens = len(head), [], 0

@@ -184,8 +184,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c for c in batch.columns)):
                 if out is None:
-                    name, n, size = f"pages-{part:06d}-{len(done):04d}.warc.zst", 0, 8 + len(dictionary)
-                    scratch = f"{root}/{name}.{uuid.uuid4().hex}"
+                    # a second attempt at a task, whose rows may come in another order, writes files of its own
+                    name, n, size = f"pages-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.warc.zst", 0, 8 + len(dictionary)
+                    scratch = f"{root}/{name}.part"
                     out = fs.open_output_stream(scratch, compression=None)
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
                 frame = pack(record(page_id.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers_to.as_py()))

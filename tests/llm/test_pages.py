@@ -231,6 +231,16 @@ def test_archives_round_trip(spark, monkeypatch, broadcast):
     assert warc.op8_warc(pages.limit(0)).count() == 0
 
 
+def test_archives_of_two_attempts_have_names_of_their_own(spark):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"<p>page {k}") for k in range(6)], "page_id long, url string, html string").coalesce(1)
+    folder = new_folder(spark, "warc-twice")
+    first = warc.write_archives(pages, folder)
+    names = {r.path for r in spark.read.parquet(f"{first}/shards").collect()}
+    warc.write_archives(pages.orderBy(-pages.page_id), folder)  # as a late attempt would, with its rows in another order
+    again = {r.path for r in spark.read.parquet(f"{folder}/shards").collect()}
+    assert not names & again and sorted(r.page_id for r in warc.read_archives(spark, folder).collect()) == list(range(6))
+
+
 def archive(records, dictionary=b""):
     pack = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True).compress
     return struct.pack("<II", warc.DICTIONARY_MAGIC, len(dictionary)) + dictionary + b"".join(map(pack, records))

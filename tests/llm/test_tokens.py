@@ -128,3 +128,18 @@ def test_columns_named_like_results_don_t_matter(spark):
         lambda d: quality_model.op4_quality_model(d, labels),
     ):
         assert sorted(map(str, query(docs).collect())) == sorted(map(str, query(plain).collect()))
+
+
+def test_a_task_that_is_tried_twice_leaves_its_first_shard_alone(spark, docs_of):
+    """Both attempts' files stand; the table of shards decides which one is read."""
+    from chainloom.llm.token_store import ShardWriter, compressor
+
+    folder = token_store.write_store(docs_of([(k, f"text {k}") for k in range(9)]), new_folder(spark, "twice"), tokenizer_path("byte_bpe_50k.json"))
+    before = sorted(map(str, token_store.read_store(spark, folder).collect()))
+    with open(folder.removeprefix("file://") + "/dictionary.zdict", "rb") as f:
+        dictionary = f.read()
+    for r in spark.read.parquet(f"{folder}/shards").select("part", "seq", "path").collect():
+        late = ShardWriter(folder, r.part, r.seq, dictionary)
+        late.add(1, compressor(dictionary).compress(b"\7\0\0\0"), 1)
+        assert late.close()[2] != r.path
+    assert sorted(map(str, token_store.read_store(spark, folder).collect())) == before
