@@ -7,6 +7,9 @@ updates the moving side is brought up to date in a new cached version of the blo
 that an update costs a few sites and not the whole chain. Every version follows from the
 one before by small tensors that the tasks carry, so lost blocks are made again by Spark.
 
+Where all states are so few that they make one partition, a whole sweep runs in the task that holds them
+(``TaskHalfSweep``), one job for a sweep instead of one for an update.
+
 Blocks are an RDD, since a gradient needs imperative work on arrays that a partition
 keeps between jobs. Partitions are as many as the states need, ``PARTITION_BYTES`` each.
 """
@@ -65,6 +68,53 @@ def state_blocks(series: DataFrame, encoding: str | FittedEncoding, d: int | Non
     return fewer
 
 
+def environments(phi: np.ndarray, tensors: list, to_left: bool) -> list[np.ndarray]:
+    """Of the side that a half sweep doesn't change, one for each site."""
+    length, found = phi.shape[1], [np.ones((len(phi), 1), complex)]
+    for k in range(length - 2):
+        j = k if to_left else length - 1 - k
+        found.append((from_left if to_left else from_right)(found[-1], phi[:, j], tensors[j]))
+    return found
+
+
+def summed(blocks: Iterator, bond: np.ndarray, j: int, to_left: bool, share: np.ndarray, loss_of: Callable) -> np.ndarray:
+    """The loss, then the gradient's entries, summed over ``blocks``: label, phi, the fixed side's environments, the moving one."""
+    l, s, t, r, c = bond.shape
+    square, total = np.ascontiguousarray(bond).reshape(l * s, t * r * c), np.zeros(1 + bond.size, complex)
+    for label, phi, fixed, moving in blocks:
+        left, right = (fixed[j], moving) if to_left else (moving, fixed[phi.shape[1] - 2 - j])
+        n = len(label)
+        p = (left[:, :, None] * phi[:, j, None, :]).reshape(n, l * s)
+        q = (phi[:, j + 1, :, None] * right[:, None, :]).reshape(n, t * r)
+        y = np.matmul(q[:, None, :], (p @ square).reshape(n, t * r, c))[:, 0]
+        each, weight = loss_of(y, label)
+        total[0] += each @ share[label]
+        weight = weight * share[label][:, None]
+        gradient = total[1:].reshape(l * s, t * r, c)
+        for k in range(c):
+            rows = np.flatnonzero(weight[:, k])
+            gradient[:, :, k] += (p[rows].conj() * weight[rows, k, None]).T @ q[rows].conj()
+    return total
+
+
+class TaskHalfSweep:
+    """A half sweep within the one task that holds all blocks: what ``HalfSweep`` does with a job for each update."""
+
+    def __init__(self, blocks: list, chain: Chain, to_left: bool):
+        self.to_left, tensors = to_left, chain.tensors
+        self.blocks = [[label, phi, environments(phi, tensors, to_left), np.ones((len(phi), 1), complex)] for label, phi in blocks]
+
+    def advance(self, j: int, tensor: np.ndarray) -> None:
+        for b in self.blocks:
+            b[3] = (from_right if self.to_left else from_left)(b[3], b[1][:, j], tensor)
+
+    def sums(self, bond: np.ndarray, j: int, share: np.ndarray, loss_of: Callable) -> np.ndarray:
+        return summed(iter(self.blocks), bond, j, self.to_left, share, loss_of)
+
+    def close(self) -> None:
+        self.blocks = []
+
+
 class HalfSweep:
     """The blocks of one half sweep over a chain; ``to_left``: bonds are updated from the right end on."""
 
@@ -74,13 +124,7 @@ class HalfSweep:
 
         def started(block):
             label, phi = block
-            n, length = phi.shape[:2]
-            one = np.ones((n, 1), complex)
-            fixed = [one]
-            for k in range(length - 2):
-                j = k if to_left else length - 1 - k
-                fixed.append((from_left if to_left else from_right)(fixed[-1], phi[:, j], tensors[j]))
-            return label, phi, fixed, one
+            return label, phi, environments(phi, tensors, to_left), np.ones((len(phi), 1), complex)
 
         self.length = chain.length
         self.versions = [base.map(started).persist(StorageLevel.MEMORY_AND_DISK)]
@@ -98,27 +142,10 @@ class HalfSweep:
 
     def sums(self, bond: np.ndarray, j: int, share: np.ndarray, loss_of: Callable) -> np.ndarray:
         """The loss, then the gradient's entries, summed over all series."""
-        l, s, t, r, c = bond.shape
-        moved, to_left, length = _moved(self.news, self.to_left), self.to_left, self.length
+        moved, to_left = _moved(self.news, self.to_left), self.to_left
 
         def run(blocks: Iterator) -> Iterator[np.ndarray]:
-            square, total = np.ascontiguousarray(bond).reshape(l * s, t * r * c), np.zeros(1 + bond.size, complex)
-            for block in blocks:
-                label, phi, fixed, _ = block
-                moving = moved(block)
-                left, right = (fixed[j], moving) if to_left else (moving, fixed[length - 2 - j])
-                n = len(label)
-                p = (left[:, :, None] * phi[:, j, None, :]).reshape(n, l * s)
-                q = (phi[:, j + 1, :, None] * right[:, None, :]).reshape(n, t * r)
-                y = np.matmul(q[:, None, :], (p @ square).reshape(n, t * r, c))[:, 0]
-                each, weight = loss_of(y, label)
-                total[0] += each @ share[label]
-                weight = weight * share[label][:, None]
-                gradient = total[1:].reshape(l * s, t * r, c)
-                for k in range(c):
-                    rows = np.flatnonzero(weight[:, k])
-                    gradient[:, :, k] += (p[rows].conj() * weight[rows, k, None]).T @ q[rows].conj()
-            yield total
+            yield summed(((*b[:3], moved(b)) for b in blocks), bond, j, to_left, share, loss_of)
 
         parts = self.versions[-1].mapPartitions(run)
         if parts.getNumPartitions() > COLLECTED:

@@ -3,7 +3,8 @@
 The driver holds the chain. Each update of a merged pair of sites is one small Spark job
 over blocks of states (``blocks``), which keep the environments of the sweep: tasks sum
 the loss and gradient of their own series, and Spark adds the sums up. Nothing grows with
-the number of series but the tasks.
+the number of series but the tasks. Series whose states fit one partition of ``PARTITION_BYTES``
+are swept in one task, by the same functions.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.encodings import ENCODINGS
 from chainloom.functions.fitted import FittedEncoding, fitted, parsed
 from chainloom.functions.scaling import scaled
-from chainloom.operators.blocks import HalfSweep, block_summary, state_blocks
+from chainloom.operators.blocks import HalfSweep, TaskHalfSweep, block_summary, state_blocks
 from chainloom.operators.mps import Chain, compressed, left_orthogonal, merged, random_chain, split, sum_of_products
 from chainloom.operators.prediction import scores, states, summary
 from chainloom.operators.series import asserted, hashed, sampled_per_class
@@ -97,7 +99,7 @@ def class_shares(counts: dict[int, int], separate: bool) -> np.ndarray:
     return np.array([1 / counts[c] if separate else 1 / total for c in sorted(counts)])
 
 
-def loss_and_gradient(half: HalfSweep, bond: np.ndarray, j: int, options: Options, counts: dict[int, int]) -> tuple[float, np.ndarray]:
+def loss_and_gradient(half: HalfSweep | TaskHalfSweep, bond: np.ndarray, j: int, options: Options, counts: dict[int, int]) -> tuple[float, np.ndarray]:
     """The mean loss and the gradient with respect to the conjugate of the merged tensor of
     sites j and j + 1. With ``separate_classes`` each class is divided by its own count."""
     loss_of = LOSSES[options.loss] if isinstance(options.loss, str) else options.loss
@@ -165,6 +167,41 @@ def updated(bond: np.ndarray, evaluate, options: Options) -> np.ndarray:
     return bond / np.linalg.norm(bond) if options.rescale else bond
 
 
+def swept(half: HalfSweep | TaskHalfSweep, chain: Chain, to_left: bool, options: Options, counts: dict[int, int]) -> Chain:
+    """One half sweep: every pair of neighbouring sites is updated, from the right end on or from the left."""
+    for j in range(chain.length - 2, -1, -1) if to_left else range(chain.length - 1):
+        bond = updated(merged(chain, j), lambda b, j=j: loss_and_gradient(half, b, j, options, counts), options)
+        if not np.isfinite(bond).all():
+            raise FloatingPointError(f"sites {j} and {j + 1}: the tensor isn't finite")
+        chain = split(chain, j, bond, to_left, options.max_bond, options.cutoff)
+        site = j + 1 if to_left else j
+        half.advance(site, chain.tensors[site])
+    half.close()
+    return chain
+
+
+def sweep_of(blocks: RDD, chain: Chain, options: Options, counts: dict[int, int]) -> Chain:
+    """To the left and back. In one task where there is one partition, else by a job for each update."""
+    if blocks.getNumPartitions() > 1:
+        for to_left in (True, False):
+            chain = swept(HalfSweep(blocks, chain, to_left), chain, to_left, options, counts)
+        return chain
+
+    def run(held):
+        held, now = list(held), chain
+        try:
+            for to_left in (True, False):
+                now = swept(TaskHalfSweep(held, now, to_left), now, to_left, options, counts)
+        except FloatingPointError as error:  # for the driver: no other attempt would end better
+            return [error]
+        return [now]
+
+    found = blocks.mapPartitions(run).collect()[0]  # the chain
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
 def fit(train: DataFrame, test: DataFrame | None, options: Options, start: Chain | None = None) -> tuple[Chain, list[dict]]:
     """Series with labels 0 to C - 1 and values in the encoding's range. Returns the chain and a log:
     before training (sweep 0), after each sweep, and after the final normalisation. ``stop_below``
@@ -193,16 +230,10 @@ def fit(train: DataFrame, test: DataFrame | None, options: Options, start: Chain
         note(0, 0.0)
         for sweep in range(1, options.sweeps + 1):
             now, began = options.of_sweep(sweep), time.monotonic()
-            for to_left in (True, False):
-                half = HalfSweep(sets["train"], chain, to_left)
-                for j in range(chain.length - 2, -1, -1) if to_left else range(chain.length - 1):
-                    bond = updated(merged(chain, j), lambda b, j=j, half=half: loss_and_gradient(half, b, j, now, counts), now)
-                    if not np.isfinite(bond).all():
-                        raise FloatingPointError(f"sweep {sweep}, sites {j} and {j + 1}: the tensor isn't finite")
-                    chain = split(chain, j, bond, to_left, now.max_bond, now.cutoff)
-                    site = j + 1 if to_left else j
-                    half.advance(site, chain.tensors[site])
-                half.close()
+            try:
+                chain = sweep_of(sets["train"], chain, now, counts)
+            except FloatingPointError as error:
+                raise FloatingPointError(f"sweep {sweep}, {error}") from None
             note(sweep, time.monotonic() - began)
             if options.stop_below is not None and 0 < log[-2][judged] - log[-1][judged] < options.stop_below:
                 break

@@ -127,6 +127,22 @@ def test_training_separates_two_classes(sines):
         training.Options().changed(colour="red")
 
 
+@pytest.mark.parametrize("options", [training.Options(), training.Options(loss="mixed", solver="careful", iterations=2), training.Options(separate_classes=True, loss="normalised")])
+def test_a_sweep_in_one_task_is_that_of_many(spark, sines, options):
+    """One job for a sweep and one for each update give the same chain."""
+    chain, counts = mps.random_chain(5, 2, 2, 2, seed=5), {0: 12, 1: 12}
+    base = blocks.state_blocks(sines, "stoudenmire", 2)
+    assert base.getNumPartitions() == 1
+    many = base.flatMap(lambda b: [(b[0][k::3], b[1][k::3]) for k in range(3)]).repartition(3).cache()
+    a, b = (training.sweep_of(x, chain, options, counts) for x in (base, many))
+    assert np.allclose(dense(a), dense(b)) and not np.allclose(dense(a), dense(chain))
+
+
+def test_a_tensor_that_isn_t_finite_stops_the_fit(sines):
+    with pytest.raises(FloatingPointError, match="sweep 1, sites"):
+        training.fit(sines, None, training.Options(loss=lambda y, label: (np.full(len(y), np.nan), np.full_like(y, np.nan)), sweeps=1, first_bond=2))
+
+
 @pytest.mark.parametrize("solver", ["descent", "careful", "conjugate", "TSGO"])
 def test_solvers_lower_a_quadratic(solver):
     goal = np.array([1.0 + 1j, 2.0])
