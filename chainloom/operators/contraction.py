@@ -31,3 +31,38 @@ def fold_chain(phi: Column, tensor) -> Column:
         return F.array(*[sum((acc[i] * p[s] * float(w[i][s][r]) for i in range(2) for s in range(2)), F.lit(0.0)) for r in range(2)])
 
     return F.aggregate(phi, F.array(F.lit(1.0), F.lit(0.0)), step)
+
+
+def contract_complex(a: DataFrame, b: DataFrame, on: list[str], by: list) -> DataFrame:
+    """``contract`` of complex entries (re, im): joined on ``on``, summed by ``by`` (columns of either side, with names)."""
+    joined = a.withColumnsRenamed({"re": "__re", "im": "__im"}).join(b, on)
+    re, im = F.col("__re") * F.col("re") - F.col("__im") * F.col("im"), F.col("__re") * F.col("im") + F.col("__im") * F.col("re")
+    return joined.groupBy(*by).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+
+
+def relational_amplitudes(local: DataFrame, entries: DataFrame, length: int) -> DataFrame:
+    """(series_id, c, re, im): every series contracted with a chain by joins and sums alone.
+
+    ``local``: series_id, t, k, re, im (``encodings.encoded``), which is conjugated; ``entries``: a model table's site, l, s, r, c, re,
+    im. Neighbouring sites are contracted in pairs, so ``length`` sites take log2(length) joins.
+    """
+    phi = local.select("series_id", "t", F.col("k").alias("s"), "re", (-F.col("im")).alias("im"))
+    chain = entries.filter("l IS NOT NULL").select(F.col("site").alias("t"), "l", "s", "r", "c", "re", "im")
+    state, n = contract_complex(phi, chain, ["t", "s"], ["series_id", "t", "l", "r", "c"]), length
+    while n > 1:
+        half = F.expr("t div 2").cast("int").alias("t")
+        left = state.filter(f"t % 2 = 0 AND t < {n - n % 2}").select("series_id", half, "l", F.col("r").alias("m"), F.col("c").alias("c1"), "re", "im")
+        right = state.filter(f"t % 2 = 1 AND t < {n - n % 2}").select("series_id", half, F.col("l").alias("m"), "r", F.col("c").alias("c2"), "re", "im")
+        paired = contract_complex(left, right, ["series_id", "t", "m"], ["series_id", "t", "l", "r", F.coalesce("c1", "c2").alias("c")]).select("series_id", "t", "l", "r", "c", "re", "im")
+        state = paired.unionByName(state.filter(f"t = {n - 1}").select("series_id", half, "l", "r", "c", "re", "im")) if n % 2 else paired
+        n = (n + 1) // 2
+    return state.select("series_id", "c", "re", "im")
+
+
+def disagreeing(weights: DataFrame, amplitudes: DataFrame, tolerance: float = 2.0**-26) -> DataFrame:
+    """(series_id, c, weight, relational) of the classes of series for which two routes of contraction differ: squared
+    amplitudes of arrays (``prediction.scores``) and those of ``relational_amplitudes``; a missing one is 0."""
+    long = weights.select("series_id", F.posexplode("weight").alias("c", "weight"))
+    other = amplitudes.select("series_id", "c", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("relational"))
+    both = long.join(other, ["series_id", "c"], "full").fillna(0.0, ["weight", "relational"])
+    return both.filter(~(F.abs(F.col("weight") - F.col("relational")) <= tolerance * F.greatest("weight", "relational")))

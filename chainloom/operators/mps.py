@@ -59,12 +59,13 @@ def random_chain(length: int, d: int, bond: int, n_classes: int, seed: int, is_c
 
 
 def left_orthogonal(tensors: list[np.ndarray]) -> Chain:
+    """The chain up to a positive factor, so that long ones stay in range; what is left of the last site is orthonormal."""
     new = list(tensors)
     for j in range(len(new) - 1):
         a, s, b = new[j].shape
         q, r = np.linalg.qr(new[j].reshape(a * s, b))
         new[j] = q.reshape(a, s, -1)
-        new[j + 1] = np.tensordot(r, new[j + 1], 1)
+        new[j + 1] = np.tensordot(r / max(np.linalg.norm(r), 1e-300), new[j + 1], 1)
     return Chain(tuple(new), len(new) - 1)
 
 
@@ -75,7 +76,7 @@ def right_orthogonal(tensors: list[np.ndarray]) -> list[np.ndarray]:
         a, s, b = new[j].shape
         q, r = np.linalg.qr(new[j].reshape(a, s * b).T)
         new[j] = q.T.reshape(-1, s, b)
-        new[j - 1] = np.tensordot(new[j - 1], r.T, 1)
+        new[j - 1] = np.tensordot(new[j - 1], r.T / max(np.linalg.norm(r), 1e-300), 1)
     new[0] = new[0] / np.linalg.norm(new[0])
     return new
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor, as_completed
+from functools import reduce
 from itertools import product
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainloom.functions.encodings import ENCODINGS
@@ -87,6 +89,76 @@ def fold_means(results: DataFrame, n_folds: int) -> DataFrame:
     return results.filter("error IS NULL").groupBy(*keys).agg(*[F.when(complete, F.avg(m)).alias(m) for m in ("train_accuracy", "train_kld", "test_accuracy", "test_kld")])
 
 
+MEASURES = ("train_accuracy", "train_kld", "test_accuracy", "test_kld")
+BINARY = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": F.try_divide, "^": F.pow}
+UNARY = {"abs": F.abs, "sqrt": F.sqrt, "square": lambda a: a * a, "-": lambda a: -a}
+
+
+def measured(results: DataFrame, measures=MEASURES) -> DataFrame:
+    """The results with their measures as one column ``r``; null where one of them is missing or NaN."""
+    whole = reduce(and_, (F.col(m).isNotNull() & ~F.isnan(m) for m in measures))
+    return results.withColumn("r", F.when(whole, F.struct(*measures)))
+
+
+def combined(op: str, a: Column, b: Column | float, measures=MEASURES) -> Column:
+    """A struct of measures for two of them, or for one and a number, by + - * / or ^. If either is missing, or
+    a part can't be worked out, so is the result."""
+    of = lambda x, m: x[m] if isinstance(x, Column) else F.lit(float(x))
+    return _complete({m: BINARY[op](of(a, m), of(b, m)) for m in measures})
+
+
+def applied(op: str, a: Column, measures=MEASURES) -> Column:
+    """abs, sqrt, square or - of every part of a struct of measures."""
+    return _complete({m: UNARY[op](a[m]) for m in measures})
+
+
+def _complete(parts: dict[str, Column]) -> Column:
+    whole = reduce(and_, (p.isNotNull() & ~F.isnan(p) for p in parts.values()))
+    return F.when(whole, F.struct(*[p.alias(m) for m, p in parts.items()]))
+
+
+def summed(results: DataFrame, by: list[str], measures=MEASURES) -> DataFrame:
+    """(by, r, n): the sum of the structs ``r`` of a group; missing if one of them is."""
+    whole = F.count("*") == F.count("r")
+    total = F.when(whole, F.struct(*[F.sum(F.col("r")[m]).alias(m) for m in measures]))
+    return results.groupBy(*by).agg(total.alias("r"), F.count("*").alias("n"))
+
+
+def fold_statistics(results: DataFrame, n_folds: int, measures=MEASURES) -> DataFrame:
+    """(sweep, cell, mean, deviation) over the folds as structs of measures, missing where a fold or a part of one is."""
+    keys = ["sweep", *CELL[1:]]
+    rows = measured(results.filter("error IS NULL"), measures).select(*keys, "fold", "r")
+    means = summed(rows, keys, measures)
+    means = means.select(*keys, F.when(F.col("n") == n_folds, combined("/", F.col("r"), n_folds, measures)).alias("mean"))
+    gaps = rows.join(means, keys).withColumn("r", applied("square", combined("-", F.col("r"), F.col("mean"), measures), measures))
+    spread = summed(gaps, keys, measures).select(*keys, applied("sqrt", combined("/", F.col("r"), n_folds, measures), measures).alias("deviation"))
+    return means.join(spread, keys)
+
+
+def balanced_by_untrained(means: DataFrame, value: str = "test_kld") -> DataFrame:
+    """``means`` (sweep, cell, measures) with ``balanced``: what the untrained chain of the same dimension, bond and
+    encoding (sweep 0, any rate) has of a measure, less what the cell has; null without such a row."""
+    own = ["d", "max_bond", "encoding"]
+    base = means.filter("sweep = 0").groupBy(*own).agg(F.avg(value).alias("untrained"))
+    return means.join(base, own, "left").withColumn("balanced", F.col("untrained") - F.col(value))
+
+
+def sweep_table(results: DataFrame, measures=(*MEASURES, "seconds")) -> DataFrame:
+    """(cell, measure, initial, sweeps, after_norm, mean): the measures of each run, with those after each sweep as an array in order;
+    ``mean`` is over the sweeps, without what comes before and after training."""
+    rows = results.filter("error IS NULL").select(*CELL, "sweep", F.explode(F.map_from_arrays(F.array(*map(F.lit, measures)), F.array(*measures))).alias("measure", "value"))
+    runs = rows.groupBy(*CELL, "measure").agg(F.array_sort(F.collect_list(F.struct("sweep", "value"))).alias("s"))  # one entry for each sweep
+    inner = F.transform(F.filter("s", lambda x: (x["sweep"] > 0) & (x["sweep"] < F.element_at("s", -1)["sweep"])), lambda x: x["value"])
+    runs = runs.select(*CELL, "measure", F.element_at("s", 1)["value"].alias("initial"), inner.alias("sweeps"), F.element_at("s", -1)["value"].alias("after_norm"))
+    return runs.withColumn("mean", F.when(F.size("sweeps") > 0, F.aggregate("sweeps", F.lit(0.0), lambda a, v: a + v) / F.size("sweeps")))
+
+
+def training_curve(means: DataFrame, cell: dict, value: str = "test_accuracy") -> DataFrame:
+    """(rate, sweep, value) of the cells that agree with ``cell``, in order: one curve for each rate."""
+    chosen = reduce(and_, (F.col(k) == v for k, v in cell.items()), F.lit(True))
+    return means.filter(chosen).select("rate", "sweep", value).orderBy("rate", "sweep")
+
+
 def best_cells(means: DataFrame) -> DataFrame:
     """(criterion, cell, value): the best by accuracy and by KLD, ties by the smallest cell and sweep."""
     cell = F.struct("sweep", *CELL[1:])

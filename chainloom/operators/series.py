@@ -89,18 +89,33 @@ def shuffled(series: DataFrame, seed: int) -> DataFrame:
     return series.orderBy(F.xxhash64(F.lit(seed), "series_id"), "series_id")
 
 
-def class_ranks(series: DataFrame, order: Column, slices: int = 128) -> DataFrame:
+SLICE_ROWS = 250_000
+
+
+def slice_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are below a key: blocks of cuts first, then the cuts of one block, so that a row
+    is compared with about twice the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, round(len(cuts) ** 0.5))
+    numbers = F.array(*[F.lit(c) for c in cuts])
+    firsts = F.array(*[F.lit(c) for c in cuts[::width]])
+    block = F.size(F.filter(firsts, lambda c: c < key)) - 1
+    return F.when(block < 0, 0).otherwise(block * width + F.size(F.filter(F.slice(numbers, F.greatest(block, F.lit(0)) * width + 1, width), lambda c: c < key)))
+
+
+def class_ranks(series: DataFrame, order: Column, slices: int | None = None) -> DataFrame:
     """(series_id, label, rank): the place (from 0) within the class by ``order``, ties by id.
 
     A class isn't gathered in one task: ``order`` (a bigint column) is cut into slices of about
-    equal counts at its quantiles, so ids in clusters are spread too; rows are ranked within
+    equal counts at its quantiles (of ``SLICE_ROWS`` rows, 8 at least), so ids in clusters are spread too; rows are ranked within
     (class, slice), and the sums of the slices before are added to that. Rows of one value
     of ``order`` share a slice.
     """
     keyed = series.select("series_id", "label", order.cast("long").alias("key"))
-    cuts = sorted(set(keyed.approxQuantile("key", [k / slices for k in range(1, slices)], 0.25 / slices)))  # ``slices`` numbers
-    cut = F.array(*[F.lit(min(int(c), (1 << 63) - 1)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    keyed = keyed.withColumn("slice", F.size(F.filter(cut, lambda c: c < F.col("key"))))
+    slices = slices or max(8, -(-keyed.count() // SLICE_ROWS))
+    cuts = sorted(set(keyed.approxQuantile("key", [k / slices for k in range(1, slices)], 0.25 / slices))) if slices > 1 else []  # ``slices`` numbers
+    keyed = keyed.withColumn("slice", slice_of(F.col("key"), [min(int(c), (1 << 63) - 1) for c in cuts]))
     sizes = keyed.groupBy("label", "slice").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("label").orderBy("slice")) - F.col("n")).drop("n")
     within = F.row_number().over(Window.partitionBy("label", "slice").orderBy("key", "series_id"))
@@ -122,6 +137,12 @@ def balanced(series: DataFrame, order: Column) -> DataFrame:
     return sampled_per_class(series, least, order)
 
 
+def stacked(series: DataFrame, groups: dict[int, int], order: Column) -> DataFrame:
+    """Series of several labels under the new labels of ``groups``, as many of each new label as the smallest has
+    (the first by ``order`` over all its old labels); other labels are left out. An id may stand once only."""
+    return balanced(relabelled(series, groups).filter("label IS NOT NULL"), order)
+
+
 def stratified_folds(series: DataFrame, k: int, order: Column) -> DataFrame:
     """(series_id, label, fold): folds 1 to k, dealt in turn within each class."""
     return class_ranks(series, order).select("series_id", "label", (F.col("rank") % k + 1).cast("int").alias("fold"))

@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chainloom.functions import fitted
+from chainloom.functions import encodings as E, fitted
 from chainloom.functions.scaling import scaled
-from chainloom.operators import analysis, contraction, metrics, mps, overlap, prediction, sampling, search, series as S, training
+from chainloom.operators import analysis, contraction, metrics, mps, overlap, prediction, ranges, sampling, search, series as S, training
 from chainloom.plans.common import CELLS, embeddings, ranged, six, table
 from chainloom.plans.encoding import balanced_edges
 
@@ -110,6 +110,24 @@ def mps_predict(spark, d):
     return prediction.predictions(_scored(spark, d)).select("series_id", "label", "predicted")
 
 
+def mps_output_range(spark, d):
+    """Logarithms of the least and greatest norm of the literal chain's outputs, by a contraction that can't leave range."""
+    s = _unit(spark, d)
+    found = ranges.output_range(ranges.log_scores(s, _chain_of(_length(s), _n_classes(s)), "half_angle", 2))
+    return found.select(six(F.col("least")).alias("least"), six(F.col("greatest")).alias("greatest"), "n", "n_zero")
+
+
+def mps_check_routes(spark, d):
+    """Where arrays and joins disagree on the literal chain, if the entries of class 1 at the end are half as large again in one of them."""
+    s = _unit(spark, d)
+    length = _length(s)
+    chain = _chain_of(length, _n_classes(s))
+    entries = mps.model_table(spark, chain, "literal").withColumn("re", F.when((F.col("site") == length - 1) & (F.col("c") == 1), F.col("re") * 1.5).otherwise(F.col("re")))
+    local = E.encoded(s, "half_angle", 2)
+    found = contraction.disagreeing(prediction.scores(s, chain, "half_angle", 2), contraction.relational_amplitudes(local, entries, length))
+    return found.select("series_id", "c", F.round(F.log("weight"), 5).alias("log_weight"), F.round(F.log("relational"), 5).alias("log_relational"))
+
+
 def mps_confusion(spark, d):
     return metrics.confusion(mps_predict(spark, d), "label", "predicted")
 
@@ -330,7 +348,7 @@ def mps_generative(spark, d):
 
 NAMES = [
     "effective_overlap", "entropy_variation", "kernel_embedding", "basis_projection", "mps_sum_state", "mps_generative",
-    "encoding_bias", "mps_forecast_exact", "mps_split_score", "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
+    "encoding_bias", "mps_check_routes", "mps_forecast_exact", "mps_output_range", "mps_split_score", "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
     "mps_overlap_statistics", "label_metrics", "forecast_errors", "traj_mean_std", "hist_bin_rules", "hist_mode", "grid_minus_done", "mps_train", "mps_model_table",
     "mps_forecast", "mps_forecast_errors", "mps_interpolate", "mps_forecast_mode", "mps_marginals", "entropy_profile", "two_point_correlation", "class_state_overlaps",
 ]
@@ -392,6 +410,9 @@ ORACLE_SQL = {
 SELECT query_id, series_id AS nearest_id, round(o, 5) AS log_overlap FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC, series_id) = 1""",
     "encoding_bias": f"""WITH {ranged(0.0, 1.0)}, m AS (SELECT v, (0.25 + (sin(pi() * v) / pi() - 2 * cos(pi() * v) / (pi() * pi())) / 2) / (0.5 + sin(pi() * v) / pi()) - v AS gap FROM z)
 SELECT least(floor(v * 10), 9)::INT AS bin, count(*) AS n, round(avg(gap), 6) + 0.0 AS bias, round(avg(abs(gap)), 6) + 0.0 AS size FROM m GROUP BY ALL""",
+    "mps_output_range": _chain_sql() + """, norms AS (SELECT ln(sum(w)) / 2 AS n FROM weights GROUP BY series_id)
+      SELECT round(min(n), 6) + 0.0 AS least, round(max(n), 6) + 0.0 AS greatest, count(*) AS n, CAST(0 AS BIGINT) AS n_zero FROM norms""",
+    "mps_check_routes": _chain_sql() + " SELECT series_id, c, round(ln(w), 5) AS log_weight, round(ln(2.25::DOUBLE * w), 5) AS log_relational FROM weights WHERE c = 1",
     "mps_split_score": _split_sql(),
     "mps_score_hof": _chain_sql() + _AMPLITUDES,
     "mps_score_coo": _chain_sql() + _AMPLITUDES,

@@ -110,6 +110,12 @@ def class_balanced_sample(spark, d):
     return S.balanced(embeddings(spark, d), F.col("series_id")).select("series_id", "label")
 
 
+def stacked_subsets(spark, d):
+    """Three groups of labels, as many series of each as the smallest has."""
+    groups = {label: int(label > 2) + int(label > 4) for label in range(10)}
+    return S.stacked(embeddings(spark, d), groups, F.col("series_id")).select("series_id", F.col("label").cast("int").alias("label"))
+
+
 def sample_per_class(spark, d):
     return S.sampled_per_class(embeddings(spark, d), 20, F.col("series_id")).select("series_id", "label")
 
@@ -144,7 +150,7 @@ def index_complement(spark, d):
 NAMES = [
     "scale_quantiles", "scale_robust_sigmoid", "scale_signed_sigmoid", "scale_sigmoid", "scale_minmax_range", "scale_standard", "sax_normal", "sax_quantile",
     "sax_uniform", "one_hot_labels", "window_daily_series", "window_daily_by_type", "class_counts", "class_index", "class_balance", "structural_checks", "stratified_kfold", "plain_kfold",
-    "class_balanced_sample", "sample_per_class", "validation_split", "horizon_split", "relabel_two_classes", "transpose_time", "index_complement",
+    "class_balanced_sample", "stacked_subsets", "sample_per_class", "validation_split", "horizon_split", "relabel_two_classes", "transpose_time", "index_complement",
 ]
 QUERIES = {n: globals()[n] for n in NAMES} | {f"binarise_{m}": _binarised(m) for m in ("median", "mean", "minimum")}
 
@@ -194,6 +200,9 @@ SELECT event_type, CAST(day AS VARCHAR) AS day, CASE WHEN isodow(day) IN (6, 7)
     "validation_split": f"SELECT series_id, label, CASE WHEN r < round(n * CAST(0.1 AS DOUBLE)) THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM ({_RANK}))",
     "horizon_split": """SELECT vec_id AS series_id, 'known' AS part, len(embedding) - 16 AS n, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, round(embedding[len(embedding) - 16]::DOUBLE, 6) + 0.0 AS last FROM embeddings
       UNION ALL SELECT vec_id, 'horizon', 16, round(embedding[len(embedding) - 15]::DOUBLE, 6) + 0.0, round(embedding[len(embedding)]::DOUBLE, 6) + 0.0 FROM embeddings""",
+    "stacked_subsets": """WITH g AS (SELECT vec_id AS series_id, (CASE WHEN label > 4 THEN 2 WHEN label > 2 THEN 1 ELSE 0 END)::INTEGER AS label FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY series_id) AS r FROM g)
+SELECT series_id, label FROM r WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM g GROUP BY label))""",
     "relabel_two_classes": "SELECT vec_id AS series_id, CAST(CASE label % 2 WHEN 0 THEN -1 ELSE 1 END AS INTEGER) AS label FROM embeddings",
     "transpose_time": f"WITH {CELLS} SELECT t, count(*) AS n, round(sum(v), 6) + 0.0 AS total, round(min(v), 6) + 0.0 AS least, round(max(v), 6) + 0.0 AS greatest FROM cells GROUP BY t",
     "index_complement": f"SELECT series_id, label FROM ({_RANK}) WHERE r >= 20",
