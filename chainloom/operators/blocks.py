@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.fitted import FittedEncoding, resolved
 from chainloom.operators.mps import Chain
-from chainloom.operators.prediction import amplitudes, states
+from chainloom.operators.prediction import states
+from chainloom.operators.ranges import scaled_amplitudes
 
 ROWS, KEPT, PARTITION_BYTES, COLLECTED = 1024, 8, 4 << 20, 64
 
@@ -41,6 +42,21 @@ def from_right(env: np.ndarray, phi: np.ndarray, t: np.ndarray) -> np.ndarray:
     return (phi[:, :, None] * env[:, None, :]).reshape(len(env), d * r) @ t.reshape(l, d * r).T
 
 
+def scaled(env: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of greatest size 1, and the logarithm of what they have been divided by since the start."""
+    size = np.abs(env).max(axis=1)
+    size[size == 0] = 1
+    return env / size[:, None], log + np.log(size)
+
+
+def nothing(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.ones((n, 1), complex), np.zeros(n)
+
+
+def moved_over(env: tuple, phi: np.ndarray, t: np.ndarray, to_left: bool) -> tuple:
+    return scaled((from_right if to_left else from_left)(env[0], phi, t), env[1])
+
+
 def state_blocks(series: DataFrame, encoding: str | FittedEncoding, d: int | None) -> RDD:
     """Cached (labels, conjugate states) of ``series`` (label, x), about ``ROWS`` rows each."""
     encoding = resolved(encoding, d)
@@ -68,26 +84,36 @@ def state_blocks(series: DataFrame, encoding: str | FittedEncoding, d: int | Non
     return fewer
 
 
-def environments(phi: np.ndarray, tensors: list, to_left: bool) -> list[np.ndarray]:
-    """Of the side that a half sweep doesn't change, one for each site."""
-    length, found = phi.shape[1], [np.ones((len(phi), 1), complex)]
+def environments(phi: np.ndarray, tensors: list, to_left: bool) -> list[tuple]:
+    """Of the side that a half sweep doesn't change, one (rows, logarithms) for each site."""
+    length, found = phi.shape[1], [nothing(len(phi))]
     for k in range(length - 2):
         j = k if to_left else length - 1 - k
-        found.append((from_left if to_left else from_right)(found[-1], phi[:, j], tensors[j]))
+        found.append(moved_over(found[-1], phi[:, j], tensors[j], not to_left))
     return found
 
 
 def summed(blocks: Iterator, bond: np.ndarray, j: int, to_left: bool, share: np.ndarray, loss_of: Callable) -> np.ndarray:
-    """The loss, then the gradient's entries, summed over ``blocks``: label, phi, the fixed side's environments, the moving one."""
+    """The loss, then the gradient's entries, summed over ``blocks``: label, phi, the fixed side's environments, the moving one.
+
+    Outputs are mantissas times exp(log). A loss with a ``shift`` grows by shift * log where outputs grow, and its gradient
+    doesn't depend on their scale, so it works on the mantissas; others get the outputs themselves.
+    """
     l, s, t, r, c = bond.shape
     square, total = np.ascontiguousarray(bond).reshape(l * s, t * r * c), np.zeros(1 + bond.size, complex)
     for label, phi, fixed, moving in blocks:
-        left, right = (fixed[j], moving) if to_left else (moving, fixed[phi.shape[1] - 2 - j])
-        n = len(label)
+        (left, a), (right, b) = (fixed[j], moving) if to_left else (moving, fixed[phi.shape[1] - 2 - j])
+        n, log, shift = len(label), a + b, getattr(loss_of, "shift", None)
         p = (left[:, :, None] * phi[:, j, None, :]).reshape(n, l * s)
         q = (phi[:, j + 1, :, None] * right[:, None, :]).reshape(n, t * r)
         y = np.matmul(q[:, None, :], (p @ square).reshape(n, t * r, c))[:, 0]
-        each, weight = loss_of(y, label)
+        if shift is None:
+            size = np.exp(log)
+            each, weight = loss_of(y * size[:, None], label)
+            weight = weight * size[:, None]
+        else:
+            each, weight = loss_of(y, label)
+            each = each + shift * log
         total[0] += each @ share[label]
         weight = weight * share[label][:, None]
         gradient = total[1:].reshape(l * s, t * r, c)
@@ -102,11 +128,11 @@ class TaskHalfSweep:
 
     def __init__(self, blocks: list, chain: Chain, to_left: bool):
         self.to_left, tensors = to_left, chain.tensors
-        self.blocks = [[label, phi, environments(phi, tensors, to_left), np.ones((len(phi), 1), complex)] for label, phi in blocks]
+        self.blocks = [[label, phi, environments(phi, tensors, to_left), nothing(len(phi))] for label, phi in blocks]
 
     def advance(self, j: int, tensor: np.ndarray) -> None:
         for b in self.blocks:
-            b[3] = (from_right if self.to_left else from_left)(b[3], b[1][:, j], tensor)
+            b[3] = moved_over(b[3], b[1][:, j], tensor, self.to_left)
 
     def sums(self, bond: np.ndarray, j: int, share: np.ndarray, loss_of: Callable) -> np.ndarray:
         return summed(iter(self.blocks), bond, j, self.to_left, share, loss_of)
@@ -124,7 +150,7 @@ class HalfSweep:
 
         def started(block):
             label, phi = block
-            return label, phi, environments(phi, tensors, to_left), np.ones((len(phi), 1), complex)
+            return label, phi, environments(phi, tensors, to_left), nothing(len(phi))
 
         self.length = chain.length
         self.versions = [base.map(started).persist(StorageLevel.MEMORY_AND_DISK)]
@@ -158,12 +184,12 @@ class HalfSweep:
 
 
 def _moved(news: list[tuple[int, np.ndarray]], to_left: bool) -> Callable:
-    news, step = list(news), from_right if to_left else from_left
+    news = list(news)
 
-    def moved(block) -> np.ndarray:
+    def moved(block) -> tuple:
         env = block[3]
         for j, t in news:
-            env = step(env, block[1][:, j], t)
+            env = moved_over(env, block[1][:, j], t, to_left)
         return env
 
     return moved
@@ -174,12 +200,13 @@ def block_summary(base: RDD, chain: Chain) -> dict[str, float]:
 
     def run(blocks: Iterator) -> Iterator[np.ndarray]:
         for label, phi in blocks:
-            y, rows = np.abs(amplitudes(chain, phi.conj())), np.arange(len(label))
+            m, exponent = scaled_amplitudes(chain, phi.conj())
+            rows, y = np.arange(len(label)), np.ldexp(np.abs(m), exponent[:, None])
             target = np.zeros_like(y)
             target[rows, label] = 1
             with np.errstate(divide="ignore"):
-                kld = -2 * np.log(y[rows, label])
-            yield np.array([len(label), (y.argmax(axis=1) == label).sum(), kld.sum(), ((y - target) ** 2).sum() / 2])
+                kld = -2 * (np.log(np.abs(m[rows, label])) + exponent * np.log(2))
+            yield np.array([len(label), (np.abs(m).argmax(axis=1) == label).sum(), kld.sum(), ((y - target) ** 2).sum() / 2])
 
     n, right, kld, mse = base.mapPartitions(lambda b: [sum(run(b), np.zeros(4))]).treeReduce(np.add, depth=2)
     return {"accuracy": float(right / n), "kld": float(kld / n), "mse": float(mse / n)} if n else {"accuracy": None, "kld": None, "mse": None}

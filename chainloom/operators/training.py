@@ -69,7 +69,10 @@ def kld(y: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     f = y[rows, label]
     weight = np.zeros_like(y)
     weight[rows, label] = -1 / f.conj()
-    return -np.log(np.abs(f) ** 2), weight
+    return -2 * np.log(np.abs(f)), weight
+
+
+kld.shift = -2.0  # see blocks.summed
 
 
 def squared_error(y, label):
@@ -90,6 +93,7 @@ def normalised(y, label):
     return loss + np.log(total), weight + y / total[:, None]
 
 
+normalised.shift = 0.0
 LOSSES = {"kld": kld, "mse": squared_error, "mixed": mixed, "normalised": normalised}
 
 

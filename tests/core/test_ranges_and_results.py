@@ -151,3 +151,17 @@ def test_stacked_subsets_are_balanced(spark):
 def test_slices_count_the_cuts_below(spark, cuts):
     df = spark.range(-2, 103).select("id", S.slice_of(F.col("id"), cuts).alias("s"))
     assert all(r.s == sum(c < r.id for c in cuts) for r in df.collect())
+
+
+def test_training_on_long_series_stays_in_range(spark):
+    """Outputs of the untrained chain are of the size 2**-700; squared, they are no doubles."""
+    from chainloom.operators import training
+
+    r, length = np.random.default_rng(3), 1400
+    rows = [(k, k % 2, [float(v) for v in r.random(length)]) for k in range(4)]
+    s = spark.createDataFrame(rows, "series_id long, label int, x array<double>")
+    start = mps.random_chain(length, 2, 2, 2, seed=4)
+    chain, log = training.fit(s, None, training.Options(encoding="half_angle", sweeps=1, max_bond=3, first_bond=2, rate=0.3), start)
+    want = [-plain_logs(start, np.stack([np.cos(np.pi / 2 * np.array(x)), np.sin(np.pi / 2 * np.array(x))], axis=1) + 0j)[label] for _, label, x in rows]
+    assert log[0]["train_kld"] == pytest.approx(np.mean(want), rel=1e-9) and np.mean(want) > 745
+    assert log[1]["train_kld"] < log[0]["train_kld"] / 2 and np.isfinite([x["train_kld"] for x in log]).all()
