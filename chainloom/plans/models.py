@@ -322,7 +322,17 @@ def kernel_embedding(spark, d):
 def basis_projection(spark, d):
     s = scaled(embeddings(spark, d), to=(-1.0, 1.0))[0]
     fourier = analysis.projected_basis(s, "fourier", 4).withColumn("kind", F.lit("fourier"))
-    return fourier.unionByName(analysis.projected_basis(s, "legendre", 4, terms=12).withColumn("kind", F.lit("legendre")))
+    found = fourier.unionByName(analysis.projected_basis(s, "legendre", 4, terms=12).withColumn("kind", F.lit("legendre")))
+    return found.select("kind", "t", "place", "term", six(F.col("weight")).alias("weight"))
+
+
+def site_overlap(spark, d):
+    """Every series against the class states of the literal chain, site by site: the mean one-site overlap."""
+    s = _unit(spark, d)
+    n = _n_classes(s)
+    chain = _chain_of(_length(s), n)
+    found = analysis.effective_overlaps(s, [chain.of_class(c) for c in range(n)], "half_angle", 2)
+    return found.select("series_id", "class", six(F.col("overlap")).alias("overlap"))
 
 
 def mps_sum_state(spark, d):
@@ -348,7 +358,7 @@ def mps_generative(spark, d):
 
 NAMES = [
     "effective_overlap", "entropy_variation", "kernel_embedding", "basis_projection", "mps_sum_state", "mps_generative",
-    "encoding_bias", "mps_check_routes", "mps_forecast_exact", "mps_output_range", "mps_split_score", "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
+    "encoding_bias", "site_overlap", "mps_check_routes", "mps_forecast_exact", "mps_output_range", "mps_split_score", "overlap_matrix", "rlf_kernel", "nearest_by_overlap", "mps_score_hof", "mps_score_coo", "mps_predict", "mps_confusion", "mps_metrics", "mps_kld",
     "mps_overlap_statistics", "label_metrics", "forecast_errors", "traj_mean_std", "hist_bin_rules", "hist_mode", "grid_minus_done", "mps_train", "mps_model_table",
     "mps_forecast", "mps_forecast_errors", "mps_interpolate", "mps_forecast_mode", "mps_marginals", "entropy_profile", "two_point_correlation", "class_state_overlaps",
 ]
@@ -370,6 +380,42 @@ weights AS MATERIALIZED (SELECT series_id, label, c, pow(a0 * cos(pi() * c / n)
 predicted AS (SELECT series_id, label, c AS predicted FROM weights QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY w DESC, c) = 1)"""
 
 
+def _basis_sql() -> str:
+    """The terms of greatest squared coefficient of the root of each time point's density, on a grid of 200 points of [-1, 1]."""
+    terms = [("fourier", (k + 1) // 2 * (1 if k % 2 else -1), k) for k in range(40)] + [("legendre", k, k) for k in range(12)]
+    return f"""WITH RECURSIVE {ranged(-1.0, 1.0)}, counts AS MATERIALIZED (SELECT t, floor(v * 256) AS b, count(*) AS n, avg(v) AS m FROM z GROUP BY ALL),
+points AS (SELECT g, -1.0::DOUBLE + g * (2.0::DOUBLE / 199) AS x, CASE WHEN g IN (0, 199) THEN 1.0::DOUBLE / 199 ELSE 2.0::DOUBLE / 199 END AS w FROM range(200) AS r(g)),
+density AS MATERIALIZED (SELECT t, g, x, w, sqrt(sum(n * exp(-0.5::DOUBLE * pow((x - m) / 0.8::DOUBLE, 2))) / (sum(n) * 0.8::DOUBLE * sqrt(2 * pi()))) AS y FROM counts, points GROUP BY ALL),
+legendre AS (SELECT g, x, 0 AS n, 1.0::DOUBLE AS p, 0.0::DOUBLE AS before FROM points UNION ALL
+  SELECT g, x, n + 1, ((2 * n + 1) * x * p - n * before) / (n + 1), p FROM legendre WHERE n < 11),
+terms(kind, term, i) AS (VALUES {", ".join(map(str, terms))}),
+f AS (SELECT kind, term, i, points.g, CASE kind WHEN 'fourier' THEN cos(pi() * term * points.x) ELSE p * sqrt((2 * term + 1) / 2.0::DOUBLE) END AS re, CASE kind WHEN 'fourier' THEN -sin(pi() * term * points.x) ELSE 0 END AS im
+  FROM terms JOIN points ON true LEFT JOIN legendre ON kind = 'legendre' AND legendre.n = term AND legendre.g = points.g),
+c AS (SELECT kind, t, term, i, round(pow(sum(y * w * re), 2) + pow(sum(y * w * im), 2), 12) AS weight FROM density JOIN f USING (g) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, t ORDER BY weight DESC, i) - 1 AS place FROM c)
+SELECT kind, t, CAST(place AS INTEGER) AS place, term, round(weight, 6) + 0.0 AS weight FROM r WHERE place < 4"""
+
+
+def _site_overlap_sql() -> str:
+    """One-site densities of the literal chain's class states, from environments of trace 1 on both sides, and their mean overlaps."""
+    w = TENSOR
+    number = lambda i, s, r: f"CAST({w[i][s][r]} AS DOUBLE)"
+    # environments are symmetric 2 x 2 matrices: e0, e1 (twice beside the diagonal), e2
+    e = lambda i, k: f"e{i + k}"
+    left = [" + ".join(f"{number(i, s, r)} * {e(i, k)} * {number(k, s, q)}" for s in (0, 1) for i in (0, 1) for k in (0, 1)) for r, q in ((0, 0), (0, 1), (1, 1))]
+    right = [" + ".join(f"{number(i, s, r)} * {e(r, q)} * {number(k, s, q)}" for s in (0, 1) for r in (0, 1) for q in (0, 1)) for i, k in ((0, 0), (0, 1), (1, 1))]
+    rho = [" + ".join(f"l{i + k} * {number(i, s, r)} * r{r + q} * {number(k, u, q)}" for i in (0, 1) for k in (0, 1) for r in (0, 1) for q in (0, 1)) for s, u in ((0, 0), (0, 1), (1, 1))]
+    unit = lambda parts: ", ".join(f"({p}) / (({parts[0]}) + ({parts[2]}))" for p in parts)
+    return f"""WITH RECURSIVE {ranged(0.0, 1.0)}, n AS (SELECT max(t) AS last, max(label) + 1 AS classes FROM z),
+lefts AS (SELECT 0 AS t, 1.0::DOUBLE AS e0, 0.0::DOUBLE AS e1, 0.0::DOUBLE AS e2 UNION ALL SELECT t + 1, {unit(left)} FROM lefts, n WHERE t < last),
+rights AS (SELECT c, last AS t, pow(cos(pi() * c / classes), 2) AS e0, cos(pi() * c / classes) * sin(pi() * c / classes) AS e1, pow(sin(pi() * c / classes), 2) AS e2 FROM n, range(classes) AS r(c)
+  UNION ALL SELECT c, t - 1, {unit(right)} FROM rights WHERE t > 0),
+both_sides AS (SELECT c, t, a.e0 AS l0, a.e1 AS l1, a.e2 AS l2, b.e0 AS r0, b.e1 AS r1, b.e2 AS r2 FROM lefts a JOIN rights b USING (t)),
+rho AS MATERIALIZED (SELECT c, t, {rho[0]} AS p, {rho[1]} AS q, {rho[2]} AS s FROM both_sides)
+SELECT series_id, CAST(c AS INTEGER) AS class, round(avg((p * pow(cos(pi() / 2 * v), 2) + 2 * q * cos(pi() / 2 * v) * sin(pi() / 2 * v) + s * pow(sin(pi() / 2 * v), 2)) / (p + s)), 6) + 0.0 AS overlap
+FROM z JOIN rho USING (t) GROUP BY series_id, c"""
+
+
 def _split_sql() -> str:
     """The amplitude of each series under ``SPLIT_TENSOR``: states of two bins by balanced edges, then the chain site by site."""
     w = SPLIT_TENSOR
@@ -413,6 +459,8 @@ SELECT least(floor(v * 10), 9)::INT AS bin, count(*) AS n, round(avg(gap), 6) +
     "mps_output_range": _chain_sql() + """, norms AS (SELECT ln(sum(w)) / 2 AS n FROM weights GROUP BY series_id)
       SELECT round(min(n), 6) + 0.0 AS least, round(max(n), 6) + 0.0 AS greatest, count(*) AS n, CAST(0 AS BIGINT) AS n_zero FROM norms""",
     "mps_check_routes": _chain_sql() + " SELECT series_id, c, round(ln(w), 5) AS log_weight, round(ln(2.25::DOUBLE * w), 5) AS log_relational FROM weights WHERE c = 1",
+    "basis_projection": _basis_sql(),
+    "site_overlap": _site_overlap_sql(),
     "mps_split_score": _split_sql(),
     "mps_score_hof": _chain_sql() + _AMPLITUDES,
     "mps_score_coo": _chain_sql() + _AMPLITUDES,
