@@ -1,64 +1,20 @@
-"""Shared helpers: table access, the cluster's shared folder, Arrow row mapping."""
+"""Shared helpers: table access, Arrow row mapping, bit maps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainloom.shared import forget, new_folder, shared_root, written  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as a URI without a final slash.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
-    session is local (tests) a temporary folder is made and kept for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='chainloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return (root if "://" in root else f"file://{root}").rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/chainloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes a table in the shared folder and reads it again, so
-    what follows doesn't depend on shuffle files of executors that may be lost."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    _folders[found] = path
-    return found
-
-
-_folders: WeakKeyDictionary = WeakKeyDictionary()  # of tables that ``written`` has made
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes the folders of tables that ``written`` has made and that nothing reads any more."""
-    for df in tables:
-        if path := _folders.pop(df, None):
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def text_or_empty(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
