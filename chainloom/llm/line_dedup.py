@@ -30,19 +30,23 @@ MAX_RATIO = 0.05
 LEAST_PAGES = 5
 
 
-def line_key(line: Column) -> Column:
-    bare = F.trim(line, F.lit(" \t\r\x0b\x0c"))
+def bare_line(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r\x0b\x0c"))
+
+
+def line_key(bare: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b"))
 
 
 def is_blank(line: Column) -> Column:
-    return F.length(F.trim(line, F.lit(" \t\r\x0b\x0c"))) == 0
+    return F.length(bare_line(line)) == 0
 
 
 def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, lines): keys of the lines above the ratio, one row for each host that has any. ``pages``: host, text."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: ~is_blank(x))
-    keys = pages.filter(F.col("text").isNotNull()).select("host", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key"))
+    lines = F.filter(F.transform(F.split("text", "\n", -1), bare_line), lambda x: F.length(x) > 0)
+    # distinct as strings, which Spark hashes: structs it compares each with all others, which a text of very many lines doesn't bear
+    keys = pages.filter(F.col("text").isNotNull()).select("host", F.explode(F.transform(F.array_distinct(lines), line_key)).alias("key"))
     counts = keys.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
     common = counts.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > max_ratio * F.col("total"))
@@ -55,7 +59,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = written(boilerplate(pages, max_ratio, least_pages), "boilerplate").withColumnRenamed("host", "h")
     rows = pages.join(common, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     every = F.split("text", "\n", -1)
-    kept = F.filter(every, lambda x: is_blank(x) | ~F.array_contains(F.coalesce("lines", F.array().cast("array<struct<a:bigint,b:bigint>>")), line_key(x)))
+    kept = F.filter(every, lambda x: is_blank(x) | ~F.array_contains(F.coalesce("lines", F.array().cast("array<struct<a:bigint,b:bigint>>")), line_key(bare_line(x))))
     made = rows.withColumn("kept", kept)
     n = F.coalesce(F.size(every), F.lit(0)).cast("long")
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")
