@@ -49,6 +49,15 @@ def parsed(name: str) -> Spec:
     raise ValueError(f"no encoding is named {name!r}; plain ones are {sorted(ENCODINGS)}")
 
 
+def takes_dimension(name: str, d: int, inner_d: int = 2) -> bool:
+    """Whether an encoding of a name, plain or composite, can have d components."""
+    spec = parsed(name)
+    e = ENCODINGS[spec.inner]
+    if spec.kind in ("uniform", "histogram"):
+        return d % inner_d == 0 and e.dimensions(inner_d)
+    return e.dimensions(d)
+
+
 @dataclass(frozen=True)
 class FittedEncoding:
     """``lists``: for each class (one entry for all, without ``by_class``) and time point the numbers."""

@@ -15,7 +15,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainloom.functions.encodings import ENCODINGS
+from chainloom.functions.fitted import takes_dimension
 from chainloom.operators.series import hashed, stratified_folds
 from chainloom.operators.training import Options, fit_scaled
 
@@ -24,11 +24,11 @@ GRID_SCHEMA = "fold int, rate double, d int, max_bond int, encoding string"
 RESULT_SCHEMA = GRID_SCHEMA + ", sweep int, train_accuracy double, train_kld double, test_accuracy double, test_kld double, seconds double, error string, run string"
 
 
-def grid(spark: SparkSession, n_folds: int, rates: list[float], ds: list[int], bonds: list[int], encodings: list[str], most: int | None = None) -> DataFrame:
-    """All valid cells; ``most`` bounds bond times dimension."""
+def grid(spark: SparkSession, n_folds: int, rates: list[float], ds: list[int], bonds: list[int], encodings: list[str], most: int | None = None, inner_d: int = 2) -> DataFrame:
+    """All valid cells; ``most`` bounds bond times dimension. Encodings may be composite, with ``inner_d`` components in a bin."""
     rows = [
         (f, float(r), d, b, e) for f, r, d, b, e in product(range(1, n_folds + 1), rates, ds, bonds, encodings)
-        if ENCODINGS[e].dimensions(d) and (most is None or b * d <= most)
+        if takes_dimension(e, d, inner_d) and (most is None or b * d <= most)
     ]
     return spark.createDataFrame(rows, GRID_SCHEMA)
 

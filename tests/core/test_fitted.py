@@ -120,3 +120,13 @@ def test_what_doesn_t_fit_is_refused(spark, unequal):
     with pytest.raises(Exception, match="outside"):
         prediction.states(unequal.withColumn("x", F.transform("x", lambda v: v + 1)), e, None, "series_id").collect()
     assert not encodings.ENCODINGS["half_angle"].dimensions(4)
+
+
+def test_grids_take_composite_encodings(spark, unequal, tmp_path):
+    from chainloom.operators import search
+
+    cells = search.grid(spark, 2, [0.1], [2, 3, 4], [2], ["hist split half_angle", "half_angle", "uniform split qudit"])
+    assert sorted((r.d, r.encoding) for r in cells.filter("fold = 1").collect()) == [(2, "half_angle"), (2, "hist split half_angle"), (4, "hist split half_angle")]
+    options = training.Options(sweeps=1, first_bond=2)
+    found = search.run_grid(unequal, cells.filter("fold = 1 AND d = 4"), str(tmp_path / "r"), 2, options)
+    assert found.filter("error IS NULL AND test_kld IS NOT NULL").count() == 3

@@ -165,3 +165,16 @@ def test_training_on_long_series_stays_in_range(spark):
     want = [-plain_logs(start, np.stack([np.cos(np.pi / 2 * np.array(x)), np.sin(np.pi / 2 * np.array(x))], axis=1) + 0j)[label] for _, label, x in rows]
     assert log[0]["train_kld"] == pytest.approx(np.mean(want), rel=1e-9) and np.mean(want) > 745
     assert log[1]["train_kld"] < log[0]["train_kld"] / 2 and np.isfinite([x["train_kld"] for x in log]).all()
+
+
+@pytest.mark.parametrize("broadcast_bytes, salted_rows", [(1 << 20, 10), (0, 7), (0, 1000)])
+def test_overlaps_by_broadcast_or_salted_shuffle_are_equal(spark, broadcast_bytes, salted_rows):
+    from chainloom.operators import overlap
+
+    r = np.random.default_rng(5)
+    rows = [(k, 0, [float(v) for v in r.random(3)]) for k in range(40)]
+    s = spark.createDataFrame(rows, "series_id long, label int, x array<double>")
+    got = {(g.query_id, g.series_id): g.overlap for g in overlap.overlaps(s, s.filter("series_id % 3 = 0"), block=4, broadcast_bytes=broadcast_bytes, salted_rows=salted_rows).collect()}
+    want = {(a, b): np.cos(np.pi / 2 * (np.array(x) - np.array(y))).prod() for a, _, x in rows if a % 3 == 0 for b, _, y in rows}
+    assert got == pytest.approx(want)
+    assert overlap.overlaps(s, s.limit(0), broadcast_bytes=broadcast_bytes).count() == 0
