@@ -223,7 +223,11 @@ def encoded(series: DataFrame, name: str, d: int) -> DataFrame:
     encoding = ENCODINGS[name]
     if not encoding.dimensions(d):
         raise ValueError(f"{name} takes no dimension {d}")
-    long = checked(series, encoding).select("series_id", F.posexplode("x").alias("t", "v"))
+    # checked after the explode: Spark moves filters that it infers of one below joins and filters, to rows that aren't meant
+    long = series.select("series_id", F.posexplode("x").alias("t", "v"))
+    said = F.lit(f"a value is outside [{encoding.low}, {encoding.high}], the range of {encoding.name}")
+    fits = (F.col("v") >= encoding.low) & (F.col("v") <= encoding.high)
+    long = long.withColumn("v", F.when(fits, F.col("v")).otherwise(F.raise_error(said).cast("double")))
     return components(long, encoding.make(F.col("v"), d), encoding.is_complex)
 
 

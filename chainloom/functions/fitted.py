@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.encodings import ENCODINGS, Encoding, checked, complex_of, fourier_by_list, histogram_edges, legendre_by_list, split_on_edges
+from chainloom.functions.encodings import ENCODINGS, Encoding, complex_of, fourier_by_list, histogram_edges, legendre_by_list, split_on_edges
 
 SAMPLED = 1 << 40  # what the series of a class weigh together where classes are balanced
 
@@ -139,16 +139,19 @@ def fitted(series: DataFrame, name: str, d: int, inner_d: int = 2, by_class: boo
         if not e.dimensions(d):
             raise ValueError(f"{spec.inner} takes no dimension {d}")
         return FittedEncoding(spec, d, d, ((),))
-    shape = series.agg(F.max(F.size("x")).alias("length"), F.max(F.col("label").cast("int")).alias("last")).first()
+    out = F.exists("x", lambda v: (v < e.low) | (v > e.high))
+    shape = series.agg(F.max(F.size("x")).alias("length"), F.max(F.col("label").cast("int")).alias("last"), F.count_if(out).alias("out")).first()
     if shape.length is None:
         raise ValueError("there are no series to fit an encoding on")
+    if shape.out:
+        raise ValueError(f"{shape.out} series have values outside [{e.low}, {e.high}], the range of {spec.inner}")
     n_classes = shape.last + 1 if by_class else 1
     if spec.kind == "projected":
         from chainloom.operators.analysis import projected_basis
 
         if by_class:
             raise ValueError("projections are fitted on all classes together")
-        found = checked(series, e).transform(lambda s: projected_basis(s, spec.inner, d))
+        found = projected_basis(series, spec.inner, d)
         rows = found.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"].cast("double")).alias("numbers"))
         rows = rows.select(F.lit(0).alias("c"), "t", "numbers")
         inner_d = d
@@ -160,7 +163,7 @@ def fitted(series: DataFrame, name: str, d: int, inner_d: int = 2, by_class: boo
             one = tuple(e.low + (e.high - e.low) * k / n_bins for k in range(n_bins + 1))
             return FittedEncoding(spec, d, inner_d, ((one,) * shape.length,) * n_classes, by_class)
         label = F.col("label").cast("int") if by_class else F.lit(0)
-        rows = edges_of(checked(series, e), spec, n_bins, by_class).select(label.alias("c"), "t", F.col("edges").alias("numbers"))
+        rows = edges_of(series, spec, n_bins, by_class).select(label.alias("c"), "t", F.col("edges").alias("numbers"))
     lists = [[()] * shape.length for _ in range(n_classes)]
     for r in rows.collect():  # classes times sites
         lists[r.c][r.t] = tuple(r.numbers)
