@@ -123,8 +123,9 @@ def grouped_order_statistics(df: DataFrame, by: list[str], column: str, ranks: C
     )
     rank, upper = F.col("rank"), F.col("low") + F.col("held")
     edge = F.when(rank < F.col("low"), -INF).when(rank >= upper, INF)
-    wanted = extent.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))).select(
-        "g", "n", "rank", F.coalesce(edge, F.col("lo")).alias("lo"), F.coalesce(edge, F.col("hi")).alias("hi"), "rows", F.col("low").alias("below")
+    hi = F.when(rank.isNull(), F.col("lo")).otherwise(F.coalesce(edge, F.col("hi")))  # a group without ranks has nothing to narrow
+    wanted = extent.withColumn("rank", F.explode_outer(F.array_distinct(ranks(F.col("n"))))).select(
+        "g", "n", "rank", F.coalesce(edge, F.col("lo")).alias("lo"), hi.alias("hi"), "rows", F.col("low").alias("below")
     )
     rows, wanted = rows.filter(finite), written(wanted, "ranks")
     wide = (F.col("lo") < F.col("hi")) & (F.col("rows") > GROUP_FEW)
@@ -154,7 +155,7 @@ def grouped_order_statistics(df: DataFrame, by: list[str], column: str, ranks: C
         few = few.groupBy("g", "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("vs"))
         found = F.try_element_at("vs", (F.col("rank") - F.col("below") + 1).cast("int"))
     value = F.coalesce(found, F.col("lo"))
-    values = wanted.join(few, ["g", "lo", "hi"], "left").groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", value.alias("x")))).alias("x"))
+    values = wanted.join(few, ["g", "lo", "hi"], "left").groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.when(rank.isNotNull(), F.struct("rank", value.alias("x"))))).alias("x"))
     return values.select("g.*", "n", F.transform(ranks(F.col("n")), lambda r: F.element_at("x", r)).alias("x"))
 
 
