@@ -169,7 +169,10 @@ def verified(candidates: DataFrame) -> DataFrame:
     other = F.when(F.col("n_blocks") > 1, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(F.lit(0)))
     cells = candidates.withColumn("other", F.explode(other))
     cells = cells.select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "n_blocks", "set_key", "node", "size", "grams")
-    dealt = cells.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "block", "set_key")
+    n_tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.expr("bigint(p) * n_blocks - bigint(p) * (p - 1) div 2 + q - p")  # of the cell in its group: cells of one group go to tasks in turn
+    task = F.pmod(F.pmod(F.xxhash64("component"), F.lit(n_tasks)) + number, F.lit(n_tasks)).cast("int")
+    dealt = cells.repartitionById(n_tasks, task).sortWithinPartitions("component", "p", "q", "block", "set_key")
     out = _arrow_schema(candidates.sparkSession, CELL_SCHEMA)
 
     def finish(cell: tuple, rows: list[tuple]) -> pa.RecordBatch:
