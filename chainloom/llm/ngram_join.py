@@ -10,13 +10,15 @@ probability 1 - (1 - 0.8**8)**32 > 0.997, and one of 0.3 with less than 0.003.
 2. Sets that share a band hash are joined to the least set of that bucket, and
    connected components of these edges are the candidate groups. Pairs aren't listed.
 3. The n-grams of candidates are dealt by group, once for each set and task; a group of
-   more than ``BLOCK`` sets (or ``BLOCK_GRAMS`` n-grams) is cut into blocks, and each pair
-   of blocks is a cell of its own, so that a cell fits in bounded memory. Groups of more
-   than ``SMALL_BLOCK`` sets are cut into up to ``SPREAD`` blocks for the sake of balance. A cell counts the intersections of all
+   more than ``BLOCK`` sets (or ``BLOCK_GRAMS`` n-grams) is cut into blocks by size of set, and
+   each pair of blocks is a cell of its own, so that a cell fits in bounded memory. Groups of more
+   than ``SMALL_BLOCK`` sets are cut into up to ``SPREAD`` blocks for the sake of balance. A set goes
+   only to cells whose other block holds sizes from 4/5 to 5/4 of its own: no other set can reach
+   the similarity. A cell counts the intersections of all
    its pairs by products of 0/1 matrices and gives one row for each set: its number of
    links and a spanning tree of them. All pairs of a candidate group are verified,
-   so within a group no link is lost. A group of m different texts sends each about
-   m / ``BLOCK`` times.
+   so within a group no link is lost. A group of m different texts of like size sends each about
+   m / ``BLOCK`` times, a chain of texts that grow only as often as such sizes fill blocks.
 4. Classes are the components of verified links, named by their least document id.
 
 Defined results: null texts are empty; texts without words are copies of each other
@@ -28,12 +30,13 @@ other columns are ignored by ``joined`` and kept by ``representatives``.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainloom.llm.common import _arrow_schema, forget, in_bit_map, map_rows, sized_bit_map, text_or_empty, written
@@ -43,6 +46,7 @@ WORDS, BANDS, ROWS = 5, 32, 8
 NUMERATOR, DENOMINATOR = 4, 5  # similarity 0.8 as a fraction, compared in whole numbers
 BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 SMALL_BLOCK, SPREAD = 128, 16
+REACH = math.ceil(1e9 * math.log(DENOMINATOR / NUMERATOR)) + 2  # between logarithms of sizes in 1e-9; the margin only adds pairs to verify
 MOST_MAPPED = 1 << 22
 _STEP = 4096
 
@@ -111,6 +115,31 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     return components(edges.filter("u <> v"))
 
 
+def placed(found: DataFrame) -> DataFrame:
+    """``found`` (set_key, n_grams, component, ...) with the number of blocks of its group, its own block, and the
+    first and last block that hold sizes it may link to. Blocks follow the order of sizes and are filled alike.
+    The windows run over the distinct sizes of a group, which the longest text bounds, not over its sets."""
+    by_size = Window.partitionBy("component").orderBy("n_grams")
+    group, earlier = Window.partitionBy("component"), by_size.rowsBetween(Window.unboundedPreceding, -1)
+    near = Window.partitionBy("component").orderBy(F.round(1e9 * F.log("n_grams")).cast("long")).rangeBetween(-REACH, REACH)
+    sizes = found.groupBy("component", "n_grams").agg(F.count("*").alias("m"))
+    sizes = sizes.withColumn("weight", F.greatest(F.lit(1 / BLOCK), F.col("n_grams") / BLOCK_GRAMS))
+    sizes = sizes.withColumns({
+        "of_group": F.sum("m").over(group), "total": F.sum(F.col("m") * F.col("weight")).over(group),
+        "before": F.coalesce(F.sum(F.col("m") * F.col("weight")).over(earlier), F.lit(0.0)),
+    })
+    spread = F.least(F.lit(SPREAD), F.ceil(F.col("of_group") / SMALL_BLOCK))
+    sizes = sizes.withColumn("n_blocks", F.greatest(F.lit(1), spread, F.ceil("total")).cast("int"))
+
+    def block(place):
+        at = (F.col("before") + place * F.col("weight")) * F.col("n_blocks") / F.col("total")
+        return F.least(F.floor(at), F.col("n_blocks") - 1).cast("int")
+
+    sizes = sizes.withColumns({"first_near": F.min(block(F.lit(0))).over(near), "last_near": F.max(block(F.col("m") - 1)).over(near)})
+    own = block(F.pmod(F.xxhash64("set_key"), F.col("m")))
+    return found.join(sizes, ["component", "n_grams"]).select(*found.columns, "n_blocks", own.alias("block"), "first_near", "last_near")
+
+
 CELL_SCHEMA = "component long, n_blocks int, set_key binary, node long, root long, links long"
 
 
@@ -165,9 +194,8 @@ def _roots(linked: np.ndarray, n: int, left: int) -> list[int]:
 
 
 def verified(candidates: DataFrame) -> DataFrame:
-    """``candidates``: component, n_blocks, block, set_key, node, size, grams. One row for each set and cell."""
-    other = F.when(F.col("n_blocks") > 1, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(F.lit(0)))
-    cells = candidates.withColumn("other", F.explode(other))
+    """``candidates``: component, n_blocks, block, first_near, last_near, set_key, node, size, grams. One row for each set and cell."""
+    cells = candidates.withColumn("other", F.explode(F.sequence("first_near", "last_near")))
     cells = cells.select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "n_blocks", "set_key", "node", "size", "grams")
     n_tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number = F.expr("bigint(p) * n_blocks - bigint(p) * (p - 1) div 2 + q - p")  # of the cell in its group: cells of one group go to tasks in turn
@@ -237,7 +265,7 @@ def candidate_grams(docs: DataFrame, id_col: str, text_col: str, found: DataFram
 
     made = map_rows(rows, make, "doc_id long, key binary, grams binary", max_rows=500)
     same = (F.col("key") == F.col("set_key")) & F.col("doc_id").eqNullSafe(F.col("least_id"))
-    return made.join(found, same).select("component", "n_blocks", "set_key", "node", "size", "grams")
+    return made.join(found, same).select("component", "n_blocks", "block", "first_near", "last_near", "set_key", "node", "size", "grams")
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,13 +280,8 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = rows.groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("size"), F.first("node").alias("node"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     sets = written(sets, "sets")
     groups = candidate_groups(sets)
-    found = sets.drop("bands").join(groups, "node")
-    extent = found.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total"))
-    spread = F.least(F.lit(SPREAD), F.ceil(F.col("m") / SMALL_BLOCK))
-    n_blocks = F.greatest(F.lit(1), spread, F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int")
-    found = written(found.join(extent.select("component", n_blocks.alias("n_blocks")), "component"), "candidates")
+    found = written(placed(sets.drop("bands").join(groups, "node")), "candidates")
     candidates = candidate_grams(docs, id_col, text_col, found)
-    candidates = candidates.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
     cells = written(verified(candidates), "cells")
     whole = cells.filter("n_blocks = 1").select("set_key", F.col("root").alias("class_root"), "links")
     cut = cells.filter("n_blocks > 1")

@@ -59,6 +59,20 @@ def test_groups_cut_into_blocks_lose_no_link(docs_of, near_rows, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == plain_join(near_rows)
 
 
+def test_chained_group_of_growing_texts(docs_of, words, monkeypatch):
+    """Versions that grow: each links to those of like size, far ones only through them. A set goes to few cells, no link is lost."""
+    base = words(2500, 90)
+    rows = [(k, " ".join(base[: 44 + int(60 * 1.06**k)])) for k in range(60)]
+    rows += [(100 + k, " ".join(base[:n])) for k, n in enumerate((44, 54, 104, 129))]  # 40 and 50, 100 and 125 n-grams: exactly 4/5
+    rows += [(200, rows[30][1]), (201, rows[30][1] + " other end")]
+    sent, real = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "verified", lambda c: sent.append(c.selectExpr("sum(last_near - first_near + 1) a", "sum(n_blocks) b").first()) or real(c))
+    got = ngram_join.op1_ngram_join(docs_of(rows)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == plain_join(rows)
+    assert len({r.class_id for r in got}) < 10 and 0 < 2 * sent[0].a < sent[0].b
+
+
 def test_many_rows_without_an_id_are_one_row_for_each_text(docs_of, words, monkeypatch):
     """No cell gets more than a row for each of two near texts and task, whatever their number of rows."""
     a = words(80, 71)
