@@ -3,6 +3,13 @@
 Each stage takes all rows that the stage before kept, and is written as Parquet and
 read again before the next one. All stages but the last return the columns of
 ``documents``.
+
+Defined results: null and empty texts go with the first stage, as texts of fewer than 50
+words do; repeated rows are copies, of which the second stage keeps one; near copies with ids
+are named by the least one, so ties in similarity don't matter; rows with a null id are told
+apart by their texts, and a null source is a source; very long texts are taken whole; further
+columns, whatever their names, go along to the last stage, which ignores them; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
