@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.encodings import ENCODINGS, c_abs2, complex_of
 from chainloom.functions.fitted import resolved
+from chainloom.operators.density import states_at
 from chainloom.operators.mps import entropy_profile
 from chainloom.operators.prediction import as_states, states
 
@@ -64,28 +65,52 @@ def effective_overlaps(series: DataFrame, class_states: list, encoding: str, d:
     return states(series, e, None, "series_id").mapInArrow(run, "series_id long, class int, overlap double")
 
 
-def measured_entropies(tensors: list[np.ndarray], p: np.ndarray, t: int, grams: tuple[list, list]) -> np.ndarray:
-    """(rows,): the mean cut entropy after site t is measured in each of the states ``p`` (rows, d).
-    Squared singular values of a cut are the eigenvalues of the product of its two sides' Gram matrices."""
+def _root(g: np.ndarray) -> np.ndarray:
+    """C with C C* = g, for g >= 0; columns of a share of up to 1e-30 are left out."""
+    values, vectors = np.linalg.eigh(g)
+    held = values > 1e-30 * max(values.max(), 1e-300)
+    return vectors[:, held] * np.sqrt(values[held])
+
+
+def cut_forms(tensors: list[np.ndarray], t: int, grams: tuple[list, list]) -> list[np.ndarray]:
+    """For each size b of a cut (cuts, d * d, b * b): once site t is measured in p, the squared singular values of a cut
+    are in proportion to the eigenvalues of the b x b sum over u, v of p[u] p*[v] times its form. A cut's form is the
+    Gram matrix of the side that holds t between the roots of the one of the other side."""
     left, right = grams
-    m = np.einsum("nu,lur->nlr", p.conj(), tensors[t])[:, :, None]
-    unit = lambda g: g / np.maximum(np.abs(np.trace(g, axis1=1, axis2=2)), 1e-300)[:, None, None]
-    total, n = np.zeros(len(p)), len(tensors)
-
-    def add(a, b):
-        w = np.maximum(np.linalg.eigvals(np.swapaxes(b, -1, -2) @ a).real, 0)
-        w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
-        total[:] -= np.where(w > 1e-12, w * np.log(np.maximum(w, 1e-300)), 0).sum(axis=1)
-
-    g = unit(np.einsum("nlsr,lk,nksq->nrq", m.conj(), left[t], m, optimize=True))
-    for j in range(t, n - 1):
-        add(g, right[j][None])
-        g = unit(np.einsum("lsr,nlk,ksq->nrq", tensors[j + 1].conj(), g, tensors[j + 1], optimize=True))
-    g = unit(np.einsum("nlsr,rq,nksq->nlk", m.conj(), right[t], m, optimize=True))
+    a, found = tensors[t], {}
+
+    def add(g, other):
+        c = _root(other)
+        h = np.einsum("lx,uvlk,ky->uvxy", c.conj(), g, c, optimize=True)
+        found.setdefault(c.shape[1], []).append(h.reshape(a.shape[1] ** 2, -1))
+
+    g = np.einsum("lur,lk,kvq->uvrq", a.conj(), left[t], a, optimize=True)
+    for j in range(t, len(tensors) - 1):
+        add(g, right[j].T)
+        g = np.einsum("lsr,uvlk,ksq->uvrq", tensors[j + 1].conj(), g, tensors[j + 1], optimize=True)
+        g = g / max(np.abs(g).max(), 1e-300)
+    g = np.einsum("lur,rq,kvq->uvlk", a.conj(), right[t], a, optimize=True)
     for j in range(t - 1, -1, -1):
-        add(left[j + 1][None], g)
-        g = unit(np.einsum("lsr,nrq,ksq->nlk", tensors[j].conj(), g, tensors[j], optimize=True))
-    return total / max(n - 1, 1)
+        add(g, left[j + 1].T)
+        g = np.einsum("lsr,uvrq,ksq->uvlk", tensors[j].conj(), g, tensors[j], optimize=True)
+        g = g / max(np.abs(g).max(), 1e-300)
+    return [np.array(h) for h in found.values()]
+
+
+def measured_entropies(forms: list[np.ndarray], p: np.ndarray, rows: int = 512) -> np.ndarray:
+    """(rows,): the mean cut entropy after a site, of which ``cut_forms`` are given, is measured in each of the states ``p`` (rows, d)."""
+    total, n_cuts = np.zeros(len(p)), sum(map(len, forms))
+    for at in range(0, len(p), rows):
+        own = p[at : at + rows]
+        q = (own[:, :, None] * own.conj()[:, None, :]).reshape(len(own), -1)
+        for h in forms:
+            b = round(h.shape[2] ** 0.5)
+            if b < 2:  # a cut with nothing entangled
+                continue
+            w = np.maximum(np.linalg.eigvalsh(np.tensordot(q, h, (1, 1)).reshape(-1, b, b)), 0)
+            w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+            total[at : at + rows] -= np.where(w > 1e-12, w * np.log(np.maximum(w, 1e-300)), 0).sum(axis=1).reshape(len(own), -1).sum(axis=1)
+    return total / max(n_cuts, 1)
 
 
 def side_grams(tensors: list[np.ndarray]) -> tuple[list, list]:
@@ -100,26 +125,103 @@ def side_grams(tensors: list[np.ndarray]) -> tuple[list, list]:
     return left, right[::-1]
 
 
+#: Series from which on entropies are read from pieces; nodes of a piece, first pieces, halvings, and what a piece may be off by.
+PIECES_FROM, NODES, FIRST, HALVINGS, TOLERANCE = 1024, 16, 4, 6, 1e-10
+
+
+def _chebyshev(x: np.ndarray) -> np.ndarray:
+    """(points, NODES): Chebyshev polynomials on [-1, 1]."""
+    return np.polynomial.chebyshev.chebvander(x, NODES - 1)
+
+
+def _piece_points() -> tuple[np.ndarray, np.ndarray]:
+    """Places within [-1, 1] of a piece where it is fitted, and where it is checked, between those and at its ends."""
+    at = np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES)
+    return at, np.concatenate([[-1.0], (at[1:] + at[:-1]) / 2, [1.0]])
+
+
+def entropy_pieces(value_of, low: float, high: float, halvings: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, coefficients (pieces, NODES)) of a function of one value: pieces of Chebyshev polynomials that are halved until they are
+    right within ``TOLERANCE`` where they are checked. Coefficients are NaN where a piece still isn't after
+    ``halvings``: there the function itself is to be taken. ``value_of(level, k)``: the values at the points of the k-th piece of a level."""
+    at, between = _piece_points()
+    fit, check, found = np.linalg.inv(_chebyshev(at)), _chebyshev(between), []
+
+    def add(level, k):
+        values = value_of(level, k)
+        c = fit @ values[:NODES]
+        if np.abs(check @ c - values[NODES:]).max() <= TOLERANCE:
+            found.append((k / (FIRST << level), c))
+        elif level == halvings:
+            found.append((k / (FIRST << level), np.full(NODES, np.nan)))
+        else:
+            add(level + 1, 2 * k)
+            add(level + 1, 2 * k + 1)
+
+    for k in range(FIRST):
+        add(0, k)
+    edges = low + (high - low) * np.array([f[0] for f in found] + [1.0])
+    return edges, np.array([f[1] for f in found])
+
+
+def _entropy_tables(spark, each: list, e) -> dict:
+    """{(class, site): (edges, coefficients)} of the mean cut entropy after the site is measured in the state of a value; a row of
+    the job is a class and site, so its work doesn't grow with the series."""
+    at, halvings = np.concatenate(_piece_points()), HALVINGS
+    places = [(level, k) for level in range(halvings + 1) for k in range(FIRST << level)]
+    points = np.array([e.low + (e.high - e.low) * (k + (at + 1) / 2) / (FIRST << level) for level, k in places])
+    phi = states_at(spark, e, np.clip(points.reshape(1, -1), e.low, e.high))[0].reshape(len(places), len(at), e.d)
+    sent = spark.sparkContext.broadcast((each, dict(zip(places, phi))))
+
+    def table(key):
+        states, phi = sent.value
+        forms = cut_forms(states[key[0]][0], key[1], states[key[0]][2])
+        return key, entropy_pieces(lambda level, k: measured_entropies(forms, phi[level, k]), e.low, e.high, halvings)
+
+    keys = [(c, t) for c, (tensors, *_) in enumerate(each) for t in range(len(tensors))]
+    return dict(spark.sparkContext.parallelize(keys, min(len(keys), 4 * spark.sparkContext.defaultParallelism)).map(table).collect())
+
+
+def read_pieces(pieces: tuple[np.ndarray, np.ndarray], v: np.ndarray) -> np.ndarray:
+    edges, coefficients = pieces
+    k = np.clip(np.searchsorted(edges, v, side="right") - 1, 0, len(coefficients) - 1)
+    x = (2 * v - edges[k] - edges[k + 1]) / (edges[k + 1] - edges[k])
+    return (_chebyshev(x) * coefficients[k]).sum(axis=1)
+
+
 def entropy_variations(series: DataFrame, class_states: list, encoding: str, d: int) -> DataFrame:
     """(series_id, label, t, variation): the mean change of the cut entropies after site t of the state of the
-    series' class (or of the one state given) is measured in the state of the series' value."""
-    alone, e = isinstance(class_states[0], np.ndarray), resolved(encoding, d)
-    each = [class_states] if alone else class_states
-    sent = series.sparkSession.sparkContext.broadcast([(t, float(np.mean(entropy_profile(t))), side_grams(t)) for t in each])
+    series' class (or of the one state given) is measured in the state of the series' value.
+
+    A site's entropy is a function of one value, unless the encoding is fitted. From ``PIECES_FROM`` series on it is
+    computed once, at the points of ``entropy_pieces``, and read from there; values in pieces that don't hold are computed each.
+    """
+    alone, e, spark = isinstance(class_states[0], np.ndarray), resolved(encoding, d), series.sparkSession
+    each = [(t, float(np.mean(entropy_profile(t))), side_grams(t)) for t in ([class_states] if alone else class_states)]
+    many = e.spec.kind == "plain" and series.limit(PIECES_FROM).count() == PIECES_FROM
+    sent = spark.sparkContext.broadcast((each, _entropy_tables(spark, each, e) if many else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (each, tables), forms = sent.value, {}
         for b in batches:
             label = np.zeros(b.num_rows, int) if alone else b.column(1).to_numpy(zero_copy_only=False)
             for c in np.unique(label):
-                tensors, before, grams = sent.value[int(c)]
-                rows = pa.array(np.flatnonzero(label == c))
-                part = b.take(rows)
+                c = int(c)
+                tensors, before, grams = each[c]
+                part = b.take(pa.array(np.flatnonzero(label == c)))
                 phi = as_states(part.column(2), part.column(3), len(tensors), e.d)
+                x = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(phi), -1)
                 for t in range(len(tensors)):
-                    found = measured_entropies(tensors, phi[:, t], t, grams) - before
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(phi), t, np.int32)), pa.array(found)], names=["series_id", "label", "t", "variation"])
-
-    rows = states(series.withColumn("label", F.col("label").cast("int")), e, None, "series_id", "label")
+                    found = read_pieces(tables[c, t], x[:, t]) if tables else np.full(len(phi), np.nan)
+                    rest = np.flatnonzero(np.isnan(found))
+                    if len(rest):
+                        if (c, t) not in forms:
+                            forms[c, t] = cut_forms(tensors, t, grams)
+                        found[rest] = measured_entropies(forms[c, t], phi[rest, t])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(phi), t, np.int32)), pa.array(found - before)], names=["series_id", "label", "t", "variation"])
+
+    rows = states(series.withColumn("label", F.col("label").cast("int")), e, None, "series_id", "label", "x")
+    rows = rows.select("series_id", "label", "re", "im", "x")
     return rows.mapInArrow(run, "series_id long, label int, t int, variation double")
 
 

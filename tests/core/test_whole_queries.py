@@ -89,3 +89,30 @@ def test_measured_entropies_and_correlations_equal_dense_ones(spark):
     one = [mps.with_operators(state, {i: o}).real for i in range(6)]
     assert found[1, 4] == pytest.approx(mps.with_operators(state, {1: o, 4: o}).real - one[1] * one[4])
     assert found[2, 2] == pytest.approx(mps.with_operators(state, {2: o @ o}).real - one[2] ** 2)
+
+
+@pytest.mark.parametrize("halvings", [6, 0])
+def test_entropies_read_from_pieces_equal_those_of_each_value(spark, monkeypatch, halvings):
+    """Pieces that don't hold (none is halved in the second case) are computed value by value."""
+    states = [mps.right_orthogonal(mps.random_chain(6, 2, 4, 2, seed=3).of_class(c)) for c in (0, 1)]
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, [0.0, 1.0, *rng.random(4).tolist()]) for i in range(60)]
+    s = spark.createDataFrame(rows, "series_id long, label int, x array<double>")
+    found = lambda: {(r.series_id, r.label, r.t): r.variation for r in analysis.entropy_variations(s, states, "stoudenmire", 2).collect()}
+    want, asked, one = found(), [], analysis.measured_entropies
+    monkeypatch.setattr(analysis, "PIECES_FROM", 60)
+    monkeypatch.setattr(analysis, "HALVINGS", halvings)
+    got = found()
+    assert got.keys() == want.keys() and len(got) == 360
+    assert max(abs(got[k] - want[k]) for k in want) <= 2e-10
+    at, edges_of = np.concatenate(analysis._piece_points()), analysis.entropy_pieces
+    forms = analysis.cut_forms(states[0], 2, analysis.side_grams(states[0]))
+
+    def value_of(level, k):
+        v = (k + (at + 1) / 2) / (analysis.FIRST << level)
+        asked.append(len(v))
+        return one(forms, np.stack([np.exp(1.5j * np.pi * v) * np.cos(v * np.pi / 2), np.exp(-1.5j * np.pi * v) * np.sin(v * np.pi / 2)], axis=1))
+
+    edges, coefficients = edges_of(value_of, 0.0, 1.0, halvings)
+    assert edges[0] == 0 and edges[-1] == 1 and len(edges) == len(coefficients) + 1
+    assert sum(asked) <= 33 * (4 + 2 * sum(4 << k for k in range(halvings)))  # however many series there are
