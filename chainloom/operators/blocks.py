@@ -1,17 +1,17 @@
 """Training series as blocks of states with the environments of a sweep kept beside them.
 
-A block holds some rows of one partition: labels, conjugate states, the environments of
-the side that a half sweep doesn't change (one for each site), and the one of the other
-side. The half sweep starts from the states with the unchanged side; after every ``KEPT``
-updates the moving side is brought up to date in a new cached version of the blocks, so
-that an update costs a few sites and not the whole chain. Every version follows from the
-one before by small tensors that the tasks carry, so lost blocks are made again by Spark.
+A block holds labels and conjugate states of some rows of one partition. A half sweep goes over them in windows of
+``KEPT`` updates: a window's blocks, cached while it lasts, hold the states of its sites only, the environments there of the
+side that the half sweep doesn't change, and that of the other side where the window begins. So an update reads a few sites of each
+row and not all, and nothing else is kept. A window is made from the states by the tensors that the tasks carry, so lost
+blocks are made again by Spark.
 
 Where all states are so few that they make one partition, a whole sweep runs in the task that holds them
 (``TaskHalfSweep``), one job for a sweep instead of one for an update.
 
 Blocks are an RDD, since a gradient needs imperative work on arrays that a partition
-keeps between jobs. Partitions are as many as the states need, ``PARTITION_BYTES`` each.
+keeps between jobs. Partitions are as many as there are cores, if their states take ``PARTITION_BYTES`` each, and more where they
+would take more than ``MOST_BYTES``; blocks pass through a task one at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from chainloom.operators.mps import Chain
 from chainloom.operators.prediction import states
 from chainloom.operators.ranges import scaled_amplitudes
 
-ROWS, KEPT, PARTITION_BYTES, COLLECTED = 1024, 8, 4 << 20, 64
+ROWS, KEPT, PARTITION_BYTES, MOST_BYTES, COLLECTED = 1024, 8, 4 << 20, 32 << 20, 64
 
 
 def from_left(env: np.ndarray, phi: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -75,7 +75,9 @@ def state_blocks(series: DataFrame, encoding: str | FittedEncoding, d: int | Non
 
     found = rows.mapInArrow(pack, "label binary, phi binary").rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
     size = found.map(lambda b: b[1].nbytes).sum()
-    wanted = max(1, -(-size // PARTITION_BYTES))
+    cores = series.sparkSession.sparkContext.defaultParallelism
+    wanted = max(1, min(-(-size // PARTITION_BYTES), cores), -(-size // MOST_BYTES))
+    wanted = wanted if wanted <= cores else -(-wanted // cores) * cores
     if wanted >= found.getNumPartitions():
         return found
     fewer = found.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
@@ -84,12 +86,15 @@ def state_blocks(series: DataFrame, encoding: str | FittedEncoding, d: int | Non
     return fewer
 
 
-def environments(phi: np.ndarray, tensors: list, to_left: bool) -> list[tuple]:
-    """Of the side that a half sweep doesn't change, one (rows, logarithms) for each site."""
-    length, found = phi.shape[1], [nothing(len(phi))]
+def environments(phi: np.ndarray, tensors: list, to_left: bool, first: int = 0) -> list[tuple]:
+    """Of the side that a half sweep doesn't change, one (rows, logarithms) for each site, for those after ``first`` moves."""
+    length, now = phi.shape[1], nothing(len(phi))
+    found = [now] if not first else []
     for k in range(length - 2):
         j = k if to_left else length - 1 - k
-        found.append(moved_over(found[-1], phi[:, j], tensors[j], not to_left))
+        now = moved_over(now, phi[:, j], tensors[j], not to_left)
+        if k + 1 >= first:
+            found.append(now)
     return found
 
 
@@ -145,42 +150,56 @@ class HalfSweep:
     """The blocks of one half sweep over a chain; ``to_left``: bonds are updated from the right end on."""
 
     def __init__(self, base: RDD, chain: Chain, to_left: bool):
-        self.to_left, self.news, self.done = to_left, [], 0
-        tensors = [None if j == chain.centre else t for j, t in enumerate(chain.tensors)]  # the centre is updated first
-
-        def started(block):
+        self.base, self.to_left, self.length, self.news, self.done = base, to_left, chain.length, [], 0
+        self.tensors = [None if j == chain.centre else t for j, t in enumerate(chain.tensors)]  # the centre is updated first
+        self.window: RDD | None = None
+
+    def _opened(self) -> RDD:
+        """Blocks of the next ``KEPT`` updates, as a chain of their sites: label, phi, the fixed side's environments, the moving one."""
+        to_left, tensors, length = self.to_left, list(self.tensors), self.length
+        updates = min(KEPT, length - 1 - self.done)
+        # sites of the window, and how many moves the fixed side is ahead at its last update
+        self.low = low = length - 1 - self.done - updates if to_left else self.done
+        fixed_from, past = low if to_left else length - 1 - (low + updates), range(length - 1, low + updates, -1) if to_left else range(low)
+
+        def opened(block):
             label, phi = block
-            return label, phi, environments(phi, tensors, to_left), nothing(len(phi))
+            moving, now = nothing(len(phi)), phi[:, : low + updates + 1] if to_left else phi[:, low:]
+            for j in past:
+                moving = moved_over(moving, phi[:, j], tensors[j], to_left)
+            own = tensors[: low + updates + 1] if to_left else tensors[low:]
+            fixed = environments(now, own, to_left, fixed_from)
+            return label, np.ascontiguousarray(phi[:, low : low + updates + 1]), fixed, moving
 
-        self.length = chain.length
-        self.versions = [base.map(started).persist(StorageLevel.MEMORY_AND_DISK)]
+        return self.base.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
 
     def advance(self, j: int, tensor: np.ndarray) -> None:
         """Site ``j`` has got its tensor and belongs to the moving side from now on."""
-        self.news.append((j, tensor))
+        self.tensors[j] = tensor
+        self.news.append((j - self.low if self.window else j, tensor))
         self.done += 1
-        if len(self.news) == KEPT:
-            moved, left = _moved(self.news, self.to_left), self.length - 1 - self.done  # environments that are still needed
-            self.versions.append(self.versions[-1].map(lambda b: (b[0], b[1], b[2][:left], moved(b))).persist(StorageLevel.MEMORY_AND_DISK))
+        if self.window and len(self.news) == KEPT:
+            self.close()
             self.news = []
-            if len(self.versions) > 2:  # the one before the last is still read while the last is made
-                self.versions.pop(0).unpersist()
 
     def sums(self, bond: np.ndarray, j: int, share: np.ndarray, loss_of: Callable) -> np.ndarray:
         """The loss, then the gradient's entries, summed over all series."""
-        moved, to_left = _moved(self.news, self.to_left), self.to_left
+        if self.window is None:
+            self.window, self.news = self._opened(), []
+        moved, to_left, at = _moved(self.news, self.to_left), self.to_left, j - self.low
 
         def run(blocks: Iterator) -> Iterator[np.ndarray]:
-            yield summed(((*b[:3], moved(b)) for b in blocks), bond, j, to_left, share, loss_of)
+            yield summed(((*b[:3], moved(b)) for b in blocks), bond, at, to_left, share, loss_of)
 
-        parts = self.versions[-1].mapPartitions(run)
+        parts = self.window.mapPartitions(run)
         if parts.getNumPartitions() > COLLECTED:
             return parts.treeReduce(np.add, depth=2)
         return np.sum(parts.collect(), axis=0)  # one array of the bond's size for each partition
 
     def close(self) -> None:
-        for v in self.versions:
-            v.unpersist()
+        if self.window is not None:
+            self.window.unpersist()
+        self.window = None
 
 
 def _moved(news: list[tuple[int, np.ndarray]], to_left: bool) -> Callable:
