@@ -40,23 +40,42 @@ def contract_complex(a: DataFrame, b: DataFrame, on: list[str], by: list) -> Dat
     return joined.groupBy(*by).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
+TASK_SERIES = 4096
+
+
+def dealt(series: DataFrame) -> DataFrame:
+    """Series dealt out by a hash of their ids, about ``TASK_SERIES`` to a task: what a task contracts doesn't grow with the
+    input, and all sums of ``pairs_contracted`` are made where the series are, without another shuffle."""
+    return series.repartition(max(1, -(-series.count() // TASK_SERIES)), "series_id")
+
+
+def pairs_contracted(state: DataFrame, length: int) -> DataFrame:
+    """(series_id, l, r, c, re, im) of series_id, t, l, r, c, re, im with ``length`` sites: neighbouring sites meet in a group of
+    their own, are joined on the index between them and summed over it, in log2(length) rounds. Each round reads the one before once."""
+    entry, n = F.struct((F.col("t") % 2 == 1).alias("odd"), "l", "r", "c", "re", "im"), length
+    product = lambda a, b: F.struct(a["l"].alias("l"), b["r"].alias("r"), F.coalesce(a["c"], b["c"]).alias("c"), (a["re"] * b["re"] - a["im"] * b["im"]).alias("re"), (a["re"] * b["im"] + a["im"] * b["re"]).alias("im"))
+    while n > 1:
+        met = state.groupBy("series_id", F.expr("t div 2").cast("int").alias("t")).agg(F.collect_list(entry).alias("e"))  # entries of two sites
+        met = met.select("series_id", "t", F.filter("e", lambda x: ~x["odd"]).alias("left"), F.filter("e", lambda x: x["odd"]).alias("right"))
+        joined = F.flatten(F.transform("left", lambda a: F.transform(F.filter("right", lambda b: b["l"] == a["r"]), lambda b: product(a, b))))
+        if n % 2:  # the last site has no neighbour
+            alone = F.transform("left", lambda a: F.struct(*[a[k].alias(k) for k in ("l", "r", "c", "re", "im")]))
+            joined = F.when(F.col("t") == n // 2, alone).otherwise(joined)
+        state = met.select("series_id", "t", F.inline(joined)).groupBy("series_id", "t", "l", "r", "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        n = (n + 1) // 2
+    return state.select("series_id", "l", "r", "c", "re", "im")
+
+
 def relational_amplitudes(local: DataFrame, entries: DataFrame, length: int) -> DataFrame:
     """(series_id, c, re, im): every series contracted with a chain by joins and sums alone.
 
-    ``local``: series_id, t, k, re, im (``encodings.encoded``), which is conjugated; ``entries``: a model table's site, l, s, r, c, re,
-    im. Neighbouring sites are contracted in pairs, so ``length`` sites take log2(length) joins.
+    ``local``: series_id, t, k, re, im (``encodings.encoded``, best of ``dealt`` series), which is conjugated; ``entries``: a model
+    table's site, l, s, r, c, re, im, which is bounded and sent to the tasks. Neighbouring sites are contracted in pairs.
     """
     phi = local.select("series_id", "t", F.col("k").alias("s"), "re", (-F.col("im")).alias("im"))
     chain = entries.filter("l IS NOT NULL").select(F.col("site").alias("t"), "l", "s", "r", "c", "re", "im")
-    state, n = contract_complex(phi, chain, ["t", "s"], ["series_id", "t", "l", "r", "c"]), length
-    while n > 1:
-        half = F.expr("t div 2").cast("int").alias("t")
-        left = state.filter(f"t % 2 = 0 AND t < {n - n % 2}").select("series_id", half, "l", F.col("r").alias("m"), F.col("c").alias("c1"), "re", "im")
-        right = state.filter(f"t % 2 = 1 AND t < {n - n % 2}").select("series_id", half, F.col("l").alias("m"), "r", F.col("c").alias("c2"), "re", "im")
-        paired = contract_complex(left, right, ["series_id", "t", "m"], ["series_id", "t", "l", "r", F.coalesce("c1", "c2").alias("c")]).select("series_id", "t", "l", "r", "c", "re", "im")
-        state = paired.unionByName(state.filter(f"t = {n - 1}").select("series_id", half, "l", "r", "c", "re", "im")) if n % 2 else paired
-        n = (n + 1) // 2
-    return state.select("series_id", "c", "re", "im")
+    state = contract_complex(phi, F.broadcast(chain), ["t", "s"], ["series_id", "t", "l", "r", "c"])
+    return pairs_contracted(state, length).select("series_id", "c", "re", "im")
 
 
 def disagreeing(weights: DataFrame, amplitudes: DataFrame, tolerance: float = 2.0**-26) -> DataFrame:

@@ -178,3 +178,17 @@ def test_overlaps_by_broadcast_or_salted_shuffle_are_equal(spark, broadcast_byte
     want = {(a, b): np.cos(np.pi / 2 * (np.array(x) - np.array(y))).prod() for a, _, x in rows if a % 3 == 0 for b, _, y in rows}
     assert got == pytest.approx(want)
     assert overlap.overlaps(s, s.limit(0), broadcast_bytes=broadcast_bytes).count() == 0
+
+
+def test_a_chain_is_contracted_where_its_series_are(spark, monkeypatch):
+    """However long the chain: series are dealt out once, by their number, and nothing of theirs is shuffled after that."""
+    monkeypatch.setattr(contraction, "TASK_SERIES", 5)
+    r, length = np.random.default_rng(3), 7
+    s = spark.createDataFrame([(k, 0, [float(v) for v in r.random(length)]) for k in range(23)], "series_id long, label int, x array<double>")
+    chain = mps.random_chain(length, 2, 3, 2, seed=2)
+    dealt = contraction.dealt(s)
+    assert dealt.rdd.getNumPartitions() == 5
+    found = contraction.relational_amplitudes(encodings.encoded(dealt, "half_angle", 2), mps.model_table(spark, chain, "m"), length)
+    plan = found._jdf.queryExecution().sparkPlan().toString(), found._jdf.queryExecution().executedPlan().toString()
+    assert plan[1].count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan[1] and plan[1].count("Scan") <= 2
+    assert found.count() == 46 and contraction.disagreeing(prediction.scores(s, chain, "half_angle", 2), found).count() == 0
